@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, quality_rules, token_counts, toxicity
+from . import decontamination, jaccard_join, packing, quality_rules, substring_dedup, token_counts, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_token_counts": token_counts.op4_token_counts,
+        "op5_jaccard_join": jaccard_join.op5_jaccard_join,
         "op6_decontamination": decontamination.op6_decontamination,
         "op7_packing": packing.op7_packing,
+        "op8_warc": warc.op8_warc,
+        "op9_substring_dedup": substring_dedup.op9_substring_dedup,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
 
