@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, packing, quality_rules, substring_dedup, token_counts, toxicity, warc
+from . import decontamination, jaccard_join, licenses, packing, pii, quality_rules, substring_dedup, token_counts, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op1_pii": pii.op1_pii,
+        "op2_licenses": licenses.op2_licenses,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_token_counts": token_counts.op4_token_counts,
         "op5_jaccard_join": jaccard_join.op5_jaccard_join,
