@@ -30,7 +30,7 @@ from ._common import mix, text_of, word_hashes, written
 DIM_BITS = 20
 TRAIN_ROWS = 12_000
 TRAIN_PLACES = 24_000_000
-EPOCHS = 3
+EPOCHS = 5
 FOLDS = 5
 
 
@@ -38,10 +38,10 @@ FOLDS = 5
 class Ftrl:
     """alpha, beta: rates of each coordinate; l1, l2: penalties."""
 
-    alpha: float = 0.08
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 1.2
-    l2: float = 1.0
+    l1: float = 15.0
+    l2: float = 0.01
 
 
 def features(text: str) -> np.ndarray:
@@ -99,8 +99,6 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tup
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
     """doc_id, held_out, score, predicted, n_evidence (weighted places found) for each row."""
     at, weight, bias = model
-    dense = np.zeros(1 << DIM_BITS, np.float32)
-    dense[at] = weight
     kept = docs.sparkSession.sparkContext.broadcast((at.astype(np.int32), weight.astype(np.float32)))  # at most DIM places
 
     def run(batches):
