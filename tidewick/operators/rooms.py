@@ -1,0 +1,121 @@
+"""Synthetic rooms: boxes, rays against them, beams sampled into targets, and truth for scoring."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geometry as G
+from ..operators.cfar import gap_clusters
+
+_VEC = "struct<x:double,y:double,z:double>"
+_BOX = f"struct<low:{_VEC},high:{_VEC},reflectivity:double,label:string>"
+ROOM = f"name string, suite string, shell {_BOX}, obstacles array<{_BOX}>"
+
+
+def box(low: tuple, high: tuple, reflectivity: float, label: str | None = None) -> tuple:
+    return (low, high, reflectivity, label)
+
+
+def empty(name: str, suite: str, width: float, depth: float, height: float, obstacles=(), reflectivity: float = 0.85) -> tuple:
+    half = (width / 2, depth / 2, height / 2)
+    return (name, suite, box(tuple(-h for h in half), half, reflectivity), list(obstacles))
+
+
+def pillar(label: str, x: float, y: float, size: float, height: float, reflectivity: float = 0.7) -> tuple:
+    return box((x - size / 2, y - size / 2, -height / 2), (x + size / 2, y + size / 2, height / 2), reflectivity, label)
+
+
+#: fixed values: the stock rooms
+ROOMS = [
+    empty("living-room", "holdout", 5, 6, 2.6, [pillar("sofa", -1.4, 1.2, 0.9, 0.8, 0.55), pillar("table", 0.2, 1.9, 0.6, 0.5, 0.65), pillar("shelf", 2.0, -0.6, 0.4, 1.8, 0.75)]),
+    empty("corridor", "holdout", 1.6, 12, 2.4),
+    empty("cluttered-office", "holdout", 4, 4.5, 2.5, [pillar("desk", -0.9, 0.9, 1.4, 0.75, 0.6), pillar("chair", -0.6, 0.2, 0.5, 0.9, 0.45), pillar("cabinet", 1.5, 1.4, 0.5, 1.6, 0.8), pillar("bin", 0.8, -0.7, 0.3, 0.4, 0.4), pillar("plant", -1.6, -1.3, 0.4, 1.2, 0.3)]),
+    empty("small-bathroom", "holdout", 2.2, 2.4, 2.4, [pillar("basin", 0.7, 0.8, 0.5, 0.9, 0.85)], 0.95),
+    empty("safety-soft-partition", "holdout", 3.6, 7, 2.6, [box((-1.8, 2.0, -1.3), (1.8, 2.1, 1.3), 0.08, "soft-partition")]),
+    empty("empty-hall", "anchor", 9, 10, 3.2),
+    empty("narrow-nook", "anchor", 1.4, 1.4, 2.2, [pillar("box", 0.35, 0.35, 0.3, 0.6, 0.7)]),
+]
+
+
+def rooms(spark: SparkSession, suite: str | None = None) -> DataFrame:
+    fl = lambda b: (tuple(map(float, b[0])), tuple(map(float, b[1])), float(b[2]), b[3])
+    rows = [(n, s, fl(shell), [fl(o) for o in obs]) for n, s, shell, obs in ROOMS if suite in (None, s)]
+    return spark.createDataFrame(rows, ROOM)
+
+
+def cast_rays(rays: DataFrame) -> DataFrame:
+    """The nearest surface each row's ray (origin, dir) meets in its room (shell, obstacles): distance, reflectivity, label.
+
+    The shell is left from inside, obstacles are entered from outside; an obstacle counts only if strictly nearer.
+    """
+    o, d = F.col("origin"), F.col("dir")
+    _, out = G.slab(o, d, F.col("shell.low"), F.col("shell.high"))
+
+    def hit(b):
+        enter, leave = G.slab(o, d, b["low"], b["high"])
+        ok = (enter > 0) & (enter <= leave) & ~G.inside(o, b["low"], b["high"])
+        return F.struct(F.when(ok, enter).otherwise(float("inf")).alias("distance"), b["reflectivity"].alias("reflectivity"), b["label"].alias("label"))
+
+    walls = F.struct(F.when(out > 0, out).otherwise(float("inf")).alias("distance"), F.col("shell.reflectivity").alias("reflectivity"), F.col("shell.label").alias("label"))
+    nearest = F.array_min(F.transform("obstacles", hit))
+    both = F.struct(walls.alias("w"), nearest.alias("n"))
+    return rays.withColumn("hit", G.let(both, lambda t: F.when(t["n"]["distance"] < t["w"]["distance"], t["n"]).otherwise(t["w"]))).where("hit.distance < double('inf')").select(*rays.columns, "hit.distance", F.col("hit.reflectivity").alias("hit_reflectivity"), F.col("hit.label").alias("hit_label"))
+
+
+def is_solid(p: Column, shell: Column, obstacles: Column) -> Column:
+    """Outside the shell's open interior, or in any obstacle."""
+    open_inside = F.lit(True)
+    for a in "xyz":
+        open_inside = open_inside & (p[a] > shell["low"][a]) & (p[a] < shell["high"][a])
+    return ~open_inside | F.exists(obstacles, lambda b: G.inside(p, b["low"], b["high"]))
+
+
+def near_surface(p: Column, shell: Column, obstacles: Column, tolerance: float) -> Column:
+    """Whether one of the six points a step away is of the other class."""
+    steps = F.array(*[F.array(*[F.lit(sign * tolerance if k == a else 0.0) for k in "xyz"]) for a in "xyz" for sign in (-1, 1)])
+    near = F.transform(steps, lambda s: G.vec(*(p[k] + s[i] for i, k in enumerate("xyz"))))
+    return F.exists(near, lambda q: is_solid(q, shell, obstacles) != is_solid(p, shell, obstacles))
+
+
+def sample_beams(poses: DataFrame, half_angle: float = math.radians(30), rays: int = 64, gap_m: float = 0.08, max_range_m: float = 6.0) -> DataFrame:
+    """Targets for each pose (session_id, ping, origin, beam, shell, obstacles): hits within range, clustered by gaps, with their share of the beam."""
+    cast = cast_rays(poses.withColumn("dir", F.explode(G.cone_rays(F.col("beam"), half_angle, rays)))).where(F.col("distance") <= max_range_m)
+    key = ["session_id", "ping"]
+    marked = gap_clusters(cast.select(*key, "distance", "hit_reflectivity"), "distance", key, ["distance", "hit_reflectivity"], gap_m)
+    t = marked.groupBy(*key, "cluster").agg(F.avg("distance").alias("range_m"), F.avg("hit_reflectivity").alias("r"), (F.count(F.lit(1)) / rays).alias("share"))
+    target = F.struct("range_m", (F.col("r") * F.col("share")).alias("reflectivity"), F.when(F.col("share") >= 0.25, 1.0).otherwise(2.0).alias("spreading"))
+    return t.groupBy(*key).agg(F.array_sort(F.collect_list(target)).alias("targets"))
+
+
+def raster(spark: SparkSession, az_steps: int, el_steps: int, el_range_deg: float = 60.0) -> DataFrame:
+    """A serpentine grid of poses (ping, beam); the last azimuth equals the first and is left out."""
+    rows = spark.range(az_steps * el_steps).select(F.col("id").alias("ping"))
+    e = F.floor(F.col("ping") / az_steps)
+    a = F.col("ping") % az_steps
+    a = F.when(e % 2 == 1, az_steps - 1 - a).otherwise(a)
+    el = F.lit(0.0) if el_steps == 1 else -el_range_deg / 2 + e * (el_range_deg / (el_steps - 1))
+    return rows.select("ping", G.from_spherical(F.radians(-180 + a * (360 / az_steps)), F.radians(el)).alias("beam"))
+
+
+def score_map(voxels: DataFrame, by: list[str], known_odds: float = math.log(0.7 / 0.3)) -> DataFrame:
+    """Confusion of a map against truth; rows have log_odds, solid, surface (dilated truth)."""
+    lo = F.col("log_odds")
+    occ, free = lo >= known_odds, lo <= -known_odds
+    n = {k: F.count_if(c) for k, c in {"free_both": free & ~F.col("solid"), "free_either": free | ~F.col("solid"), "occ": occ, "occ_found": occ & F.col("surface"), "surface_found": F.col("solid") & F.col("surface") & occ, "surface": F.col("solid") & F.col("surface"), "false_free": free & F.col("solid"), "free": free, "open": ~occ & ~free, "all": F.lit(True)}.items()}
+    div = lambda a, b: F.coalesce(F.try_divide(n[a], n[b]), F.lit(0.0))
+    p, r = div("occ_found", "occ"), div("surface_found", "surface")
+    return voxels.groupBy(*by).agg(F.coalesce(F.try_divide(n["free_both"], n["free_either"]), F.lit(1.0)).alias("free_iou"), p.alias("precision"), r.alias("recall"), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("f1"), div("false_free", "free").alias("false_free"), div("open", "all").alias("uncommitted"))
+
+
+def poses_in(rooms: DataFrame, poses: DataFrame) -> DataFrame:
+    """Every pose in every room, from the room's centre: the rooms are the stated ones."""
+    zero = G.vec(F.lit(0.0), F.lit(0.0), F.lit(0.0))
+    return poses.join(F.broadcast(rooms)).withColumnRenamed("name", "session_id").withColumn("origin", zero)
+
+
+def seeds(first: int, ping: Column) -> Column:
+    """The seed of each ping, modulo 2^32."""
+    return F.pmod(F.lit(first) + ping * 2654435761, F.lit(1 << 32))
