@@ -12,7 +12,7 @@ WINDOWS = {
     "hamming": (-42.7, 1.5),
     "blackman": (-58.1, 2.0),
     "blackman-harris": (-92.0, 2.66),
-    "tukey": (-22.0, 1.35),
+    "tukey": (-21.0, 1.35),
 }
 PING_RATE_HZ = 15.0
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -73,9 +74,11 @@ LADDERS = {
         dict(f0=17_500, f1=21_500, duration_s=0.006, tx_window="hann", tukey_alpha=1.0, amplitude=0.6, rx_taper="rect"),
     ],
     "detector": [
-        dict(cfar_kind="ca", guard_lobes=1.02, train_ratio=1.0, cfar_pfa=1e-2, gap_lobes=0.25, cfar_min_prominence_db=1.0, min_snr_db=2.0),
-        dict(cfar_kind="ca", guard_lobes=1.2, train_ratio=1.5, cfar_pfa=1e-3, gap_lobes=0.6, cfar_min_prominence_db=3.0, min_snr_db=4.0),
-        dict(cfar_kind="ca", guard_lobes=1.5, train_ratio=2.0, cfar_pfa=1e-4, gap_lobes=1.0, cfar_min_prominence_db=6.0, min_snr_db=6.0),
+        dict(cfar_kind="ca", guard_lobes=1.02, train_ratio=1.0, cfar_pfa=1e-2, cfar_os_rank=0.75, gap_lobes=0.25, cfar_min_prominence_db=1.0, min_snr_db=2.0),
+        dict(cfar_kind="ca", guard_lobes=1.2, train_ratio=1.5, cfar_pfa=1e-3, cfar_os_rank=0.75, gap_lobes=0.6, cfar_min_prominence_db=4.0, min_snr_db=4.0),
+        dict(cfar_kind="ca", guard_lobes=1.5, train_ratio=2.0, cfar_pfa=1e-4, cfar_os_rank=0.75, gap_lobes=1.0, cfar_min_prominence_db=6.0, min_snr_db=6.0),
+        dict(cfar_kind="os", guard_lobes=1.5, train_ratio=2.0, cfar_pfa=1e-4, cfar_os_rank=0.6, gap_lobes=1.0, cfar_min_prominence_db=6.0, min_snr_db=6.0),
+        dict(cfar_kind="os", guard_lobes=2.2, train_ratio=2.0, cfar_pfa=1e-5, cfar_os_rank=0.5, gap_lobes=1.2, cfar_min_prominence_db=8.0, min_snr_db=8.0),
     ],
     "mapping": [
         dict(beam_half_angle_deg=60.0, hit=0.3, miss=0.1, occupied=0.25, free_margin_m=0.02, snr_reference_db=40.0),
@@ -91,10 +94,8 @@ def resolve(policy: dict[str, int]) -> tuple[Sonar, Grid]:
     """Settings for a policy, which names a rung of each lever; detector windows are in main lobes."""
     w, d, m = (LADDERS[k][policy[k]] for k in ("waveform", "detector", "mapping"))
     s = replace(Sonar(), **w)
-    import math
-
     guard = max(4, math.ceil(d["guard_lobes"] * s.mainlobe))
-    s = replace(s, cfar_guard=guard, cfar_train=max(16, math.ceil(d["train_ratio"] * guard)), cfar_merge_gap=max(2, math.ceil(d["gap_lobes"] * s.mainlobe)), **{k: d[k] for k in ("cfar_kind", "cfar_pfa", "cfar_min_prominence_db", "min_snr_db")})
+    s = replace(s, cfar_guard=guard, cfar_train=max(16, math.ceil(d["train_ratio"] * guard)), cfar_merge_gap=max(2, math.ceil(d["gap_lobes"] * s.mainlobe)), **{k: d[k] for k in ("cfar_kind", "cfar_pfa", "cfar_os_rank", "cfar_min_prominence_db", "min_snr_db")})
     return s, replace(Grid(), **m)
 
 

@@ -1,0 +1,111 @@
+"""Operations on JSON requests: version, design, chirp, simulate, process, scenes. An error is an answer, never an exception."""
+
+from __future__ import annotations
+
+import dataclasses
+import json
+import math
+from typing import Any
+
+import numpy as np
+
+from ..config import WINDOWS, Sonar
+from ..operators import kernels as K
+from ..operators.policy import VERDICTS
+
+#: fixed values: the stock one-dimensional scenes, (range_m, reflectivity, spreading)
+SCENES = {
+    "holdout": {
+        "corridor": [(1.5, 0.9, 1.0), (6.0, 0.8, 1.0)],
+        "small-room": [(2.2, 0.85, 1.0), (3.1, 0.85, 1.0), (0.9, 0.6, 2.0)],
+        "cluttered-desk": [(0.45, 0.5, 2.0), (0.62, 0.35, 2.0), (1.1, 0.4, 2.0), (2.6, 0.8, 1.0)],
+        "far-wall-only": [(5.2, 0.75, 1.0)],
+    },
+    "anchor": {
+        "anchor-empty": [],
+        "anchor-two-close": [(1.80, 0.6, 2.0), (1.95, 0.55, 2.0)],
+        "anchor-deep-hall": [(3.0, 0.5, 1.0), (7.5, 0.85, 1.0)],
+    },
+}
+
+
+def sonar(v: dict[str, Any]) -> Sonar:
+    """A full setting from a partial one: detector windows follow from the waveform before overrides apply."""
+    names = {f.name for f in dataclasses.fields(Sonar)}
+    given = {k: x for k, x in v.items() if k in names and x is not None}
+    wave = {k: x for k, x in given.items() if not k.startswith("cfar")}
+    return dataclasses.replace(Sonar(**wave).sized(), **{k: x for k, x in given.items() if k.startswith("cfar")})
+
+
+def samples(v: Any) -> np.ndarray:
+    """A record from a list; what isn't a number is 0."""
+    return np.array([x if isinstance(x, (int, float)) and not isinstance(x, bool) else 0.0 for x in (v or [])], np.float32)
+
+
+def targets(v: Any) -> list[dict]:
+    return [{"range_m": t.get("range_m", 1.0), "reflectivity": t.get("reflectivity", 0.8), "spreading": t.get("spreading", 2.0)} for t in (v or [])]
+
+
+def design(s: Sonar, pri_s: float) -> dict:
+    bt = s.bandwidth * s.duration_s
+    z = s.sized()
+    return {
+        "speed_of_sound": s.c,
+        "bandwidth_hz": s.bandwidth,
+        "time_bandwidth": bt,
+        "compression_gain_db": 10 * math.log10(bt) if bt > 1 else 0.0,
+        "range_resolution_m": s.c / (2 * max(1.0, s.bandwidth)) * s.widening,
+        "blind_range_m": s.c * s.duration_s / 2,
+        "max_unambiguous_range_m": s.c * max(0.0, pri_s) / 2,
+        "range_step_m": s.range_step,
+        "sidelobe_db": min(WINDOWS[s.rx_taper][0], WINDOWS[s.tx_window][0]),
+        "mainlobe_samples": s.mainlobe,
+        "guard": z.cfar_guard,
+        "train": z.cfar_train,
+        "merge_gap": z.cfar_merge_gap,
+        "warning": s.problem(),
+    }
+
+
+def _profile(p: dict, envelope: bool) -> dict:
+    return {k: v for k, v in p.items() if k not in ("envelope", "iq")} | ({"envelope": p["envelope"].tolist()} if envelope else {})
+
+
+def dispatch(v: dict[str, Any]) -> dict:
+    s = sonar(v.get("config", {}))
+    op = v.get("op")
+    if op == "version":
+        return {"version": 1, "verdicts": VERDICTS}
+    if op == "design":
+        return design(s, float(v.get("pri_s", 1 / 15)))
+    if op == "chirp":
+        return {"samples": K.pulse(s, np.arange(s.pulse_samples) / s.fs).tolist()}
+    if op == "scenes":
+        return {k: [{"name": n, "targets": [dict(zip(("range_m", "reflectivity", "spreading"), t)) for t in ts]} for n, ts in x.items()] for k, x in SCENES.items()}
+    scene = v.get("scene", {})
+    length = int(min(1 << 20, max(64, scene.get("record_len", 24_000))))
+    if op == "simulate":
+        return {"samples": K.render(targets(v.get("targets")), s, length, K.json_seed(scene.get("seed", 0x5EED1234)), scene.get("noise_rms", 0.002), int(scene.get("latency_samples", 0))).tolist()}
+    if op == "process":
+        if problem := s.problem():
+            return {"error": problem}
+        x = samples(v.get("samples"))
+        return _profile(K.process(x, s, max(64, len(x))), bool(v.get("envelope")))
+    return {"error": f"unknown op {op!r}"}
+
+
+def eval_json(request: str) -> str:
+    """Keys sorted; numbers that aren't finite become 0."""
+
+    def clean(x):
+        if isinstance(x, float):
+            return x if math.isfinite(x) else 0
+        if isinstance(x, dict):
+            return {k: clean(y) for k, y in x.items()}
+        return [clean(y) for y in x] if isinstance(x, list) else x.item() if isinstance(x, np.generic) else x
+
+    try:
+        out = dispatch(json.loads(request))
+    except Exception as e:  # whatever a request holds, the answer is JSON
+        out = {"error": f"{type(e).__name__}: {e}"}
+    return json.dumps(clean(out), sort_keys=True)

@@ -13,9 +13,9 @@ from pyspark.sql.window import Window
 from ..functions.numbers import finite, is_epoch, is_index, significant, valid_id
 from ..operators.policy import same_keys
 
-MOST_BYTES, MOST_RECORDS, MOST_PINGS, MOST_BINS, MOST_SAMPLES, MOST_RANGE_M, MOST_SKEW_S = 64 << 20, 4096, 4096, 4096, 1 << 20, 50.0, 1.0
-CONSENT_WINDOW_S = 7 * 86_400.0
-TYPE, SCOPE, PRIVACY, DOMAIN = "presence_pair", "presence_corpus", "P3", "arkit_uptime"
+MOST_BYTES, MOST_RECORDS, MOST_PINGS, MOST_BINS, MOST_SAMPLES, MOST_RANGE_M, MOST_SKEW_S = 64 << 20, 4096, 4096, 1280, 262_144, 50.0, 1.0
+CONSENT_WINDOW_S, MOST_TEACHER_SAMPLES = 86_400.0, 4_194_304
+TYPE, SCOPE, PRIVACY, DOMAIN = "presence_pair", "presence_corpus", "P4", "arkit_uptime"
 BLOCKS = {
     "consent": "receipt_id string, subject_ref string, scope string, privacy_max string, granted_unix_s double, expires_unix_s double, withdrawal_ref string",
     "provenance": "schema string, device_id string, sequence long, source string, synthetic boolean",
@@ -61,14 +61,14 @@ def first_error() -> Column:
         ("invalid", valid_id(c(f"{p}.device_id")) & is_index(c(f"{p}.sequence")) & c(f"{p}.source").isin("simulated", "device_capture") & c(f"{p}.synthetic").isNotNull()),
         ("synthetic_mismatch", c(f"{p}.synthetic") == (c(f"{p}.source") == "simulated")),
         ("invalid", valid_id(c(f"{m}.calibration_id")) & (F.size(f"{m}.beam") == 3) & every(f"{m}.beam") & (beam >= 1e-6)),
-        ("invalid", finite(c(f"{m}.prf_hz")) & c(f"{m}.prf_hz").between(0.5, 200) & finite(c(f"{m}.lambda_m")) & (c(f"{m}.lambda_m") > 0) & (c(f"{m}.lambda_m") <= 1)),
+        ("invalid", finite(c(f"{m}.prf_hz")) & c(f"{m}.prf_hz").between(1, 200) & finite(c(f"{m}.lambda_m")) & (c(f"{m}.lambda_m") > 0) & (c(f"{m}.lambda_m") <= 1)),
         ("invalid", c(f"{m}.pings").between(1, MOST_PINGS) & c(f"{m}.bins").between(1, MOST_BINS) & (c(f"{m}.pings") * c(f"{m}.bins") <= MOST_SAMPLES)),
         ("invalid", finite(c(f"{m}.start_range_m")) & (c(f"{m}.start_range_m") >= 0) & finite(c(f"{m}.range_step_m")) & (c(f"{m}.range_step_m") > 0) & (end <= MOST_RANGE_M)),
         ("invalid", (F.size(f"{m}.iq") == 2 * c(f"{m}.pings") * c(f"{m}.bins")) & every(f"{m}.iq")),
         ("invalid", finite(c(f"{m}.noise_floor")) & (c(f"{m}.noise_floor") >= 0) & c(f"{m}.saturated").isNotNull()),
         ("schema_mismatch", c(f"{t}.frame_type") == "lidar_depth"),
         ("invalid", valid_id(c(f"{t}.sensor")) & is_index(c(f"{t}.sequence")) & finite(c(f"{t}.range_m")) & (c(f"{t}.range_m") > 0) & c(f"{t}.range_m").between(c(f"{m}.start_range_m") - 1e-6, end + 1e-6)),
-        ("invalid", c(f"{t}.range_confidence").between(0, 2) & (c(f"{t}.sample_count") >= 1) & c(f"{t}.body_in_scene").isNotNull()),
+        ("invalid", c(f"{t}.range_confidence").between(0, 2) & c(f"{t}.sample_count").between(1, MOST_TEACHER_SAMPLES) & c(f"{t}.body_in_scene").isNotNull()),
         ("invalid", ~(F.coalesce(c(f"{t}.body_on_beam"), F.lit(False)) & ~c(f"{t}.body_in_scene"))),
         ("invalid", (F.size(pose) == 16) & every(pose) & (F.abs(F.try_element_at(pose, F.lit(4))) <= 1e-3) & (F.abs(F.try_element_at(pose, F.lit(8))) <= 1e-3) & (F.abs(F.try_element_at(pose, F.lit(12))) <= 1e-3) & (F.abs(F.try_element_at(pose, F.lit(16)) - 1) <= 1e-3)),
         ("invalid", (c(f"{t}.intrinsics.fx") > 0) & (c(f"{t}.intrinsics.fy") > 0) & finite(c(f"{t}.intrinsics.cx")) & finite(c(f"{t}.intrinsics.cy")) & (c(f"{t}.intrinsics.image_width") >= 1) & (c(f"{t}.intrinsics.image_height") >= 1)),

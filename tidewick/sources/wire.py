@@ -14,7 +14,6 @@ from pyspark.sql.window import Window
 
 from ..functions import geometry as G
 from ..functions.numbers import clamp01, finite, is_epoch, non_negative, round_up_half, valid_id
-from ..operators.occupancy import usable
 
 MOST_BYTES, MOST_LINES, MOST_BINS, MOST_DETECTIONS, MOST_RANGE_M = 262_144, 100_000, 4096, 64, 50.0
 SCHEMA = "timestamp double, source string, device_id string, beam array<double>, start_range_m double, range_step_m double, profile array<double>, detections array<struct<range_m:double,snr_db:double,width_m:double>>, noise_floor double, blast_amplitude double, saturated boolean"
@@ -64,18 +63,21 @@ def max_pool(values: Column, bins: int) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.greatest(F.lit(0.0), F.array_max(part(i)).cast("double")))).otherwise(F.array().cast("array<double>"))
 
 
-def encode(pings: DataFrame, bins: int = 256, low_m: float = 0.3, high_m: float = 5.0, decimals: int = 5) -> DataFrame:
-    """Lines from processed pings (with envelope, beam, timestamp, device_id, source): the window's envelope pooled, usable detections cut to the limit before they are sorted."""
-    lo = F.greatest(F.lit(0), F.ceil((low_m - F.col("start_range_m")) / F.col("range_step_m"))).cast("int")
-    hi = F.least(F.size("envelope"), F.ceil((high_m - F.col("start_range_m")) / F.col("range_step_m")).cast("int"))
-    part = F.slice("envelope", lo + 1, F.greatest(F.lit(0), hi - lo))
-    pooled = max_pool(part, bins)
-    step = F.col("range_step_m") * F.greatest(F.lit(0), hi - lo) / F.greatest(F.lit(1), F.size(pooled))
-    ok = F.filter(usable(F.col("detections"), F.col("saturated")), lambda d: d["range_m"].between(low_m, high_m))
-    rounded = F.transform(F.slice(ok, 1, MOST_DETECTIONS), lambda d: F.struct(round_up_half(d["range_m"], 4).alias("range_m"), round_up_half(d["snr_db"], 3).alias("snr_db"), round_up_half(non_negative(d["width_m"]), 4).alias("width_m")))
+def encode(pings: DataFrame, bins: int = 256, low_m: float = 0.3, high_m: float = 5.0) -> DataFrame:
+    """Lines from processed pings (with envelope, beam, timestamp, device_id, source).
+
+    Each of the window's equal range bins takes the envelope's maximum in it; detections in the window are
+    cut to the limit before they are sorted.
+    """
+    step = (high_m - low_m) / bins
+    first = lambda b: F.greatest(F.lit(0), F.least(F.size("envelope"), F.ceil((low_m + b * step - F.col("start_range_m")) / F.col("range_step_m")).cast("int")))
+    held = lambda x: non_negative(x.cast("double"))
+    pooled = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.coalesce(F.array_max(F.transform(F.slice("envelope", first(b) + 1, F.greatest(F.lit(0), first(b + 1) - first(b))), held)), F.lit(0.0)))
+    ok = F.filter("detections", lambda d: finite(d["range_m"]) & finite(d["snr_db"]) & d["range_m"].between(low_m, high_m))
+    near = F.transform(F.slice(ok, 1, MOST_DETECTIONS), lambda d: F.struct(round_up_half(d["range_m"], 6).alias("range_m"), round_up_half(d["snr_db"], 4).alias("snr_db"), round_up_half(non_negative(d["width_m"]), 6).alias("width_m")))
     n = G.norm(F.col("beam"))
     unit = F.when(n > 0, F.array(*[round_up_half(F.col("beam")[a] / n, 7) for a in "xyz"])).otherwise(F.raise_error(F.lit("beam has no length")).cast("array<double>"))
-    return pings.select("timestamp", "source", "device_id", unit.alias("beam"), round_up_half(F.col("start_range_m") + lo * F.col("range_step_m"), 6).alias("start_range_m"), round_up_half(step, 8).alias("range_step_m"), F.transform(pooled, lambda x: round_up_half(x, decimals)).alias("profile"), F.array_sort(rounded).alias("detections"), round_up_half(non_negative(F.col("noise_floor")), 8).alias("noise_floor"), round_up_half(non_negative(F.col("blast_amplitude")), 6).alias("blast_amplitude"), "saturated")
+    return pings.select("timestamp", "source", "device_id", unit.alias("beam"), round_up_half(F.lit(low_m), 6).alias("start_range_m"), round_up_half(F.lit(step), 9).alias("range_step_m"), F.transform(pooled, lambda x: round_up_half(x, 7)).alias("profile"), F.array_sort(near).alias("detections"), round_up_half(non_negative(F.col("noise_floor")), 9).alias("noise_floor"), round_up_half(non_negative(F.col("blast_amplitude")), 7).alias("blast_amplitude"), "saturated")
 
 
 def to_lines(lines: DataFrame) -> DataFrame:
