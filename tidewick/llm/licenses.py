@@ -15,6 +15,7 @@ give an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import functools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,12 @@ def band_rows(similarity: float) -> int:
     return max(fits, default=1)
 
 
+def least_similarity(template: int, window: int) -> float:
+    """The least similarity of a window of so many shingles that has enough of a template's."""
+    enough = math.ceil(CONTAINMENT * template)
+    return enough / (window + template - enough)
+
+
 def _signatures(shingles: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """HASHES rows of minima over [start, end) of the shingles."""
     low, high = shingles.astype(np.uint32), (shingles >> np.uint64(32)).astype(np.uint32)
@@ -75,8 +82,7 @@ class Group:
         self.span = self.size + self.step - self.k + 1  # shingles in a window
         self.names = [n for n, _ in templates]
         self.sets = [np.unique(shingle_hashes(w, self.k)) for _, w in templates]
-        least = min(CONTAINMENT * len(s) / (self.span + (1 - CONTAINMENT) * len(s)) for s in self.sets)
-        self.rows = band_rows(least)
+        self.rows = band_rows(min(least_similarity(len(s), self.span) for s in self.sets))
         sig = np.concatenate([_signatures(s, np.array([0]), np.array([len(s)])) for s in self.sets], axis=1)
         self.bands = []
         for v in self.folded(sig):
