@@ -5,16 +5,17 @@ would write many times the input, so suffixes are chosen by content first, witho
 every window of SPAN bytes, the leftmost of its smallest ``GRAM``-byte grams (by hash) is its anchor, so
 that equal windows have anchors at equal places. All windows of one anchor form a run.
 
-Anchors are the suffixes of the first array: sampled splitters range-partition them by their leading
-bytes, each bucket is sorted locally, column after column (leading bytes, gram, the whole context of the
-run), and neighbours are compared, also across the boundaries of buckets. An anchor whose gram no other
-has is done; one whose whole context another has goes with all its windows. The rest lie where copied
-passages begin and end: only their windows become suffixes of the second array, which is partitioned,
-sorted and compared in the same way, by leading bytes and the hash of all SPAN bytes.
+Anchors are the suffixes of the array: sampled splitters range-partition them by their leading bytes,
+each bucket is sorted locally, column after column (leading bytes, gram, whole context of the run), and
+neighbours are compared, also across the boundaries of buckets. An anchor whose gram no other has is
+done; one whose whole context another has goes with all its windows.
 
-Equality of grams, contexts and windows is that of 64-bit polynomial hashes, taken twice with different
-bases for windows and contexts (128 bits). A hot passage doesn't make a hot bucket: the range key ends in
-a salt, so a run of equal suffixes may cross buckets, which the comparison of boundaries mends.
+The rest lie where copied passages begin and end. Only they bring their bytes along: they are partitioned
+by leading bytes again, and a bucket compares all their windows, place by place. A gram at the end of a
+bucket may go on in the next one, as a salt in the range key cuts hot grams; the windows of such grams are
+compared by an aggregation over all buckets.
+
+Equality is that of leading bytes and 64-bit polynomial hashes of gram, context and window.
 
 Defined cases: null and empty texts have no bytes and nothing removed; texts shorter than SPAN lose
 nothing; repeated rows are copies of each other (whole texts of SPAN bytes or more go); an empty table
@@ -24,6 +25,7 @@ gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -31,32 +33,31 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import free_name, mix, odd_numbers, partitions, row_key, text_of, written
+from ._common import mix, odd_numbers, partitions, row_key, text_of, written
 
 SPAN = 200
 GRAM = 32
 #: bytes of a text that are handled at once; stretches overlap by SPAN
 STRETCH = 1 << 19
+#: rows whose windows are compared at once
+ROWS_AT_ONCE = 4000
 
 _VALUE = odd_numbers(256, 31)
-_BASES = [int(x) for x in odd_numbers(2, 32)]
+_BASE = int(odd_numbers(1, 32)[0])
 
 
 class Hashes:
     """Polynomial hashes mod 2^64 of any stretch of a byte array, in constant time each."""
 
-    powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    powers: tuple[np.ndarray, np.ndarray] | None = None
 
-    def __init__(self, b: np.ndarray, base: int):
+    def __init__(self, b: np.ndarray):
         n = len(b)
-        if len(self.powers.get(base, ((),))[0]) <= n:
-            size = max(n + 1, 1 << 12)
-            with np.errstate(over="ignore"):
-                up, down = (np.full(size + 1, x, np.uint64) for x in (base, pow(base, -1, 1 << 64)))
-                up[0] = down[0] = 1
-                up, down = np.cumprod(up), np.cumprod(down)
-            self.powers[base] = up, down
-        up, self.down = self.powers[base]
+        if Hashes.powers is None or len(Hashes.powers[0]) <= n:
+            up, down = (np.full(max(n + 1, 1 << 12), x, np.uint64) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+            up[0] = down[0] = 1
+            Hashes.powers = np.cumprod(up), np.cumprod(down)
+        up, self.down = Hashes.powers
         self.sums = np.zeros(n + 1, np.uint64)
         with np.errstate(over="ignore"):
             np.cumsum(_VALUE[b] * up[:n], out=self.sums[1:])
@@ -67,9 +68,8 @@ class Hashes:
 
 
 def _leads(b: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The 8 bytes from each place on, as a number that sorts as they do (zeros beyond the end)."""
-    padded = np.concatenate([b, np.zeros(8, np.uint8)])
-    return np.ascontiguousarray(padded[at[:, None] + np.arange(8)]).view(">u8").ravel().astype(np.uint64)
+    """The 4 bytes from each place on, as a number that sorts as they do. A gram is longer than that."""
+    return np.ascontiguousarray(b[at[:, None] + np.arange(4)]).view(">u4").ravel().astype(np.int64)
 
 
 def stretches(n: int):
@@ -79,8 +79,8 @@ def stretches(n: int):
 
 
 def anchors(b: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of one stretch: place, first and last window of each anchor, its gram's hash and two hashes of its context."""
-    h = Hashes(b, _BASES[0])
+    """Of one stretch: place, first and last window of each anchor, its gram's hash and its context's."""
+    h = Hashes(b)
     grams = np.arange(len(b) - GRAM + 1)
     g = h.of(grams, grams + GRAM)
     # the hash's upper bits, then the place: the minimum is the leftmost of the smallest
@@ -97,9 +97,7 @@ def anchors(b: np.ndarray) -> tuple[np.ndarray, ...]:
     last = np.append(first[1:], len(place)) - 1
     at = place[first]
     shift = mix(((at - first) * 1000 + (last - first)).astype(np.uint64))
-    with np.errstate(over="ignore"):
-        contexts = [mix(x.of(first, last + SPAN) ^ shift) for x in (h, Hashes(b, _BASES[1]))]
-    return at, first, last, g[at], *contexts
+    return at, first, last, g[at], mix(h.of(first, last + SPAN) ^ shift)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -113,12 +111,12 @@ def _anchor_rows(batches):
             raw = np.frombuffer(text.encode(), np.uint8)
             for lo, hi in stretches(len(raw)):
                 b = raw[lo:hi]
-                at, first, last, gram, c1, c2 = anchors(b)
-                for p, x in zip(parts, (np.full(len(at), key), first + lo, last + lo, _leads(b, at), gram, c1, c2)):
+                at, first, last, gram, context = anchors(b)
+                for p, x in zip(parts, (np.full(len(at), key), at + lo, at - first, last - first, _leads(b, at), gram, context)):
                     p.append(x)
-        kinds = (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64, np.uint64)
+        kinds = (np.int64, np.int64, np.int16, np.int16, np.int64, np.uint64, np.uint64)
         cols = [np.concatenate(p).astype(k) if p else np.empty(0, k) for p, k in zip(parts, kinds)]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, cols[:3]), *map(_signed, cols[3:])], names=["key", "first", "last", "lead", "gram", "c1", "c2"])
+        yield pa.RecordBatch.from_arrays([*map(pa.array, cols[:5]), *map(_signed, cols[5:])], names=["key", "at", "before", "more", "lead", "gram", "context"])
 
 
 def _same(t: pa.Table, cols: list[str]) -> np.ndarray:
@@ -168,16 +166,14 @@ def _sorted_bucket(order: list[str], levels: dict[str, list[str]]):
 def neighbours(rows: DataFrame, order: list[str], levels: dict[str, list[str]]) -> DataFrame:
     """Rows with, for each level, whether another row has equal columns; rows without any may be left out.
 
-    ``rows`` must be written already: the range partitioning samples it for its splitters. Each level's
-    columns must be a prefix of ``order``, so that equal rows are neighbours.
+    Each level's columns must be a prefix of ``order``, so that equal rows are neighbours. Range
+    partitioning computes ``rows`` twice, for its splitters and for the shuffle, which is less than
+    writing them.
     """
-    many = 2 * partitions(rows.sparkSession)
-    salt = F.xxhash64(*rows.columns)
     schema = rows.sparkSession.createDataFrame([], rows.schema).select("*", *[F.lit(True).alias(x) for x in (*levels, "witness")], F.lit(0).alias("role"), F.lit(0).alias("bucket")).schema
-    flagged = written(rows.repartitionByRange(many, *order, salt).mapInArrow(_sorted_bucket(order, levels), schema))
+    flagged = written(rows.repartitionByRange(2 * partitions(rows.sparkSession), *order, _salt(rows)).mapInArrow(_sorted_bucket(order, levels), schema))
     # across boundaries: the last row of a bucket and the first of the next that has any; two rows of each bucket
     edges = flagged.where("role > 0").select("bucket", "role", *order).collect()
-    edges = sorted(edges, key=lambda r: (r.bucket, r.role))
     firsts, lasts = {r.bucket: r for r in edges if r.role & 1}, {r.bucket: r for r in edges if r.role & 2}
     buckets, mend = sorted(firsts), {name: set() for name in levels}
     for a, b in zip(buckets, buckets[1:]):
@@ -186,42 +182,100 @@ def neighbours(rows: DataFrame, order: list[str], levels: dict[str, list[str]])
                 mend[name] |= {(a, "last"), (b, "first")}
     out = flagged
     for name in levels:
-        ends = [F.col("bucket").isin([k for k, w in mend[name] if w == which]) & (F.col("role").bitwiseAND(bit) > 0) for which, bit in (("first", 1), ("last", 2)) if any(w == which for _, w in mend[name])]
-        for e in ends:
-            out = out.withColumn(name, F.col(name) | e)
+        for which, bit in (("first", 1), ("last", 2)):
+            if numbers := [k for k, w in mend[name] if w == which]:
+                out = out.withColumn(name, F.col(name) | F.col("bucket").isin(numbers) & (F.col("role").bitwiseAND(bit) > 0))
     return out.drop("role", "bucket")
 
 
-def _window_rows(batches):
+def _salt(rows: DataFrame):
+    return F.xxhash64("key", "at")
+
+
+def _context_rows(batches):
+    """For each anchor that is left, the bytes of its windows."""
+    names = ["key", "at", "before", "more", "lead", "gram", "bytes"]
     for batch in batches:
-        parts = [[] for _ in range(5)]
-        for key, text, runs in zip(batch.column(0).to_pylist(), text_of(batch.column(1)), batch.column(2).to_pylist()):
-            raw = np.frombuffer(text.encode(), np.uint8)
-            want = np.unique(np.concatenate([np.arange(r["first"], r["last"] + 1) for r in runs]))
-            for lo, hi in stretches(len(raw)):
-                own = want[(want >= lo) & (want <= hi - SPAN)] - lo
-                if len(own):
-                    b = raw[lo:hi]
-                    w = [Hashes(b, x).of(own, own + SPAN) for x in _BASES]
-                    for p, x in zip(parts, (np.full(len(own), key), own + lo, _leads(b, own), *w)):
-                        p.append(x)
-        kinds = (np.int64, np.int64, np.uint64, np.uint64, np.uint64)
-        cols = [np.concatenate(p).astype(k) if p else np.empty(0, k) for p, k in zip(parts, kinds)]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, cols[:2]), *map(_signed, cols[2:])], names=["key", "start", "lead", "w1", "w2"])
+        rows = [[] for _ in names]
+        for key, packed, runs in zip(*(c.to_pylist() for c in batch.columns)):
+            raw = zlib.decompress(packed)
+            for r in runs:
+                first = r["at"] - r["before"]
+                for x, v in zip(rows, (key, r["at"], r["before"], r["more"], r["lead"], r["gram"], raw[first : first + r["more"] + SPAN])):
+                    x.append(v)
+        kinds = (pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.int64(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds)], names=names)
+
+
+def _packed(batches):
+    """Texts travel compressed."""
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([zlib.compress(t.encode(), 1) for t in text_of(b.column(1))], pa.binary())], names=["key", "packed"])
+
+
+def _window_hashes(at: np.ndarray, before: np.ndarray, more: np.ndarray, gram: np.ndarray, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, window's start, hash) of every window of every row; the hash covers gram, place and bytes."""
+    n = more.astype(np.int64) + 1
+    flat = np.frombuffer(b"".join(raw), np.uint8)
+    sizes = n + SPAN - 1
+    begin = np.cumsum(sizes) - sizes
+    row = np.repeat(np.arange(len(n)), n)
+    step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    s = begin[row] + step
+    place = before.astype(np.int64)[row] - step
+    with np.errstate(over="ignore"):
+        h = mix(Hashes(flat).of(s, s + SPAN) ^ mix(gram.view(np.uint64)[row] + place.astype(np.uint64)))
+    return row, at[row] - place, h
+
+
+def _compare_windows(batches):
+    """One bucket: stretches of windows that occur twice, and, with their hash, all windows of the bucket's first and last gram."""
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
+        return
+    t = pa.Table.from_batches(batches).combine_chunks()
+    t = t.take(pa.array(np.lexsort([t.column(c).to_numpy() for c in ("gram", "lead")])))
+    gram = t.column("gram").to_numpy()
+    starts = np.append(np.flatnonzero(np.append(True, gram[1:] != gram[:-1])), len(gram))
+    lo = 0
+    while lo < len(starts) - 1:  # whole grams at a time, of so many rows that their windows fit
+        hi = min(len(starts) - 1, max(lo + 1, int(np.searchsorted(starts, starts[lo] + ROWS_AT_ONCE, "right")) - 1))
+        part = t.slice(int(starts[lo]), int(starts[hi] - starts[lo]))
+        g = part.column("gram").to_numpy()
+        row, start, h = _window_hashes(part.column("at").to_numpy(), part.column("before").to_numpy(), part.column("more").to_numpy(), g, part.column("bytes").to_pylist())
+        opened = (g == gram[0]) | (g == gram[-1])
+        order = np.argsort(h, kind="stable")
+        same = np.append(h[order][1:] == h[order][:-1], False)
+        twice = np.zeros(len(h), bool)
+        twice[order] = same | np.append(False, same[:-1])
+        key = part.column("key").to_numpy()
+        # windows that occur twice, as stretches of bytes: a row's windows lie one after the other
+        join = np.append(False, twice[1:] & twice[:-1] & (row[1:] == row[:-1]))
+        first = np.flatnonzero(twice & ~join)
+        last = np.flatnonzero(twice & ~np.append(join[1:], False))
+        free = np.flatnonzero(opened[row])
+        yield pa.RecordBatch.from_arrays([pa.array(key[row[first]]), pa.array(start[first]), pa.array(start[last] + SPAN), pa.nulls(len(first), pa.int64())], names=["key", "s", "e", "hash"])
+        yield pa.RecordBatch.from_arrays([pa.array(key[row[free]]), pa.array(start[free]), pa.array(start[free] + SPAN), _signed(h[free])], names=["key", "s", "e", "hash"])
+        lo = hi
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(key, spans): for each text with any, the stretches of bytes [first, end) that repeated windows cover, not yet merged; key is row_key(doc_id, text)."""
+    """(key, spans): for each text with any, the stretches of bytes [s, e) that repeated windows cover, not yet merged; key is row_key(doc_id, text)."""
     texts = docs.select(row_key("doc_id", "text").alias("key"), "text")
-    found = neighbours(written(texts.mapInArrow(_anchor_rows, "key long, first long, last long, lead long, gram long, c1 long, c2 long")), ["lead", "gram", "c1", "c2"], {"gram_twice": ["lead", "gram"], "context_twice": ["lead", "gram", "c1", "c2"]})
-    whole = found.where("context_twice").select("key", F.col("first").alias("s"), (F.col("last") + SPAN).alias("e"))
-    # rows of equal content have equal anchors: one of them is enough to look at their windows
-    # (and one of each repeated context, for windows elsewhere that equal part of it)
-    runs = found.where("gram_twice and (not context_twice or witness)").groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    windows = written(texts.join(runs, "key").select("key", "text", "runs").mapInArrow(_window_rows, "key long, start long, lead long, w1 long, w2 long"))
-    again = neighbours(windows, ["lead", "w1", "w2"], {"twice": ["lead", "w1", "w2"]})
-    single = again.where("twice").select("key", F.col("start").alias("s"), (F.col("start") + SPAN).alias("e"))
-    return whole.unionByName(single).distinct().groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    rows = texts.mapInArrow(_anchor_rows, "key long, at long, before short, more short, lead long, gram long, context long")
+    found = neighbours(rows, ["lead", "gram", "context"], {"gram_twice": ["lead", "gram"], "context_twice": ["lead", "gram", "context"]})
+    whole = found.where("context_twice").select("key", (F.col("at") - F.col("before")).alias("s"), (F.col("at") - F.col("before") + F.col("more") + SPAN).alias("e"))
+    # rows of equal content have equal anchors, each of which counts; and of each repeated context one goes along, for windows elsewhere that equal part of it
+    left = found.where("gram_twice and (not context_twice or witness)")
+    runs = left.groupBy("key").agg(F.collect_set(F.struct("at", "before", "more", "lead", "gram")).alias("runs"))
+    packed = texts.mapInArrow(_packed, "key long, packed binary")
+    contexts = written(packed.join(runs, "key").select("key", "packed", "runs").mapInArrow(_context_rows, "key long, at long, before short, more short, lead long, gram long, bytes binary"))
+    dealt = contexts.repartitionByRange(2 * partitions(docs.sparkSession), "lead", "gram", _salt(contexts))
+    windows = written(dealt.mapInArrow(_compare_windows, "key long, s long, e long, hash long"))
+    opened = windows.where("hash is not null")
+    again = opened.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    found_twice = windows.where("hash is null").select("key", "s", "e").unionByName(opened.join(again, "hash", "left_semi").select("key", "s", "e"))
+    return whole.unionByName(found_twice).groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
 def merge(spans: list[dict]) -> list[tuple[int, int]]:
@@ -236,27 +290,30 @@ def merge(spans: list[dict]) -> list[tuple[int, int]]:
 
 
 def _cut(batches):
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     for batch in batches:
-        n, removed, runs, digests, kept = [], [], [], [], []
-        for text, spans in zip(text_of(batch.column(1)), batch.column(2).to_pylist()):
-            raw = text.encode()
+        rows = [[] for _ in names]
+        for doc, packed, spans in zip(*(c.to_pylist() for c in batch.columns)):
+            raw = zlib.decompress(packed)
             merged = merge(spans or [])
             left = b"".join(raw[a:b] for a, b in zip([0, *(e for _, e in merged)], [*(s for s, _ in merged), len(raw)]))
-            n.append(len(raw))
-            removed.append(len(raw) - len(left))
-            runs.append(len(merged))
-            digests.append(hashlib.sha256(left).hexdigest())
-            kept.append(left)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            for x, v in zip(rows, (doc, len(raw), len(raw) - len(left), len(merged), hashlib.sha256(left).hexdigest(), left)):
+                x.append(v)
+        kinds = (batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds)], names=names)
+
+
+def _packed_rows(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([zlib.compress(t.encode(), 1) for t in text_of(b.column(2))], pa.binary())], names=["doc_id", "key", "packed"])
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the bytes that stay."""
     spans = repeated_spans(docs)
-    key = free_name(docs, "content_key")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    j = docs.select("doc_id", "text", row_key("doc_id", "text").alias(key)).join(spans.withColumnRenamed("key", key), key, "left")
-    return j.select("doc_id", "text", "spans").mapInArrow(_cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    rows = docs.select("doc_id", row_key("doc_id", "text").alias("key"), "text").mapInArrow(_packed_rows, f"doc_id {kind}, key long, packed binary")
+    return rows.join(spans, "key", "left").select("doc_id", "packed", "spans").mapInArrow(_cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
