@@ -85,7 +85,7 @@ def test_rays_meet_the_nearest_surface(spark):
 
 
 def test_micromotion_finds_a_tone_and_refuses(spark):
-    n, prf, lam = 300, 15.0, 343 / 19_000
+    n, prf, lam = 600, 15.0, 343 / 19_000
     r = np.random.default_rng(1)
     t = np.arange(n) / prf
     phase = 4 * math.pi / lam * 0.002 * np.sin(2 * math.pi * 0.3 * t)
@@ -290,7 +290,7 @@ def test_event_windows_of_a_stream(spark, tmp_path):
     rows = spark.range(100).select((F.col("id") % 3).alias("user_id"), F.timestamp_seconds(1_700_000_000 + F.col("id") * 600).alias("ts"), F.col("id").cast("double").alias("value"))
     rows.write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
-    for name, df in (("tumbling", session.windows(stream, "value")), ("sliding", session.windows(stream, "value", slide="15 minutes")), ("sessions", session.sessions(stream)), ("once", session.once(stream, ["user_id", "ts"]))):
+    for name, df in (("tumbling", session.windows(stream, "value")), ("sliding", session.windows(stream, "value", slide="15 minutes")), ("sessions", session.sessions(stream, "20 minutes")), ("once", session.once(stream, ["user_id", "ts"]))):
         q = df.writeStream.format("memory").queryName(name).option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start()
         q.awaitTermination()
         assert spark.table(name).count() > 0

@@ -134,12 +134,13 @@ def horizontal_sweep(i: Column, count: int, elevation_deg: float = 0.0, start_de
 
 
 def slab(origin: Column, direction: Column, low: Column, high: Column) -> tuple[Column, Column]:
-    """Distances at which a ray enters and leaves a box's slabs; null parts are axes it runs along."""
+    """Distances at which a ray enters and leaves a box. Along an axis it doesn't move on, it is inside for ever or never."""
     near, far = [], []
     for a in "xyz":
         t1, t2 = (F.try_divide(side[a] - origin[a], F.when(F.abs(direction[a]) > 1e-12, direction[a])) for side in (low, high))
-        near.append(F.least(t1, t2))
-        far.append(F.greatest(t1, t2))
+        always = F.when(origin[a].between(low[a], high[a]), float("inf")).otherwise(float("-inf"))
+        near.append(F.coalesce(F.least(t1, t2), -always))
+        far.append(F.coalesce(F.greatest(t1, t2), always))
     return F.greatest(*near), F.least(*far)
 
 

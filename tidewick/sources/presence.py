@@ -46,8 +46,8 @@ def first_error() -> Column:
     c = F.col
     m, t, k, p, s = "measurement", "teacher", "clock", "provenance", "consent"
     end = c(f"{m}.start_range_m") + c(f"{m}.range_step_m") * c(f"{m}.bins")
-    skew = F.least(1 / c(f"{m}.prf_hz"), F.lit(MOST_SKEW_S))
-    start_s, stop_s = c(f"{k}.ultrasonic_unix_s"), c(f"{k}.ultrasonic_unix_s") + c(f"{m}.pings") / c(f"{m}.prf_hz")
+    skew = F.least(F.try_divide(F.lit(1.0), c(f"{m}.prf_hz")), F.lit(MOST_SKEW_S))
+    start_s, stop_s = c(f"{k}.ultrasonic_unix_s"), c(f"{k}.ultrasonic_unix_s") + F.try_divide(c(f"{m}.pings"), c(f"{m}.prf_hz"))
     lidar = c(f"{k}.lidar_timestamp_ns") / 1e9 + c(f"{k}.offset_s")
     beam = F.sqrt(F.aggregate(f"{m}.beam", F.lit(0.0), lambda a, x: a + x * x))
     every = lambda x, f=finite: F.coalesce(F.forall(x, f), F.lit(False))
@@ -97,7 +97,7 @@ def parse(lines: DataFrame, expected_source: str | None = None) -> DataFrame:
     if expected_source is not None:
         rows = rows.withColumn("error", F.coalesce("error", F.when(F.col("provenance.source") != expected_source, "source_mismatch")))
     w = Window.partitionBy("provenance.device_id").orderBy("line")
-    stop = F.col("clock.ultrasonic_unix_s") + F.col("measurement.pings") / F.col("measurement.prf_hz")
+    stop = F.col("clock.ultrasonic_unix_s") + F.try_divide(F.col("measurement.pings"), F.col("measurement.prf_hz"))
     overlap = F.col("clock.ultrasonic_unix_s") < F.max(stop).over(w.rowsBetween(Window.unboundedPreceding, -1))
     return rows.withColumn("error", F.coalesce("error", F.when(overlap, "overlap"))).drop("shape")
 
