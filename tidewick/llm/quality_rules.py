@@ -29,7 +29,7 @@ ACCURACY = 0.01
 MIN_CELL_ROWS = 200
 FENCE = 3.0
 #: feature: least distance from the quartile to the cutoff, so that a cell without spread doesn't reject slight deviations.
-FEATURES = {"symbol_ratio": 0.25, "punct_ratio": 0.08, "upper_ratio": 0.2, "word_length": 2.5, "dup_line_ratio": 0.2, "repeat_ratio": 0.3}
+FEATURES = {"symbol_ratio": 0.25, "punct_ratio": 0.06, "upper_ratio": 0.2, "word_length": 2.5, "dup_line_ratio": 0.5, "repeat_ratio": 0.5}
 #: features for which too low a value is refused as well
 TWO_SIDED = {"word_length"}
 #: cutoffs are broadcast up to this many cells, and joined by a shuffle beyond
