@@ -63,3 +63,20 @@ def test_damage_is_an_error():
         W.parse_record(b"HTTP/1.1 200\r\n\r\n")
     with pytest.raises(ValueError):
         W.parse_record(W.record(1, "u", b"payload", "d", None)[:-20])
+
+
+def test_query_equals_sql(spark, tmp_path):
+    import duckdb
+
+    from tidewick.llm import registry
+
+    big = "<p>é</p>" * 50
+    rows = [(5, "http://a", big), (3, "http://b", big), (None, None, big), (1, "u", "short"), (2, "x", "short"), (4, "x", None), (6, "x", "")]
+    pages(spark, rows).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    r = con.execute(registry.oracle_sql()["op8_warc"])
+    names = [c[0] for c in r.description]
+    want = sorted((dict(zip(names, x)) for x in r.fetchall()), key=str)
+    got = sorted(({n: row[n] for n in names} for row in W.op8_warc(spark, str(tmp_path)).collect()), key=str)
+    assert got == want
