@@ -2,12 +2,12 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, class string, key string, n int, counts string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, class string, key string, n int, counts string, kept string, failed int"
 
 
 def frame(spark, rows):
     """Documents with columns whose names clash with what operators use inside; rows are (doc_id, text) or more."""
-    full = [(i, t, *(r or ["en", "s"]), len(t or ""), "x", "y", 1, "z") for i, t, *r in rows]
+    full = [(i, t, *(r or ["en", "s"]), len(t or ""), "x", "y", 1, "z", "k", 0) for i, t, *r in rows]
     return spark.createDataFrame(full, SCHEMA)
 
 

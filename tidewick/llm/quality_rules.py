@@ -120,8 +120,8 @@ def cutoffs(sketches: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "source").agg(*[F.max(F.when(F.col("feature") == f, F.col(x))).alias(f"{f}_{x}") for f in FEATURES for x in ("lo", "hi")])
 
 
-def judge(rows: DataFrame, cuts: DataFrame, counts: str = "counts") -> DataFrame:
-    """Add base_failed, failed (names of the features beyond their cutoffs) and kept to rows with counts, lang and source."""
+def judge(rows: DataFrame, cuts: DataFrame, counts: str = "counts", prefix: str = "") -> DataFrame:
+    """Add base_failed, failed (names of the features beyond their cutoffs) and kept, each behind ``prefix``, to rows with counts, lang and source."""
     cuts = written(cuts)
     names = {c: free_name(rows, f"cut_{c}") for c in cuts.columns}
     cuts = cuts.select(*[F.col(c).alias(n) for c, n in names.items()])
@@ -132,7 +132,7 @@ def judge(rows: DataFrame, cuts: DataFrame, counts: str = "counts") -> DataFrame
     beyond = [F.when((v > F.col(names[f"{f}_hi"])) | (v < F.col(names[f"{f}_lo"])), F.lit(f)) for f, v in _ratios(counts).items()]
     failed = F.array_compact(F.array(*beyond))
     base = (n < 50) | (100 * repeated > 50 * n)
-    return j.select(*[rows[c] for c in rows.columns], base.alias("base_failed"), failed.alias("failed"), (~base & (F.size(failed) == 0)).alias("kept"))
+    return j.select(*[rows[c] for c in rows.columns], base.alias(f"{prefix}base_failed"), failed.alias(f"{prefix}failed"), (~base & (F.size(failed) == 0)).alias(f"{prefix}kept"))
 
 
 def quality_verdicts(docs: DataFrame) -> DataFrame:
@@ -150,8 +150,7 @@ def quality_filter(docs: DataFrame) -> DataFrame:
     counts = free_name(docs, "quality_counts")
     rows = annotate(docs, out=counts)
     cuts = cutoffs(sketch(slim))
-    judged = judge(rows.withColumnsRenamed({c: c for c in rows.columns}), cuts, counts)
-    return judged.where("kept").select(*docs.columns)
+    return judge(rows, cuts, counts, f"{counts}_").where(F.col(f"{counts}_kept")).select(*docs.columns)
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
