@@ -2,6 +2,8 @@ import hashlib
 import random
 from collections import Counter
 
+import pytest
+
 from tests.llm.conftest import frame, words
 from tidewick.llm import substring_dedup as S
 
@@ -38,7 +40,9 @@ def test_against_brute_force(spark, no_docs):
     assert S.deduplicate(no_docs).count() == 0
 
 
-def test_hot_passage_and_many_copies(spark):
+@pytest.mark.parametrize("hot", [10, 10_000])
+def test_hot_passage_and_many_copies(spark, monkeypatch, hot):
+    monkeypatch.setattr(S, "HOT_ROWS", hot)
     shared = " ".join(words(1, 60))
     rows = [(i, " ".join(words(1000 + i, 12)) + " " + shared + " " + " ".join(words(5000 + i, 12))) for i in range(150)] + [(500 + i, " ".join(words(3, 70))) for i in range(40)]
     check(spark, rows)

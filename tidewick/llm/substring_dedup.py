@@ -11,9 +11,9 @@ neighbours are compared, also across the boundaries of buckets. An anchor whose
 done; one whose whole context another has goes with all its windows.
 
 The rest lie where copied passages begin and end. Only they bring their bytes along: they are partitioned
-by leading bytes again, and a bucket compares all their windows, place by place. A gram at the end of a
-bucket may go on in the next one, as a salt in the range key cuts hot grams; the windows of such grams are
-compared by an aggregation over all buckets.
+by leading bytes again, and a bucket compares all their windows, place by place. A gram with more than
+``HOT_ROWS`` anchors is cut by a salt in the range key; the windows of such grams are compared by an
+aggregation over all buckets.
 
 Equality is that of leading bytes and 64-bit polynomial hashes of gram, context and window.
 
@@ -41,6 +41,8 @@ GRAM = 32
 STRETCH = 1 << 19
 #: rows whose windows are compared at once
 ROWS_AT_ONCE = 4000
+#: a gram with more anchors than this is dealt to several buckets
+HOT_ROWS = 10_000
 
 _VALUE = odd_numbers(256, 31)
 _BASE = int(odd_numbers(1, 32)[0])
@@ -194,16 +196,16 @@ def _salt(rows: DataFrame):
 
 def _context_rows(batches):
     """For each anchor that is left, the bytes of its windows."""
-    names = ["key", "at", "before", "more", "lead", "gram", "bytes"]
+    names = ["key", "at", "before", "more", "lead", "gram", "hot", "bytes"]
     for batch in batches:
         rows = [[] for _ in names]
         for key, packed, runs in zip(*(c.to_pylist() for c in batch.columns)):
             raw = zlib.decompress(packed)
             for r in runs:
                 first = r["at"] - r["before"]
-                for x, v in zip(rows, (key, r["at"], r["before"], r["more"], r["lead"], r["gram"], raw[first : first + r["more"] + SPAN])):
+                for x, v in zip(rows, (key, r["at"], r["before"], r["more"], r["lead"], r["gram"], r["hot"], raw[first : first + r["more"] + SPAN])):
                     x.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.int64(), pa.int64(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds)], names=names)
 
 
@@ -229,7 +231,7 @@ def _window_hashes(at: np.ndarray, before: np.ndarray, more: np.ndarray, gram: n
 
 
 def _compare_windows(batches):
-    """One bucket: stretches of windows that occur twice, and, with their hash, all windows of the bucket's first and last gram."""
+    """One bucket: stretches of windows that occur twice, and, with their hash, the different windows of hot grams."""
     batches = [b for b in batches if b.num_rows]
     if not batches:
         return
@@ -243,7 +245,7 @@ def _compare_windows(batches):
         part = t.slice(int(starts[lo]), int(starts[hi] - starts[lo]))
         g = part.column("gram").to_numpy()
         row, start, h = _window_hashes(part.column("at").to_numpy(), part.column("before").to_numpy(), part.column("more").to_numpy(), g, part.column("bytes").to_pylist())
-        opened = (g == gram[0]) | (g == gram[-1])
+        opened = part.column("hot").to_numpy()
         order = np.argsort(h, kind="stable")
         same = np.append(h[order][1:] == h[order][:-1], False)
         twice = np.zeros(len(h), bool)
@@ -253,7 +255,9 @@ def _compare_windows(batches):
         join = np.append(False, twice[1:] & twice[:-1] & (row[1:] == row[:-1]))
         first = np.flatnonzero(twice & ~join)
         last = np.flatnonzero(twice & ~np.append(join[1:], False))
-        free = np.flatnonzero(opened[row])
+        # of equal windows here one goes on to be compared with other buckets: the others are known to occur twice
+        free = order[np.append(True, h[order][1:] != h[order][:-1])]
+        free = free[opened[row[free]]]
         yield pa.RecordBatch.from_arrays([pa.array(key[row[first]]), pa.array(start[first]), pa.array(start[last] + SPAN), pa.nulls(len(first), pa.int64())], names=["key", "s", "e", "hash"])
         yield pa.RecordBatch.from_arrays([pa.array(key[row[free]]), pa.array(start[free]), pa.array(start[free] + SPAN), _signed(h[free])], names=["key", "s", "e", "hash"])
         lo = hi
@@ -267,10 +271,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     whole = found.where("context_twice").select("key", (F.col("at") - F.col("before")).alias("s"), (F.col("at") - F.col("before") + F.col("more") + SPAN).alias("e"))
     # rows of equal content have equal anchors, each of which counts; and of each repeated context one goes along, for windows elsewhere that equal part of it
     left = found.where("gram_twice and (not context_twice or witness)")
-    runs = left.groupBy("key").agg(F.collect_set(F.struct("at", "before", "more", "lead", "gram")).alias("runs"))
+    hot = left.groupBy("lead", "gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_ROWS).select("lead", "gram", F.lit(True).alias("hot"))
+    left = left.join(hot, ["lead", "gram"], "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    runs = left.groupBy("key").agg(F.collect_set(F.struct("at", "before", "more", "lead", "gram", "hot")).alias("runs"))
     packed = texts.mapInArrow(_packed, "key long, packed binary")
-    contexts = written(packed.join(runs, "key").select("key", "packed", "runs").mapInArrow(_context_rows, "key long, at long, before short, more short, lead long, gram long, bytes binary"))
-    dealt = contexts.repartitionByRange(2 * partitions(docs.sparkSession), "lead", "gram", _salt(contexts))
+    contexts = written(packed.join(runs, "key").select("key", "packed", "runs").mapInArrow(_context_rows, "key long, at long, before short, more short, lead long, gram long, hot boolean, bytes binary"))
+    dealt = contexts.repartitionByRange(2 * partitions(docs.sparkSession), "lead", "gram", F.when(F.col("hot"), _salt(contexts)).otherwise(0))
     windows = written(dealt.mapInArrow(_compare_windows, "key long, s long, e long, hash long"))
     opened = windows.where("hash is not null")
     again = opened.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
