@@ -48,14 +48,15 @@ def shingle_set(text: str) -> np.ndarray:
 
 def minhash(s: np.ndarray) -> np.ndarray:
     """HASHES 32-bit values; the 64-bit shingle hashes are folded, and each function multiplies, adds and folds again."""
-    low, high = s.astype(np.uint32), (s >> np.uint64(32)).astype(np.uint32)
-    out = np.empty(HASHES, np.uint32)
+    out = np.full(HASHES, 0xFFFFFFFF, np.uint32)
     with np.errstate(over="ignore"):
-        for i in range(HASHES):
-            x = low * _A[i] + _B[i]
+        for lo in range(0, len(s), 1024):  # all functions at once, over as many shingles as fit a core's cache
+            part = s[lo : lo + 1024]
+            x = part.astype(np.uint32)[None, :] * _A[:, None]
+            x += _B[:, None]
             x ^= x >> np.uint32(15)
-            x += high * _A[i - 1]
-            out[i] = x.min()
+            x += (part >> np.uint64(32)).astype(np.uint32)[None, :] * np.roll(_A, 1)[:, None]
+            np.minimum(out, x.min(axis=1), out=out)
     return out
 
 
