@@ -75,3 +75,11 @@ def test_boosting_learns_and_calibrates():
     s = sum(pii._apply(t, x) for t in trees)
     assert (s >= cut[3]).tolist() == [bool(r["cue"]) for r in rows]
     assert pii.boost([]) == ([], {})
+
+
+def test_ip_parts_that_are_zero(spark):
+    good = ["0.0.0.0", "10.0.0.1", "127.0.0.1", "10.20.30.0", "000255.0.0.1", "00.000.0000.00", "192.168.0.1", "255.255.255.255"]
+    bad = ["256.0.0.1", "0.0.0.256", "000256.1.1.1", "0.0.0", "300.0.0.0", "1.2.3.1000"]
+    got = {r.doc_id: r.base for r in pii.find(frame(spark, list(enumerate(good + bad)))).collect()}
+    assert [[(x.s, x.e) for x in got[i] if x.kind == 1] for i in range(len(got))] == [[(0, len(t))] for t in good] + [[]] * len(bad)
+    assert [r.text for r in pii.redact(frame(spark, [(1, "host 10.0.0.1 up")])).collect()] == ["host [IP] up"]

@@ -36,7 +36,7 @@ ROUNDS, DEPTH, RATE = 30, 3, 0.3
 CALIBRATION_LEAST = 20
 
 #: fixed values: the base patterns
-_PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+_PART = "(?=[0-9])0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})?"
 _EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 _IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 # a maximal run of 12 to 19 digits: shorter and longer ones fail the base check anyway
