@@ -51,6 +51,22 @@ def test_cutoffs_follow_the_corpus(spark):
     assert "symbol_ratio" in v[1000].failed
 
 
+def test_cutoffs_follow_the_spread(spark):
+    r = random.Random(5)
+    # two sources alike in their middle; in one, punctuation and repeats scatter widely, in the other hardly
+    marked = lambda i, share: " ".join(w + "," if r.random() < share else w for w in words(i, 300))
+    again = lambda i, n: " ".join([*words(i, 300), *words(i, n)])
+    even = [(i, marked(i, 0.1), "en", "even") for i in range(300)]
+    wide = [(1000 + i, marked(i, 0.2 * r.random()), "en", "wide") for i in range(300)]
+    few = [(2000 + i, again(i, 6 + i % 4), "de", "few") for i in range(300)]
+    many = [(3000 + i, again(i, 6 + i % 60), "de", "many") for i in range(300)]
+    odd = [(5000, marked(1, 0.33), "en", "even"), (5001, marked(1, 0.33), "en", "wide"), (5002, again(1, 70), "de", "few"), (5003, again(1, 70), "de", "many")]
+    v = {x.doc_id: x for x in Q.quality_verdicts(frame(spark, even + wide + few + many + odd)).collect()}
+    assert [v[i].failed for i in (5000, 5001, 5002, 5003)] == [["punct_ratio"], [], ["repeat_ratio"], []]
+    assert all(v[i].kept for i, *_ in even + wide + few + many)
+    assert not any(v[i].base_failed for i in v)
+
+
 def test_sketch_quantiles_are_close_and_merge(spark):
     values = sorted(random.Random(1).lognormvariate(0, 2) for _ in range(5000))
     rows = spark.createDataFrame([(v,) for v in values], "v double")

@@ -2,9 +2,12 @@
 
 Each row's whole text gives a few counts. Ratios of them go into log-bucket sketches (relative error
 ``ACCURACY``), which are plain (cell, feature, bucket, count) rows: they merge by adding counts, so the
-aggregation is partial on the map side whatever the size of a source. Cutoffs per cell are Tukey fences
-from the sketch's quartiles; cells with few rows use their language's merged sketch, then the whole
-corpus's. A join with the cutoffs then filters.
+aggregation is partial on the map side whatever the size of a source. Only texts that pass the base rule
+are in them, as the others are refused anyway. Cutoffs per cell are Tukey fences from the sketch's
+quartiles; cells with few rows use their language's merged sketch, then the whole corpus's. Most texts
+repeat nothing, so the fences of repeats are those of the texts that do. A join with the cutoffs then
+filters: a text is refused for what lies beyond a fence by more than ``FENCE`` standard errors of a ratio
+over so short a text. Where a sketch's quartiles coincide, a fixed distance stands in for its spread.
 
 Defined cases: null text counts as empty; null language or source is a cell of its own; empty texts fail
 the base rule (fewer than 50 words); repeated rows get equal verdicts; empty tables give empty results;
@@ -28,10 +31,14 @@ from ._common import free_name, text_of, written
 ACCURACY = 0.01
 MIN_CELL_ROWS = 200
 FENCE = 3.0
-#: feature: least distance from the quartile to the cutoff, so that a cell without spread doesn't reject slight deviations.
+#: feature: distance from the quartile to the cutoff where the quartiles coincide, so that a cell without spread doesn't reject slight deviations.
 FEATURES = {"symbol_ratio": 0.25, "punct_ratio": 0.06, "upper_ratio": 0.2, "word_length": 2.5, "dup_line_ratio": 0.5, "repeat_ratio": 0.5}
 #: features for which too low a value is refused as well
 TWO_SIDED = {"word_length"}
+#: features that are 0 for most texts: their quartiles are those of the other values
+SPARSE = {"dup_line_ratio", "repeat_ratio"}
+#: what each feature is a ratio to
+SIZES = {"symbol_ratio": "n_words", "punct_ratio": "n_chars", "upper_ratio": "n_chars", "word_length": "n_words", "dup_line_ratio": "n_lines", "repeat_ratio": "n_words"}
 #: cutoffs are broadcast up to this many cells, and joined by a shuffle beyond
 BROADCAST_CELLS = 20_000
 
@@ -81,18 +88,26 @@ def annotate(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
     return docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias(free_name(docs, "whole_text"))).mapInArrow(run, T.StructType([*fields, T.StructField(out, _TYPE, False)]))
 
 
+def _size(c: str, feature: str) -> Column:
+    return F.greatest(F.col(f"{c}.{SIZES[feature]}").cast("double"), F.lit(1.0))
+
+
 def _ratios(c: str) -> dict[str, Column]:
-    at = lambda x: F.col(f"{c}.{x}").cast("double")
-    words, lines, chars = (F.greatest(at(x), F.lit(1.0)) for x in ("n_words", "n_lines", "n_chars"))
-    return {"symbol_ratio": at("n_symbols") / words, "punct_ratio": at("n_punct") / chars, "upper_ratio": at("n_upper") / chars, "word_length": at("word_chars") / words, "dup_line_ratio": at("n_dup_lines") / lines, "repeat_ratio": at("n_repeat_words") / words}
+    of = {"symbol_ratio": "n_symbols", "punct_ratio": "n_punct", "upper_ratio": "n_upper", "word_length": "word_chars", "dup_line_ratio": "n_dup_lines", "repeat_ratio": "n_repeat_words"}
+    return {f: F.col(f"{c}.{x}").cast("double") / _size(c, f) for f, x in of.items()}
+
+
+def _base_failed(c: str) -> Column:
+    n, repeated = F.col(f"{c}.n_words"), F.col(f"{c}.n_repeat_words")
+    return (n < 50) | (100 * repeated > 50 * n)
 
 
 def sketch(rows: DataFrame, counts: str = "counts") -> DataFrame:
-    """Rows (lang, source, feature, bucket, n) of a mergeable sketch; texts without words aren't in it."""
+    """Rows (lang, source, feature, bucket, n) of a mergeable sketch of the texts that pass the base rule."""
     log_gamma = math.log((1 + ACCURACY) / (1 - ACCURACY))
     values = F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), v.alias("value")) for k, v in _ratios(counts).items()])).alias("f")
     bucket = F.when(F.col("f.value") > 0, F.ceil(F.log(F.col("f.value")) / log_gamma).cast("int"))
-    return rows.where(F.col(f"{counts}.n_words") > 0).select("lang", "source", values).select("lang", "source", F.col("f.feature").alias("feature"), bucket.alias("bucket")).groupBy("lang", "source", "feature", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    return rows.where(~_base_failed(counts)).select("lang", "source", values).select("lang", "source", F.col("f.feature").alias("feature"), bucket.alias("bucket")).groupBy("lang", "source", "feature", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
 def quantiles(merged: DataFrame, by: list[str], qs: dict[str, float]) -> DataFrame:
@@ -108,6 +123,7 @@ def quantiles(merged: DataFrame, by: list[str], qs: dict[str, float]) -> DataFra
 def cutoffs(sketches: DataFrame) -> DataFrame:
     """One row for each (lang, source): lo and hi for each feature, null where nothing is refused."""
     qs = {"q1": 0.25, "q3": 0.75}
+    sketches = sketches.where(~F.col("feature").isin(*SPARSE) | F.col("bucket").isNotNull())
     cell = quantiles(sketches, ["lang", "source", "feature"], qs)
     lang = quantiles(sketches.groupBy("lang", "feature", "bucket").agg(F.sum("n").alias("n")), ["lang", "feature"], qs)
     every = quantiles(sketches.groupBy("feature", "bucket").agg(F.sum("n").alias("n")), ["feature"], qs)
@@ -115,8 +131,9 @@ def cutoffs(sketches: DataFrame) -> DataFrame:
     j = pick(cell, "c").join(pick(lang, "l"), F.col("c_lang").eqNullSafe(F.col("l_lang")) & (F.col("c_feature") == F.col("l_feature")), "left").join(pick(every, "e"), F.col("c_feature") == F.col("e_feature"), "left")
     level = lambda q: F.when(F.col("c_total") >= MIN_CELL_ROWS, F.col(f"c_{q}")).when(F.col("l_total") >= MIN_CELL_ROWS, F.col(f"l_{q}")).when(F.col("e_total") >= MIN_CELL_ROWS, F.col(f"e_{q}"))
     least = F.create_map(*[F.lit(x) for kv in FEATURES.items() for x in kv])
-    slack = F.greatest(FENCE * (level("q3") - level("q1")), F.element_at(least, F.col("c_feature")))
-    rows = j.select(F.col("c_lang").alias("lang"), F.col("c_source").alias("source"), F.col("c_feature").alias("feature"), (level("q3") + slack).alias("hi"), F.when(F.col("c_feature").isin(*TWO_SIDED), level("q1") - slack).alias("lo"))
+    spread = level("q3") - level("q1")
+    slack = F.when(spread > 0, FENCE * spread).otherwise(F.element_at(least, F.col("c_feature")))
+    rows = j.select(F.col("c_lang").alias("lang"), F.col("c_source").alias("source"), F.col("c_feature").alias("feature"), (level("q3") + slack).alias("hi"), F.when(F.col("c_feature").isin(*TWO_SIDED), F.greatest(level("q1") - slack, F.lit(0.0))).alias("lo"))
     return rows.groupBy("lang", "source").agg(*[F.max(F.when(F.col("feature") == f, F.col(x))).alias(f"{f}_{x}") for f in FEATURES for x in ("lo", "hi")])
 
 
@@ -128,10 +145,11 @@ def judge(rows: DataFrame, cuts: DataFrame, counts: str = "counts", prefix: str
     if cuts.count() <= BROADCAST_CELLS:
         cuts = F.broadcast(cuts)
     j = rows.join(cuts, F.col("lang").eqNullSafe(F.col(names["lang"])) & F.col("source").eqNullSafe(F.col(names["source"])), "left")
-    n, repeated = F.col(f"{counts}.n_words"), F.col(f"{counts}.n_repeat_words")
-    beyond = [F.when((v > F.col(names[f"{f}_hi"])) | (v < F.col(names[f"{f}_lo"])), F.lit(f)) for f, v in _ratios(counts).items()]
+    hi, lo = ({f: F.col(names[f"{f}_{x}"]) for f in FEATURES} for x in ("hi", "lo"))
+    error = lambda cut, f: FENCE * F.sqrt(cut / _size(counts, f))
+    beyond = [F.when((v > hi[f] + error(hi[f], f)) | (v < lo[f] - error(lo[f], f)), F.lit(f)) for f, v in _ratios(counts).items()]
     failed = F.array_compact(F.array(*beyond))
-    base = (n < 50) | (100 * repeated > 50 * n)
+    base = _base_failed(counts)
     return j.select(*[rows[c] for c in rows.columns], base.alias(f"{prefix}base_failed"), failed.alias(f"{prefix}failed"), (~base & (F.size(failed) == 0)).alias(f"{prefix}kept"))
 
 
