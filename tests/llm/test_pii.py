@@ -83,3 +83,13 @@ def test_ip_parts_that_are_zero(spark):
     got = {r.doc_id: r.base for r in pii.find(frame(spark, list(enumerate(good + bad)))).collect()}
     assert [[(x.s, x.e) for x in got[i] if x.kind == 1] for i in range(len(got))] == [[(0, len(t))] for t in good] + [[]] * len(bad)
     assert [r.text for r in pii.redact(frame(spark, [(1, "host 10.0.0.1 up")])).collect()] == ["host [IP] up"]
+
+
+def test_looser_forms_are_found(spark):
+    shapes = ["mail a{0}@b.org now", "tel +1 743 555 {0} ok", "no +12-34 {0}", "call (743) 555-{0}.", "ask me{0} [at] host [dot] com", "sum 12-34-{0}"]
+    texts = [(6 * n + i, x.format(1000 + n)) for n in range(200) for i, x in enumerate(shapes)]
+    out = {r.doc_id: r.text for r in pii.redact(frame(spark, texts)).collect()}
+    assert {i % 6: {out[j] for j in out if j % 6 == i} for i in (0, 1, 3, 4)} == {0: {"mail [EMAIL] now"}, 1: {"tel [PHONE] ok"}, 3: {"call [PHONE]."}, 4: {"ask [EMAIL]"}}
+    assert all(out[i] == t for i, t in texts if i % 6 in (2, 5))
+    valid = [x for x in texts if x[0] % 6 not in (2, 5)]  # nothing that is refused to learn from
+    assert {r.text for r in pii.redact(frame(spark, valid)).collect()} == {"mail [EMAIL] now", "tel [PHONE] ok", "call [PHONE].", "ask [EMAIL]"}

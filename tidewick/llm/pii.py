@@ -3,8 +3,11 @@
 DataFrame functions only. Generators propose overlapping spans per kind: the four base patterns before
 their checks, and looser forms (local phone numbers, obfuscated addresses). Matches that pass the base
 checks (parts of an IP address, Luhn's digit, digit counts) are always spans. The rest are judged by
-gradient boosted trees: features are small integers for a candidate's format and context, which never
-include the outcome of a base check; labels are whether a base-valid match of the kind covers it. As the
+gradient boosted trees: features are a candidate's kind and small integers for its format and
+context, which never include the outcome of a base check; labels are whether a base-valid match of the kind
+covers it. Only matches of base patterns have labels. A looser form can't pass a base check of its own, which
+says nothing against it: it is no example, and is scored by what base matches of like format and context
+turned out to be, against thresholds that hold for those; its own precision can't be measured. As the
 features have few values, training needs only counts by feature vector (at most ``VECTORS``, by their
 ranges), aggregated over the whole corpus; the trees become column expressions. For each kind the
 threshold is the lowest score at which held-out candidates reach ``PRECISION``; where none does, nothing
@@ -57,7 +60,7 @@ _GENERATORS = [
     (0, _SPELLED_EMAIL, "at", False),
 ]
 #: each feature's values are 0 to this, exclusive
-FEATURES = {"generator": len(_GENERATORS), "digits": 8, "separator": 5, "before": 5, "after": 5, "cue": 2}
+FEATURES = {"kind": len(KINDS), "digits": 8, "separator": 5, "before": 5, "after": 5, "cue": 2}
 VECTORS = math.prod(FEATURES.values())
 
 
@@ -106,18 +109,18 @@ def _described(text: Column, g: int):
         ahead = text.substr(x["e"] + 1, F.lit(1))
         context = text.substr(F.greatest(x["s"] - 23, F.lit(1)), F.least(x["s"], F.lit(24)))
         size = F.when(digits == 0, 0).when(digits < 7, 1).when(digits < 9, 2).when(digits < 11, 3).when(digits < 13, 4).when(digits < 16, 5).when(digits == 16, 6).otherwise(7)
-        return F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), _valid(g, m).alias("valid"), F.lit(g).alias("generator"), size.alias("digits"), separator.alias("separator"), _char_class(before).alias("before"), _char_class(ahead).alias("after"), context.rlike(_CUES).cast("int").alias("cue"))
+        return F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), _valid(g, m).alias("valid"), F.lit(_GENERATORS[g][3]).alias("labelled"), size.alias("digits"), separator.alias("separator"), _char_class(before).alias("before"), _char_class(ahead).alias("after"), context.rlike(_CUES).cast("int").alias("cue"))
 
     return one
 
 
 def _candidates(text: Column) -> Column:
-    """All generators' spans with features: structs (kind, s, e, valid, features...)."""
+    """All generators' spans with features: structs (kind, s, e, valid, labelled, other features...)."""
     parts = []
     digit = text.rlike("[0-9]")
     for g, (kind, pattern, needs, _) in enumerate(_GENERATORS):
         found = F.when(text.contains(needs) if needs else digit, _matches(text, pattern))
-        parts.append(F.coalesce(F.transform(found, _described(text, g)), F.array().cast("array<struct<kind:int,s:int,e:int,valid:boolean," + ",".join(f"{f}:int" for f in FEATURES) + ">>")))
+        parts.append(F.coalesce(F.transform(found, _described(text, g)), F.array().cast("array<struct<kind:int,s:int,e:int,valid:boolean,labelled:boolean," + ",".join(f"{f}:int" for f in FEATURES if f != "kind") + ">>")))
     return F.concat(*parts)
 
 
@@ -131,11 +134,11 @@ def candidates(docs: DataFrame, keep: list[str], text: str = "text", out: str =
 
 
 def vectors(rows: DataFrame, fold: Column, column: str = "candidates") -> list:
-    """Counts of candidates by (held out, kind, features): at most 2 * VECTORS rows. A candidate is positive if a valid match of its kind covers it."""
+    """Counts of the base patterns' candidates by (held out, features): at most 2 * VECTORS rows. A candidate is positive if a valid match of its kind covers it."""
     c = F.col(column)
-    covered = F.transform(c, lambda x: F.struct(x.alias("x"), F.exists(c, lambda y: y["valid"] & (y["kind"] == x["kind"]) & (y["s"] <= x["s"]) & (y["e"] >= x["e"])).alias("y")))
-    flat = rows.select(fold.alias("held_out"), F.explode(covered).alias("z")).select("held_out", "z.x.kind", *[f"z.x.{f}" for f in FEATURES], F.col("z.y").cast("long").alias("y"))
-    return flat.groupBy("held_out", "kind", *FEATURES).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("positive")).collect()
+    covered = F.transform(F.filter(c, lambda x: x["labelled"]), lambda x: F.struct(x.alias("x"), F.exists(c, lambda y: y["valid"] & (y["kind"] == x["kind"]) & (y["s"] <= x["s"]) & (y["e"] >= x["e"])).alias("y")))
+    flat = rows.select(fold.alias("held_out"), F.explode(covered).alias("z")).select("held_out", *[f"z.x.{f}" for f in FEATURES], F.col("z.y").cast("long").alias("y"))
+    return flat.groupBy("held_out", *FEATURES).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("positive")).collect()
 
 
 def _tree(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int):
@@ -173,7 +176,7 @@ def boost(rows: list) -> tuple[list, dict[int, float]]:
     n, y = np.array([r.n for r in rows], float), np.array([r.positive for r in rows], float)
     kind, held = np.array([r.kind for r in rows]), np.array([r.held_out for r in rows], bool)
     fit = ~held
-    if not (fit.any() and 0 < y[fit].sum() < n[fit].sum()):
+    if not y[fit].sum():
         return [], {}
     margin, trees = np.zeros(int(fit.sum())), []
     for _ in range(ROUNDS):
