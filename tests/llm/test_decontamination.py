@@ -45,3 +45,23 @@ def test_agrees_with_brute_force():
         s = set(shingle_hashes(word_hashes(t)).tolist())
         want = {i for i, x in items if len(set(shingle_hashes(word_hashes(x)).tolist()) & s) >= 0.8 * len(set(shingle_hashes(word_hashes(x)).tolist()))}
         assert {h[0] for h in hits} == want
+
+
+def test_recall_of_passages_at_the_limit():
+    r = np.random.default_rng(4)
+    items = [(i, " ".join(words(i, 20 + 3 * i))) for i in range(60)]
+    shingles = [(i, shingle_hashes(word_hashes(x))) for i, x in items]
+    texts, want = [], []
+    for n in range(120):
+        i = n % 60
+        w, size = items[i][1].split(), 16 + 3 * i
+        keep = int(np.ceil(size * (0.8 + 0.05 * r.random()))) + 4 - n % 7 // 6 * int(np.ceil(size * 0.05))
+        cut = w[:keep] if n % 2 else w[-keep:]
+        texts.append(" ".join(words(1000 + n, int(r.integers(0, 200))) + cut + words(2000 + n, int(r.integers(0, 200)))))
+        t = shingle_hashes(word_hashes(texts[-1]))
+        share = lambda a, s: np.isin(s, a).mean()  # noqa: E731  item shingles are distinct here
+        want.append({j for j, s in shingles if share(t, s) >= 0.8 and max(share(t[a : a + len(s)], s) for a in range(max(1, len(t) - len(s) + 1))) >= 0.8})
+    m = D.Matcher(items)
+    assert 60 < sum(map(len, want)) < 120
+    assert [{h[0] for h in x} for x in m.match(texts)] == want
+    assert [m.match([t])[0] for t in texts] == m.match(texts)  # whatever precedes a text

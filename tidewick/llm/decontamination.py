@@ -9,8 +9,13 @@ returns all windows within the radius, and a popcount keeps those. Candidates ar
 the weighted share of the item's 5-word shingles (with their multiplicity) that an item-sized window of
 the region has; at least ``SIMILARITY``.
 
-Windows start every tenth of their length and classes lie an eighth apart, so some window holds all
-but a few words of a copied item; verification looks at all item-sized windows around the candidate.
+That radius covers nearly whole copies. What has just ``SIMILARITY`` of an item's shingles is found by a
+second index, of shingles: of each item the rarest ones that together weigh more than it may lack, so that
+any text that verification accepts has one of them. Each occurrence says where the item would lie; places
+around which too few of the item's shingles occur are dropped, and the rest are verified as well. Retrieval
+therefore loses nothing that verification would accept, whatever the windows and the batches.
+
+Windows start every tenth of their length from their text's first word and classes lie an eighth apart.
 
 Defined cases: null texts and items are empty; an empty item matches nothing; items of fewer than 5 words
 are a single shingle; repeated documents give repeated rows; repeated items each match; empty tables give
@@ -106,17 +111,86 @@ class Matcher:
             of += [len(self.classes)] * (end - at)
             self.classes.append((max(1, size - 1), max(1, size // STEP)))
             at = end
+        self._rarest()
         self.index = Index(np.array([x[2] for x in self.items], np.uint64), np.array(of, np.int64))
 
+    def _rarest(self) -> None:
+        """The second index: sorted shingles, and the items that each stands for."""
+        every = np.concatenate([x[3] for x in self.items] or [np.empty(0, np.uint64)])
+        known, many = np.unique(every, return_counts=True)
+        keys, owners = [], []
+        for k, (_, _, _, s, n) in enumerate(self.items):
+            order = np.argsort(many[np.searchsorted(known, s)], kind="stable")
+            # what is left out weighs less than a match needs
+            least = int(np.searchsorted(np.cumsum(n[order]), n.sum() - self.similarity * n.sum() + 1e-9, "right")) + 1
+            keys.append(s[order[:least]])
+            owners.append(np.full(len(keys[-1]), k))
+        key, owner = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((keys, np.uint64), (owners, np.int64)))
+        size = np.array([min(5, self.items[k][1]) for k in owner.tolist()], np.int64)
+        self.rare = {}
+        for n in set(size.tolist()):
+            of = size == n
+            order = np.argsort(key[of], kind="stable")
+            self.rare[n] = (key[of][order], owner[of][order])
+
+    def _shared(self, words: np.ndarray) -> dict[int, tuple[float, int]]:
+        """Of a whole text, (similarity, first word of the best window) for each item that it holds: exact."""
+        best = {}
+        for size, (key, owner) in self.rare.items():
+            shingles = shingle_hashes_of(words, size)
+            lo = np.searchsorted(key, shingles)
+            lo[lo == len(key)] = 0
+            at = np.flatnonzero(key[lo] == shingles)
+            if not len(at):
+                continue
+            first, last = np.searchsorted(key, shingles[at]), np.searchsorted(key, shingles[at], "right")
+            n = last - first
+            items = owner[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            order = np.argsort(items, kind="stable")
+            items, where = items[order], np.repeat(at, n)[order]
+            for k, begin, end in zip(*(x.tolist() for x in np.unique(items, return_index=True)), [*np.flatnonzero(np.diff(items)) + 1, len(items)]):
+                found = self.contains(shingles, self.items[k], where[begin:end])
+                if found[0] >= self.similarity:
+                    best[k] = found
+        return best
+
+    def contains(self, shingles: np.ndarray, item: tuple, at: np.ndarray) -> tuple[float, int]:
+        """The best weighted share of the item's shingles in any window of its size that holds a place of ``at``, and that window's start."""
+        _, size, _, want, weight = item
+        k = max(1, size - min(5, size) + 1)
+        total, best, where = int(weight.sum()), 0, 0
+        # places whose windows meet make one stretch
+        for part in np.split(at, np.flatnonzero(np.diff(at) >= 2 * k) + 1):
+            lo, hi = max(0, int(part[0]) - k + 1), min(len(shingles), int(part[-1]) + k)
+            region = shingles[lo:hi]
+            i = np.searchsorted(want, region)
+            i[i == len(want)] = 0
+            i[want[i] != region] = -1
+            sums = np.concatenate([[0], np.cumsum(i >= 0)])
+            starts = np.arange(max(1, len(region) - k + 1))
+            if (sums[np.minimum(starts + k, len(region))] - sums[starts]).max() < self.similarity * total:
+                continue
+            # the window moves by one shingle at a time
+            i, have, limit, got = i.tolist(), [0] * len(want), weight.tolist(), 0
+            for e, x in enumerate(i):
+                if x >= 0:
+                    have[x] += 1
+                    got += have[x] <= limit[x]
+                if e >= k and (y := i[e - k]) >= 0:
+                    got -= have[y] <= limit[y]
+                    have[y] -= 1
+                if got > best:
+                    best, where = got, lo + max(0, e - k + 1)
+        return best / total, where
+
     def windows(self, lengths: list[int], ones: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, class and fingerprint of all windows of the segments that lie one after the other below ``ones``, prefix sums of bits."""
         ends = np.cumsum(lengths)
         begins = ends - lengths
-        owner = np.repeat(np.arange(len(lengths)), lengths)
         out = []
         for c, (pairs, step) in enumerate(self.classes):
-            s = np.arange(0, len(owner) - pairs + 1, step)
-            s = s[owner[s] == owner[s + pairs - 1]]
+            many = np.maximum(0, (np.asarray(lengths) - pairs) // step + 1)
+            s = np.repeat(begins, many) + step * (np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many))
             # and the last window of each segment, or the whole of a shorter one
             tail = np.maximum(begins, ends - pairs)
             s, e = np.concatenate([s, tail]), np.concatenate([s + pairs, ends])
@@ -151,6 +225,7 @@ class Matcher:
             for i, t in enumerate(texts):
                 words = word_hashes(t)
                 pairs = pair_hashes(words)
+                best[i] = {k: (-share, where) for k, (share, where) in self._shared(words).items()}
                 for lo in range(0, len(pairs), _CHUNK):
                     batch.append((i, words, lo, pairs[lo : lo + _CHUNK + longest]))
                     held += len(batch[-1][3])
