@@ -74,6 +74,20 @@ def row_key(*cols: str) -> Column:
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\u0000null")) for c in cols])
 
 
+def join_hot(rows: DataFrame, facts: DataFrame, on: str, weight: str, total: int, most: int = 50_000) -> DataFrame:
+    """Left join of rows with facts, of which there is one for each value of ``on``, and which say in ``weight`` how many rows have it.
+
+    Values that more than a ``most``-th of all rows have, of which there are fewer than ``most``, are
+    broadcast, so that their rows aren't brought together; the others are joined by a shuffle.
+    """
+    limit = max(1000, total // most)
+    here = free_name(facts, "is_hot")
+    hot = F.broadcast(facts.where(F.col(weight) > limit).withColumn(here, F.lit(True)))
+    marked = rows.join(hot, on, "left")
+    rest = marked.where(F.col(here).isNull()).select(*rows.columns).join(facts.where(F.col(weight) <= limit), on, "left")
+    return marked.where(F.col(here)).drop(here).unionByName(rest)
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that the frame doesn't have yet, compared without case as Spark does."""
     taken = {c.lower() for c in df.columns}

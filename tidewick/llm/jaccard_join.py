@@ -7,10 +7,12 @@ it is dropped once the posterior probability (uniform prior) that its similarity
 falls below ``EPSILON``; what is left is verified by exact shingle sets.
 
 Buckets of up to ``BUCKET`` classes are expanded into pairs. Larger ones (many near copies of one text)
-are not: classes that such buckets link form clusters, clusters are cut into blocks of about ``BLOCK``
-classes, and each pair of blocks is one group that counts links within itself and returns a row for each
-class, not for each pair. No cap applies: every pair that shares a band is compared in one way or the
-other, and pairs within a cluster only there.
+are not: classes that such buckets link form clusters. Each class of a cluster is described by how it
+differs from the cluster's leader. What two classes keep of the leader bounds their similarity from below;
+all classes that by this are linked with each other (near copies with few edits) are counted by a sum.
+Only the rest is compared with the cluster's classes, in pairs of blocks of about ``BLOCK`` classes, which
+get signatures and differences and return a row for each class, not for each pair. No cap applies: every
+pair that shares a band is compared in one way or the other, and pairs within a cluster only there.
 
 Defined cases: null text is empty; a text without words is a class of its own and has no links; a text of
 fewer than 5 words is a single shingle; repeated rows and copies are in one class and count as links of
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import free_name, odd_numbers, row_key, shingle_hashes, text_of, word_hashes, written
+from ._common import free_name, join_hot, odd_numbers, row_key, shingle_hashes, text_of, word_hashes, written
 from .graph import components
 
 THRESHOLD = 0.8
@@ -36,7 +38,9 @@ HASHES = BANDS * ROWS
 STEP = 16
 EPSILON = 1e-7
 BUCKET = 64
-BLOCK = 256
+#: most classes of a block, and most shingles in which they differ from their leader, on average
+BLOCK, BLOCK_SHINGLES = 512, 400_000
+SALTS = 64
 
 _A = (odd_numbers(HASHES, 21) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (odd_numbers(HASHES, 22) >> np.uint64(32)).astype(np.uint32)
@@ -133,41 +137,62 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
 
 
-def linked(sets: list[np.ndarray], sigs: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-    """The 0/1 matrix of links between the classes rows and cols of a block pair."""
+def linked(apart: list[np.ndarray], n: np.ndarray, lost: np.ndarray, leader: int, sigs: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """The 0/1 matrix of links between the classes rows and cols of a block pair.
+
+    Each set A is given by its size n and ``apart``, where it differs from its cluster's leader L (of size
+    ``leader``): ``lost`` shingles of L are not in A. Two sets have leader - lost - lost' + |apart and apart'|
+    shingles in common, whatever L is.
+    """
     pairs = np.zeros((len(rows), len(cols)), bool)
     for i, r in enumerate(rows):
         pairs[i, survivors(np.broadcast_to(sigs[r], (len(cols), HASHES)), sigs[cols])] = True
-    if not pairs.any():
-        return pairs
-    _, at = np.unique(np.concatenate([sets[i] for i in (*rows, *cols)]), return_inverse=True)
-    ends = np.cumsum([len(sets[i]) for i in (*rows, *cols)])
-    own = [at[e - len(sets[i]) : e] for i, e in zip((*rows, *cols), ends)]
-    left, right = own[: len(rows)], own[len(rows) :]
-    size = int(at.max()) + 1
-    sizes_r, sizes_c = np.array([len(x) for x in left]), np.array([len(x) for x in right])
-    common = np.zeros(pairs.shape, np.int64)
-    mark = np.zeros(size, bool)
-    flat, starts = np.concatenate(right), np.cumsum(sizes_c) - sizes_c
-    for i, x in enumerate(left):
-        if pairs[i].any():
-            mark[x] = True
-            common[i] = np.add.reduceat(mark[flat].astype(np.int64), starts)
-            mark[x] = False
-    return pairs & (5 * common >= 4 * (sizes_r[:, None] + sizes_c[None, :] - common))
+    common = leader - lost[rows][:, None] - lost[cols][None, :]
+    enough = 4 * (n[rows][:, None] + n[cols][None, :])
+    certain = 9 * common >= enough
+    unsure = pairs & ~certain
+    if unsure.any():
+        _, at = np.unique(np.concatenate([apart[i] for i in (*rows, *cols)]), return_inverse=True)
+        ends = np.cumsum([len(apart[i]) for i in (*rows, *cols)])
+        own = [at[e - len(apart[i]) : e] for i, e in zip((*rows, *cols), ends)]
+        left, right = own[: len(rows)], own[len(rows) :]
+        mark = np.zeros(int(at.max(initial=0)) + 1, bool)
+        flat, stop = np.concatenate(right), np.cumsum([0, *map(len, right)])
+        for i in np.flatnonzero(unsure.any(axis=1)):
+            mark[left[i]] = True
+            upto = np.concatenate([[0], np.cumsum(mark[flat])])
+            common[i] += upto[stop[1:]] - upto[stop[:-1]]
+            mark[left[i]] = False
+        certain |= unsure & (9 * common >= enough)
+    return pairs & certain
+
+
+def _against_leader(batches):
+    """How each class differs from its cluster's leader."""
+    names = ["cluster", "class", "members", "n", "n_leader", "lost", "near", "apart"]
+    for b in batches:
+        n, n_leader, lost, apart = [], [], [], []
+        for own, leader in zip(b.column(3).to_pylist(), b.column(4).to_pylist()):
+            x, y = np.frombuffer(own, np.uint64), np.frombuffer(leader, np.uint64)
+            d = np.setxor1d(x, y, assume_unique=True)
+            n.append(len(x))
+            n_leader.append(len(y))
+            lost.append((len(d) + len(y) - len(x)) // 2)
+            apart.append(d.tobytes())
+        near = [9 * (m - 2 * k) >= 8 * size for size, m, k in zip(n, n_leader, lost)]
+        yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), *(pa.array(x, pa.int64()) for x in (n, n_leader, lost)), pa.array(near, pa.bool_()), pa.array(apart, pa.binary())], names=names)
 
 
 def _blocks(table: pa.Table) -> pa.Table:
     """One pair of blocks of a cluster: for each class its links in the pair, and an edge to the smallest class it is connected with there."""
     first, second = table.column("first")[0].as_py(), table.column("second")[0].as_py()
-    block = table.column("block").to_numpy()
-    cls, members = table.column("class").to_numpy(), table.column("members").to_numpy()
-    sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
+    block, cls, members, n, lost = (table.column(c).to_numpy() for c in ("block", "class", "members", "n", "lost"))
+    apart = [np.frombuffer(s, np.uint64) for s in table.column("apart").to_pylist()]
     sigs = _sigs(table.column("signature"))
     rows, cols = np.flatnonzero(block == first), np.flatnonzero(block == second)
     links, root = np.zeros(len(cls), np.int64), cls.copy()
     if len(rows) and len(cols):
-        m = linked(sets, sigs, rows, cols)
+        m = linked(apart, n, lost, table.column("n_leader")[0].as_py(), sigs, rows, cols)
         if first == second:
             np.fill_diagonal(m, False)
             links[rows] = m @ members[cols]
@@ -184,6 +209,35 @@ def _blocks(table: pa.Table) -> pa.Table:
     return pa.table({"class": cls, "links": links, "root": root})
 
 
+def _spread(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """Join rows (cluster, class, ...) with a row for each cluster, of which each of SALTS parts of a cluster gets a copy."""
+    salted = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(SALTS)).cast("int")).join(salted, ["cluster", "salt"]).drop("salt")
+
+
+def _cluster_links(clusters: DataFrame, classes: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (class, links, root) within clusters (class, cluster, weight).
+
+    A cluster's leader is the class that shares most buckets. Classes near it are all linked with each other,
+    as the shingles that they have in common with the leader suffice for any two of them: they are counted by
+    a sum. Each of the others is compared with all classes of its cluster, in blocks.
+    """
+    leaders = clusters.groupBy("cluster").agg(F.max_by("class", F.struct("weight", "class")).alias("class")).join(sets, "class").select("cluster", F.col("shingles").alias("leader"))
+    full = clusters.join(classes.select("class", "members"), "class").join(sets, "class").select("cluster", "class", "members", "shingles")
+    against = written(_spread(full, leaders).select("cluster", "class", "members", "shingles", "leader").mapInArrow(_against_leader, "cluster long, class long, members long, n long, n_leader long, lost long, near boolean, apart binary"))
+    size = lambda near: F.ceil(F.greatest(F.count_if(near) / BLOCK, F.coalesce(F.sum(F.when(near, F.length("apart") / 8)), F.lit(0)) / BLOCK_SHINGLES)).cast("int")
+    near = F.col("near")
+    facts = written(against.groupBy("cluster").agg(F.coalesce(F.sum(F.when(near, F.col("members"))), F.lit(0)).alias("near_members"), F.min(F.when(near, F.col("class"))).alias("near_root"), size(~near).alias("far_blocks"), size(near).alias("near_blocks")))
+    known = _spread(against, facts)
+    sums = known.where("near").select("class", (F.col("near_members") - F.col("members")).alias("links"), F.col("near_root").alias("root"))
+    part = lambda blocks: F.pmod(F.xxhash64("class", F.lit(1)), F.greatest(F.col(blocks), F.lit(1))).cast("int")
+    rest = known.where("far_blocks > 0").join(sigs, "class").withColumn("block", F.when(near, F.col("far_blocks") + part("near_blocks")).otherwise(part("far_blocks")))
+    last = F.col("far_blocks") - 1 + F.when(near, 0).otherwise(F.col("near_blocks"))
+    dealt = rest.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    inside = dealt.select("cluster", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "class", "members", "n", "n_leader", "lost", "signature", "apart")
+    return sums.unionByName(inside.groupBy("cluster", "first", "second").applyInArrow(_blocks, "class long, links long, root long"))
+
+
 def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows with their class, classes with members and smallest doc_id, links): links are rows (a, b, weight_a, weight_b, root) as used below."""
     rows = written(signatures(docs))
@@ -201,7 +255,8 @@ def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     clusters = None
     if hot.limit(1).count():
         roots = components(hot.select(F.col("bucket").alias("a"), F.col("class").alias("b")))
-        clusters = written(roots.join(hot.select(F.col("class").alias("node")).distinct(), "node").select(F.col("node").alias("class"), F.col("root").alias("cluster")))
+        weights = hot.groupBy(F.col("class").alias("node")).agg(F.sum("in_bucket").alias("weight"))
+        clusters = written(roots.join(weights, "node").select(F.col("node").alias("class"), F.col("root").alias("cluster"), "weight"))
         for side in ("a", "b"):
             pairs = pairs.join(clusters.select(F.col("class").alias(side), F.col("cluster").alias(f"cluster_{side}")), side, "left")
         pairs = pairs.where("cluster_a is null or cluster_b is null or cluster_a != cluster_b").select("a", "b")
@@ -226,13 +281,7 @@ def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     weighted = edges.join(m("a"), "a").join(m("b"), "b")
     links = weighted.select(F.explode(F.array(F.struct(F.col("a").alias("class"), F.col("members_b").alias("links"), F.least("a", "b").alias("root")), F.struct(F.col("b").alias("class"), F.col("members_a").alias("links"), F.least("a", "b").alias("root")))).alias("x")).select("x.class", "x.links", "x.root")
     if clusters is not None:
-        sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-        full = clusters.join(sizes, "cluster").join(classes.select("class", "members"), "class").join(sigs, "class").join(sets, "class")
-        full = full.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-        dealt = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other"))
-        inside = dealt.select("cluster", "first", "second", "block", "class", "members", "signature", "shingles")
-        links = links.unionByName(inside.groupBy("cluster", "first", "second").applyInArrow(_blocks, "class long, links long, root long"))
+        links = links.unionByName(_cluster_links(clusters, classes, sigs, sets))
     return rows, classes, written(links)
 
 
@@ -244,9 +293,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
     c = classes.join(groups.withColumnRenamed("node", "class"), "class", "left").join(count, "class", "left").withColumn("root", F.coalesce("root", "class"))
     c = written(c.select("class", "members", "root", "least_doc", "least_key", F.coalesce("links", F.lit(0)).alias("links")))
     # of a group, the smallest doc_id stays; nulls come last
-    first = c.groupBy("root").agg(F.min(F.struct(F.col("least_doc").isNull(), F.col("least_doc"), F.col("least_key"))).alias("s"))
-    c = c.join(first, "root").select("class", "members", "links", F.col("s.least_doc").alias("class_id"), F.col("s.least_key").alias("first_key"))
-    return rows.join(c, "class").select("doc_id", "row_key", "class_id", (F.col("links") + F.col("members") - 1).alias("n_links"), F.col("members").alias("n_copies"), "first_key")
+    first = c.groupBy("root").agg(F.min(F.struct(F.col("least_doc").isNull(), F.col("least_doc"), F.col("least_key"))).alias("s"), F.count(F.lit(1)).alias("n_classes"))
+    total = c.agg(F.count(F.lit(1)).alias("classes"), F.coalesce(F.sum("members"), F.lit(0)).alias("rows")).first()
+    c = join_hot(c, first, "root", "n_classes", total.classes).select("class", "members", "links", F.col("s.least_doc").alias("class_id"), F.col("s.least_key").alias("first_key"))
+    return join_hot(rows, written(c), "class", "members", total.rows).select("doc_id", "row_key", "class_id", (F.col("links") + F.col("members") - 1).alias("n_links"), F.col("members").alias("n_copies"), "first_key")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
