@@ -1,21 +1,23 @@
 """Exact substring deduplication over a sparse suffix array.
 
-A byte goes if a ``SPAN``-byte string that covers it also starts anywhere else. Sorting every suffix
-would write many times the input, so suffixes are chosen by content first, without losing a match: of
-every window of SPAN bytes, the leftmost of its smallest ``GRAM``-byte grams (by hash) is its anchor, so
-that equal windows have anchors at equal places. All windows of one anchor form a run.
+A byte goes if a ``SPAN``-byte string that covers it also starts anywhere else. Texts that occur more than
+once go whole (a count by text finds them), and one of each stands in for the copies from there on. Sorting
+every suffix of the rest would write many times the input, so suffixes are chosen by content first, without
+losing a match: of every window of SPAN bytes, the leftmost of its smallest ``GRAM``-byte grams (by hash) is
+its anchor, so that equal windows have anchors at equal places. All windows of one anchor form a run.
 
-Anchors are the suffixes of the array: sampled splitters range-partition them by their leading bytes,
-each bucket is sorted locally, column after column (leading bytes, gram, whole context of the run), and
-neighbours are compared, also across the boundaries of buckets. An anchor whose gram no other has is
-done; one whose whole context another has goes with all its windows.
+Anchors are the suffixes of the array: sampled splitters range-partition them by their leading bytes, the
+gram. Each bucket is sorted locally by multikey quicksort on the gram's bytes, eight at a time, then on
+the digest of the run's whole context, and neighbours are compared, also across the boundaries of buckets.
+An anchor whose gram no other has is done; one whose whole context another has goes with all its windows.
 
 The rest lie where copied passages begin and end. Only they bring their bytes along: they are partitioned
-by leading bytes again, and a bucket compares all their windows, place by place. A gram with more than
-``HOT_ROWS`` anchors is cut by a salt in the range key; the windows of such grams are compared by an
-aggregation over all buckets.
+by gram again, and a bucket compares all their windows, byte by byte where their hashes are equal. A gram
+with more than ``HOT_ROWS`` anchors is cut by a salt in the range key; what its buckets know of its windows
+is compared by an aggregation over digests.
 
-Equality is that of leading bytes and 64-bit polynomial hashes of gram, context and window.
+Equality is that of bytes for texts, grams and windows within a bucket, and that of 128-bit BLAKE2b digests
+for contexts and for windows of hot grams, which would have to travel whole otherwise.
 
 Defined cases: null and empty texts have no bytes and nothing removed; texts shorter than SPAN lose
 nothing; repeated rows are copies of each other (whole texts of SPAN bytes or more go); an empty table
@@ -33,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import mix, odd_numbers, partitions, row_key, text_of, written
+from ._common import join_hot, mix, odd_numbers, partitions, written
 
 SPAN = 200
 GRAM = 32
@@ -41,8 +43,10 @@ GRAM = 32
 STRETCH = 1 << 19
 #: rows whose windows are compared at once
 ROWS_AT_ONCE = 4000
-#: a gram with more anchors than this is dealt to several buckets
-HOT_ROWS = 10_000
+#: a gram with more anchors than this, or than a MOST_HOTth of all, is dealt to several buckets; there are at most MOST_HOT
+HOT_ROWS, MOST_HOT = 10_000, 100_000
+GRAMS = ["g0", "g1", "g2", "g3"]
+CONTEXT = ["c0", "c1"]
 
 _VALUE = odd_numbers(256, 31)
 _BASE = int(odd_numbers(1, 32)[0])
@@ -69,9 +73,27 @@ class Hashes:
             return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
-def _leads(b: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The 4 bytes from each place on, as a number that sorts as they do. A gram is longer than that."""
-    return np.ascontiguousarray(b[at[:, None] + np.arange(4)]).view(">u4").ravel().astype(np.int64)
+def words_of(b: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The GRAM bytes from each place on, as four numbers that sort as the bytes do."""
+    w = np.ascontiguousarray(b[at[:, None] + np.arange(GRAM)]).view(">u8").astype(np.uint64)
+    return (w ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def multikey(columns: list[np.ndarray]) -> np.ndarray:
+    """The rows' order by multikey quicksort, in which a column is a character: each one sorts only rows that are equal so far."""
+    order = np.arange(len(columns[0]))
+    at, group = order.copy(), np.zeros(len(order), np.int64)
+    for c in columns:
+        rows = order[at]
+        rows = rows[np.lexsort((c[rows], group))]
+        order[at] = rows
+        new = np.append(True, (group[1:] != group[:-1]) | (c[rows][1:] != c[rows][:-1]))[: len(rows)]
+        group = np.cumsum(new) - 1
+        tied = np.bincount(group)[group] > 1 if len(group) else np.empty(0, bool)
+        at, group = at[tied], group[tied]
+        if not len(at):
+            break
+    return order
 
 
 def stretches(n: int):
@@ -81,12 +103,11 @@ def stretches(n: int):
 
 
 def anchors(b: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of one stretch: place, first and last window of each anchor, its gram's hash and its context's."""
+    """Of one stretch: place, first and last window of each anchor."""
     h = Hashes(b)
     grams = np.arange(len(b) - GRAM + 1)
-    g = h.of(grams, grams + GRAM)
     # the hash's upper bits, then the place: the minimum is the leftmost of the smallest
-    key = (g >> np.uint64(20) << np.uint64(20)) | grams.astype(np.uint64)
+    key = (h.of(grams, grams + GRAM) >> np.uint64(20) << np.uint64(20)) | grams.astype(np.uint64)
     width, span = 1, SPAN - GRAM + 1
     least = key
     while 2 * width <= span:
@@ -97,28 +118,38 @@ def anchors(b: np.ndarray) -> tuple[np.ndarray, ...]:
     place = (least & np.uint64((1 << 20) - 1)).astype(np.int64)
     first = np.flatnonzero(np.diff(place, prepend=-1))
     last = np.append(first[1:], len(place)) - 1
-    at = place[first]
-    shift = mix(((at - first) * 1000 + (last - first)).astype(np.uint64))
-    return at, first, last, g[at], mix(h.of(first, last + SPAN) ^ shift)
+    return place[first], first, last
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+def _digests(raw: memoryview, starts: list[int], ends: list[int]) -> np.ndarray:
+    """128-bit digests as pairs of numbers."""
+    d = b"".join([hashlib.blake2b(raw[s:e], digest_size=16).digest() for s, e in zip(starts, ends)])
+    return np.frombuffer(d, np.int64).reshape(-1, 2)
 
 
 def _anchor_rows(batches):
+    """key, spot (place, windows before and after it), gram and context of all anchors."""
     for batch in batches:
-        parts = [[] for _ in range(7)]
-        for key, text in zip(batch.column(0).to_pylist(), text_of(batch.column(1))):
-            raw = np.frombuffer(text.encode(), np.uint8)
+        parts = [[] for _ in range(4)]
+        for key, packed in zip(*(c.to_pylist() for c in batch.columns)):
+            raw = zlib.decompress(packed)
+            whole = np.frombuffer(raw, np.uint8)
             for lo, hi in stretches(len(raw)):
-                b = raw[lo:hi]
-                at, first, last, gram, context = anchors(b)
-                for p, x in zip(parts, (np.full(len(at), key), at + lo, at - first, last - first, _leads(b, at), gram, context)):
+                at, first, last = anchors(whole[lo:hi])
+                context = _digests(memoryview(raw), (first + lo).tolist(), (last + lo + SPAN).tolist())
+                for p, x in zip(parts, (np.full(len(at), key), _spot(at + lo, at - first, last - first), words_of(whole, at + lo), context)):
                     p.append(x)
-        kinds = (np.int64, np.int64, np.int16, np.int16, np.int64, np.uint64, np.uint64)
-        cols = [np.concatenate(p).astype(k) if p else np.empty(0, k) for p, k in zip(parts, kinds)]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, cols[:5]), *map(_signed, cols[5:])], names=["key", "at", "before", "more", "lead", "gram", "context"])
+        key, spot, gram, context = (np.concatenate(p) if p else np.empty((0, n), np.int64) for p, n in zip(parts, (1, 1, 4, 2)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x).ravel()) for x in (key, spot, *gram.T, *context.T)], names=["key", "spot", *GRAMS, *CONTEXT])
+
+
+def _spot(at: np.ndarray, before: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """An anchor's place, how far before it its first window starts, and how many more windows follow; the latter two are below 256."""
+    return at << 16 | before << 8 | more
+
+
+def _runs(spot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return spot >> 16, spot >> 8 & 255, spot & 255
 
 
 def _same(t: pa.Table, cols: list[str]) -> np.ndarray:
@@ -142,8 +173,7 @@ def _sorted_bucket(order: list[str], levels: dict[str, list[str]]):
         if not batches:
             return
         t = pa.Table.from_batches(batches).combine_chunks()
-        index = np.lexsort([t.column(c).to_numpy() for c in reversed(order)])
-        t = t.take(pa.array(index))
+        t = t.take(pa.array(multikey([t.column(c).to_numpy() for c in order])))
         n = t.num_rows
         role = np.zeros(n, np.int32)
         role[0] += 1
@@ -191,96 +221,118 @@ def neighbours(rows: DataFrame, order: list[str], levels: dict[str, list[str]])
 
 
 def _salt(rows: DataFrame):
-    return F.xxhash64("key", "at")
+    return F.xxhash64("key", "spot")
 
 
 def _context_rows(batches):
     """For each anchor that is left, the bytes of its windows."""
-    names = ["key", "at", "before", "more", "lead", "gram", "hot", "bytes"]
     for batch in batches:
-        rows = [[] for _ in names]
+        rows, gram = [[] for _ in range(4)], []
         for key, packed, runs in zip(*(c.to_pylist() for c in batch.columns)):
             raw = zlib.decompress(packed)
-            for r in runs:
-                first = r["at"] - r["before"]
-                for x, v in zip(rows, (key, r["at"], r["before"], r["more"], r["lead"], r["gram"], r["hot"], raw[first : first + r["more"] + SPAN])):
-                    x.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds)], names=names)
-
+            spots = np.array([r["spot"] for r in runs])
+            at, before, more = _runs(spots)
+            gram.append(words_of(np.frombuffer(raw, np.uint8), at))
+            rows[0] += [key] * len(runs)
+            rows[1] += spots.tolist()
+            rows[2] += [r["hot"] for r in runs]
+            rows[3] += [raw[s:e] for s, e in zip((at - before).tolist(), (at - before + more + SPAN).tolist())]
+        g = np.concatenate(gram) if gram else np.empty((0, 4), np.int64)
+        yield pa.RecordBatch.from_arrays([*(pa.array(x, k) for x, k in zip(rows, (pa.int64(), pa.int64(), pa.bool_(), pa.binary()))), *(pa.array(np.ascontiguousarray(x)) for x in g.T)], names=["key", "spot", "hot", "bytes", *GRAMS])
 
-def _packed(batches):
-    """Texts travel compressed."""
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([zlib.compress(t.encode(), 1) for t in text_of(b.column(1))], pa.binary())], names=["key", "packed"])
 
+def equal_windows(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, same): an order of the windows from ``starts`` on in which equal ones are neighbours, and whether each equals the next.
 
-def _window_hashes(at: np.ndarray, before: np.ndarray, more: np.ndarray, gram: np.ndarray, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, window's start, hash) of every window of every row; the hash covers gram, place and bytes."""
-    n = more.astype(np.int64) + 1
-    flat = np.frombuffer(b"".join(raw), np.uint8)
-    sizes = n + SPAN - 1
-    begin = np.cumsum(sizes) - sizes
-    row = np.repeat(np.arange(len(n)), n)
-    step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    s = begin[row] + step
-    place = before.astype(np.int64)[row] - step
-    with np.errstate(over="ignore"):
-        h = mix(Hashes(flat).of(s, s + SPAN) ^ mix(gram.view(np.uint64)[row] + place.astype(np.uint64)))
-    return row, at[row] - place, h
+    Hashes bring windows together, bytes decide; where unequal windows share a hash, those are sorted by their bytes.
+    """
+    h = Hashes(flat).of(starts, starts + SPAN)
+    order = np.argsort(h, kind="stable")
+    alike = np.append(h[order][1:] == h[order][:-1], False)[: len(order)]
+    view, same = np.lib.stride_tricks.sliding_window_view(flat, SPAN), alike.copy()
+    compare = lambda i: (view[starts[order[i]]] == view[starts[order[i + 1]]]).all(axis=1)
+    at = np.flatnonzero(alike)
+    for i in range(0, len(at), 50_000):
+        same[at[i : i + 50_000]] = compare(at[i : i + 50_000])
+    if (same != alike).any():
+        ends = np.flatnonzero(~alike)
+        for e in np.unique(np.searchsorted(ends, np.flatnonzero(same != alike))):
+            lo, hi = (int(ends[e - 1]) + 1 if e else 0), int(ends[e]) + 1
+            order[lo:hi] = sorted(order[lo:hi].tolist(), key=lambda i: flat[starts[i] : starts[i] + SPAN].tobytes())
+            same[lo : hi - 1] = compare(np.arange(lo, hi - 1))
+    return order, same
 
 
 def _compare_windows(batches):
-    """One bucket: stretches of windows that occur twice, and, with their hash, the different windows of hot grams."""
+    """One bucket: stretches of windows that occur twice, and, with their digest, the different windows of hot grams."""
     batches = [b for b in batches if b.num_rows]
     if not batches:
         return
     t = pa.Table.from_batches(batches).combine_chunks()
-    t = t.take(pa.array(np.lexsort([t.column(c).to_numpy() for c in ("gram", "lead")])))
-    gram = t.column("gram").to_numpy()
-    starts = np.append(np.flatnonzero(np.append(True, gram[1:] != gram[:-1])), len(gram))
-    lo = 0
+    words = [t.column(c).to_numpy() for c in GRAMS]
+    order = multikey(words)
+    t = t.take(pa.array(order))
+    new = np.append(True, np.any([w[order][1:] != w[order][:-1] for w in words], axis=0))
+    starts = np.append(np.flatnonzero(new), t.num_rows)
+    lo, names, none = 0, ["key", "s", "e", *CONTEXT], np.empty((0, 2), np.int64)
     while lo < len(starts) - 1:  # whole grams at a time, of so many rows that their windows fit
         hi = min(len(starts) - 1, max(lo + 1, int(np.searchsorted(starts, starts[lo] + ROWS_AT_ONCE, "right")) - 1))
         part = t.slice(int(starts[lo]), int(starts[hi] - starts[lo]))
-        g = part.column("gram").to_numpy()
-        row, start, h = _window_hashes(part.column("at").to_numpy(), part.column("before").to_numpy(), part.column("more").to_numpy(), g, part.column("bytes").to_pylist())
-        opened = part.column("hot").to_numpy()
-        order = np.argsort(h, kind="stable")
-        same = np.append(h[order][1:] == h[order][:-1], False)
-        twice = np.zeros(len(h), bool)
+        key, opened, raw = part.column("key").to_numpy(), part.column("hot").to_numpy(), b"".join(part.column("bytes").to_pylist())
+        at, before, more = _runs(part.column("spot").to_numpy())
+        n, sizes = more + 1, more + SPAN
+        row = np.repeat(np.arange(len(n)), n)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        here, start = (np.cumsum(sizes) - sizes)[row] + step, (at - before)[row] + step
+        order, same = equal_windows(np.frombuffer(raw, np.uint8), here)
+        twice = np.zeros(len(row), bool)
         twice[order] = same | np.append(False, same[:-1])
-        key = part.column("key").to_numpy()
         # windows that occur twice, as stretches of bytes: a row's windows lie one after the other
         join = np.append(False, twice[1:] & twice[:-1] & (row[1:] == row[:-1]))
         first = np.flatnonzero(twice & ~join)
         last = np.flatnonzero(twice & ~np.append(join[1:], False))
         # of equal windows here one goes on to be compared with other buckets: the others are known to occur twice
-        free = order[np.append(True, h[order][1:] != h[order][:-1])]
+        free = order[np.append(True, ~same[:-1])]
         free = free[opened[row[free]]]
-        yield pa.RecordBatch.from_arrays([pa.array(key[row[first]]), pa.array(start[first]), pa.array(start[last] + SPAN), pa.nulls(len(first), pa.int64())], names=["key", "s", "e", "hash"])
-        yield pa.RecordBatch.from_arrays([pa.array(key[row[free]]), pa.array(start[free]), pa.array(start[free] + SPAN), _signed(h[free])], names=["key", "s", "e", "hash"])
+        digest = _digests(memoryview(raw), here[free].tolist(), (here[free] + SPAN).tolist()) if len(free) else none
+        nothing = pa.nulls(len(first), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(key[row[first]]), pa.array(start[first]), pa.array(start[last] + SPAN), nothing, nothing], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(key[row[free]]), pa.array(start[free]), pa.array(start[free] + SPAN), *(pa.array(np.ascontiguousarray(x)) for x in digest.T)], names=names)
         lo = hi
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(key, spans): for each text with any, the stretches of bytes [s, e) that repeated windows cover, not yet merged; key is row_key(doc_id, text)."""
-    texts = docs.select(row_key("doc_id", "text").alias("key"), "text")
-    rows = texts.mapInArrow(_anchor_rows, "key long, at long, before short, more short, lead long, gram long, context long")
-    found = neighbours(rows, ["lead", "gram", "context"], {"gram_twice": ["lead", "gram"], "context_twice": ["lead", "gram", "context"]})
-    whole = found.where("context_twice").select("key", (F.col("at") - F.col("before")).alias("s"), (F.col("at") - F.col("before") + F.col("more") + SPAN).alias("e"))
-    # rows of equal content have equal anchors, each of which counts; and of each repeated context one goes along, for windows elsewhere that equal part of it
-    left = found.where("gram_twice and (not context_twice or witness)")
-    hot = left.groupBy("lead", "gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_ROWS).select("lead", "gram", F.lit(True).alias("hot"))
-    left = left.join(hot, ["lead", "gram"], "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    runs = left.groupBy("key").agg(F.collect_set(F.struct("at", "before", "more", "lead", "gram", "hot")).alias("runs"))
-    packed = texts.mapInArrow(_packed, "key long, packed binary")
-    contexts = written(packed.join(runs, "key").select("key", "packed", "runs").mapInArrow(_context_rows, "key long, at long, before short, more short, lead long, gram long, hot boolean, bytes binary"))
-    dealt = contexts.repartitionByRange(2 * partitions(docs.sparkSession), "lead", "gram", F.when(F.col("hot"), _salt(contexts)).otherwise(0))
-    windows = written(dealt.mapInArrow(_compare_windows, "key long, s long, e long, hash long"))
-    opened = windows.where("hash is not null")
-    again = opened.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-    found_twice = windows.where("hash is null").select("key", "s", "e").unionByName(opened.join(again, "hash", "left_semi").select("key", "s", "e"))
+def _packed(batches):
+    """Texts are kept and travel compressed."""
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([zlib.compress(t, 1) for t in b.column(3).cast(pa.binary()).to_pylist()], pa.binary())], names=["copies", "digest", "n_bytes", "packed"])
+
+
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """A row (key, copies, digest, n_bytes, packed) for each different text of SPAN bytes or more. Copies are merged before the shuffle; keys are row numbers of the written table."""
+    counted = docs.where(F.octet_length("text") >= SPAN).groupBy("text").agg(F.count(F.lit(1)).alias("copies"))
+    rows = counted.select("copies", F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"), "text")
+    return written(rows.mapInArrow(_packed, "copies long, digest string, n_bytes long, packed binary").withColumn("key", F.monotonically_increasing_id()))
+
+
+def repeated_spans(texts: DataFrame) -> DataFrame:
+    """(key, spans): for each of the different texts with any, the stretches of bytes [s, e) that repeated windows cover, not yet merged."""
+    words, context = (", ".join(f"{c} long" for c in x) for x in (GRAMS, CONTEXT))
+    rows = texts.select("key", "packed").mapInArrow(_anchor_rows, f"key long, spot long, {words}, {context}")
+    found = neighbours(rows, [*GRAMS, *CONTEXT], {"gram_twice": GRAMS, "context_twice": [*GRAMS, *CONTEXT]})
+    at, before, more = F.shiftright("spot", 16), F.shiftright("spot", 8).bitwiseAND(255), F.col("spot").bitwiseAND(255)
+    whole = found.where("context_twice").select("key", (at - before).alias("s"), (at - before + more + SPAN).alias("e"))
+    # of each repeated context one goes along, for windows elsewhere that equal part of it
+    left = found.where("gram_twice and (not context_twice or witness)").select("key", "spot", *GRAMS)
+    limit = max(HOT_ROWS, left.count() // MOST_HOT)
+    hot = left.groupBy(*GRAMS).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select(*GRAMS, F.lit(True).alias("hot"))
+    left = left.join(F.broadcast(hot), GRAMS, "left").withColumn("hot", F.coalesce("hot", F.lit(False)))  # at most MOST_HOT rows
+    runs = left.groupBy("key").agg(F.collect_list(F.struct("spot", "hot")).alias("runs"))  # the places of one text
+    contexts = written(texts.join(runs, "key").select("key", "packed", "runs").mapInArrow(_context_rows, f"key long, spot long, hot boolean, bytes binary, {words}"))
+    dealt = contexts.repartitionByRange(2 * partitions(texts.sparkSession), *GRAMS, F.when(F.col("hot"), _salt(contexts)).otherwise(0))
+    windows = written(dealt.mapInArrow(_compare_windows, f"key long, s long, e long, {context}"))
+    opened = windows.where("c0 is not null")
+    again = opened.groupBy(*CONTEXT).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*CONTEXT)
+    found_twice = windows.where("c0 is null").select("key", "s", "e").unionByName(opened.join(again, CONTEXT, "left_semi").select("key", "s", "e"))
     return whole.unionByName(found_twice).groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
@@ -296,30 +348,28 @@ def merge(spans: list[dict]) -> list[tuple[int, int]]:
 
 
 def _cut(batches):
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    names = ["digest", "n_removed", "n_spans", "kept_sha256", "kept"]
     for batch in batches:
         rows = [[] for _ in names]
-        for doc, packed, spans in zip(*(c.to_pylist() for c in batch.columns)):
-            raw = zlib.decompress(packed)
-            merged = merge(spans or [])
+        for digest, packed, spans in zip(*(c.to_pylist() for c in batch.columns)):
+            raw, merged = zlib.decompress(packed), merge(spans)
             left = b"".join(raw[a:b] for a, b in zip([0, *(e for _, e in merged)], [*(s for s, _ in merged), len(raw)]))
-            for x, v in zip(rows, (doc, len(raw), len(raw) - len(left), len(merged), hashlib.sha256(left).hexdigest(), left)):
+            for x, v in zip(rows, (digest, len(raw) - len(left), len(merged), hashlib.sha256(left).hexdigest(), left)):
                 x.append(v)
-        kinds = (batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds)], names=names)
-
-
-def _packed_rows(batches):
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([zlib.compress(t.encode(), 1) for t in text_of(b.column(2))], pa.binary())], names=["doc_id", "key", "packed"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()))], names=names)
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the bytes that stay."""
-    spans = repeated_spans(docs)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", row_key("doc_id", "text").alias("key"), "text").mapInArrow(_packed_rows, f"doc_id {kind}, key long, packed binary")
-    return rows.join(spans, "key", "left").select("doc_id", "packed", "spans").mapInArrow(_cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    texts = distinct_texts(docs)
+    cut = texts.where("copies = 1").join(repeated_spans(texts), "key").select("digest", "packed", "spans").mapInArrow(_cut, "digest string, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    gone = texts.where("copies > 1").select("digest", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit("").cast("binary"), 256).alias("kept_sha256"), F.lit(b"").alias("kept"), "copies")
+    facts = cut.withColumn("copies", F.lit(1).cast("long")).unionByName(gone)
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("digest"), F.encode(text, "UTF-8").alias("whole"))
+    j = join_hot(rows, facts, "digest", "copies", texts.agg(F.sum("copies")).first()[0] or 0)
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return j.select("doc_id", "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("kept_sha256", "digest").alias("kept_sha256"), F.coalesce("kept", "whole").alias("kept"))
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
