@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from tests.llm.conftest import frame
@@ -93,3 +94,19 @@ def test_looser_forms_are_found(spark):
     assert all(out[i] == t for i, t in texts if i % 6 in (2, 5))
     valid = [x for x in texts if x[0] % 6 not in (2, 5)]  # nothing that is refused to learn from
     assert {r.text for r in pii.redact(frame(spark, valid)).collect()} == {"mail [EMAIL] now", "tel [PHONE] ok", "call [PHONE].", "ask [EMAIL]"}
+
+
+def test_secrets_are_learned(spark):
+    """Tokens learn from those that have a name; a named word and long words stay."""
+    r = random.Random(5)
+    token = lambda k, n: "".join(r.choice(k) for _ in range(n))
+    hexa, upper = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    rows = [(i, f"so token = \"{token(hexa, 40)}\" here") for i in range(60)] + [(100 + i, f"so password={token(hexa, 18)}") for i in range(60)]
+    rows += [(200 + i, f"a word like donaudampfschifffahrtsgesellschaft{'abc'[i % 3] * (i % 7)} is none") for i in range(60)]
+    rows += [(300, f"key id AKIA{token(upper, 12)}7X9Q2 leaked"), (301, "no token: unfortunately none"), (302, "api_key='zq81-xw07-pp55-1234567'")]
+    out = {x.doc_id: x.text for x in pii.redact(frame(spark, rows)).collect()}
+    assert {out[i] for i in range(60)} == {'so token = "[SECRET]" here'} and {out[i] for i in range(100, 160)} == {"so password=[SECRET]"}
+    assert all(out[i] == t for i, t in rows if 200 <= i < 300 or i == 301)
+    assert out[300] == "key id [SECRET] leaked" and out[302] == "api_key='[SECRET]'"
+    got = {x.doc_id: x for x in pii.find(frame(spark, rows)).collect()}
+    assert {b.kind for x in got.values() for b in x.base} <= {2}  # a token's digits may pass for a card's

@@ -1,15 +1,20 @@
 """Personal data: high-recall candidates, boosted trees over format and context, calibrated thresholds.
 
 DataFrame functions only. Generators propose overlapping spans per kind: the four base patterns before
-their checks, and looser forms (local phone numbers, obfuscated addresses). Matches that pass the base
-checks (parts of an IP address, Luhn's digit, digit counts) are always spans. The rest are judged by
-gradient boosted trees: features are a candidate's kind and small integers for its format and
-context, which never include the outcome of a base check; labels are whether a base-valid match of the kind
-covers it. Only matches of base patterns have labels. A looser form can't pass a base check of its own, which
-says nothing against it: it is no example, and is scored by what base matches of like format and context
-turned out to be, against thresholds that hold for those; its own precision can't be measured. As the
-features have few values, training needs only counts by feature vector (at most ``VECTORS``, by their
-ranges), aggregated over the whole corpus; the trees become column expressions. For each kind the
+their checks, looser forms of them (local phone numbers, obfuscated addresses), and secrets (opaque
+tokens, values given to names such as password). Matches that pass the base checks (parts of an IP
+address, Luhn's digit, digit counts) are always spans. The rest are judged by gradient boosted trees:
+features are a candidate's kind and small integers for its format and context.
+
+Labels never come from what the features say. A base pattern's match is positive if a base-valid match of
+its kind covers it; features don't hold the outcome of a check. An opaque token is positive if it is given
+to a name that says so, which is no feature of it, and negative if it is a word (letters only). All other
+candidates have no label: a looser form can't pass a base check, and a token without a name may be either.
+They are no examples, and are scored by what labelled ones of like format and context turned out to be,
+against thresholds that hold for those.
+
+As the features have few values, training needs only counts by feature vector (at most ``VECTORS``, by
+their ranges), aggregated over the whole corpus; the trees become column expressions. For each kind the
 threshold is the lowest score at which held-out candidates reach ``PRECISION``; where none does, nothing
 is added.
 
@@ -33,7 +38,9 @@ from pyspark.sql import functions as F
 
 from ._common import free_name, row_key, written
 
-KINDS = ["email", "ip", "card", "phone"]
+KINDS = ["email", "ip", "card", "phone", "secret"]
+#: the kinds that have a base pattern
+BASE_KINDS = KINDS[:4]
 PRECISION = 0.95
 ROUNDS, DEPTH, RATE = 30, 3, 0.3
 CALIBRATION_LEAST = 20
@@ -48,20 +55,28 @@ _PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 #: looser forms
 _LOCAL_PHONE = r"(?<![0-9+(])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"
 _SPELLED_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)|\{at\}) ?[A-Za-z0-9-]{1,63}(?: ?(?:\[dot\]|\(dot\)|\{dot\}|\.) ?[A-Za-z0-9-]{1,63}){1,5}"
+#: opaque tokens, and values given to a name
+_TOKEN = r"(?<![A-Za-z0-9])(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{16,}+"
+_NAMES = r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|credential|(?:api|access|auth|private)[_-]?key)[\"']? ?[=:] ?[\"']?"
+_GIVEN = rf"(?<={_NAMES})[^\s\"',;=:<>]{{6,128}}"
 #: words before a candidate that speak for it
 _CUES = r"(?i)(?:e-?mail|mail|tel|phone|call|mobile|fax|card|visa|iban|account|ip|host|server|address|contact)[^A-Za-z]{0,4}$"
-#: (kind, pattern, what a text must hold for it to be worth running, whether a base pattern)
+#: (kind, pattern, what a text must match for it to be worth running, whether a base pattern)
 _GENERATORS = [
     (0, _EMAIL, "@", True),
-    (1, _IP, None, True),
-    (2, _CARD, None, True),
-    (3, _PHONE, "+", True),
-    (3, _LOCAL_PHONE, None, False),
+    (1, _IP, "[0-9]", True),
+    (2, _CARD, "[0-9]", True),
+    (3, _PHONE, "[+]", True),
+    (3, _LOCAL_PHONE, "[0-9]", False),
     (0, _SPELLED_EMAIL, "at", False),
+    (4, _TOKEN, "[A-Za-z0-9]{16}", False),
+    (4, _GIVEN, "[=:]", False),
 ]
+_TOKENS = 6
 #: each feature's values are 0 to this, exclusive
-FEATURES = {"kind": len(KINDS), "digits": 8, "separator": 5, "before": 5, "after": 5, "cue": 2}
+FEATURES = {"kind": len(KINDS), "digits": 8, "separator": 5, "before": 5, "after": 5, "cue": 2, "case": 4}
 VECTORS = math.prod(FEATURES.values())
+_CANDIDATE = "struct<kind:int,s:int,e:int,valid:boolean,labelled:boolean,positive:boolean," + ",".join(f"{f}:int" for f in FEATURES if f != "kind") + ">"
 
 
 def _matches(text: Column, pattern: str) -> Column:
@@ -108,20 +123,22 @@ def _described(text: Column, g: int):
         before = F.when(x["s"] > 0, text.substr(x["s"], F.lit(1))).otherwise("")
         ahead = text.substr(x["e"] + 1, F.lit(1))
         context = text.substr(F.greatest(x["s"] - 23, F.lit(1)), F.least(x["s"], F.lit(24)))
+        named = context.rlike(_NAMES + "$")
+        if kind == 4:  # a name before a token is its label
+            cue, labelled, positive = F.lit(0), F.lit(g == _TOKENS) & (named | (digits == 0)), named
+        else:
+            cue, labelled, positive = context.rlike(_CUES).cast("int"), F.lit(_GENERATORS[g][3]), F.lit(False)
+        case = m.rlike("[a-z]").cast("int") + 2 * m.rlike("[A-Z]").cast("int")
         size = F.when(digits == 0, 0).when(digits < 7, 1).when(digits < 9, 2).when(digits < 11, 3).when(digits < 13, 4).when(digits < 16, 5).when(digits == 16, 6).otherwise(7)
-        return F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), _valid(g, m).alias("valid"), F.lit(_GENERATORS[g][3]).alias("labelled"), size.alias("digits"), separator.alias("separator"), _char_class(before).alias("before"), _char_class(ahead).alias("after"), context.rlike(_CUES).cast("int").alias("cue"))
+        return F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), _valid(g, m).alias("valid"), labelled.alias("labelled"), positive.alias("positive"), size.alias("digits"), separator.alias("separator"), _char_class(before).alias("before"), _char_class(ahead).alias("after"), cue.alias("cue"), case.alias("case"))
 
     return one
 
 
 def _candidates(text: Column) -> Column:
-    """All generators' spans with features: structs (kind, s, e, valid, labelled, other features...)."""
-    parts = []
-    digit = text.rlike("[0-9]")
-    for g, (kind, pattern, needs, _) in enumerate(_GENERATORS):
-        found = F.when(text.contains(needs) if needs else digit, _matches(text, pattern))
-        parts.append(F.coalesce(F.transform(found, _described(text, g)), F.array().cast("array<struct<kind:int,s:int,e:int,valid:boolean,labelled:boolean," + ",".join(f"{f}:int" for f in FEATURES if f != "kind") + ">>")))
-    return F.concat(*parts)
+    """All generators' spans with features: structs (kind, s, e, valid, labelled, positive, other features...)."""
+    found = [F.when(text.rlike(needs), _matches(text, pattern)) for _, pattern, needs, _ in _GENERATORS]
+    return F.concat(*[F.coalesce(F.transform(x, _described(text, g)), F.array().cast(f"array<{_CANDIDATE}>")) for g, x in enumerate(found)])
 
 
 def candidates(docs: DataFrame, keep: list[str], text: str = "text", out: str = "candidates") -> DataFrame:
@@ -134,9 +151,9 @@ def candidates(docs: DataFrame, keep: list[str], text: str = "text", out: str =
 
 
 def vectors(rows: DataFrame, fold: Column, column: str = "candidates") -> list:
-    """Counts of the base patterns' candidates by (held out, features): at most 2 * VECTORS rows. A candidate is positive if a valid match of its kind covers it."""
+    """Counts of labelled candidates by (held out, features): at most 2 * VECTORS rows. A base pattern's is positive if a valid match of its kind covers it."""
     c = F.col(column)
-    covered = F.transform(F.filter(c, lambda x: x["labelled"]), lambda x: F.struct(x.alias("x"), F.exists(c, lambda y: y["valid"] & (y["kind"] == x["kind"]) & (y["s"] <= x["s"]) & (y["e"] >= x["e"])).alias("y")))
+    covered = F.transform(F.filter(c, lambda x: x["labelled"]), lambda x: F.struct(x.alias("x"), (x["positive"] | F.exists(c, lambda y: y["valid"] & (y["kind"] == x["kind"]) & (y["s"] <= x["s"]) & (y["e"] >= x["e"]))).alias("y")))
     flat = rows.select(fold.alias("held_out"), F.explode(covered).alias("z")).select("held_out", *[f"z.x.{f}" for f in FEATURES], F.col("z.y").cast("long").alias("y"))
     return flat.groupBy("held_out", *FEATURES).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("positive")).collect()
 
@@ -265,4 +282,4 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 def op1_pii(spark, sf_dir: str) -> DataFrame:
     found = find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
-    return found.select("doc_id", *[count(k) for k in range(4)], F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("every")).alias("spans"))
+    return found.select("doc_id", *[count(k) for k in range(4)], F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("every")).alias("spans"), F.size("every").cast("long").alias("n_spans"))
