@@ -65,3 +65,17 @@ def test_recall_of_passages_at_the_limit():
     assert 60 < sum(map(len, want)) < 120
     assert [{h[0] for h in x} for x in m.match(texts)] == want
     assert [m.match([t])[0] for t in texts] == m.match(texts)  # whatever precedes a text
+
+
+def test_fingerprints_of_windows_are_those_of_their_words():
+    """Whatever the counters' width: a window's fingerprint from prefix sums is its words' own."""
+    for longest in (30, 100, 200, 70_000):
+        m = D.Matcher([(0, " ".join(words(1, 20))), (1, " ".join(words(2, longest)))])
+        w = word_hashes(" ".join(words(3, 300)))
+        pairs = D.pair_hashes(w)
+        part = D._bits(pairs).astype(m.counter, copy=False).view(np.uint64)
+        ones = np.concatenate([np.zeros((1, part.shape[1]), np.uint64), np.cumsum(part, axis=0)])
+        starts, classes, prints = m.windows([len(pairs)], ones)
+        for s, c, p in zip(starts.tolist(), classes.tolist(), prints.tolist()):
+            e = min(len(pairs), s + m.classes[c >> 16][0])
+            assert p == D.fingerprint(w[s : e + 1])

@@ -60,6 +60,16 @@ def fingerprint(words: np.ndarray) -> int:
     return int(np.packbits(_bits(h).sum(axis=0) > len(h) // 2, bitorder="little").view("<u8")[0])
 
 
+def majorities(counts: np.ndarray, half: np.ndarray, counter: type) -> np.ndarray:
+    """Fingerprints from rows of 64 counters, side by side in 64-bit numbers: the bits of those above ``half``."""
+    if counter is not np.uint8:
+        return np.packbits(counts.view(counter) > half.astype(counter)[:, None], axis=1, bitorder="little").view("<u8").ravel()
+    # eight counters below 128 in a number: adding 127 - half sets a counter's top bit if it is above half; a product brings the top bits together
+    with np.errstate(over="ignore"):
+        top = (counts + ((127 - half).astype(np.uint64) * np.uint64(0x0101010101010101))[:, None] & np.uint64(0x8080808080808080)) >> np.uint64(7)
+        return (top * np.uint64(0x0102040810204080) >> np.uint64(56)).astype(np.uint8).view("<u8").ravel()
+
+
 #: what turns a 16-bit value into those within 3 bits of it: with four blocks, radius 15 needs no more
 _NEAR = np.array([sum(1 << i for i in c) for k in range(RADIUS // 4 + 1) for c in itertools.combinations(range(16), k)], np.int64)
 
@@ -111,6 +121,8 @@ class Matcher:
             of += [len(self.classes)] * (end - at)
             self.classes.append((max(1, size - 1), max(1, size // STEP)))
             at = end
+        longest = max((x[1] for x in self.items), default=0)
+        self.counter = np.uint8 if longest < 1 << 7 else np.uint16 if longest < 1 << 16 else np.uint32
         self._rarest()
         self.index = Index(np.array([x[2] for x in self.items], np.uint64), np.array(of, np.int64))
 
@@ -184,7 +196,11 @@ class Matcher:
         return best / total, where
 
     def windows(self, lengths: list[int], ones: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, class and fingerprint of all windows of the segments that lie one after the other below ``ones``, prefix sums of bits."""
+        """Start, class and fingerprint of all windows of the segments that lie one after the other below ``ones``, prefix sums of bits.
+
+        Counters lie side by side in 64-bit numbers. A difference of two sums is the number whose counters are
+        the differences, as each of these fits its place, whatever overflowed into a neighbour in the sums.
+        """
         ends = np.cumsum(lengths)
         begins = ends - lengths
         out = []
@@ -193,10 +209,17 @@ class Matcher:
             s = np.repeat(begins, many) + step * (np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many))
             # and the last window of each segment, or the whole of a shorter one
             tail = np.maximum(begins, ends - pairs)
-            s, e = np.concatenate([s, tail]), np.concatenate([s + pairs, ends])
-            out.append((s, np.full(len(s), c << 16), np.packbits(ones[e] - ones[s] > ((e - s) // 2).astype(np.uint16)[:, None], axis=1, bitorder="little")))
-        s, c, p = (np.concatenate(x) for x in zip(*out))
-        return s, c, p.view("<u8").ravel()
+            counts, at = np.empty((len(s) + len(tail), ones.shape[1]), np.uint64), 0
+            for b, n in zip(begins.tolist(), many.tolist()):
+                stop = b + (n - 1) * step + 1
+                if n:
+                    np.subtract(ones[b + pairs : stop + pairs : step], ones[b:stop:step], out=counts[at : at + n])
+                at += n
+            np.subtract(ones[ends], ones[tail], out=counts[at:])
+            half = np.concatenate([np.full(at, pairs // 2), (ends - tail) // 2])
+            s = np.concatenate([s, tail])
+            out.append((s, np.full(len(s), c << 16), majorities(counts, half, self.counter)))
+        return tuple(np.concatenate(x) for x in zip(*out))
 
     def verify(self, shingles: np.ndarray, item: tuple, first: int, step: int) -> tuple[float, int]:
         """The best weighted share of the item's shingles in a window of its size near the candidate, and that window's start."""
@@ -239,9 +262,9 @@ class Matcher:
         if not batch:
             return
         lengths = [len(x[3]) for x in batch]
-        part = _bits(np.concatenate([x[3] for x in batch]))
-        ones = np.zeros((len(part) + 1, 64), np.uint16)  # differences stay right where sums wrap
-        np.cumsum(part, axis=0, dtype=np.uint16, out=ones[1:])
+        part = _bits(np.concatenate([x[3] for x in batch])).astype(self.counter, copy=False).view(np.uint64)
+        ones = np.zeros((len(part) + 1, part.shape[1]), np.uint64)
+        np.cumsum(part, axis=0, out=ones[1:])
         starts, classes, prints = self.windows(lengths, ones)
         begins = np.cumsum(lengths) - lengths
         shingles: dict[tuple[int, int], np.ndarray] = {}
