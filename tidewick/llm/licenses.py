@@ -50,9 +50,11 @@ _B = (odd_numbers(HASHES, 42) >> np.uint64(32)).astype(np.uint32)
 
 
 def band_rows(similarity: float) -> int:
-    """The most rows for each band with which bands of HASHES values collide with probability CERTAIN at this similarity; 1 if none."""
+    """The most rows for each band with which bands of HASHES values collide with probability CERTAIN at this similarity; ValueError if even single rows don't."""
     fits = [r for r in (1, 2, 4, 8) if 1 - (1 - similarity**r) ** (HASHES // r) >= CERTAIN]
-    return max(fits, default=1)
+    if not fits:
+        raise ValueError(f"{HASHES} hash functions don't find windows of similarity {similarity:.3f} for certain")
+    return max(fits)
 
 
 def least_similarity(template: int, window: int) -> float:
@@ -61,14 +63,22 @@ def least_similarity(template: int, window: int) -> float:
     return enough / (window + template - enough)
 
 
-def _signatures(shingles: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """HASHES rows of minima over [start, end) of the shingles."""
+def _hashed(shingles: np.ndarray) -> np.ndarray:
+    """HASHES values of each shingle, and a last column of largest values, as reduceat needs each index to be in range."""
     low, high = shingles.astype(np.uint32), (shingles >> np.uint64(32)).astype(np.uint32)
+    x = np.full((HASHES, len(shingles) + 1), np.uint32(0xFFFFFFFF))
+    own = x[:, :-1]
     with np.errstate(over="ignore"):
-        x = low[None, :] * _A[:, None] + _B[:, None]
-        x ^= x >> np.uint32(15)
-        x += high[None, :] * np.roll(_A, 1)[:, None]
-    x = np.concatenate([x, np.full((HASHES, 1), np.uint32(0xFFFFFFFF))], axis=1)  # reduceat needs each index to be in range
+        for a, b, c, row in zip(_A, _B, np.roll(_A, 1), own):
+            np.multiply(low, a, out=row)
+            row += b
+            row ^= row >> np.uint32(15)
+            row += high * c
+    return x
+
+
+def _signatures(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """HASHES rows of minima over [start, end) of hashed shingles."""
     return np.minimum.reduceat(x, np.stack([starts, ends], axis=1).ravel(), axis=1)[:, ::2]
 
 
@@ -83,7 +93,7 @@ class Group:
         self.names = [n for n, _ in templates]
         self.sets = [np.unique(shingle_hashes(w, self.k)) for _, w in templates]
         self.rows = band_rows(min(least_similarity(len(s), self.span) for s in self.sets))
-        sig = np.concatenate([_signatures(s, np.array([0]), np.array([len(s)])) for s in self.sets], axis=1)
+        sig = np.concatenate([_signatures(_hashed(s), np.array([0]), np.array([len(s)])) for s in self.sets], axis=1)
         self.bands = []
         for v in self.folded(sig):
             order = np.argsort(v, kind="stable")
@@ -134,24 +144,24 @@ class Scanner:
         return [[(name, share, -at) for name, (share, at) in sorted(b.items(), key=lambda x: str(x[0]))] for b in best]
 
     def _scan(self, batch: list, best: list) -> None:
+        hashed: dict[int, tuple] = {}  # by words in a shingle: groups share what doesn't depend on their windows
         for g in self.groups:
-            own = [(i, shingle_hashes(w, g.k)) for i, w in batch if len(w) >= g.k]
+            if g.k not in hashed:
+                own = [(i, shingle_hashes(w, g.k)) for i, w in batch if len(w) >= g.k]
+                flat = np.concatenate([s for _, s in own] or [np.empty(0, np.uint64)])
+                hashed[g.k] = own, flat, _hashed(flat), np.cumsum([0, *(len(s) for _, s in own)])
+            own, flat, x, offsets = hashed[g.k]
             if not own:
                 continue
-            flat, owner, starts, ends = np.concatenate([s for _, s in own]), [], [], []
-            base = 0
-            for j, (_, s) in enumerate(own):
-                first = np.arange(0, max(1, len(s) - g.span + g.step), g.step)
-                starts.append(first + base)
-                ends.append(np.minimum(first + g.span, len(s)) + base)
-                owner.append(np.full(len(first), j))
-                base += len(s)
-            starts, ends, owner = np.concatenate(starts), np.concatenate(ends), np.concatenate(owner)
-            offsets = np.cumsum([0, *(len(s) for _, s in own)])
-            for w, t in g.retrieve(_signatures(flat, starts, ends)).tolist():
+            sizes = np.diff(offsets)
+            many = np.maximum(1, -(-(sizes - g.span + g.step) // g.step))
+            owner = np.repeat(np.arange(len(own)), many)
+            first = g.step * (np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many))
+            starts, ends = first + offsets[owner], np.minimum(first + g.span, sizes[owner]) + offsets[owner]
+            for w, t in g.retrieve(_signatures(x, starts, ends)).tolist():
                 share = float(np.isin(g.sets[t], flat[starts[w] : ends[w]]).mean())
                 if share >= CONTAINMENT:
-                    i, at = own[owner[w]][0], int(starts[w] - offsets[owner[w]])
+                    i, at = own[owner[w]][0], int(first[w])
                     best[i][g.names[t]] = max(best[i].get(g.names[t], (0.0, 0)), (share, -at))
 
 
