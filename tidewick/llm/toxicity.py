@@ -6,9 +6,8 @@ FTRL-proximal with per-coordinate rates; the L1 term leaves most places at exact
 is a short list of places and weights, which every task gets.
 
 The model learns from the ``TRAIN_ROWS`` labelled rows with the smallest hash of doc_id (a documented
-bound; all rows when there are fewer), never from held-out ones. Their features are streamed partition
-by partition while they are gathered, and at most ``TRAIN_PLACES`` of them are held; rows beyond that
-are left out of training, which only texts of extreme length can cause.
+bound; all rows when there are fewer), never from held-out ones. Their features are written once, and
+each epoch streams them to the driver partition by partition, so that no epoch holds all of them.
 
 Defined cases: a null or empty text scores as the bias alone; null labels aren't learned from; a doc_id
 that is null is in no fold and so is held out only if its remainder says so (null: false, and no label
@@ -18,6 +17,7 @@ ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +29,6 @@ from ._common import mix, text_of, word_hashes, written
 
 DIM_BITS = 20
 TRAIN_ROWS = 12_000
-TRAIN_PLACES = 24_000_000
 EPOCHS = 5
 FOLDS = 5
 
@@ -52,13 +51,13 @@ def features(text: str) -> np.ndarray:
     return np.unique((np.concatenate(parts) >> np.uint64(64 - DIM_BITS)).astype(np.int32))
 
 
-def train(rows: list[tuple[np.ndarray, int]], p: Ftrl = Ftrl(), epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
-    """Places with a weight, their weights, and the bias (which has no penalty). The order of rows is fixed by the caller."""
+def train(rows: Callable[[], Iterable[tuple[np.ndarray, int]]], p: Ftrl = Ftrl(), epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
+    """Places with a weight, their weights, and the bias (which has no penalty). ``rows`` starts an epoch's (places, label), always in the same order."""
     z, n = np.zeros(1 << DIM_BITS), np.zeros(1 << DIM_BITS)
     zb = nb = 0.0
     rate = lambda n: (p.beta + np.sqrt(n)) / p.alpha
     for _ in range(epochs):
-        for at, y in rows:
+        for at, y in rows():
             za, na = z[at], n[at]
             w = np.where(np.abs(za) <= p.l1, 0.0, -(za - np.sign(za) * p.l1) / (rate(na) + p.l2))
             b = -zb / rate(nb)
@@ -85,15 +84,11 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tup
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(t).tobytes() for t in text_of(b.column(2))], pa.binary())], names=["doc_id", "toxic", "places"])
 
+    kind = sample.schema["doc_id"].dataType.simpleString()
     # repeated rows of a document: one of them, the same in every run, is learned from
-    rows = written(sample.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text")).select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, places binary"))
-    got, held = [], 0
-    for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator():
-        at = np.frombuffer(r.places, np.int32)
-        if held + len(at) <= TRAIN_PLACES:
-            got.append((at, 1 if r.toxic else 0))
-            held += len(at)
-    return train(got)
+    rows = written(sample.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text")).select("doc_id", "toxic", "text").mapInArrow(run, f"doc_id {kind}, toxic int, places binary"))
+    ordered = rows.orderBy(F.xxhash64("doc_id"), "doc_id").select("places", "toxic")
+    return train(lambda: ((np.frombuffer(r.places, np.int32), r.toxic) for r in ordered.toLocalIterator()))
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
@@ -110,8 +105,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataF
             s = np.array([1 / (1 + np.exp(-np.clip(f.sum() + bias, -30, 30))) for f in found])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array(s >= 0.5).cast(pa.int32()), pa.array([int(np.count_nonzero(f)) for f in found], pa.int64())], names=["doc_id", "held_out", "score", "predicted", "n_evidence"])
 
+    kind = docs.schema["doc_id"].dataType.simpleString()
     held = F.coalesce(fold(docs) == 0, F.lit(False)).alias("held_out")
-    return docs.select("doc_id", held, "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, n_evidence long")
+    return docs.select("doc_id", held, "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int, n_evidence long")
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
