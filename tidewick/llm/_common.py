@@ -18,12 +18,14 @@ _PATHS: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that setting is absent (tests, single machine) is a temporary folder used. The folder
-    is removed when the driver's Python ends.
+    Only where that setting is absent (tests, single machine) is a temporary folder used; other clusters
+    than a local session are refused then. The folder is removed when the driver's Python ends.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidewick-")
         sc.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/tidewick-{uuid.uuid4().hex}"

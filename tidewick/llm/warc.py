@@ -29,7 +29,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import delete, partitions, shared_dir, written
+from ._common import delete, join_hot, partitions, shared_dir, written
 
 REVISIT_FROM = 100
 #: a package is closed once its records take this many bytes; a reading task gets so many records at a time
@@ -220,8 +220,10 @@ def read_packages(manifest: DataFrame) -> DataFrame:
 def with_first(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, digest and first: the page of which a record is a revisit, else null."""
     p = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    least = p.where(F.length("payload") >= REVISIT_FROM).groupBy("digest").agg(F.min("page_id").alias("least"), F.count(F.lit(1)).alias("times")).where("times > 1").select(F.col("digest").alias("d"), "least")
-    j = p.join(least, F.col("digest") == F.col("d"), "left")
+    again = p.where(F.length("payload") >= REVISIT_FROM).groupBy("digest").agg(F.min("page_id").alias("least"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    again = written(again)
+    # a page that very many have in common would bring all of them, payloads and all, to one task
+    j = join_hot(p, again, "digest", "times", again.agg(F.sum("times")).first()[0] or 0)
     return j.select("page_id", "url", "payload", "digest", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("least")), F.col("least")).alias("first"))
 
 
