@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from tidewick.config import Grid
 from tidewick.functions import geometry as G
 from tidewick.functions import numbers as N
-from tidewick.operators import memory, micromotion, occupancy, policy, rooms, scoring
-from tidewick.sources import ops, presence, wire
+from tidewick.operators import memory, micromotion, occupancy, policy, scoring
+from tidewick.sources import presence, wire
 from tidewick.streaming import session
 
 PING = "session_id string, ping long, origin struct<x:double,y:double,z:double>, beam struct<x:double,y:double,z:double>, saturated boolean, sanitized long, blast_amplitude double, range_step_m double, detections array<struct<range_m:double,amplitude:double,snr_db:double,width_m:double>>"
@@ -73,17 +73,6 @@ def test_numbers(spark):
     assert all(x.p == x.a * 0x85EBCA6B % (1 << 32) for x in got)
 
 
-def test_rays_meet_the_nearest_surface(spark):
-    r = rooms.rooms(spark).where("name = 'living-room'").withColumn("origin", G.vec(F.lit(0.0), F.lit(0.0), F.lit(0.0)))
-    dirs = [(0.0, 1.0, 0.0), (1.0, 0.0, 0.0), (0.0, 0.0, -1.0), (0.1, 0.995, 0.0)]
-    hits = []
-    for d in dirs:
-        hits.append(rooms.cast_rays(r.withColumn("dir", G.vec(*map(F.lit, d)))).first())
-    assert [round(h.distance, 3) for h in hits[:3]] == [1.6, 2.5, 1.3] and hits[0].hit_label == "table"
-    p = G.vec(F.lit(0.2), F.lit(1.9), F.lit(0.0))
-    assert r.select(rooms.is_solid(p, F.col("shell"), F.col("obstacles")), rooms.near_surface(G.vec(F.lit(0.2), F.lit(1.55), F.lit(0.0)), F.col("shell"), F.col("obstacles"), 0.1)).first()[:] == (True, True)
-
-
 def test_micromotion_finds_a_tone_and_refuses(spark):
     n, prf, lam = 600, 15.0, 343 / 19_000
     r = np.random.default_rng(1)
@@ -152,6 +141,68 @@ def test_memory(spark):
     assert memory.forget(store, spark.createDataFrame([("b",)], "id string")).count() == 2
 
 
+def test_levers_are_refused(spark):
+    rows = spark.createDataFrame([("f0=1;f1=2", None), ("f0=1; ;f1 = 2", None), ("f0", "malformed entry"), ("=3", "malformed entry"), ("f9=1", "unknown key"), ("f0=x", "not a finite number"), ("f0=NaN", "not a finite number"), (None, "missing lever")], "t string, want string")
+    got = rows.select("want", policy.lever_error(F.col("t"), ["f0", "f1"], ("f0",)).alias("why"), "t").collect()
+    assert all(r.why == r.want for r in got)
+    ok = rows.where("want is null").select(policy.decode_lever(F.col("t"), ["f0", "f1"], ("f0",)).alias("m")).collect()
+    assert all(r.m == {"f0": "1", "f1": "2"} for r in ok)
+    with pytest.raises(Exception, match="malformed"):
+        rows.where("t = 'f0'").select(policy.decode_lever(F.col("t"))).collect()
+    assert policy.next_detector_rung("band", "off", 1) == policy.DETECTOR_LADDERS["band"][0]
+    assert policy.describe_detector("dwell", *policy.DETECTOR_LADDERS["dwell"][:2]) == "dwell: dwell_s 2 -> 12, min_cycles 1 -> 2"
+
+
+def test_detector_policies_are_searched(spark):
+    """Captures with and without a moving bin: the foot of the ladders decides nothing, the search finds rungs that do."""
+    n, prf, lam, r = 600, 15.0, 0.018, np.random.default_rng(4)
+    rows, caps = [], []
+    for k, (room, body, suite) in enumerate([("r1", True, "holdout"), ("r1", False, "holdout"), ("r2", True, "anchor"), ("r2", False, "anchor")]):
+        phase = 4 * math.pi / lam * 0.002 * np.sin(2 * math.pi * 0.25 * np.arange(n) / prf)
+        for b in range(6):
+            z = 0.15 * np.exp(1j * (phase if body and b == 3 else 0)) + 0.002 * (r.standard_normal(n) + 1j * r.standard_normal(n))
+            rows += [(k, i, b, float(v.real), float(v.imag)) for i, v in enumerate(z)]
+        caps.append((k, room, True, body, 0.6 + 3 * 0.02 if body else None, 6, 0.003, suite))
+    dwells = spark.createDataFrame(rows, "dwell_id long, ping int, bin int, re double, im double").cache()
+    captures = spark.createDataFrame(caps, "dwell_id long, room_id string, consent boolean, body_in_scene boolean, body_range_m double, bins int, noise_floor double, suite string")
+    evaluate = policy.detector_evaluator(captures, dwells, prf, lam, n, 0.6, 0.02)
+    root, better = evaluate(policy.bad_root_detector(), "holdout"), evaluate({"dwell": 3, "band": 4, "periodicity": 3, "common_mode": 0}, "holdout")
+    assert (root["primary"], root["noop"]) == (0.0, 1.0) and better["primary"] == 1.0 and better["noop"] == 0.0 and not better["regressed"]
+    with pytest.raises(ValueError, match="empty"):
+        evaluate(policy.bad_root_detector(), "none")
+    assert {x.abstain_reason for x in policy.evaluate_captures(captures, dwells, {"error": None, "dwell_s": 40.0, "band_low_hz": 0.1, "band_high_hz": 8.0, "alpha": 0.1, "min_snr_db": 3.0, "min_cycles": 1.0, "rejection": "off", "max_peak_m": 1.0}, prf, lam, n, 0.6, 0.02).collect()} == {"band_above_nyquist"}
+
+
+def test_rooms_are_evaluated(spark):
+    """One recorded wall, mapped and scored under a policy."""
+    from tests.test_kernels import record
+
+    p = {"waveform": 3, "detector": 2, "mapping": 2}
+    s, _ = policy.resolve(p)
+    x = record([(2.0, 0.4)], s).tolist()
+    pings = spark.createDataFrame([("room", i, x, (0.0, 0.0, 0.0), (math.cos(a), math.sin(a), 0.0)) for i, a in enumerate((0.0, 1.0, 2.0) * 3)], "session_id string, ping long, samples array<double>, origin struct<x:double,y:double,z:double>, beam struct<x:double,y:double,z:double>")
+
+    def truth(grid, reach):
+        v = spark.range(grid.dim**3).select(F.lit("room").alias("session_id"), F.col("id").alias("voxel"), G.norm(G.centre_of(F.col("id"), grid.extent_m, grid.voxel_m, grid.dim)).alias("d")).where(F.col("d") <= reach)
+        return v.select("session_id", "voxel", (F.col("d") >= 2).alias("solid"), (F.abs(F.col("d") - 2) <= grid.voxel_m).alias("surface"))
+
+    row = policy.evaluate_rooms(pings, truth(policy.resolve(p)[1], s.max_range_m), p).first()
+    assert row.pings == 9 and row.broken == 0 and row.emission == "allow" and 0 < row.free_iou < 1 and row.precision > 0.3 and not row.regressed
+    score = policy.room_evaluator(pings, truth, {"holdout": ["room"], "anchor": []})
+    assert score(p, "holdout")["primary"] == row.primary
+    assert score(p, "anchor") == {"primary": 0.0, "noop": 1.0, "cost": float("inf"), "regressed": True}
+
+
+def test_field_embeddings(spark):
+    v = [1.0] + [0.0] * (memory.DIM - 1)
+    rows = spark.createDataFrame([(v, memory.VERSION)], "vector array<double>, version int")
+    e = memory.field_embeddings(rows, F.lit("event-1")).first()
+    assert (e.modality, e.privacy_class, e.source_event_id, len(e.vector)) == ("ultrasonic", "P3", "event-1", memory.DIM)
+    for bad, event in ((rows.withColumn("version", F.lit(1)), "x"), (rows.withColumn("vector", F.slice("vector", 1, 5)), "x"), (rows.withColumn("vector", F.transform("vector", lambda x: F.lit(float("nan")))), "x"), (rows, " ")):
+        with pytest.raises(Exception, match="signature|event id"):
+            memory.field_embeddings(bad, F.lit(event)).collect()
+
+
 def test_policy_and_emission(spark):
     s, g = policy.resolve({"waveform": 3, "detector": 2, "mapping": 2})
     assert s.problem() is None and s.cfar_guard == 41 and g == Grid()
@@ -177,16 +228,32 @@ def test_scores(spark):
     assert len(suite) == 2 and not suite["holdout"] & suite["anchor"]
     with pytest.raises(ValueError):
         scoring.split_by_component(c.where("room_id = 'r4'"))
-    one = spark.createDataFrame([("d", True, True, 2.0)], "dwell_id string, consent boolean, body_in_scene boolean, body_range_m double")
-    with pytest.raises(ValueError, match="negative"):
-        scoring.attest(one)
+    fields = "dwell_id string, room_id string, subject_id string, consent boolean, body_in_scene boolean, body_range_m double, pings int, bins int, prf_hz double, lambda_m double, n_samples int"
+    cap = lambda i, room, who, body, **kw: tuple({"dwell_id": i, "room_id": room, "subject_id": who, "consent": True, "body_in_scene": body, "body_range_m": 2.0 if body else None, "pings": 4, "bins": 2, "prf_hz": 15.0, "lambda_m": 0.018, "n_samples": 16, **kw}.values())
+    corpus = lambda *rows: spark.createDataFrame(rows, fields)
+    good = [cap("a", "r1", "s1", True), cap("b", "r1", None, False), cap("c", "r2", "s2", True), cap("d", "r2", None, False)]
+    assert scoring.attest(corpus(*good)).count() == 4
+    for bad, why in ((good[:1], "no negative"), (good[1:2], "no positive"), ([], "empty"), ([*good, cap("e", "r1", "s1", True, consent=None)], "consent"), ([*good, cap("e", "r1", "s1", True, pings=0)], "usable dwell"), ([*good, cap("e", "r1", "s1", True, n_samples=15)], "wrong length"), ([cap("a", "r", "s", True, body_range_m=float("nan")), good[1]], "no positive")):
+        with pytest.raises(ValueError, match=why):
+            scoring.attest(corpus(*bad))
+    assert {(r.room_id, r.suite) for r in scoring.split_by_component(corpus(*good)).collect()} == {("r1", "holdout"), ("r2", "anchor")}
+    with pytest.raises(ValueError, match="no negative"):  # a side that can't measure both rates
+        scoring.split_by_component(corpus(*good[:3]))
     empty = spark.createDataFrame([], "id long, p struct<x:double,y:double,z:double>")
-    assert scoring.chamfer(empty, empty, G.distance(F.col("pa"), F.col("pb"))).first().chamfer == float("inf")
+    assert scoring.chamfer(empty, empty, 0.5).first().chamfer == float("inf")
+    r = np.random.default_rng(1)
+    pts = [r.normal(size=(n, 3)) * 3 for n in (60, 40)]
+    pts[0][0] = [90.0, 0.0, 0.0]
+    a, b = (spark.createDataFrame([(i, tuple(map(float, v))) for i, v in enumerate(x)], "id long, p struct<x:double,y:double,z:double>") for x in pts)
+    d = np.linalg.norm(pts[0][:, None] - pts[1][None], axis=2)
+    assert abs(scoring.chamfer(a, b, 0.3).first().chamfer - (d.min(axis=1).mean() + d.min(axis=0).mean()) / 2) < 1e-9
+    far = spark.createDataFrame([(1, (float("nan"), 0.0, 0.0))], "id long, p struct<x:double,y:double,z:double>")
+    assert scoring.nearest(far, b, 0.3).first().d == float("inf")
 
 
 def test_outcomes(spark):
     rows = spark.createDataFrame([("hit", 5, "ok", 0.001, 0.999, 0.0), ("miss", 5, "ok", 0.6, 0.4, 0.0), ("alarm", 1, "ok", 0.001, 0.999, 0.0), ("quiet", 1, "ok", 0.7, 0.3, 0.0), ("far", 1, "ok", 0.001, 0.999, 0.0), ("moving", 5, "ok", 0.001, 0.999, 0.9), ("short", 1, "insufficient_dwell", None, None, None), ("denied", 5, "ok", 0.001, 0.999, 0.0)], "dwell_id string, bin int, status string, p_value double, micromotion_band double, common_mode_peak_m double")
-    caps = spark.createDataFrame([(d, d != "denied", d not in ("alarm", "quiet"), 2.1 if d not in ("alarm", "quiet") else None) for d in ("hit", "miss", "alarm", "quiet", "far", "moving", "short", "denied")], "dwell_id string, consent boolean, body_in_scene boolean, body_range_m double")
+    caps = spark.createDataFrame([(d, d != "denied", d not in ("alarm", "quiet"), 2.1 if d not in ("alarm", "quiet") else None, 8) for d in ("hit", "miss", "alarm", "quiet", "far", "moving", "short", "denied")], "dwell_id string, consent boolean, body_in_scene boolean, body_range_m double, bins int")
     got = {r.dwell_id: (r.outcome, r.abstain_reason) for r in scoring.outcomes(caps, rows, 0.01, 7.5, 0.6, 0.05, 1.0, 0.2).collect()}
     assert got == {"hit": ("hit", None), "miss": ("miss", None), "alarm": ("false_alarm", None), "quiet": ("correct_rejection", None), "far": ("abstain", "no_return"), "moving": ("abstain", "sensor_motion"), "short": ("abstain", "insufficient_dwell"), "denied": ("abstain", "no_consent")}
 
@@ -214,7 +281,7 @@ def test_wire_round_trip(spark, tmp_path):
 PAIR = {
     "type": presence.TYPE,
     "consent": {"receipt_id": "r", "subject_ref": "s", "scope": presence.SCOPE, "privacy_max": presence.PRIVACY, "granted_unix_s": 1.7e9, "expires_unix_s": 1.7e9 + 3600, "withdrawal_ref": "w"},
-    "provenance": {"schema": "1", "device_id": "dev", "sequence": 1, "source": "simulated", "synthetic": True},
+    "provenance": {"schema": presence.TYPE, "device_id": "dev", "sequence": 1, "source": "simulated", "synthetic": True},
     "clock": {"ultrasonic_unix_s": 1.7e9 + 10, "lidar_timestamp_ns": 4_000_000_000, "lidar_domain": "arkit_uptime", "offset_s": 1.7e9 + 7, "skew_s": 0.01},
     "measurement": {"beam": [0, 2, 0], "calibration_id": "c", "prf_hz": 15.0, "lambda_m": 0.018, "pings": 4, "bins": 2, "start_range_m": 0.6, "range_step_m": 0.02, "iq": [0.1] * 16, "noise_floor": 0.01, "saturated": False},
     "teacher": {"frame_type": "lidar_depth", "sensor": "l", "sequence": 1, "range_m": 0.61, "range_confidence": 2, "sample_count": 5, "body_in_scene": True, "body_on_beam": True, "pose": [1.0, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1], "intrinsics": {"fx": 1.0, "fy": 1.0, "cx": 0.0, "cy": 0.0, "image_width": 2, "image_height": 2}},
@@ -222,7 +289,7 @@ PAIR = {
 PAIR["clock"]["lidar_timestamp_ns"] = 3_100_000_000
 
 
-@pytest.mark.parametrize("path,value,code", [("", None, None), ("type", "x", "type_mismatch"), ("consent.scope", "x", "consent_invalid"), ("consent.expires_unix_s", 1.7e9 + 10, "consent_invalid"), ("consent.extra", 1, "consent_invalid"), ("measurement.extra", 1, "shape"), ("provenance.synthetic", False, "synthetic_mismatch"), ("measurement.iq", [0.1], "invalid"), ("measurement.prf_hz", 0.0, "invalid"), ("teacher.frame_type", "x", "schema_mismatch"), ("teacher.range_m", 30.0, "invalid"), ("clock.skew_s", 0.5, "clock_skew"), ("clock.lidar_timestamp_ns", 9_000_000_000, "teacher_outside_dwell")])
+@pytest.mark.parametrize("path,value,code", [("", None, None), ("type", "x", "schema_mismatch"), ("provenance.schema", "1", "schema_mismatch"), ("consent", None, "consent_missing"), ("consent", "yes", "consent_missing"), ("consent.receipt_id", ..., "consent_missing"), ("consent.scope", "x", "consent_invalid"), ("consent.expires_unix_s", 1.7e9 + 10, "consent_invalid"), ("consent.extra", 1, "unknown_field"), ("measurement.extra", 1, "unknown_field"), ("measurement.bins", ..., "unknown_field"), ("teacher.intrinsics.extra", 1, "unknown_field"), ("presence", True, "unknown_field"), ("provenance.synthetic", False, "synthetic_mismatch"), ("measurement.iq", [0.1], "invalid"), ("measurement.prf_hz", 0.0, "invalid"), ("teacher.frame_type", "x", "schema_mismatch"), ("teacher.range_m", 30.0, "invalid"), ("clock.skew_s", 0.5, "clock_skew"), ("clock.lidar_timestamp_ns", 9_000_000_000, "teacher_outside_dwell")])
 def test_presence_checks(spark, path, value, code):
     pair = json.loads(json.dumps(PAIR))
     if path:
@@ -231,6 +298,8 @@ def test_presence_checks(spark, path, value, code):
         for k in outer:
             at = at[k]
         at[last] = value
+        if value is ...:
+            del at[last]
     rows = presence.parse(spark.createDataFrame([(1, json.dumps(pair))], "line long, value string"))
     assert rows.first().error == code
     assert presence.verdict(rows).first().accepted == (code is None)
@@ -241,7 +310,11 @@ def test_presence_projection(spark):
     two["provenance"]["sequence"] = 2
     lines = spark.createDataFrame([(1, json.dumps(PAIR)), (2, json.dumps(two)), (3, "")], "line long, value string")
     rows = presence.parse(lines)
-    assert [r.error for r in rows.orderBy("line").collect()] == [None, "overlap"]
+    assert [r.error for r in rows.orderBy("line").collect()] == [None, "non_monotonic"]
+    two["provenance"]["device_id"] = "other"
+    mixed = presence.parse(spark.createDataFrame([(1, json.dumps(PAIR)), (2, json.dumps(two)), (3, "{")], "line long, value string"))
+    assert [r.error for r in mixed.orderBy("line").collect()] == [None, "device_mismatch", "parse"]
+    assert presence.verdict(rows.where("false")).first().error == "empty"
     good = rows.where("error is null")
     d, t = presence.dwells(good), presence.labels(good)
     assert not {"body_in_scene", "body_on_beam", "range_m"} & set(d.columns) and d.first().beam == [0.0, 1.0, 0.0]
@@ -250,16 +323,6 @@ def test_presence_projection(spark):
     assert presence.parse(presence.encode(good).withColumn("line", F.lit(1))).first().error is None
 
 
-def test_ops():
-    assert json.loads(ops.eval_json("{")).keys() == {"error"} and json.loads(ops.eval_json('{"op":"no"}')).keys() == {"error"}
-    assert json.loads(ops.eval_json('{"op":"design"}'))["guard"] == 41
-    assert len(json.loads(ops.eval_json('{"op":"chirp"}'))["samples"]) == 240
-    x = json.loads(ops.eval_json('{"op":"simulate","targets":[{"range_m":2.4,"spreading":1}]}'))["samples"]
-    out = json.loads(ops.eval_json(json.dumps({"op": "process", "samples": [*x, "junk", None]})))
-    assert abs(out["detections"][0]["range_m"] - 2.4) < 0.01 and "envelope" not in out
-    assert {k: len(v) for k, v in json.loads(ops.eval_json('{"op":"scenes"}')).items()} == {"anchor": 3, "holdout": 4}
-
-
 def test_session_control():
     assert session.halt([], 600) == "iteration-budget"
     assert session.halt([{"progress": "a", "failures": ["x", "x", "x"]}], 3) == "repeated-failure"

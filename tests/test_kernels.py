@@ -5,61 +5,93 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidewick.config import WINDOWS, Sonar, half_away
+from tidewick.operators import cfar, profiles
 from tidewick.operators import kernels as K
 
 S = Sonar()
+DATA = "ping long, samples array<double>"
 
 
-def ranged(targets, **kw):
-    n = S.record_len + kw.pop("extra", 0)
-    x = K.render(targets, kw.pop("cfg", S), n, **kw)
-    return K.process(x, S, n)
+def record(echoes, cfg=S, n=None, latency=0, direct=0.9, noise=0.002, seed=1):
+    """A recording of the direct path and of (range, level) echoes."""
+    n = n or cfg.record_len
+    t = np.arange(n) / cfg.fs
+    x = direct / cfg.amplitude * K.pulse(cfg, t - latency / cfg.fs - cfg.speaker_mic_sep_m / cfg.c)
+    for r, level in echoes:
+        x += level / cfg.amplitude * K.pulse(cfg, t - latency / cfg.fs - 2 * r / cfg.c)
+    return x + noise * np.random.default_rng(seed).standard_normal(n)
 
 
-def test_a_wall_is_ranged_within_a_centimetre():
-    assert abs(ranged([K.wall(2.4, 0.9)])["detections"][0]["range_m"] - 2.4) < 0.01
+def ranges(spark, records, cfg=S):
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(records)], DATA)
+    return {r.ping: [d.range_m for d in r.detections] for r in profiles.profiles(rows, cfg, ["ping"], max(map(len, records))).select("ping", "detections").collect()}
 
 
-def test_latency_doesnt_move_range():
-    found = [ranged([K.wall(3.0, 0.9)], latency=n, extra=10_000)["detections"][0]["range_m"] for n in (0, 137, 2048, 9311)]
+def test_walls_are_ranged_whatever_the_latency(spark):
+    records = [record([(2.4, 0.3)]), record([(1.2, 0.3), (2.6, 0.3)]), record([]), *[record([(3.0, 0.3)], latency=n, n=S.record_len + 10_000) for n in (0, 137, 2048, 9311)]]
+    n = max(map(len, records))
+    got = ranges(spark, [np.pad(x, (0, n - len(x))) for x in records])
+    assert len(got[0]) == 1 and abs(got[0][0] - 2.4) < 0.01
+    assert len(got[1]) == 2 and abs(got[1][0] - 1.2) < 0.02 and abs(got[1][1] - 2.6) < 0.02
+    assert got[2] == []
+    found = [got[i][0] for i in range(3, 7)]
     assert all(abs(f - 3) < 0.02 for f in found) and max(found) - min(found) < 0.01
 
 
-def test_two_walls_and_an_empty_room():
-    r = [d["range_m"] for d in ranged([K.wall(1.2, 0.9), K.wall(2.6, 0.9)])["detections"]]
-    assert len(r) == 2 and abs(r[0] - 1.2) < 0.02 and abs(r[1] - 2.6) < 0.02
-    assert ranged([])["detections"] == []
-
-
-def test_the_latest_emission_is_picked():
+def test_the_latest_emission_is_picked(spark):
     pri, n = 3200, 24_000
     s = replace(S, pri_samples=pri, max_range_m=3.0)
-    one = K.render([K.wall(2.0, 0.9)], s, n, noise_rms=0.0, direct_gain=0.5)
+    one = record([(2.0, 0.1)], s, n, direct=0.5, noise=0.0)
     x = np.zeros(n)
     for k, gain in enumerate((1.8, 1.0, 1.0, 1.0)):
         x[k * pri :] += gain * one[: n - k * pri]
-    mf = K.matched_filter(s, n)
-    env = mf.envelope(x, n)
-    search = int(s.direct_search_s * s.fs)
-    at = K.direct_arrival(env, s)
-    assert at > 2 * pri and at < search
-    assert K.direct_arrival(env, replace(s, pri_samples=0)) < pri
+    env = spark.createDataFrame([(1, x.tolist())], DATA)
+    env = K.compress(env, s, n).select("envelope")
+    at, alone = env.select(profiles.arrival(F.col("envelope"), s), profiles.arrival(F.col("envelope"), replace(s, pri_samples=0))).first()
+    assert 2 * pri < at < int(s.direct_search_s * s.fs) and alone < pri
 
 
 @given(st.lists(st.one_of(st.floats(allow_nan=True, allow_infinity=True, width=32), st.just(0.0)), max_size=600))
 @settings(max_examples=60, deadline=None)
-def test_any_input_gives_a_profile(x):
-    p = K.process(np.array(x, float), S, 2000)
-    assert p["sanitized"] == sum(not math.isfinite(v) for v in x)
-    assert np.isfinite(p["envelope"]).all()
+def test_any_samples_give_an_envelope(x):
+    import pyarrow as pa
+
+    v = K.records(pa.array([x, None, [1.0]], pa.list_(pa.float64())), 2000)
+    bad = ~np.isfinite(v)
+    assert bad.sum() == sum(not math.isfinite(s) for s in x)
+    v[bad] = 0
+    assert np.isfinite(K.matched_filter(S, 2000).envelope(v, 2000)).all()
+
+
+def test_any_input_gives_a_profile(spark):
+    rows = spark.createDataFrame([(1, [float("nan")] * 50 + [float("inf"), 0.5]), (2, []), (3, None), (4, [0.0] * 3000)], DATA)
+    got = {r.ping: r for r in profiles.profiles(rows, S, ["ping"], 2000).collect()}
+    assert [got[i].sanitized for i in (1, 2, 3, 4)] == [51, 0, 0, 0]
+    assert all(r.detections == [] or r.ping == 1 for r in got.values()) and len(got) == 4
+    assert profiles.profiles(rows.where("false"), S, ["ping"], 2000).count() == 0
+
 
+def brute_separate(x, prominence_db, separation):
+    depth, kept = 10 ** (-prominence_db / 20), []
+    maxima = [i for i in range(len(x)) if (i == 0 or x[i] >= x[i - 1]) and (i == len(x) - 1 or x[i] > x[i + 1])]
+    for m in sorted(maxima, key=lambda i: (-x[i], i)):
+        if all(abs(k - m) >= separation and min(x[min(k, m) : max(k, m) + 1]) <= x[m] * depth for k in kept):
+            kept.append(m)
+    return sorted(kept)
 
-def test_peaks_end_on_nan_and_flats():
-    assert K.detect(np.array([np.nan] * 400), replace(S, cfar_train=8, cfar_guard=2)) == []
-    assert len(K.peaks(np.array([1.0, 1.0, 1.0]), 0, 3, 6, 1)) == 1
-    assert K.peaks(np.array([0.1, 5, 0.1, 4, 0.1, 0.15]), 0, 6, 6, 2) == [(1, 0, 2), (3, 2, 6)]
+
+def test_echoes_of_a_span(spark):
+    r = np.random.default_rng(1)
+    spans = [[1.0, 1.0, 1.0], [0.1, 5.0, 0.1, 4.0, 0.1, 0.15], [2.0], *[np.round(r.random(n) * 4, 2).tolist() for n in (5, 12, 30, 60)]]
+    rows = spark.createDataFrame(list(enumerate(spans)), "i int, x array<double>").select("i", profiles.separate(F.col("x"), 6.0, 2).alias("e"))
+    got = {x.i: [(e.peak, e.first, e["last"]) for e in x.e] for x in rows.collect()}
+    assert len(got[0]) == 1 and got[1] == [(1, 0, 2), (3, 2, 6)] and got[2] == [(0, 0, 1)]
+    for i, x in enumerate(spans):
+        assert [e[0] for e in got[i]] == brute_separate(x, 6.0, 2)
+        assert got[i][0][1] == 0 and got[i][-1][2] == len(x) and all(a[2] == b[1] for a, b in zip(got[i], got[i][1:]))
 
 
 @pytest.mark.parametrize("name", WINDOWS)
@@ -71,10 +103,10 @@ def test_tapers_are_symmetric(name):
 
 def test_compression_is_a_correlation():
     s = replace(S, rx_taper="rect")
-    x = K.render([K.point(1.5, 0.8)], s, 4000, noise_rms=0.0)
+    x = record([(1.5, 0.4)], s, 4000, noise=0.0)
     mf = K.MatchedFilter(s, 4000)
     direct = np.array([abs(np.vdot(K.pulse(s, np.arange(s.pulse_samples) / s.fs, True), x[i : i + s.pulse_samples])) for i in range(0, 3000, 50)])
-    fast = mf.envelope(x, 3000)[::50]
+    fast = mf.envelope(x[None, :], 3000)[0, ::50]
     assert np.corrcoef(direct, fast)[0, 1] > 0.99
     assert int(np.argmax(mf.acf)) == 0 and abs(mf.acf[0] - 1) < 1e-6
 
@@ -87,20 +119,23 @@ def test_ranges_and_lags_are_inverse():
     assert [half_away(v) for v in (-2.5, -0.4, 0.5, 1.5)] == [-3, 0, 1, 2]
 
 
-def test_generator_is_reproducible():
-    a, b = K.XorShift(0), K.XorShift(0x12345678)
-    assert [a.next() for _ in range(5)] == [b.next() for _ in range(5)]
-    g = [K.XorShift(7).gaussian() for _ in range(3)]
-    assert g[0] == g[1] and abs(np.mean([a.gaussian() for _ in range(4000)])) < 0.06
-    assert K.json_seed(2**33) == 0xFFFFFFFF and K.json_seed(16_777_217) == 16_777_216
+@pytest.mark.parametrize("kind", ["ca", "os"])
+def test_alpha_keeps_the_full_count(spark, kind):
+    s = replace(S, cfar_train=8, cfar_guard=2, cfar_kind=kind)
+    assert math.isclose(s.alpha, 16 * (s.cfar_pfa ** (-1 / 16) - 1))
+    rows = spark.range(30).select(F.lit(1).alias("k"), "id", F.lit(1.0).alias("v"))
+    assert all(abs(r.threshold - math.sqrt(s.alpha)) < 1e-9 for r in cfar.threshold(rows, "v", ["k"], ["id"], s).collect())
 
 
-def test_alpha_keeps_the_full_count():
-    s = replace(S, cfar_train=8, cfar_guard=2)
-    assert math.isclose(s.alpha, 16 * (s.cfar_pfa ** (-1 / 16) - 1))
-    env = np.ones(30)
-    assert np.allclose(K.cfar_threshold(env, s), math.sqrt(s.alpha))
-    assert np.allclose(K.cfar_threshold(env, replace(s, cfar_kind="os")), math.sqrt(s.alpha))
+def test_grouped_ranks(spark):
+    r = np.random.default_rng(3)
+    data = [("a", float(x)) for x in r.normal(size=501)] + [("b", 2.0)] * 7 + [("c", float(x)) for x in r.integers(0, 3, 40)] + [("d", None)]
+    rows = spark.createDataFrame(data, "k string, v double")
+    got = {x.k: (x.first, x.mid, x["last"]) for x in cfar.grouped_ranks(rows, ["k"], "v", {"first": lambda n: F.lit(0), "mid": lambda n: F.floor(n / 2), "last": lambda n: n - 1}, 16).collect()}
+    for k in "abc":
+        v = sorted(x for g, x in data if g == k)
+        assert got[k] == (v[0], v[len(v) // 2], v[-1])
+    assert set(got) == set("abc")
 
 
 def test_settings_name_what_is_wrong():
@@ -114,3 +149,8 @@ def test_heterodyne_finds_the_offset():
     fs, t = 48_000, np.arange(4800) / 48_000
     y = K.heterodyne(np.sin(2 * np.pi * 19_500 * t), fs, 19_000)
     assert abs(np.argmax(np.abs(np.fft.rfft(y))) * 10 - 500) <= 10
+
+
+def test_decibels_below_the_peak(spark):
+    got = spark.range(1).select(profiles.db_below_peak(F.array(F.lit(0.0), F.lit(0.1), F.lit(1.0)))).first()[0]
+    assert got == [-60.0, -20.0, 0.0]

@@ -71,6 +71,20 @@ def from_spherical(az: Column, el: Column) -> Column:
     return vec(F.cos(el) * F.sin(az), F.cos(el) * F.cos(az), F.sin(el))
 
 
+def device_to_world(v: Column, alpha: Column, beta: Column, gamma: Column) -> Column:
+    """A vector of the device in the world: turned about Y by gamma, then X by beta, then Z by alpha (intrinsic Z-X-Y, degrees)."""
+
+    def turn(angle, a, b):
+        """The plane (a, b) by an angle, a towards b."""
+        c, s = F.cos(F.radians(angle)), F.sin(F.radians(angle))
+        new = lambda p: {a: c * p[a] - s * p[b], b: s * p[a] + c * p[b]}
+        return lambda p: vec(*(new(p).get(k, p[k]) for k in "xyz"))
+
+    for angle, a, b in ((gamma, "z", "x"), (beta, "y", "z"), (alpha, "x", "y")):
+        v = let(v, turn(angle, a, b))
+    return v
+
+
 def beam_direction(alpha: Column, beta: Column, gamma: Column) -> Column:
     """Where the device's -Y axis points in the world, for an intrinsic Z-X-Y rotation in degrees."""
     a, b = F.radians(alpha), F.radians(beta)

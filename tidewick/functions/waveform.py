@@ -93,6 +93,11 @@ def phase(f0: Column, f1: Column, duration_s: Column, t: Column) -> Column:
     return (2 * math.pi * (f0 * t + (f1 - f0) / duration_s * t * t / 2)) % (2 * math.pi)
 
 
+def instantaneous_freq(f0: Column, f1: Column, duration_s: Column, t: Column) -> Column:
+    """The sweep's frequency at time t, in Hz."""
+    return f0 + (f1 - f0) / F.greatest(duration_s, F.lit(1e-9)) * t
+
+
 def pulse_at(amplitude: Column, tx: Column, f0: Column, f1: Column, duration_s: Column, t: Column) -> Column:
     """The emitted pulse at any time; 0 outside."""
     return F.when(t.between(F.lit(0.0), duration_s), amplitude * window_value(tx, t / duration_s) * F.sin(phase(f0, f1, duration_s, t))).otherwise(0.0)

@@ -89,6 +89,28 @@ def nearest_rank(values: Column, q: float) -> Column:
     return F.element_at(F.array_sort(values), F.floor((F.size(values) - 1) * q + 0.5).cast("int") + 1)
 
 
+def grouped_ranks(rows: DataFrame, key: list[str], value: str, ranks: dict, buckets: int = 1024) -> DataFrame:
+    """(key, a column for each name in ``ranks``): values by rank from 0, given as a function of the group's number of rows.
+
+    Values are counted by equal ranges between a group's least and greatest, so that windows run over at
+    most ``buckets`` rows of a group; the range that holds a rank, where values are many, is ranked by
+    counts of equal values.
+    """
+    named = rows.select(*key, F.col(value).alias("_v")).where("_v is not null")
+    ends = F.broadcast(named.groupBy(*key).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))  # a row for each group
+    cell = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets), F.lit(buckets - 1))).otherwise(0).cast("int")
+    placed = named.join(ends, key).withColumn("_b", cell).groupBy(*key, "_b", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*key)
+    sums = placed.groupBy(*key, "_b").agg(F.sum("_n").alias("_m")).withColumn("_before", F.coalesce(F.sum("_m").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_total", F.sum("_m").over(w))
+    wanted = F.array(*[F.struct(F.lit(n).alias("name"), f(F.col("_total")).cast("long").alias("rank")) for n, f in ranks.items()])
+    held = sums.withColumn("_w", F.explode(wanted)).where((F.col("_w.rank") >= F.col("_before")) & (F.col("_w.rank") < F.col("_before") + F.col("_m")))
+    chosen = held.groupBy(*key, "_b", "_before").agg(F.collect_list("_w").alias("_w"))  # at most as many ranges as ranks
+    inside = placed.join(F.broadcast(chosen), [*key, "_b"])
+    upto = F.sum("_n").over(Window.partitionBy(*key, "_b").orderBy("_v")) + F.col("_before")
+    hits = inside.withColumn("_upto", upto).withColumn("_x", F.explode("_w")).where(F.col("_upto") > F.col("_x.rank"))
+    return hits.groupBy(*key).agg(*[F.min(F.when(F.col("_x.name") == n, F.col("_v"))).alias(n) for n in ranks])
+
+
 def gap_clusters(rows: DataFrame, value: str, key: list[str], order: list[str], gap: float) -> DataFrame:
     """Add ``cluster``: values in order belong together while the step to the one before is at most ``gap``."""
     w = Window.partitionBy(*key).orderBy(*order)

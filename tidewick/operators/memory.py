@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,7 +39,7 @@ def signatures(grid_rows: DataFrame, grid: Grid = Grid(), min_range_m: float = 0
     s = "session_id"
     p = G.centre_of(F.col("voxel"), grid.extent_m, grid.voxel_m, grid.dim)
     v = grid_rows.select(s, "log_odds", p.alias("p")).withColumn("r", G.norm(F.col("p")))
-    bin_of = lambda x, n: F.least(F.greatest(F.floor(x * n), F.lit(0)), F.lit(n - 1)).cast("int")
+    bin_of = lambda x, n: F.least(F.greatest(F.floor(x * n + 1e-9), F.lit(0)), F.lit(n - 1)).cast("int")
     occ = v.where((F.col("log_odds") >= grid.occupied) & F.col("r").between(min_range_m, max_range_m)).withColumn("m", probability(F.col("log_odds")))
     el = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("p.z") / F.col("r"))))
     occ = occ.withColumn("a", bin_of((F.atan2("p.x", "p.y") + math.pi) / (2 * math.pi), AZIMUTHS)).withColumn("e", bin_of((el + math.pi / 2) / math.pi, BANDS)).withColumn("q", bin_of((F.col("r") - min_range_m) / (max_range_m - min_range_m), RADII))
@@ -63,6 +66,11 @@ def signatures(grid_rows: DataFrame, grid: Grid = Grid(), min_range_m: float = 0
     return vectors.join(facts, s).join(counts, s).withColumn("version", F.lit(VERSION))
 
 
+def harmonic_attenuation(k: Column, delta: Column, bins: int = AZIMUTHS) -> Column:
+    """What is left of harmonic k where a heading falls ``delta`` of a bin beside a boundary."""
+    return F.sqrt(F.greatest(F.lit(0.0), 1 - 2 * delta * (1 - delta) * (1 - F.cos(2 * math.pi * k / bins))))
+
+
 def similarity(a: Column, b: Column) -> Column:
     """Cosine; 0 where a vector has no length, and an error where lengths differ."""
     products = F.zip_with(a, b, lambda x, y: F.struct((x * y).cast("double").alias("d"), (x * x).cast("double").alias("p"), (y * y).cast("double").alias("q")))
@@ -71,15 +79,61 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(F.size(a) != F.size(b), F.raise_error(F.lit("vectors differ in length")).cast("double")).otherwise(F.when(size > 1e-12, sums["d"] / size).otherwise(0.0))
 
 
+#: queries in a block, and values that a block of queries holds at most
+QUERY_BLOCK, BLOCK_VALUES = 2048, 1 << 22
+
+
+def _unit(column: pa.Array) -> np.ndarray:
+    """Lists as rows of length 1 (0 stays 0); ValueError where lengths differ."""
+    x = [np.asarray(v, float) for v in column.to_pylist()]
+    if len({len(v) for v in x}) > 1:
+        raise ValueError("vectors differ in length")
+    m = np.array(x).reshape(len(x), -1)
+    size = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.where(size > 1e-12, m / np.where(size > 1e-12, size, 1), 0.0)
+
+
 def recall(queries: DataFrame, store: DataFrame, top_k: int = 5, floor: float = SIMILAR) -> DataFrame:
-    """(query_id, id, similarity, margin): the best records above the floor; the margin is to the next in rank even below it, infinite for the last.
+    """(query_id, id, similarity, rank, margin): the best records above the floor; the margin is to the next in rank even below it, infinite for the last.
 
-    A stated set of queries against a store of at most MOST_RECORDS records, of which the smaller side is sent to all.
+    A stated set of queries against all records. Queries are dealt into blocks, each of which meets each
+    part of the store once, in a matrix product; a part returns its best for each query, and those are
+    ranked. Blocks of queries travel to the store's tasks one after the other, never more than one at a time.
     """
-    q = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("q"))
-    scored = store.select("id", "vector").join(F.broadcast(q)).select("query_id", "id", similarity(F.col("q"), F.col("vector")).alias("similarity"))
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dim")).first()
+    if not size.n:
+        return store.select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("similarity"), F.lit(0).alias("rank"), F.lit(0.0).alias("margin")).where("false")
+    many = max(1, -(-size.n // max(1, min(QUERY_BLOCK, BLOCK_VALUES // max(1, size.dim)))))
+    blocks = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("q"), F.pmod(F.xxhash64("id"), F.lit(many)).alias("block"))
+    kind_q, kind = queries.schema["id"].dataType.simpleString(), store.schema["id"].dataType.simpleString()
+    best = None
+    for n in range(many):
+        held = store.sparkSession.sparkContext.broadcast(pa.Table.from_batches(blocks.where(F.col("block") == n).select("query_id", "q").toArrow().to_batches()))  # of a checked size
+
+        def run(batches, held=held):
+            t = held.value.combine_chunks()
+            if not t.num_rows:
+                return
+            names, q = t.column("query_id").combine_chunks(), _unit(t.column("q").combine_chunks())
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                v = _unit(b.column(1))
+                if v.shape[1] != q.shape[1]:
+                    raise ValueError("vectors differ in length")
+                s = q @ v.T
+                ids = b.column(0)
+                by_id = np.empty(b.num_rows, np.int64)
+                by_id[pa.compute.sort_indices(ids).to_numpy()] = np.arange(b.num_rows)
+                # ties go by id, as the ranking after all parts does
+                order = np.lexsort((np.broadcast_to(by_id, s.shape), -s), axis=1)[:, : top_k + 1]
+                row = np.repeat(np.arange(len(q)), order.shape[1])
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(row)), ids.take(pa.array(order.ravel())), pa.array(s[row, order.ravel()])], names=["query_id", "id", "similarity"])
+
+        part = store.select("id", "vector").mapInArrow(run, f"query_id {kind_q}, id {kind}, similarity double")
+        best = part if best is None else best.unionByName(part)
     w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "id")
-    ranked = scored.withColumn("rank", F.row_number().over(w)).withColumn("margin", F.coalesce(F.col("similarity") - F.lead("similarity").over(w), F.lit(float("inf"))))
+    ranked = best.withColumn("rank", F.row_number().over(w)).withColumn("margin", F.coalesce(F.col("similarity") - F.lead("similarity").over(w), F.lit(float("inf"))))
     return ranked.where((F.col("rank") <= top_k) & (F.col("similarity") >= floor))
 
 
@@ -118,6 +172,21 @@ def load(texts: DataFrame) -> DataFrame:
 
 
 def dump(store: DataFrame) -> DataFrame:
-    """The store as one JSON text; it has at most MOST_RECORDS records."""
+    """The store as one JSON text; it has at most MOST_RECORDS records, more are an error."""
     r = F.sort_array(F.collect_list(F.struct("id", "label", F.transform("vector", lambda x: x.cast("double")).alias("vector"), "observations")))
+    if store.limit(MOST_RECORDS + 1).count() > MOST_RECORDS:
+        raise ValueError(f"a store has at most {MOST_RECORDS} records")
     return store.agg(F.to_json(F.struct(F.lit(VERSION).alias("version"), F.lit(DIM).alias("dim"), r.alias("records"))).alias("value"))
+
+
+def field_embeddings(signatures: DataFrame, source_event_id: Column) -> DataFrame:
+    """Signatures as embeddings for the field endpoint: modality, vector, privacy class, source event.
+
+    The privacy class is the ceiling for room signatures, whatever the caller holds. A signature of another
+    version, of another length or with values that aren't finite is an error, and so is a bad event id.
+    """
+    good = (F.col("version") == VERSION) & (F.size("vector") == DIM) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    refuse = lambda why, kind: F.raise_error(F.lit(why)).cast(kind)
+    event = F.when(F.coalesce(F.length(F.trim(source_event_id)).between(1, 256), F.lit(False)), source_event_id).otherwise(refuse("bad event id", "string"))
+    vector = F.when(F.coalesce(good, F.lit(False)), F.col("vector")).otherwise(refuse("not a signature of this version", signatures.schema["vector"].dataType))
+    return signatures.select(F.lit("ultrasonic").alias("modality"), vector.alias("vector"), F.lit("P3").alias("privacy_class"), event.alias("source_event_id"))

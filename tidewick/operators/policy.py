@@ -9,8 +9,9 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import EmissionLimits, Grid, Sonar
+from ..config import PING_RATE_HZ, EmissionLimits, Grid, Sonar
 from ..functions.numbers import finite
+from . import micromotion, occupancy, profiles, scoring
 
 VERDICTS = ["allow", "gate", "deny"]
 
@@ -43,9 +44,38 @@ def emission(configs: DataFrame, limits: EmissionLimits = EmissionLimits()) -> D
     return configs.withColumn("findings", found).withColumn("verdict", F.element_at(F.array(*[F.lit(v) for v in VERDICTS]), worst + 1))
 
 
-def decode_lever(text: Column) -> Column:
-    """``k=v;k=v`` to a map."""
-    return F.str_to_map(text, F.lit(";"), F.lit("="))
+def _entries(text: Column) -> Column:
+    return F.filter(F.transform(F.split(text, ";"), lambda p: F.trim(p)), lambda p: p != "")
+
+
+def _key(p: Column) -> Column:
+    return F.trim(F.substring_index(p, "=", 1))
+
+
+def _value(p: Column) -> Column:
+    return F.trim(F.regexp_replace(p, "^[^=]*=", ""))
+
+
+def lever_error(text: Column, allowed: list[str] | None = None, numeric: tuple[str, ...] = ()) -> Column:
+    """Why a lever's text is refused, or null: an entry without a key or value sign, a key of another lever, a number that isn't finite."""
+    entries = _entries(text)
+    known = F.array(*[F.lit(k) for k in allowed or []]).cast("array<string>")
+    number = lambda p: F.coalesce(finite(_value(p).try_cast("double")), F.lit(False))
+    bad = F.when(F.exists(entries, lambda p: ~p.contains("=") | (_key(p) == "")), "malformed entry")
+    if allowed is not None:
+        bad = bad.when(F.exists(entries, lambda p: ~F.array_contains(known, _key(p))), "unknown key")
+    if numeric:
+        bad = bad.when(F.exists(entries, lambda p: _key(p).isin(*numeric) & ~number(p)), "not a finite number")
+    return F.when(text.isNull(), "missing lever").otherwise(bad)
+
+
+def decode_lever(text: Column, allowed: list[str] | None = None, numeric: tuple[str, ...] = ()) -> Column:
+    """``k=v;k=v`` to a map; what ``lever_error`` names is an error. Of a key given twice the last counts."""
+    entries = _entries(text)
+    last = F.filter(entries, lambda p, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda q: _key(q) == _key(p)))
+    fields = F.map_from_entries(F.transform(last, lambda p: F.struct(_key(p), _value(p))))
+    why = lever_error(text, allowed, numeric)
+    return F.when(why.isNull(), fields).otherwise(F.raise_error(F.concat(F.lit("lever refused: "), why)).cast("map<string,string>"))
 
 
 def encode_lever(fields: Column) -> Column:
@@ -109,7 +139,128 @@ def describe(lever: str, a: int, b: int) -> str:
     return f"{lever}: " + (", ".join(changed) or "unchanged (ladder exhausted)")
 
 
-def climb(evaluate: Callable[[dict[str, int], str], dict], root: dict[str, int], generations: int = 5) -> list[dict]:
+#: fixed values: the rungs of the motion detector's levers, and which fields are numbers
+DETECTOR_LADDERS = {
+    "dwell": ["dwell_s=2;min_cycles=1", "dwell_s=12;min_cycles=2", "dwell_s=20;min_cycles=3", "dwell_s=30;min_cycles=3", "dwell_s=45;min_cycles=4"],
+    "band": ["band_low_hz=0.2;band_high_hz=7.0", "band_low_hz=0.15;band_high_hz=4.0", "band_low_hz=0.12;band_high_hz=2.0", "band_low_hz=0.1;band_high_hz=1.2", "band_low_hz=0.1;band_high_hz=0.7"],
+    "periodicity": ["alpha=0.5;min_snr_db=0", "alpha=0.1;min_snr_db=4", "alpha=0.05;min_snr_db=8", "alpha=0.01;min_snr_db=10", "alpha=0.001;min_snr_db=12"],
+    "common_mode": ["rejection=off;max_peak_m=1.0", "rejection=on;max_peak_m=0.05", "rejection=on;max_peak_m=0.02", "rejection=on;max_peak_m=0.01", "rejection=on;max_peak_m=0.005"],
+}
+DETECTOR_FIELDS = {"dwell": ["dwell_s", "min_cycles"], "band": ["band_low_hz", "band_high_hz"], "periodicity": ["alpha", "min_snr_db"], "common_mode": ["rejection", "max_peak_m"]}
+_DETECTOR_NUMBERS = ("dwell_s", "min_cycles", "band_low_hz", "band_high_hz", "alpha", "min_snr_db", "max_peak_m")
+
+
+def resolve_detector(policies: DataFrame) -> DataFrame:
+    """Detector policies (a column of text for each lever) with their settings, score_threshold, and ``error``: why a policy is refused, or null.
+
+    Nothing has a default: a lever or a field that is missing refuses the policy.
+    """
+    why = F.coalesce(*[lever_error(F.col(k), f, tuple(x for x in f if x in _DETECTOR_NUMBERS)) for k, f in DETECTOR_FIELDS.items()])
+    rows = policies.withColumn("_why", why)
+    for lever, fields in DETECTOR_FIELDS.items():
+        held = F.when(F.col("_why").isNull(), decode_lever(F.when(F.col("_why").isNull(), F.col(lever)).otherwise("")))
+        for f in fields:
+            v = F.try_element_at(held, F.lit(f))
+            rows = rows.withColumn(f, v.try_cast("double") if f in _DETECTOR_NUMBERS else v)
+    c = F.col
+    rules = [
+        ("missing field", F.greatest(*[c(f).isNull() for x in DETECTOR_FIELDS.values() for f in x])),
+        ("dwell must be positive", c("dwell_s") <= 0),
+        ("at least one cycle", c("min_cycles") < 1),
+        ("band must be 0 < low < high", ~((c("band_low_hz") > 0) & (c("band_high_hz") > c("band_low_hz")))),
+        ("alpha must lie in (0, 1)", ~((c("alpha") > 0) & (c("alpha") < 1))),
+        ("SNR gate must not be negative", ~(c("min_snr_db") >= 0)),
+        ("peak must be positive", ~(c("max_peak_m") > 0)),
+        ("rejection must be on or off", ~c("rejection").isin("on", "off")),
+    ]
+    error = F.coalesce("_why", *[F.when(bad, name) for name, bad in rules])
+    return rows.withColumn("error", error).withColumn("score_threshold", F.when(error.isNull(), 1 - c("alpha"))).drop("_why")
+
+
+def next_detector_rung(lever: str, now: str, stride: int = 1) -> str:
+    """The rung ``stride`` further up; a value off the ladder starts at its foot."""
+    ladder = DETECTOR_LADDERS[lever]
+    return ladder[min(ladder.index(now) + max(1, stride), len(ladder) - 1)] if now in ladder else ladder[0]
+
+
+def describe_detector(lever: str, a: str, b: str) -> str:
+    x, y = (dict(p.split("=") for p in t.split(";")) for t in (a, b))
+    changed = [f"{k} {x.get(k)} -> {y[k]}" for k in y if x.get(k) != y[k]]
+    return f"{lever}: " + (", ".join(changed) or "unchanged (ladder exhausted)")
+
+
+def bad_root_detector() -> dict[str, int]:
+    """The foot of every ladder."""
+    return dict.fromkeys(DETECTOR_LADDERS, 0)
+
+
+def aggregate(details: DataFrame) -> DataFrame:
+    """One row from evaluations (primary, noop_rate, cost_per_win, regressed): means, and whether any regressed; without evaluations the worst score."""
+    mean = lambda c, none: F.coalesce(F.avg(c), F.lit(none)).alias(c)
+    return details.agg(mean("primary", 0.0), mean("noop_rate", 1.0), mean("cost_per_win", float("inf")), F.coalesce(F.bool_or("regressed"), F.lit(True)).alias("regressed"))
+
+
+def evaluate_rooms(pings: DataFrame, truth: DataFrame, policy: dict[str, int]) -> DataFrame:
+    """A row for each room (session_id) of recorded pings scored under a policy.
+
+    pings: session_id, ping, samples, origin, beam; truth: session_id, voxel, solid, surface on the policy's
+    grid. Pings are processed and mapped as the policy says; a broken ping counts as undecided, and a policy
+    that may not be emitted, or that calls solid space free, regresses. Cost is pings for each point of score.
+    """
+    s, grid = resolve(policy)
+    p = profiles.profiles(pings, s, ["session_id", "ping"])
+    broken = F.col("saturated") | (F.col("sanitized") > 0) | (F.col("blast_amplitude") <= 0)
+    facts = p.groupBy("session_id").agg(F.count(F.lit(1)).alias("pings"), F.count_if(broken).alias("broken"), F.count_if(F.size("detections") == 0).alias("silent"))
+    cells = occupancy.integrate(p, s.min_range_m, s.max_range_m, grid)
+    rate = min(PING_RATE_HZ, 1 / s.min_pri_s)
+    one = pings.sparkSession.createDataFrame([(s.fs, float(s.f0), float(s.f1), s.duration_s, s.amplitude, rate, s.tx_window, s.tukey_alpha)], "fs double, f0 double, f1 double, duration_s double, amplitude double, ping_rate_hz double, tx_window string, tukey_alpha double")
+    verdict = emission(one).first().verdict
+    j = scoring.score_map(truth, cells, ["session_id"]).join(facts, "session_id", "left").fillna(0, ["pings", "broken", "silent"])
+    share = F.when(F.col("pings") > 0, F.col("broken") / F.col("pings")).otherwise(1.0)
+    return j.withColumn("noop_rate", F.least(F.lit(1.0), F.col("uncommitted") + share)).withColumn("cost_per_win", F.col("pings") / F.greatest(F.col("primary") * 100, F.lit(0.5))).withColumn("emission", F.lit(verdict)).withColumn("regressed", F.lit(verdict == "deny") | (F.col("false_free") > 0.15))
+
+
+def room_evaluator(pings: DataFrame, truth_on: Callable[[Grid, float], DataFrame], suites: dict[str, list[str]]) -> Callable[[dict[str, int], str], dict]:
+    """What ``climb`` asks: the score of a policy on a suite of recorded rooms. ``truth_on`` gives the truth on a grid within a range."""
+
+    def evaluate(policy: dict[str, int], suite: str) -> dict:
+        s, grid = resolve(policy)
+        mine = F.col("session_id").isin(suites[suite])
+        row = aggregate(evaluate_rooms(pings.where(mine), truth_on(grid, s.max_range_m).where(mine), policy)).first()
+        return {"primary": row.primary, "noop": row.noop_rate, "cost": row.cost_per_win, "regressed": row.regressed}
+
+    return evaluate
+
+
+def evaluate_captures(captures: DataFrame, dwells: DataFrame, settings: dict, prf_hz: float, lambda_m: float, pings: int, start_range_m: float | None, range_step_m: float | None) -> DataFrame:
+    """Outcomes of captures of one shape under one detector's settings (a row of ``resolve_detector``): as much of each dwell as the policy asks for."""
+    if settings.get("error"):
+        raise ValueError(f"detector policy refused: {settings['error']}")
+    take = min(max(1, math.floor(settings["dwell_s"] * prf_hz + 0.5)), pings)
+    high = settings["band_high_hz"]
+    floor = captures.select("dwell_id", "noise_floor").where("noise_floor is not null") if "noise_floor" in captures.columns else None
+    if high > prf_hz / 2:
+        none = dwells.select("dwell_id", "bin").distinct().select("dwell_id", "bin", F.lit("band_above_nyquist").alias("status"), F.lit(1.0).alias("p_value"), F.lit(0.0).alias("micromotion_band"), F.lit(0.0).alias("common_mode_peak_m"))
+    else:
+        none = micromotion.analyze(scoring.take_pings(dwells, take), take, prf_hz, lambda_m, settings["band_low_hz"], high, settings["min_snr_db"], settings["min_cycles"], settings["rejection"] == "on", floor)
+    return scoring.outcomes(captures, none, settings["alpha"], prf_hz / 2, high, settings["max_peak_m"], start_range_m, range_step_m)
+
+
+def detector_evaluator(captures: DataFrame, dwells: DataFrame, prf_hz: float, lambda_m: float, pings: int, start_range_m: float | None, range_step_m: float | None) -> Callable[[dict[str, int], str], dict]:
+    """What ``climb`` asks for detector policies; captures have a ``suite``. A suite without captures is an error, as nothing would be measured."""
+
+    def evaluate(policy: dict[str, int], suite: str) -> dict:
+        mine = scoring.attest(captures.where(F.col("suite") == suite), suite)
+        texts = {k: DETECTOR_LADDERS[k][policy[k]] for k in DETECTOR_LADDERS}
+        row = resolve_detector(captures.sparkSession.createDataFrame([tuple(texts.values())], [*texts])).first().asDict()
+        rows = evaluate_captures(mine, dwells.join(mine.select("dwell_id"), "dwell_id", "left_semi"), row, prf_hz, lambda_m, pings, start_range_m, range_step_m)
+        s = scoring.suite_score(rows.withColumn("all", F.lit(1)), row["alpha"], ["all"]).first()
+        return {"primary": s.primary, "noop": s.noop_rate, "regressed": s.over_budget, "hit_rate": s.hit_rate, "fa_rate": s.fa_rate}
+
+    return evaluate
+
+
+def climb(evaluate: Callable[[dict[str, int], str], dict], root: dict[str, int], generations: int = 5, ladders: dict[str, list] = LADDERS, step_text: Callable[[str, int, int], str] | None = None) -> list[dict]:
     """Hill-climb over levers in turn. Our own gate: a candidate must raise primary, strictly lower noop, not be regressed, and not fall below the root on the anchor suite. Evaluations are cached by policy and suite."""
     cache: dict = {}
 
@@ -119,14 +270,16 @@ def climb(evaluate: Callable[[dict[str, int], str], dict], root: dict[str, int],
             cache[k] = evaluate(p, suite)
         return cache[k]
 
-    best, stride, log = root, 1, []
+    best, log = root, []
     base = score(root, "anchor")["primary"]
-    levers = list(LADDERS)
+    levers, attempts = list(ladders), dict.fromkeys(ladders, 0)
     for g in range(generations):
         lever = levers[g % len(levers)]
-        candidate = next_rung(best, lever, stride)
+        attempts[lever] += 1  # a rung that was refused is stepped over the next time
+        candidate = best | {lever: min(best[lever] + attempts[lever], len(ladders[lever]) - 1)}
         now, new = score(best, "holdout"), score(candidate, "holdout")
         won = candidate != best and new["primary"] > now["primary"] and new["noop"] < now["noop"] and not new.get("regressed") and score(candidate, "anchor")["primary"] >= base
-        log.append({"generation": g, "step": describe(lever, best[lever], candidate[lever]), "promoted": won, "primary": (new if won else now)["primary"]})
-        best, stride = (candidate, 1) if won else (best, stride + 1)
+        log.append({"generation": g, "step": (step_text or describe)(lever, best[lever], candidate[lever]), "promoted": won, "primary": (new if won else now)["primary"]})
+        if won:
+            best, attempts[lever] = candidate, 0
     return log

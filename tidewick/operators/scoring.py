@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,77 +21,134 @@ def band_pairs(detections: DataFrame, truth: DataFrame, key: list[str], toleranc
 def score_ranges(pings: DataFrame, tolerance: float) -> DataFrame:
     """tp, fp, fn, precision, recall, f1, rmse, max_error for each row with detections and truth_ranges_m.
 
-    One to one, greedily: the strongest detection first takes the nearest truth that is left. The order
-    matters, so it is a kernel on each row's two short arrays.
+    One to one, greedily: the strongest detection first takes the nearest truth that is left, if that is
+    within tolerance. A row's two short arrays are folded where they are.
     """
-
-    def one(found, truth) -> tuple:
-        left, errors = [float(x) for x in (truth if truth is not None else [])], []
-        n = len(left)
-        found = list(found if found is not None else [])
-        for d in sorted(found, key=lambda d: -d["snr_db"]):
-            near = min(left, key=lambda t: abs(t - d["range_m"]), default=None)
-            if near is not None and abs(near - d["range_m"]) <= tolerance:
-                left.remove(near)
-                errors.append(abs(near - d["range_m"]))
-        tp, fp, fn = len(errors), len(found) - len(errors), n - len(errors)
-        p, r = (tp / (tp + fp) if tp + fp else 1.0), (tp / (tp + fn) if tp + fn else 1.0)
-        return tp, fp, fn, p, r, 2 * p * r / (p + r) if p + r else 0.0, (sum(e * e for e in errors) / tp) ** 0.5 if tp else 0.0, max(errors, default=0.0)
-
-    names = ["tp", "fp", "fn", "precision", "recall", "f1", "rmse", "max_error"]
-
-    def run(frames):
-        for f in frames:
-            rows = [one(d, t) for d, t in zip(f.pop("detections"), f.pop("truth_ranges_m"))]
-            for i, n in enumerate(names):
-                f[n] = pd.Series([r[i] for r in rows], index=f.index)
-            yield f
-
-    keys = [c for c in pings.columns if c not in ("detections", "truth_ranges_m")]
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in pings.schema if f.name in keys]
-    return pings.select(*keys, "detections", "truth_ranges_m").mapInPandas(run, ", ".join([*kept, "tp long, fp long, fn long, precision double, recall double, f1 double, rmse double, max_error double"]))
-
-
-def chamfer(a: DataFrame, b: DataFrame, distance: Column) -> DataFrame:
-    """Mean of each point's distance to the other set's nearest, both ways; infinite if a set is empty.
-
-    Rows (id, p). The sets are stated point sets of one map; ``distance`` is an expression over pa and pb.
+    some = F.coalesce("detections", F.array().cast(pings.schema["detections"].dataType))
+    truth = F.coalesce("truth_ranges_m", F.array().cast("array<double>")).cast("array<double>")
+    order = F.transform(F.array_sort(F.transform(some, lambda d, i: F.struct((-d["snr_db"]).alias("s"), i.alias("i"), d["range_m"].alias("r")))), lambda x: x["r"])
+    none = F.array().cast("array<double>")
+
+    def take(s, found):
+        errors = F.transform(s["left"], lambda t: F.abs(t - found))
+        e = F.array_min(errors)
+        n = F.array_position(errors, e).cast("int")
+        rest = F.concat(F.slice(s["left"], 1, n - 1), F.slice(s["left"], n + 1, F.size(s["left"])))
+        return F.when(e <= tolerance, F.struct(rest.alias("left"), F.concat(s["errors"], F.array(e)).alias("errors"))).otherwise(s)
+
+    rows = pings.withColumn("_e", F.aggregate(order, F.struct(truth.alias("left"), none.alias("errors")), take)["errors"])
+    tp = F.size("_e").cast("long")
+    rows = rows.withColumn("tp", tp).withColumn("fp", F.size(some) - tp).withColumn("fn", F.size(truth) - tp)
+    share = lambda a, b: F.when(F.col(a) + F.col(b) > 0, F.col(a) / (F.col(a) + F.col(b))).otherwise(1.0)
+    p, r = share("tp", "fp"), share("tp", "fn")
+    squares = F.aggregate("_e", F.lit(0.0), lambda a, e: a + e * e)
+    rows = rows.withColumn("precision", p).withColumn("recall", r).withColumn("f1", F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)))
+    rows = rows.withColumn("rmse", F.coalesce(F.sqrt(F.try_divide(squares, tp)), F.lit(0.0))).withColumn("max_error", F.coalesce(F.array_max("_e"), F.lit(0.0)))
+    return rows.drop("_e", "detections", "truth_ranges_m")
+
+
+def nearest(a: DataFrame, b: DataFrame, cell_m: float) -> DataFrame:
+    """(id, d): for each point (id, p) of a the distance to b's nearest point, by a grid whose cells widen.
+
+    A point meets the points of its own and the 26 neighbouring cells; what it finds within a cell's width is
+    final. Cells double for the rest, so that there are as many rounds as the largest distance has doublings.
+    A point whose place isn't finite is infinitely far, as all are where b is empty.
     """
-    pairs = a.select(F.col("id").alias("ia"), F.col("p").alias("pa")).join(b.select(F.col("id").alias("ib"), F.col("p").alias("pb"))).withColumn("d", distance)
-    sides = pairs.groupBy(F.lit(0).alias("side"), F.col("ia").alias("id")).agg(F.min("d").alias("d")).unionByName(pairs.groupBy(F.lit(1).alias("side"), F.col("ib").alias("id")).agg(F.min("d").alias("d")))
+    _checkpoints(a.sparkSession)
+    axes = "xyz"
+    good = lambda df: df.where(" and ".join(f"abs(p.{x}) < double('infinity')" for x in axes))
+    cell = lambda p, x, w: F.floor(F.col(f"{p}.{x}") / w).cast("long")
+    held, left = good(b).select(F.col("p").alias("pb")), good(a).select("id", F.col("p").alias("pa")).checkpoint()
+    done, width = a.select("id", F.lit(float("inf")).alias("d")), cell_m
+    if not held.limit(1).count():
+        return done
+    found = done.where("false")
+    while left.limit(1).count():
+        around = left
+        for x in axes:
+            around = around.withColumn(f"c{x}", F.explode(F.sequence(cell("pa", x, width) - 1, cell("pa", x, width) + 1)))
+        here = held.select("pb", *[cell("pb", x, width).alias(f"c{x}") for x in axes])
+        d = F.sqrt(sum(((F.col(f"pa.{x}") - F.col(f"pb.{x}")) ** 2 for x in axes), F.lit(0.0)))
+        best = around.join(here, [f"c{x}" for x in axes]).groupBy("id").agg(F.min(d).alias("d")).where(F.col("d") <= width).checkpoint()
+        found = found.unionByName(best)
+        left = left.join(best, "id", "left_anti").checkpoint()
+        width *= 2
+    return done.select("id").join(found, "id", "left").select("id", F.coalesce("d", F.lit(float("inf"))).alias("d"))
+
+
+def chamfer(a: DataFrame, b: DataFrame, cell_m: float) -> DataFrame:
+    """Mean of each point's distance to the other set's nearest, both ways; infinite if a set is empty. Rows (id, p)."""
+    sides = nearest(a, b, cell_m).select(F.lit(0).alias("side"), "d").unionByName(nearest(b, a, cell_m).select(F.lit(1).alias("side"), "d"))
     means = sides.groupBy("side").agg(F.avg("d").alias("m"))
     return means.agg(F.coalesce(F.when(F.count(F.lit(1)) == 2, F.avg("m")), F.lit(float("inf"))).alias("chamfer"))
 
 
+def score_map(truth: DataFrame, cells: DataFrame, by: list[str], known_odds: float = math.log(0.7 / 0.3)) -> DataFrame:
+    """A map (by, voxel, log_odds) against truth (by, voxel, solid, surface), a row for each voxel that could be observed.
+
+    Odds beyond a fixed level are claims, whatever the map's own settings; a voxel without evidence claims nothing.
+    """
+    j = truth.join(cells.select(*by, F.col("voxel").cast("long").alias("voxel"), "log_odds"), [*by, "voxel"], "left")
+    lo = F.coalesce("log_odds", F.lit(0.0))
+    occ, free, solid, surface = lo >= known_odds, lo <= -known_odds, F.col("solid"), F.col("surface")
+    n = {"free_both": free & ~solid, "free_either": free | ~solid, "occupied": occ, "found": surface & occ, "surface": surface, "solid": solid, "solid_free": solid & free, "known": lo != 0, "open": (lo != 0) & ~occ & ~free}
+    c = j.groupBy(*by).agg(*[F.count_if(x).alias(k) for k, x in n.items()])
+    div = lambda a, b, other: F.coalesce(F.try_divide(F.col(a), F.col(b)), other)
+    p = div("found", "occupied", F.when(F.col("surface") == 0, 1.0).otherwise(0.0))
+    r = div("found", "surface", F.lit(1.0))
+    s = c.select(*by, div("free_both", "free_either", F.lit(0.0)).alias("free_iou"), p.alias("precision"), r.alias("recall"), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("f1"), div("solid_free", "solid", F.lit(0.0)).alias("false_free"), div("open", "known", F.lit(1.0)).alias("uncommitted"))
+    return s.withColumn("primary", 0.5 * F.col("free_iou") + 0.5 * F.col("f1"))
+
+
 OUTCOMES = ["hit", "miss", "false_alarm", "correct_rejection", "abstain"]
 
 
+def bins_covering(range_m: Column, start_m, step_m, bins: Column, around: int = 1) -> tuple[Column, Column]:
+    """First and last bin that cover a range, give or take ``around``; null where the dwell has no geometry or doesn't reach it."""
+    to = lambda x: F.lit(None).cast("double") if x is None else F.lit(x).cast("double") if isinstance(x, (int, float)) else x
+    start, step = to(start_m), to(step_m)
+    centre = F.floor((range_m - F.coalesce(start, F.lit(0.0))) / step + 0.5)
+    ok = (step > 0) & (centre + around >= 0) & (centre - around < bins)
+    return F.when(ok, F.greatest(F.lit(0), centre - around)), F.when(ok, F.least(bins - 1, centre + around))
+
+
+def take_pings(rows: DataFrame, pings: int) -> DataFrame:
+    """The first pings of each dwell."""
+    return rows.where(F.col("ping") < pings)
+
+
 def outcomes(captures: DataFrame, bins: DataFrame, alpha: float, nyquist_hz: float, band_high_hz: float, sensor_motion_m: float, start_range_m: float | None, range_step_m: float | None) -> DataFrame:
-    """One outcome and a reason for abstaining, if any, for each capture.
+    """One outcome, a reason for abstaining if any, and the share left undecided, for each capture.
 
-    captures: dwell_id, consent boolean, body_in_scene boolean, body_range_m double; bins: what
+    captures: dwell_id, consent boolean, body_in_scene boolean, body_range_m double, bins; bins: what
     micromotion.analyze returns. First reason that holds: no consent, band above Nyquist, the analysis'
     own refusal, a moving sensor; then negatives without a usable bin, and positives without range
     geometry or without a return near the body.
     """
     fires = (F.col("status") == "ok") & (F.col("p_value") <= alpha)
-    by = bins.join(captures.select("dwell_id", "body_range_m"), "dwell_id")
-    at = F.floor((F.col("body_range_m") - start_range_m) / range_step_m) if range_step_m else F.lit(None)
-    near = F.abs(F.col("bin") - at) <= 1
+    lo, hi = bins_covering(F.col("body_range_m"), start_range_m, range_step_m, F.col("bins"))
+    placed = captures.withColumn("_lo", lo).withColumn("_hi", hi)
+    by = bins.join(placed.select("dwell_id", "_lo", "_hi"), "dwell_id")
+    near = F.col("bin").between(F.col("_lo"), F.col("_hi"))
     facts = by.groupBy("dwell_id").agg(F.count_if(F.col("status") == "ok").alias("usable_bins"), F.bool_or(fires).alias("fires"), F.bool_or(fires & near).alias("fires_near"), F.bool_or((F.col("status") == "ok") & near).alias("usable_near"), F.max("common_mode_peak_m").alias("moved"), F.max(F.when(F.col("status").isin("insufficient_dwell", "no_noise_floor"), F.col("status"))).alias("refused"), F.max(F.when(F.col("status") == "ok", F.col("micromotion_band"))).alias("peak_score"))
-    j = captures.join(facts, "dwell_id", "left")
-    positive = F.col("body_in_scene") & F.col("body_range_m").isNotNull() & ~F.isnan("body_range_m")
-    reason = (
+    j = placed.join(facts, "dwell_id", "left")
+    positive = is_positive()
+    whole = (
         F.when(~F.coalesce("consent", F.lit(False)), "no_consent")
-        .when(F.lit(band_high_hz >= nyquist_hz), "band_above_nyquist")
+        .when(F.lit(band_high_hz > nyquist_hz), "band_above_nyquist")
         .when(F.col("refused").isNotNull(), F.col("refused"))
         .when(F.col("moved") > sensor_motion_m, "sensor_motion")
-        .when(~positive & (F.coalesce("usable_bins", F.lit(0)) == 0), "no_return")
-        .when(positive & F.lit(not range_step_m), "no_range_geometry")
-        .when(positive & ~F.coalesce("usable_near", F.lit(False)), "no_return")
     )
+    usable = F.coalesce("usable_bins", F.lit(0))
+    reason = F.coalesce(whole, F.when(~positive & (usable == 0), "no_return").when(positive & F.col("_lo").isNull(), "no_range_geometry").when(positive & ~F.coalesce("usable_near", F.lit(False)), "no_return"))
     outcome = F.when(reason.isNotNull(), "abstain").when(positive, F.when(F.col("fires_near"), "hit").otherwise("miss")).otherwise(F.when(F.col("fires"), "false_alarm").otherwise("correct_rejection"))
-    return j.select("dwell_id", outcome.alias("outcome"), reason.alias("abstain_reason"), F.coalesce("usable_bins", F.lit(0)).alias("usable_bins"), "peak_score")
+    noop = F.when(whole.isNotNull() | (F.col("bins") <= 0), 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("bins") - usable) / F.col("bins"))))
+    return j.select("dwell_id", outcome.alias("outcome"), reason.alias("abstain_reason"), usable.alias("usable_bins"), "peak_score", noop.alias("noop_share"))
+
+
+def is_positive() -> Column:
+    """Whether a capture's label says that a body is there, at a range that can be looked at."""
+    return F.coalesce(F.col("body_in_scene") & F.col("body_range_m").isNotNull() & ~F.isnan("body_range_m") & (F.abs("body_range_m") < float("inf")), F.lit(False))
 
 
 def false_alarm_probability(alpha: float, bins: Column) -> Column:
@@ -104,29 +163,53 @@ def suite_score(rows: DataFrame, alpha: float, by: list[str]) -> DataFrame:
     hit = F.coalesce(F.try_divide(count["hit"], count["hit"] + count["miss"]), F.lit(0.0))
     fa = F.coalesce(F.try_divide(count["false_alarm"], count["false_alarm"] + count["correct_rejection"]), F.lit(0.0))
     expected, spread = F.coalesce(F.sum(p), F.lit(0.0)), F.sqrt(F.coalesce(F.sum(p * (1 - p)), F.lit(0.0)))
-    return rows.groupBy(*by).agg(*[c.alias(o) for o, c in count.items()], hit.alias("hit_rate"), fa.alias("fa_rate"), (hit - fa).alias("primary"), (count["false_alarm"] > expected + 3 * spread).alias("over_budget"))
+    noop = [F.avg("noop_share").alias("noop_rate")] if "noop_share" in rows.columns else []
+    return rows.groupBy(*by).agg(*[c.alias(o) for o, c in count.items()], hit.alias("hit_rate"), fa.alias("fa_rate"), (hit - fa).alias("primary"), (count["false_alarm"] > expected + 3 * spread).alias("over_budget"), *noop)
+
+
+#: what each gate of a corpus is called
+GATES = ("empty corpus", "a capture without consent", "a capture without a usable dwell", "a dwell of the wrong length", "no positive capture", "no negative capture")
+
 
+def attest(captures: DataFrame, suite: str | None = None) -> DataFrame:
+    """The captures, or ValueError that names the first corpus-level gate that fails.
 
-def attest(captures: DataFrame) -> DataFrame:
-    """The captures, or an error that names the first corpus-level gate that fails."""
-    f = captures.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.coalesce("consent", F.lit(False))).alias("unconsented"), F.count_if("body_in_scene").alias("positive"), F.count_if(~F.col("body_in_scene")).alias("negative")).first()
-    for bad, why in ((f.n == 0, "empty corpus"), (f.unconsented > 0, "a capture without consent"), (f.positive == 0, "no positive capture"), (f.negative == 0, "no negative capture")):
+    Where captures say so (pings, bins, prf_hz, lambda_m, n_samples), dwells must have a positive shape and
+    rate, and as many values as that takes, two for each ping and bin.
+    """
+    has = set(captures.columns)
+    shape = F.lit(False)
+    for c in {"pings", "bins", "prf_hz", "lambda_m"} & has:
+        shape = shape | ~F.coalesce(F.col(c) > 0, F.lit(False))
+    length = F.coalesce(F.col("n_samples") != 2 * F.col("pings") * F.col("bins"), F.lit(True)) if {"pings", "bins", "n_samples"} <= has else F.lit(False)
+    f = captures.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.coalesce("consent", F.lit(False))).alias("unconsented"), F.count_if(shape).alias("shape"), F.count_if(length).alias("length"), F.count_if(is_positive()).alias("positive")).first()
+    failed = (f.n == 0, f.unconsented > 0, f["shape"] > 0, f["length"] > 0, f.positive == 0, f.positive == f.n)
+    for bad, why in zip(failed, GATES):
         if bad:
-            raise ValueError(why)
+            raise ValueError(why if suite is None else f"{suite}: {why}")
     return captures
 
 
+def _checkpoints(spark) -> None:
+    """Checkpoints go where the cluster says. Only a local session may have a temporary folder."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir():
+        return
+    base = sc.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="tidewick-")
+    sc.setCheckpointDir(base)
+
+
 def components(edges: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
     """(node, label) of a bipartite graph, nodes prefixed by side: the least label spreads over both sides until nothing changes.
 
     Labels also jump to their label's label, so rounds grow with the logarithm of a component's diameter.
     """
     e = edges.select(F.concat(F.lit("a:"), F.col(a).cast("string")).alias("x"), F.concat(F.lit("b:"), F.col(b).cast("string")).alias("y")).distinct()
-    spark = e.sparkSession
-    if not spark.sparkContext.getConf().get("spark.checkpoint.dir") and not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewick-"))
+    _checkpoints(e.sparkSession)
     both = e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y"))).checkpoint()
     labels = both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("label"))
     labels = labels.checkpoint()
@@ -137,17 +220,20 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
         changed = jump.join(labels.withColumnRenamed("label", "old"), "x").where("label <> old").limit(1).count()
         labels = jump
         if not changed:
-            break
-    return labels.select(F.col("x").alias("node"), "label")
+            return labels.select(F.col("x").alias("node"), "label")
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def split_by_component(captures: DataFrame, room: str = "room_id", subject: str = "subject_id") -> DataFrame:
     """Add ``suite`` (holdout or anchor) so that the two share no room and no subject; at least two components are needed.
 
-    Components go, largest first, to the suite that is smaller so far.
+    Components go, largest first, to the suite that is smaller so far. A capture without a subject joins no
+    rooms. Where captures are labelled, each suite must pass ``attest``.
     """
-    labels = components(captures, room, subject)
-    named = captures.join(labels.where(F.col("node").startswith("a:")).select(F.substring("node", 3, 1 << 20).alias("_r"), "label"), F.col(room).cast("string") == F.col("_r")).drop("_r")
+    rooms = captures.select(F.concat(F.lit("a:"), F.col(room).cast("string")).alias("node")).distinct()
+    found = components(captures.where(F.col(subject).isNotNull()), room, subject)
+    labels = rooms.join(found, "node", "left").select(F.substring("node", 3, 1 << 20).alias("_r"), F.coalesce("label", "node").alias("label"))
+    named = captures.join(labels, F.col(room).cast("string") == F.col("_r")).drop("_r")
     sizes = named.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "label").collect()  # one row for each component of a labelled corpus, at most 4096 captures
     if len(sizes) < 2:
         raise ValueError("fewer than two components")
@@ -156,7 +242,11 @@ def split_by_component(captures: DataFrame, room: str = "room_id", subject: str
         to = min(totals, key=lambda k: (totals[k], k != "holdout"))
         totals[to] += r.n
         suite[r.label] = to
-    return named.withColumn("suite", F.when(F.col("label").isin([k for k, v in suite.items() if v == "holdout"]), "holdout").otherwise("anchor")).drop("label")
+    out = named.withColumn("suite", F.when(F.col("label").isin([k for k, v in suite.items() if v == "holdout"]), "holdout").otherwise("anchor")).drop("label")
+    if {"consent", "body_in_scene", "body_range_m"} <= set(captures.columns):
+        for name in totals:
+            attest(out.where(F.col("suite") == name), name)
+    return out
 
 
 def latest_before(events: DataFrame, marks: DataFrame, key: str, at: str, value: str) -> DataFrame:

@@ -6,35 +6,16 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..config import WINDOWS, Grid, Sonar
 from ..functions import geometry as G
 from ..functions import numbers as N
 from ..functions import waveform as Wf
-from ..operators import cfar, kernels, memory, micromotion, occupancy, policy, rooms, scoring
+from ..operators import cfar, memory, occupancy, policy, scoring
 from ..sources import wire
+from .registry import query, r
 from .tables import events, rounded, table
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def r(x: str, places: int = 6) -> str:
-    return f"floor(({x}) * 1e{places} + 0.5) / 1e{places}"
-
-
 CFAR = Sonar(cfar_train=8, cfar_guard=2, cfar_pfa=0.2, cfar_merge_gap=2)
 _KEY, _ORDER = ["user_id"], ["ts", "event_id"]
 _W = "(PARTITION BY user_id ORDER BY ts, event_id"
@@ -92,16 +73,10 @@ def phase_unwrap(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""
 SELECT l_returnflag, l_linestatus, list_sort(list(l_extendedprice))[CAST(floor((count(*) - 1) * 0.5 + 0.5) AS BIGINT) + 1] AS nearest_rank, {r("quantile_cont(l_extendedprice, 0.5)")} AS median FROM lineitem GROUP BY ALL""")
 def quantile_definitions(spark: SparkSession, d: str) -> DataFrame:
-    """Both medians without collecting a group: the nearest rank is a discrete percentile at a shifted rank."""
-    rows = table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_extendedprice")
-    n = rows.groupBy("l_returnflag", "l_linestatus", "l_extendedprice").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("l_returnflag", "l_linestatus")
-    upto = F.sum("n").over(w.orderBy("l_extendedprice"))
-    ranked = n.select("l_returnflag", "l_linestatus", "l_extendedprice", "n", upto.alias("upto"), F.sum("n").over(w).alias("total"))
-    holds = lambda k: F.min(F.when(F.col("upto") > k, F.col("l_extendedprice")))
-    half = F.floor((F.col("total") - 1) * 0.5 + 0.5)
-    low, high = F.floor((F.col("total") - 1) / 2), F.ceil((F.col("total") - 1) / 2)
-    return ranked.groupBy("l_returnflag", "l_linestatus").agg(holds(half).alias("nearest_rank"), rounded((holds(low) + holds(high)) / 2).alias("median"))
+    """Both medians; no group's prices are brought together: counts by range find the range that holds a rank, and only that one is ranked."""
+    keys = ["l_returnflag", "l_linestatus"]
+    q = cfar.grouped_ranks(table(spark, d, "lineitem"), keys, "l_extendedprice", {"nearest": lambda n: F.floor((n - 1) * 0.5 + 0.5), "low": lambda n: F.floor((n - 1) / 2), "high": lambda n: F.ceil((n - 1) / 2)})
+    return q.select(*keys, F.col("nearest").alias("nearest_rank"), rounded((F.col("low") + F.col("high")) / 2).alias("median"))
 
 
 @query(f"""
@@ -276,9 +251,9 @@ def _tap(x: str) -> str:
 
 
 @query(f"""
-SELECT id, n, {r("amplitude * (" + _tap("(t / duration_s)") + ") * sin((2 * pi() * (f0 * t + (f1 - f0) / duration_s * t * t / 2)) % (2 * pi()))", 5)} AS sample FROM (SELECT *, n / fs AS t FROM ({_CONFIG}), (SELECT unnest(range(0, 64, 4))::INT AS n) WHERE id % 10 = 0) WHERE t <= duration_s""")
+SELECT id, n, {r("amplitude * (" + _tap("(t / duration_s)") + ") * sin((2 * pi() * (f0 * t + (f1 - f0) / duration_s * t * t / 2)) % (2 * pi()))", 5)} AS sample FROM (SELECT *, n / fs AS t FROM ({_CONFIG}), (SELECT unnest(range(0, 600))::INT AS n)) WHERE t <= duration_s""")
 def pulse_samples(spark: SparkSession, d: str) -> DataFrame:
-    rows = _configs(spark, d).where("id % 10 = 0").withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(63), F.lit(4)))).withColumn("t", F.col("n") / F.col("fs")).where("t <= duration_s")
+    rows = _configs(spark, d).withColumn("n", F.explode(F.sequence(F.lit(0), F.floor(F.col("duration_s") * F.col("fs")).cast("int") + 1))).withColumn("t", F.col("n") / F.col("fs")).where("t <= duration_s")
     s = Wf.pulse_at(F.col("amplitude"), F.col("tx_window"), F.col("f0"), F.col("f1"), F.col("duration_s"), F.col("t"))
     return rows.select("id", "n", rounded(s, 5).alias("sample"))
 
@@ -338,11 +313,11 @@ def detector_suite_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT 'a:' || CAST(s_nationkey AS VARCHAR) AS x, 'b:' || CAST(CAST(floor(s_acctbal / 900) AS BIGINT) AS VARCHAR) AS y FROM supplier WHERE s_suppkey % 3 = 0),
+WITH RECURSIVE e AS (SELECT DISTINCT 'a:' || CAST(s_nationkey AS VARCHAR) AS x, 'b:' || CAST(CAST(floor(s_acctbal / 900) AS BIGINT) AS VARCHAR) AS y FROM supplier),
 both_ways AS (SELECT x, y FROM e UNION SELECT y, x FROM e), reach AS (SELECT x AS node, x AS label FROM both_ways UNION SELECT b.y, r.label FROM reach r JOIN both_ways b ON r.node = b.x)
 SELECT node, min(label) AS label FROM reach GROUP BY node""")
 def room_subject_components(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_nationkey").alias("room"), F.floor(F.col("s_acctbal") / 900).cast("long").alias("subject"))
+    rows = table(spark, d, "supplier").select(F.col("s_nationkey").alias("room"), F.floor(F.col("s_acctbal") / 900).cast("long").alias("subject"))
     return scoring.components(rows, "room", "subject")
 
 
@@ -373,13 +348,13 @@ def voxel_indexing(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH p AS (SELECT vec_id, ROW(embedding[1], embedding[2], embedding[3]) AS p, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, vec_id % 2 AS side FROM embeddings WHERE vec_id < 400),
+WITH p AS (SELECT vec_id, ROW(embedding[1], embedding[2], embedding[3]) AS p, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, vec_id % 2 AS side FROM embeddings),
 d AS (SELECT a.vec_id AS ia, b.vec_id AS ib, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS d FROM p a, p b WHERE a.side = 0 AND b.side = 1)
 SELECT {r("((SELECT avg(m) FROM (SELECT min(d) AS m FROM d GROUP BY ia)) + (SELECT avg(m) FROM (SELECT min(d) AS m FROM d GROUP BY ib))) / 2")} AS chamfer""")
 def chamfer_distance(spark: SparkSession, d: str) -> DataFrame:
     e = lambda i: F.col("embedding")[i].cast("double")
-    rows = table(spark, d, "embeddings").where("vec_id < 400").select(F.col("vec_id").alias("id"), G.vec(e(0), e(1), e(2)).alias("p"))
-    return scoring.chamfer(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), G.distance(F.col("pa"), F.col("pb"))).select(rounded(F.col("chamfer")).alias("chamfer"))
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), G.vec(e(0), e(1), e(2)).alias("p"))
+    return scoring.chamfer(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), 0.4).select(rounded(F.col("chamfer")).alias("chamfer"))
 
 
 @query("SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n, max(value) AS top FROM events GROUP BY ALL")
@@ -405,69 +380,3 @@ def star_revenue(spark: SparkSession, d: str) -> DataFrame:
     o = t("orders").select("o_orderkey", "o_custkey").join(c, F.col("o_custkey") == F.col("c_custkey"))
     j = t("lineitem").select("l_orderkey", "l_extendedprice", "l_discount").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     return j.groupBy("r_name", "n_name").agg(F.count(F.lit(1)).alias("lines"), rounded(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
-
-
-# ---- kernels: no SQL can say the same ---------------------------------------------------------------
-
-
-def simulated(spark: SparkSession, suite: str = "holdout", az: int = 8, el: int = 1, cfg: Sonar = Sonar(), parts: int = 8) -> DataFrame:
-    """Pings of every stock room of a suite: beams cast into targets, recordings rendered and processed."""
-    poses = rooms.poses_in(rooms.rooms(spark, suite), rooms.raster(spark, az, el))
-    targets = rooms.sample_beams(poses)
-    j = poses.select("session_id", "ping", "origin", "beam").join(targets, ["session_id", "ping"], "left").withColumn("targets", F.coalesce("targets", F.array().cast(targets.schema["targets"].dataType)))
-    scenes = j.withColumn("seed", rooms.seeds(0x5EED1234, F.col("ping"))).repartition(parts, "session_id", "ping")
-    return kernels.process_pings(kernels.simulate_pings(scenes, cfg), cfg, envelope=True)
-
-
-@query()
-def simulated_pings(spark: SparkSession, d: str) -> DataFrame:
-    p = simulated(spark)
-    return p.select("session_id", "ping", "saturated", F.size("detections").alias("detections"), rounded(F.col("noise_floor"), 6).alias("noise_floor"))
-
-
-@query()
-def occupancy_maps(spark: SparkSession, d: str) -> DataFrame:
-    return occupancy.summary(occupancy.integrate(simulated(spark)))
-
-
-@query()
-def room_signatures(spark: SparkSession, d: str) -> DataFrame:
-    return memory.signatures(occupancy.integrate(simulated(spark))).select("session_id", "occupied", "known", "mean_range_m", "azimuth_support", F.size("vector").alias("dim"))
-
-
-@query()
-def map_scores(spark: SparkSession, d: str) -> DataFrame:
-    grid = Grid(voxel_m=0.2)
-    maps = occupancy.integrate(simulated(spark), grid=grid)
-    every = rooms.rooms(spark, "holdout").withColumn("voxel", F.explode(F.sequence(F.lit(0), F.lit(grid.dim**3 - 1)))).withColumn("p", G.centre_of(F.col("voxel"), grid.extent_m, grid.voxel_m, grid.dim))
-    truth = every.select(F.col("name").alias("session_id"), F.col("voxel").cast("long").alias("voxel"), rooms.is_solid(F.col("p"), F.col("shell"), F.col("obstacles")).alias("solid"), rooms.near_surface(F.col("p"), F.col("shell"), F.col("obstacles"), grid.voxel_m).alias("surface"))
-    j = truth.join(maps.withColumn("voxel", F.col("voxel").cast("long")), ["session_id", "voxel"], "left").withColumn("log_odds", F.coalesce("log_odds", F.lit(0.0)))
-    return rooms.score_map(j, ["session_id"])
-
-
-@query()
-def field_recording(spark: SparkSession, d: str) -> DataFrame:
-    p = simulated(spark).withColumn("timestamp", 1.7e9 + F.col("ping") / 15).withColumn("source", F.lit("simulated")).withColumn("device_id", F.col("session_id"))
-    return wire.to_lines(wire.encode(p))
-
-
-@query()
-def micro_motion(spark: SparkSession, d: str) -> DataFrame:
-    """Periodicity of synthetic dwells: one bin moves at 0.25 Hz, the others don't."""
-    n = F.col("n")
-    noise = lambda s: (F.pmod(F.xxhash64("dwell_id", "ping", "bin", F.lit(s)), F.lit(2001)) - 1000) / 1000 * 0.01
-    rows = spark.range(4 * 240 * 6).withColumnRenamed("id", "n").select(F.floor(n / 1440).alias("dwell_id"), (F.floor(n / 6) % 240).cast("int").alias("ping"), (n % 6).cast("int").alias("bin"))
-    phase = F.when(F.col("bin") == 2, 4 * math.pi / 0.018 * 0.002 * F.sin(2 * math.pi * 0.25 * F.col("ping") / 15)).otherwise(0.0)
-    rows = rows.withColumn("re", 0.15 * F.cos(phase) + noise(1)).withColumn("im", 0.15 * F.sin(phase) + noise(2))
-    floor = rows.select("dwell_id").distinct().withColumn("noise_floor", F.lit(0.008))
-    out = micromotion.analyze(rows, 240, 15.0, 0.018, 0.15, 0.6, min_cycles=2.0, floor=floor)
-    return out.select("dwell_id", "bin", "status", rounded(F.col("p_value")).alias("p_value"), rounded(F.col("rate_hz")).alias("rate_hz"), rounded(F.col("displacement_m"), 6).alias("displacement_m"))
-
-
-@query()
-def range_scores(spark: SparkSession, d: str) -> DataFrame:
-    p = simulated(spark).select("session_id", "ping", "detections").withColumn("truth_ranges_m", F.transform("detections", lambda x: x["range_m"] + 0.02))
-    return scoring.score_ranges(p, 0.1)
-
-
-__all__ = ["ORACLES", "QUERIES", "T"]

@@ -6,6 +6,8 @@ scoring joins them again.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,7 +44,7 @@ SCHEMA = "type string, " + ", ".join(f"{k} struct<{','.join(x.replace(' ', ':',
 
 
 def first_error() -> Column:
-    """The code of the first check a parsed record fails, or null. Consent comes before all else that it can hide."""
+    """The code of the first check a parsed record fails, or null."""
     c = F.col
     m, t, k, p, s = "measurement", "teacher", "clock", "provenance", "consent"
     end = c(f"{m}.start_range_m") + c(f"{m}.range_step_m") * c(f"{m}.bins")
@@ -53,13 +55,14 @@ def first_error() -> Column:
     every = lambda x, f=finite: F.coalesce(F.forall(x, f), F.lit(False))
     pose = c(f"{t}.pose")
     checks = [
-        ("type_mismatch", c("type") == TYPE),
+        ("schema_mismatch", c("type") == TYPE),
+        ("schema_mismatch", c(f"{p}.schema") == c("type")),
+        ("invalid", valid_id(c(f"{p}.device_id")) & is_index(c(f"{p}.sequence")) & c(f"{p}.source").isin("simulated", "device_capture") & c(f"{p}.synthetic").isNotNull()),
+        ("synthetic_mismatch", c(f"{p}.synthetic") == (c(f"{p}.source") == "simulated")),
         ("consent_invalid", valid_id(c(f"{s}.receipt_id")) & valid_id(c(f"{s}.subject_ref")) & valid_id(c(f"{s}.withdrawal_ref"))),
         ("consent_invalid", (c(f"{s}.scope") == SCOPE) & (c(f"{s}.privacy_max") == PRIVACY)),
         ("consent_invalid", is_epoch(c(f"{s}.granted_unix_s")) & is_epoch(c(f"{s}.expires_unix_s")) & (c(f"{s}.expires_unix_s") > c(f"{s}.granted_unix_s"))),
         ("consent_invalid", c(f"{s}.expires_unix_s") - c(f"{s}.granted_unix_s") <= CONSENT_WINDOW_S),
-        ("invalid", valid_id(c(f"{p}.device_id")) & is_index(c(f"{p}.sequence")) & c(f"{p}.source").isin("simulated", "device_capture") & c(f"{p}.synthetic").isNotNull()),
-        ("synthetic_mismatch", c(f"{p}.synthetic") == (c(f"{p}.source") == "simulated")),
         ("invalid", valid_id(c(f"{m}.calibration_id")) & (F.size(f"{m}.beam") == 3) & every(f"{m}.beam") & (beam >= 1e-6)),
         ("invalid", finite(c(f"{m}.prf_hz")) & c(f"{m}.prf_hz").between(1, 200) & finite(c(f"{m}.lambda_m")) & (c(f"{m}.lambda_m") > 0) & (c(f"{m}.lambda_m") <= 1)),
         ("invalid", c(f"{m}.pings").between(1, MOST_PINGS) & c(f"{m}.bins").between(1, MOST_BINS) & (c(f"{m}.pings") * c(f"{m}.bins") <= MOST_SAMPLES)),
@@ -89,23 +92,31 @@ def parse(lines: DataFrame, expected_source: str | None = None) -> DataFrame:
     kept = lines.where(F.length(F.trim("value")) > 0)
     size = F.octet_length("value")
     raw = kept.withColumn("over", size > MOST_BYTES).withColumn("text", F.when(size <= MOST_BYTES, F.col("value")))
-    shapes = [same_keys(F.coalesce(F.json_object_keys(F.get_json_object("text", f"$.{b}")), F.array().cast("array<string>")), [x.split(" ")[0] for x in _split(f)]) for b, f in {"consent": BLOCKS["consent"], **BLOCKS}.items()]
-    outer = same_keys(F.coalesce(F.json_object_keys("text"), F.array().cast("array<string>")), ["type", *BLOCKS])
-    j = raw.withColumn("j", F.from_json("text", SCHEMA)).withColumn("shape", F.when(F.col("over"), "too_large").when(F.col("j").isNull() | F.json_object_keys("text").isNull(), "not_json").when(~shapes[0], "consent_invalid").when(~outer, "shape").when(~F.forall(F.array(*shapes), lambda x: x), "shape"))
+    keys = lambda path: F.coalesce(F.json_object_keys(F.get_json_object("text", path)), F.array().cast("array<string>"))
+    names = lambda fields: [re.split("[ :]", x, maxsplit=1)[0] for x in _split(fields)]
+    consent = F.size(F.array_except(F.array(*[F.lit(x) for x in names(BLOCKS["consent"])]), keys("$.consent"))) == 0
+    lens = BLOCKS["teacher"].rpartition("intrinsics struct<")[2].removesuffix(">")
+    exact = same_keys(F.coalesce(F.json_object_keys("text"), F.array().cast("array<string>")), ["type", *BLOCKS]) & same_keys(keys("$.teacher.intrinsics"), names(lens))
+    for block, fields in BLOCKS.items():
+        exact = exact & same_keys(keys(f"$.{block}"), names(fields))
+    j = raw.withColumn("j", F.from_json("text", SCHEMA)).withColumn("shape", F.when(F.col("over"), "line_too_long").when(F.col("j").isNull() | F.json_object_keys("text").isNull(), "parse").when(~consent, "consent_missing").when(~exact, "unknown_field"))
     rows = j.select("line", "shape", "j.*")
     rows = rows.withColumn("error", F.coalesce("shape", first_error()))
     if expected_source is not None:
         rows = rows.withColumn("error", F.coalesce("error", F.when(F.col("provenance.source") != expected_source, "source_mismatch")))
+    device = F.trim("provenance.device_id")
+    one = rows.agg(F.min_by(device, "line").alias("_first"))
+    rows = rows.join(F.broadcast(one)).withColumn("error", F.coalesce("error", F.when(device != F.col("_first"), "device_mismatch"))).drop("_first")
     w = Window.partitionBy("provenance.device_id").orderBy("line")
     stop = F.col("clock.ultrasonic_unix_s") + F.try_divide(F.col("measurement.pings"), F.col("measurement.prf_hz"))
-    overlap = F.col("clock.ultrasonic_unix_s") < F.max(stop).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("error", F.coalesce("error", F.when(overlap, "overlap"))).drop("shape")
+    behind = F.col("clock.ultrasonic_unix_s") <= F.max(stop).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("error", F.coalesce("error", F.when(behind, "non_monotonic"))).drop("shape")
 
 
 def verdict(rows: DataFrame) -> DataFrame:
     """One row: whether the file is accepted, its records, and the first error in line order."""
-    one = rows.agg(F.count(F.lit(1)).alias("records"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("line"))).alias("error"), F.count_distinct("provenance.device_id").alias("devices"))
-    error = F.coalesce("error", F.when(F.col("records") > MOST_RECORDS, "too_many"), F.when(F.col("devices") > 1, "device_mismatch"))
+    one = rows.agg(F.count(F.lit(1)).alias("records"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("line"))).alias("error"))
+    error = F.coalesce("error", F.when(F.col("records") > MOST_RECORDS, "too_many_records"), F.when(F.col("records") == 0, "empty"))
     return one.select("records", error.alias("error"), error.isNull().alias("accepted"))
 
 
@@ -132,7 +143,7 @@ def labels(rows: DataFrame) -> DataFrame:
 def captures(dwell_rows: DataFrame, label_rows: DataFrame) -> DataFrame:
     """Dwells rejoined with their labels; a body counts only on the beam."""
     j = dwell_rows.join(label_rows, ["device_id", "sequence"])
-    return j.select("device_id", "sequence", F.concat_ws("#", "device_id", F.col("sequence").cast("string")).alias("dwell_id"), F.coalesce("body_on_beam", F.lit(False)).alias("body_in_scene"), F.when(F.coalesce("body_on_beam", F.lit(False)), F.col("range_m")).alias("body_range_m"), F.lit(True).alias("consent"))
+    return j.select("device_id", "sequence", F.concat_ws("#", "device_id", F.col("sequence").cast("string")).alias("dwell_id"), "pings", "bins", "prf_hz", "lambda_m", F.size("iq").alias("n_samples"), "noise_floor", F.coalesce("body_on_beam", F.lit(False)).alias("body_in_scene"), F.when(F.coalesce("body_on_beam", F.lit(False)), F.col("range_m")).alias("body_range_m"), F.lit(True).alias("consent"))
 
 
 def long_dwells(dwell_rows: DataFrame) -> DataFrame:

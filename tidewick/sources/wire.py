@@ -70,7 +70,9 @@ def encode(pings: DataFrame, bins: int = 256, low_m: float = 0.3, high_m: float
     cut to the limit before they are sorted.
     """
     step = (high_m - low_m) / bins
-    first = lambda b: F.greatest(F.lit(0), F.least(F.size("envelope"), F.ceil((low_m + b * step - F.col("start_range_m")) / F.col("range_step_m")).cast("int")))
+    # names of their own: in a lambda a column of the select's own output would come first
+    pings = pings.withColumnsRenamed({"start_range_m": "_start_m", "range_step_m": "_step_m"})
+    first = lambda b: F.greatest(F.lit(0), F.least(F.size("envelope"), F.ceil((low_m + b * step - F.col("_start_m")) / F.col("_step_m")).cast("int")))
     held = lambda x: non_negative(x.cast("double"))
     pooled = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.coalesce(F.array_max(F.transform(F.slice("envelope", first(b) + 1, F.greatest(F.lit(0), first(b + 1) - first(b))), held)), F.lit(0.0)))
     ok = F.filter("detections", lambda d: finite(d["range_m"]) & finite(d["snr_db"]) & d["range_m"].between(low_m, high_m))
@@ -128,8 +130,13 @@ def retained(events: DataFrame, key: str, most: int = 64) -> DataFrame:
     return events.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n").orderBy(key, "seq")
 
 
+MOST_EVENTS = 64
+
+
 def body(events: DataFrame) -> DataFrame:
-    """Retained events (at most 64) in the endpoint's envelope."""
+    """Retained events in the endpoint's envelope; more than MOST_EVENTS are an error."""
+    if events.limit(MOST_EVENTS + 1).count() > MOST_EVENTS:
+        raise ValueError(f"an envelope holds at most {MOST_EVENTS} events")
     return events.agg(F.to_json(F.struct(F.lit(1).alias("version"), F.sort_array(F.collect_list(F.struct(*events.columns))).alias("events"))).alias("value"))
 
 
