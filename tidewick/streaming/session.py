@@ -54,7 +54,7 @@ class Scan(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = self.facts.get() if self.facts.exists() else None
         at, pings, saturated, silent, occupied, known, last, repeats = state or (float("-inf"), 0, 0, 0, 0, 0, None, 0)
-        g, out = self.grid, []
+        g, out, cells = self.grid, [], {}  # a batch reads and writes each voxel's state once
         frame = pd.concat(list(rows)).sort_values(["timestamp", "ping"], kind="stable")
         for r in frame.itertuples():
             halt = "iteration-budget" if pings >= MOST_PINGS else "repeated-failure" if repeats >= REPEATED_FAILURES else None
@@ -69,12 +69,16 @@ class Scan(StatefulProcessor):
                 last = why
                 for e in r.evidence if r.evidence is not None else []:
                     voxel, delta = (e["voxel"], e["delta"]) if isinstance(e, dict) else (e[0], e[1])
-                    before = self.cells.getValue((int(voxel),))[0] if self.cells.containsKey((int(voxel),)) else 0.0
-                    after = min(g.high, max(g.low, before + delta))
+                    v = int(voxel)
+                    if v not in cells:
+                        cells[v] = self.cells.getValue((v,))[0] if self.cells.containsKey((v,)) else 0.0
+                    before, after = cells[v], min(g.high, max(g.low, cells[v] + delta))
                     occupied += int(after >= g.occupied) - int(before >= g.occupied)
                     known += int(after != 0) - int(before != 0)
-                    self.cells.updateValue((int(voxel),), (float(after),))
+                    cells[v] = float(after)
             out.append((key[0], r.ping, ok, saturated, silent, why, occupied, known, halt))
+        for v, odds in cells.items():
+            self.cells.updateValue((v,), (odds,))
         self.facts.update((at, pings, saturated, silent, occupied, known, last, repeats))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in STEP.split(", ")])
 
