@@ -4,7 +4,7 @@ Each row's whole text gives a few counts. Ratios of them go into log-bucket sket
 ``ACCURACY``), which are plain (cell, feature, bucket, count) rows: they merge by adding counts, so the
 aggregation is partial on the map side whatever the size of a source. Only texts that pass the base rule
 are in them, as the others are refused anyway. Cutoffs per cell are Tukey fences from the sketch's
-quartiles; cells with few rows use their language's merged sketch, then the whole corpus's. Most texts
+quartiles; cells with few rows use their language's merged sketch, then the whole corpus's, however small. Most texts
 repeat nothing, so the fences of repeats are those of the texts that do. A join with the cutoffs then
 filters: a text is refused for what lies beyond a fence by more than ``FENCE`` standard errors of a ratio
 over so short a text. Where a sketch's quartiles coincide, a fixed distance stands in for its spread.
@@ -129,7 +129,7 @@ def cutoffs(sketches: DataFrame) -> DataFrame:
     every = quantiles(sketches.groupBy("feature", "bucket").agg(F.sum("n").alias("n")), ["feature"], qs)
     pick = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns])
     j = pick(cell, "c").join(pick(lang, "l"), F.col("c_lang").eqNullSafe(F.col("l_lang")) & (F.col("c_feature") == F.col("l_feature")), "left").join(pick(every, "e"), F.col("c_feature") == F.col("e_feature"), "left")
-    level = lambda q: F.when(F.col("c_total") >= MIN_CELL_ROWS, F.col(f"c_{q}")).when(F.col("l_total") >= MIN_CELL_ROWS, F.col(f"l_{q}")).when(F.col("e_total") >= MIN_CELL_ROWS, F.col(f"e_{q}"))
+    level = lambda q: F.when(F.col("c_total") >= MIN_CELL_ROWS, F.col(f"c_{q}")).when(F.col("l_total") >= MIN_CELL_ROWS, F.col(f"l_{q}")).otherwise(F.col(f"e_{q}"))
     least = F.create_map(*[F.lit(x) for kv in FEATURES.items() for x in kv])
     spread = level("q3") - level("q1")
     slack = F.when(spread > 0, FENCE * spread).otherwise(F.element_at(least, F.col("c_feature")))
@@ -171,6 +171,15 @@ def quality_filter(docs: DataFrame) -> DataFrame:
     return judge(rows, cuts, counts, f"{counts}_").where(F.col(f"{counts}_kept")).select(*docs.columns)
 
 
+_STATED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def quality_counts(spark, sf_dir: str) -> DataFrame:
+    """The counts and the base rule alone, which SQL can say too."""
+    rows = annotate(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), keep=["doc_id"])
+    return rows.select("doc_id", *[F.col(f"counts.{c}").alias(c) for c in _STATED], _base_failed("counts").alias("base_failed"))
+
+
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
     v = quality_verdicts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return v.select("doc_id", *[F.col(f"counts.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept")
+    return v.select("doc_id", *[F.col(f"counts.{c}").alias(c) for c in _STATED], "base_failed", "kept")
