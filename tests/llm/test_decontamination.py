@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 
 from tests.llm.conftest import frame, words
@@ -79,3 +81,26 @@ def test_fingerprints_of_windows_are_those_of_their_words():
         for s, c, p in zip(starts.tolist(), classes.tolist(), prints.tolist()):
             e = min(len(pairs), s + m.classes[c >> 16][0])
             assert p == D.fingerprint(w[s : e + 1])
+
+
+def test_query_against_weighted_brute_force(spark, tmp_path):
+    """Items whose shingles repeat, in windows of the item's size: every item in every text, by counting."""
+    r = np.random.default_rng(7)
+    items = [(i, " ".join(f"v{x}" for x in r.integers(0, 4, 12 + 4 * i))) for i in range(6)] + [(10, " ".join(words(3, 30))), (11, "a b c")]
+    texts = []
+    for n in range(40):
+        host, item = [f"v{x}" for x in r.integers(0, 4, 60)], items[n % len(items)][1].split()
+        for j in r.integers(0, len(item), n % 3):
+            item[j] = "edit"
+        texts.append((n, " ".join(host[:20] + item + host[20:]) if n % 4 else " ".join(host)))
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    bench(spark, [(*x, "s") for x in items]).write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = set()
+    for d, t in texts:
+        for k, x in items:
+            size = min(5, len(x.split()))
+            need, have = shingle_hashes(word_hashes(x), size).tolist(), shingle_hashes(word_hashes(t), size).tolist()
+            best = max(sum((Counter(have[a : a + len(need)]) & Counter(need)).values()) for a in range(max(1, len(have) - len(need) + 1)))
+            if best >= 0.8 * len(need):
+                want.add((d, k))
+    assert {(x.doc_id, x.item_id) for x in D.op6_decontamination(spark, str(tmp_path)).collect()} == want and len(want) > 10

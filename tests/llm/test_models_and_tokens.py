@@ -105,6 +105,68 @@ def test_toxicity(spark, no_docs):
     assert {x.score for x in toxicity.score(d, toxicity.fit(d, l.where("false"))).collect()} == {0.5}
 
 
+def test_ftrl_equals_a_plain_loop():
+    """Every coordinate on its own, as the update is written."""
+    r, p = np.random.default_rng(1), toxicity.Ftrl(alpha=0.7, beta=1.0, l1=0.3, l2=0.05)
+    rows = [(np.unique(r.integers(0, 30, 8)).astype(np.int32), int(r.random() < 0.4)) for _ in range(200)]
+    z, n, w = {}, {}, {}
+    rate = lambda k: (p.beta + n.get(k, 0.0) ** 0.5) / p.alpha
+    for _ in range(2):
+        for at, y in rows:
+            keys = [*at.tolist(), "bias"]
+            for k in keys:
+                zk = z.get(k, 0.0)
+                l1, l2 = (0.0, 0.0) if k == "bias" else (p.l1, p.l2)
+                w[k] = 0.0 if abs(zk) <= l1 else -(zk - (l1 if zk > 0 else -l1)) / (rate(k) + l2)
+            g = 1 / (1 + np.exp(-sum(w[k] for k in keys))) - y
+            for k in keys:
+                before = rate(k)
+                n[k] = n.get(k, 0.0) + g * g
+                z[k] = z.get(k, 0.0) + g - (rate(k) - before) * w[k]
+    at, weight, bias = toxicity.train(lambda: iter(rows), p, 2)
+    want = {k: -(v - (p.l1 if v > 0 else -p.l1)) / (rate(k) + p.l2) for k, v in z.items() if k != "bias" and abs(v) > p.l1}
+    assert sorted(want) == at.tolist() and np.allclose([want[k] for k in at.tolist()], weight) and np.isclose(bias, -z["bias"] / rate("bias"))
+
+
+def test_toxicity_of_other_ids_and_long_texts(spark):
+    """doc_id keeps its type; a very long text is scored whole: its one toxic word lies at the end."""
+    rows = [(str(i), " ".join(words(i, 40, 600)) + (" vile" if i % 3 == 0 else "")) for i in range(300)] + [("long", " ".join(words(999, 60_000, 600)) + " vile")]
+    d = spark.createDataFrame(rows, "doc_id string, text string")
+    l = spark.createDataFrame([(str(i), int(i % 3 == 0)) for i in range(300)], "doc_id string, toxic int")
+    got = toxicity.score(d, toxicity.fit(d, l))
+    assert dict(got.dtypes)["doc_id"] == "string"
+    by = {r.doc_id: r for r in got.collect()}
+    assert by["long"].n_evidence >= by["3"].n_evidence > 0 and sum(by[str(i)].predicted == (i % 3 == 0) for i in range(300)) > 290
+
+
+def test_licenses_against_brute_force(spark, tmp_path):
+    """Every window of every group, every template, by sets; of windows that tie the first one counts."""
+    T = list(licenses.TEMPLATES.items())
+    r, rows = random.Random(3), []
+    for n in range(60):
+        name, t = T[n % len(T)]
+        w = t.split()
+        if n % 5 == 1 and len(w) > 12:
+            w[r.randrange(len(w))] = "changed"
+        if n % 5 == 2:
+            w = w[: len(w) // 2]
+        rows.append((n, " ".join(words(n, r.randrange(120)) + w + words(n + 500, r.randrange(80)) + (w if n % 5 == 3 else []))))
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for d, t in rows:
+        for g in licenses.Scanner(T).groups:
+            s = licenses.shingle_hashes(licenses.word_hashes(t), g.k)
+            for a in range(0, max(1, len(s) - g.span + g.step), g.step):
+                for name, own in zip(g.names, g.sets):
+                    share = float(np.isin(own, s[a : a + g.span]).mean())
+                    if share >= licenses.CONTAINMENT and share > want.get((d, name), (0.0, 0))[0]:
+                        want[d, name] = (share, a)
+    got = {(x.doc_id, x.license_id): (x.containment, x.start) for x in licenses.op2_licenses(spark, str(tmp_path)).collect()}
+    assert got == want and len(want) > 40
+    with __import__("pytest").raises(ValueError, match="similarity"):
+        licenses.band_rows(0.05)
+
+
 def test_licenses(spark, docs, no_docs):
     T = licenses.TEMPLATES
     cut = T["gpl-notice"].split()

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from tests.llm.conftest import words
+from tests.llm.conftest import frame, words
 
 
 def test_stages(spark, tmp_path):
@@ -30,3 +30,24 @@ def test_stages(spark, tmp_path):
     packed = P.run(spark, str(tmp_path))
     assert sorted(r.doc_id for r in packed.select("doc_id").distinct().collect()) == sorted(set(left["personal_data"]))
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
+
+
+def test_clashing_columns_nulls_and_empty_tables(spark, tmp_path):
+    """Columns named as the stages' own ones, null lang and source, repeated rows; then no documents and no items at all."""
+    rows = [(i, " ".join(words(i, 90)), "en" if i % 2 else None, None if i % 3 else "s") for i in range(30)]
+    near = rows[4][1].split()
+    near[80] = "other"
+    rows += [(30, " ".join(near), None, None), rows[5], (None, " ".join(words(77, 80)) + " write to a.b@example.org", None, None), (31, None, None, None), (32, "short", None, "s")]
+    docs = frame(spark, rows)
+    for name, keep in (("some", "true"), ("none", "false")):
+        docs.where(keep).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(1, " ".join(words(8, 90)))], "item_id long, text string").where(keep).write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    d = docs
+    for name, stage in P.STAGES[:-1]:
+        d = P.written(stage(spark, d, f"{tmp_path}/some"))
+        assert d.columns == docs.columns, name
+    left = {r.doc_id: r for r in d.collect()}
+    assert set(left) == {*range(30), None} - {8} and d.count() == len(left)
+    assert left[None].text.endswith("write to [EMAIL]") and left[None].lang is None
+    assert {r.doc_id for r in P.run(spark, f"{tmp_path}/some").collect()} == set(left)
+    assert P.run(spark, f"{tmp_path}/none").count() == 0

@@ -279,7 +279,17 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.withColumn(text, F.when(F.size(a) > 0, clean).otherwise(t)).select(*docs.columns)
 
 
+def _base_columns() -> list[Column]:
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+    return [*[count(k) for k in range(len(BASE_KINDS))], F.sha2(listed(F.col("base")), 256).alias("base_sha256")]
+
+
+def pii_base(spark, sf_dir: str) -> DataFrame:
+    """What the base patterns alone find, which SQL can say too."""
+    rows = candidates(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
+    return rows.select("doc_id", spans(([], {}))[0].alias("base")).select("doc_id", *_base_columns())
+
+
 def op1_pii(spark, sf_dir: str) -> DataFrame:
     found = find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
-    return found.select("doc_id", *[count(k) for k in range(4)], F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("every")).alias("spans"), F.size("every").cast("long").alias("n_spans"))
+    return found.select("doc_id", *_base_columns(), listed(F.col("every")).alias("spans"), F.size("every").cast("long").alias("n_spans"))

@@ -64,3 +64,9 @@ def context_report(sums: DataFrame, limits: list[int]) -> DataFrame:
 
 def op4_token_counts(spark, sf_dir: str) -> DataFrame:
     return suffix_sums(histogram(lengths(spark.read.parquet(f"{sf_dir}/documents.parquet"))))
+
+
+def byte_length_sums(spark, sf_dir: str) -> DataFrame:
+    """The same sums over lengths in bytes, which SQL can say too."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("length"))
+    return suffix_sums(histogram(rows)).withColumn("quantile", F.floor(F.col("quantile") * 1e6 + 0.5) / 1e6)
