@@ -98,7 +98,7 @@ def recall(queries: DataFrame, store: DataFrame, top_k: int = 5, floor: float =
 
     A stated set of queries against all records. Queries are dealt into blocks, each of which meets each
     part of the store once, in a matrix product; a part returns its best for each query, and those are
-    ranked. Blocks of queries travel to the store's tasks one after the other, never more than one at a time.
+    ranked. A block of queries takes at most 32 MB wherever it is held.
     """
     size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dim")).first()
     if not size.n:

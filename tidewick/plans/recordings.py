@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from ..config import Grid, Sonar
 from ..functions import geometry as G
-from ..operators import cfar, kernels, memory, micromotion, occupancy, profiles, scoring
+from ..functions import numbers as N
+from ..functions import waveform as Wf
+from ..operators import kernels, memory, micromotion, occupancy, profiles, scoring
 from ..sources import wire
 from .catalog import CFAR, _THRESHOLD, query, r
 from .tables import events, rounded, table
@@ -305,4 +307,52 @@ def capture_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return scoring.outcomes(caps, motion(spark, d), 0.3, _PRF / 2, 2.0, 3.0, 0.5, 0.2).select("dwell_id", "outcome", "abstain_reason", F.col("usable_bins").cast("long").alias("usable_bins"))
 
 
-__all__ = ["cfar", "pings", "recordings"]
+
+# ---- single operators ------------------------------------------------------------------------------
+
+
+@query(f"SELECT vec_id, {r('list_cosine_similarity(embedding::DOUBLE[], list_reverse(embedding::DOUBLE[]))')} AS similarity FROM embeddings")
+def signature_similarity(spark: SparkSession, d: str) -> DataFrame:
+    e = F.transform("embedding", lambda x: x.cast("double"))
+    return table(spark, d, "embeddings").select("vec_id", rounded(memory.similarity(e, F.reverse(e))).alias("similarity"))
+
+
+@query(f"""
+SELECT event_id, {r("least(greatest(value / 50 - 0.5, 0), 1)")} AS clamped, {r("greatest(value - 25, 0)")} AS held, {r("(343 * value / 48000 + 0.1) / 2")} AS range_m, {r("(2 * value - 0.1) * 48000 / 343", 4)} AS lag, {r("2 * (4 + user_id % 60) * (pow(0.001, -1.0 / (2 * (4 + user_id % 60))) - 1)")} AS alpha, CAST(octet_length(encode(props)) + 1 AS BIGINT) AS bytes FROM events""")
+def number_guards(spark: SparkSession, d: str) -> DataFrame:
+    v = F.col("value")
+    out = {"clamped": N.clamp01(v / 50 - 0.5), "held": N.non_negative(v - 25), "range_m": Wf.range_at(v, F.lit(48000.0), F.lit(343.0), F.lit(0.1)), "alpha": Wf.cfar_alpha(4 + F.col("user_id") % 60, F.lit(0.001))}
+    lag = rounded(Wf.lag_for(v, F.lit(48000.0), F.lit(343.0), F.lit(0.1)), 4)
+    sizes = wire.byte_length(events(spark, d).select("event_id", F.col("props").alias("value")), ["event_id"])
+    return events(spark, d).select("event_id", *[rounded(x).alias(k) for k, x in out.items()], lag.alias("lag")).join(sizes, "event_id")
+
+
+_AT = " + ".join(f"CAST(floor((embedding[{i}]::DOUBLE * 2 + {GRID.extent_m!r}) / {GRID.voxel_m!r}) AS BIGINT) * {GRID.dim ** (i - 1)}" for i in (1, 2, 3))
+_IN = " AND ".join(f"floor((embedding[{i}]::DOUBLE * 2 + {GRID.extent_m!r}) / {GRID.voxel_m!r}) BETWEEN 0 AND {GRID.dim - 1}" for i in (1, 2, 3))
+
+
+@query(f"""
+WITH RECURSIVE {_map_sql()}, q AS (SELECT vec_id, label AS session_id, CASE WHEN {_IN} THEN {_AT} ELSE -1 END AS voxel FROM embeddings)
+SELECT vec_id, {r("coalesce(log_odds, 0)")} AS log_odds, {r("1 / (1 + exp(-coalesce(log_odds, 0)))")} AS probability, coalesce(log_odds, 0) >= {GRID.occupied!r} AS is_occupied FROM q LEFT JOIN cell USING (session_id, voxel)""")
+def map_lookup(spark: SparkSession, d: str) -> DataFrame:
+    e = lambda i: F.col("embedding")[i].cast("double") * 2
+    at = table(spark, d, "embeddings").select("vec_id", F.col("label").alias("session_id"), G.vec(e(0), e(1), e(2)).alias("p"))
+    return occupancy.lookup(at, _map(spark, d), GRID).select("vec_id", rounded(F.col("log_odds")).alias("log_odds"), rounded(F.col("probability")).alias("probability"), "is_occupied")
+
+
+@query(f"""
+WITH RECURSIVE {_map_sql()}, p AS (SELECT session_id, log_odds >= {GRID.occupied!r} AS occ, sqrt(x * x + y * y + z * z) >= {_RADIUS!r} AS solid FROM cell JOIN grid USING (voxel))
+SELECT session_id, {r("coalesce(count(*) FILTER (occ AND solid) / nullif(count(*) FILTER (occ OR solid), 0), 1)")} AS iou FROM p GROUP BY session_id""")
+def map_overlap(spark: SparkSession, d: str) -> DataFrame:
+    p = G.centre_of(F.col("voxel"), GRID.extent_m, GRID.voxel_m, GRID.dim)
+    pairs = _map(spark, d).select("session_id", (F.col("log_odds") >= GRID.occupied).alias("occ"), (G.norm(p) >= _RADIUS).alias("solid"))
+    return occupancy.iou(pairs, "occ", "solid", ["session_id"]).select("session_id", rounded(F.col("iou")).alias("iou"))
+
+
+@query(f"""
+WITH RECURSIVE {_PINGS}, d AS (SELECT vec_id, [x FOR x IN detections IF x.range_m BETWEEN 0.3 AND 2.4] AS dets FROM ping)
+SELECT vec_id AS seq, vec_id || '-' || lpad(CAST(vec_id AS VARCHAR), 6, '0') AS event_id, CASE WHEN len(dets) > 0 THEN 'surface_echo' ELSE 'clear_path' END AS label, {r(f"CASE WHEN len(dets) > 0 THEN least(1, greatest(0, {r('list_max([x.snr_db FOR x IN dets])', 4)} / 20)) ELSE 0.5 END", 5)} AS confidence, {r(r("list_min([x.range_m FOR x IN dets])", 6), 5)} AS nearest_m, false AS synthetic FROM d""")
+def field_events(spark: SparkSession, d: str) -> DataFrame:
+    p = pings(spark, d).withColumn("timestamp", 1.7e9 + F.col("ping") / 15).withColumn("source", F.lit("device_capture")).withColumn("device_id", F.col("ping").cast("string"))
+    lines = wire.parse(wire.to_lines(wire.encode(p, 32, 0.3, 2.4))).withColumn("seq", F.col("device_id").cast("long"))
+    return wire.field_events(lines).select("seq", "event_id", "label", rounded(F.col("confidence"), 5).alias("confidence"), rounded(F.col("nearest_m"), 5).alias("nearest_m"), "synthetic")

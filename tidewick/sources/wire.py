@@ -102,8 +102,9 @@ def recording(lines: DataFrame) -> DataFrame:
     return lines.withColumn("accepted", (before.isNull() | (F.col("timestamp") > before)) & (F.row_number().over(w) <= MOST_LINES))
 
 
-def byte_length(lines: DataFrame) -> DataFrame:
-    return lines.agg(F.coalesce(F.sum(F.octet_length("value") + 1), F.lit(0)).alias("bytes"))
+def byte_length(lines: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Bytes of lines with their line ends, of all or by the columns ``by``."""
+    return lines.groupBy(*by or []).agg(F.coalesce(F.sum(F.octet_length("value") + 1), F.lit(0)).alias("bytes"))
 
 
 def field_events(lines: DataFrame, bins: int = 32) -> DataFrame:
