@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, licenses, packing, pii, quality_rules, substring_dedup, token_counts, toxicity, warc
+from . import decontamination, divergence, jaccard_join, licenses, mixing, packing, pii, quality_rules, substring_dedup, token_counts, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_warc": warc.op8_warc,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
         "op10_quality_rules": quality_rules.op10_quality_rules,
+        "op11_mixing": mixing.op11_mixing,
+        "op13_source_divergence": divergence.op13_source_divergence,
         "pii_base": pii.pii_base,
         "quality_counts": quality_rules.quality_counts,
         "byte_length_sums": token_counts.byte_length_sums,
@@ -53,6 +55,8 @@ def oracle_sql() -> dict[str, str]:
         "pii_base": _PII,
         "quality_counts": _QUALITY,
         "byte_length_sums": _LENGTHS,
+        "op11_mixing": mixing.SQL,
+        "op13_source_divergence": divergence.SQL,
         "op8_warc": """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS least FROM p),
