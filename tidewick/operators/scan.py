@@ -51,16 +51,16 @@ def running(rows: DataFrame, group: list[str], order: list[Column], sums: dict[s
     both = {F.sum: lambda a, b: a + F.coalesce(b, F.lit(0)), F.max: F.greatest, F.min: F.least}[how]
     local = Window.partitionBy(PART, *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     here = rows.withColumns({name: how(e).over(local) for name, e in sums.items()})
-    parts = rows.groupBy(PART, *group).agg(*[how(e).alias(f"_{name}") for name, e in sums.items()])
+    parts = rows.groupBy(PART, *group).agg(*[how(e).alias(f"scan_of_{name}") for name, e in sums.items()])
     if group:
         # only the first and the last group of a partition can reach into another one
-        ends = parts.groupBy(PART).agg(F.min(F.struct(*group)).alias("_a"), F.max(F.struct(*group)).alias("_b"))
+        ends = parts.groupBy(PART).agg(F.min(F.struct(*group)).alias("scan_first"), F.max(F.struct(*group)).alias("scan_last"))
         key = F.struct(*group)
-        parts = parts.join(F.broadcast(ends), PART).where(key.eqNullSafe(F.col("_a")) | key.eqNullSafe(F.col("_b"))).drop("_a", "_b")
+        parts = parts.join(F.broadcast(ends), PART).where(key.eqNullSafe(F.col("scan_first")) | key.eqNullSafe(F.col("scan_last"))).drop("scan_first", "scan_last")
     before = Window.partitionBy(*group).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-    carried = parts.select(F.col(PART).alias("_p"), *[F.col(g).alias(f"_g_{g}") for g in group], F.lit(True).alias("_on"), *[how(f"_{name}").over(before).alias(f"_{name}") for name in sums])
-    on = F.col(PART) == F.col("_p")
+    carried = parts.select(F.col(PART).alias("scan_at"), *[F.col(g).alias(f"scan_by_{g}") for g in group], *[how(f"scan_of_{name}").over(before).alias(f"scan_of_{name}") for name in sums])
+    on = F.col(PART) == F.col("scan_at")
     for g in group:
-        on = on & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+        on = on & F.col(g).eqNullSafe(F.col(f"scan_by_{g}"))
     joined = here.join(F.broadcast(carried), on, "left")  # at most two rows for each partition
-    return joined.withColumns({name: both(F.col(name), F.col(f"_{name}")) for name in sums}).drop("_p", "_on", *[f"_{name}" for name in sums], *[f"_g_{g}" for g in group])
+    return joined.withColumns({name: both(F.col(name), F.col(f"scan_of_{name}")) for name in sums}).drop("scan_at", *[f"scan_of_{name}" for name in sums], *[f"scan_by_{g}" for g in group])
