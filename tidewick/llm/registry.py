@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, divergence, jaccard_join, licenses, mixing, packing, pii, quality_rules, substring_dedup, token_counts, toxicity, warc
+from . import decontamination, divergence, jaccard_join, licenses, mixing, packing, pii, prefix_trie, quality_rules, substring_dedup, token_counts, toxicity, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
         "op10_quality_rules": quality_rules.op10_quality_rules,
         "op11_mixing": mixing.op11_mixing,
+        "op12_prefix_trie": prefix_trie.op12_prefix_trie,
         "op13_source_divergence": divergence.op13_source_divergence,
         "pii_base": pii.pii_base,
         "quality_counts": quality_rules.quality_counts,
@@ -56,6 +57,7 @@ def oracle_sql() -> dict[str, str]:
         "quality_counts": _QUALITY,
         "byte_length_sums": _LENGTHS,
         "op11_mixing": mixing.SQL,
+        "op12_prefix_trie": prefix_trie.SQL,
         "op13_source_divergence": divergence.SQL,
         "op8_warc": """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
