@@ -2,8 +2,8 @@
 
 A ping meets the voxels of its cone only through the cone's own bounding box, so nothing is joined with
 all voxels. Within a ping a voxel takes its first writer's evidence; across pings the clamped sum is a
-fold in ping order. Evidence is reduced to a row for each (session, ping, voxel) before the shuffle by
-voxel, and voxels are the grouping key, so one session's fold is spread over all tasks.
+fold in ping order. Evidence is reduced to a row for each (session, ping, voxel), and blocks of a voxel's pings are composed
+on their own (``clamped``), so a voxel that every ping hits is no hot key.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 from ..config import Grid
 from ..functions import geometry as G
 from ..functions.numbers import cell_hash, finite, hex_signature
+from . import clamped
 
 SESSION = "session_id"
 
@@ -70,16 +71,9 @@ def evidence(pings: DataFrame, min_range_m: float, max_range_m: float, grid: Gri
     return rows.groupBy(SESSION, "ping", "voxel").agg(F.min_by("delta", "order").alias("delta"))
 
 
-def clamped_fold(delta: Column, order: Column, low: float, high: float) -> Column:
-    """Aggregate: add deltas in order, holding the sum within bounds after each."""
-    parts = F.array_sort(F.collect_list(F.struct(order.alias("o"), delta.alias("d"))))
-    return F.aggregate(parts, F.lit(0.0), lambda acc, x: F.greatest(F.lit(low), F.least(F.lit(high), acc + x["d"])))
-
-
 def fold(deltas: DataFrame, grid: Grid = Grid()) -> DataFrame:
     """The map: voxels whose log-odds aren't 0 (evidence that cancels makes a voxel unknown again)."""
-    out = deltas.groupBy(SESSION, "voxel").agg(clamped_fold(F.col("delta"), F.col("ping"), grid.low, grid.high).alias("log_odds"))
-    return out.where("log_odds <> 0")
+    return clamped.fold(deltas, [SESSION, "voxel"], F.col("ping"), F.col("delta"), grid.low, grid.high, "log_odds").where("log_odds <> 0")
 
 
 def integrate(pings: DataFrame, min_range_m: float = 0.6, max_range_m: float = 6.0, grid: Grid = Grid()) -> DataFrame:

@@ -11,7 +11,7 @@ from ..config import WINDOWS, Grid, Sonar
 from ..functions import geometry as G
 from ..functions import numbers as N
 from ..functions import waveform as Wf
-from ..operators import cfar, memory, occupancy, policy, scoring
+from ..operators import cfar, clamped, memory, occupancy, policy, scoring
 from ..sources import wire
 from .registry import query, r
 from .tables import events, rounded, table
@@ -102,7 +102,7 @@ _FOLD = f"SELECT user_id AS voxel, list_reduce(list_prepend(0.0::DOUBLE, list({_
 
 def _folded(spark, d):
     delta = (F.col("value") % 7 - 3) / 4
-    return events(spark, d).groupBy(F.col("user_id").alias("voxel")).agg(occupancy.clamped_fold(delta, F.col("event_id"), -4.0, 4.0).alias("log_odds"))
+    return clamped.fold(events(spark, d).withColumnRenamed("user_id", "voxel"), ["voxel"], F.col("event_id"), delta, -4.0, 4.0, "log_odds")
 
 
 @query(f"SELECT voxel, {r('log_odds')} AS log_odds FROM ({_FOLD}) WHERE log_odds <> 0")
