@@ -1,4 +1,5 @@
 import math
+import time
 from dataclasses import replace
 
 import numpy as np
@@ -83,17 +84,42 @@ def brute_separate(x, prominence_db, separation):
     return sorted(kept)
 
 
-def test_echoes_of_a_span(spark):
+def test_echoes_of_a_span():
     r = np.random.default_rng(1)
-    spans = [[1.0, 1.0, 1.0], [0.1, 5.0, 0.1, 4.0, 0.1, 0.15], [2.0], *[np.round(r.random(n) * 4, 2).tolist() for n in (5, 12, 30, 60)]]
-    rows = spark.createDataFrame(list(enumerate(spans)), "i int, x array<double>").select("i", profiles.separate(F.col("x"), 6.0, 2).alias("e"))
-    got = {x.i: [(e.peak, e.first, e["last"]) for e in x.e] for x in rows.collect()}
+    spans = [[1.0, 1.0, 1.0], [0.1, 5.0, 0.1, 4.0, 0.1, 0.15], [2.0], *[np.round(r.random(n) * 4, 2).tolist() for n in (5, 12, 30, 60, 700)]]
+    lengths = np.array([len(x) for x in spans])
+    got = {}
+    for k, *e in profiles.separate(np.concatenate(spans), np.cumsum(lengths) - lengths, 6.0, 2):
+        got.setdefault(k, []).append(tuple(e))
     assert len(got[0]) == 1 and got[1] == [(1, 0, 2), (3, 2, 6)] and got[2] == [(0, 0, 1)]
     for i, x in enumerate(spans):
         assert [e[0] for e in got[i]] == brute_separate(x, 6.0, 2)
         assert got[i][0][1] == 0 and got[i][-1][2] == len(x) and all(a[2] == b[1] for a, b in zip(got[i], got[i][1:]))
 
 
+def test_a_span_of_very_many_cells():
+    """Twelve times the cells take about twelve times as long, not a hundred and forty-four."""
+    r, times = np.random.default_rng(3), []
+    for n in (10_000, 120_000):
+        x = r.random(n) + 1
+        t = time.perf_counter()
+        assert len(profiles.separate(x, np.array([0]), 1.0, 3)) > n / 20
+        times.append(time.perf_counter() - t)
+    assert times[1] < 60 * times[0]
+
+
+def test_cells_of_spans(spark):
+    """Only cells from a span's first to its last go on, and each is in the span that ``spans`` says."""
+    r = np.random.default_rng(8)
+    rows = spark.createDataFrame([(k, i, float(v)) for k in range(3) for i, v in enumerate(r.random(200))], "k int, i int, v double").withColumn("threshold", F.lit(0.7))
+    for gap in (0, 1, 4):
+        spans = [(s.k, s.first, s["last"]) for s in cfar.spans(rows, "v", ["k"], gap).collect()]
+        want = sorted((k, i) for k, a, b in spans for i in range(a, b))
+        cells = cfar.span_cells(rows, "v", ["k"], gap)
+        assert sorted((c.k, c.i) for c in cells.collect()) == want
+        assert sorted((c.k, c.a, c.b + 1) for c in cells.groupBy("k", "span").agg(F.min("i").alias("a"), F.max("i").alias("b")).collect()) == sorted(spans)
+
+
 @pytest.mark.parametrize("name", WINDOWS)
 def test_tapers_are_symmetric(name):
     x = np.linspace(0, 1, 101)

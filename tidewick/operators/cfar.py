@@ -57,6 +57,23 @@ def spans(rows: DataFrame, value: str, key: list[str], gap: int) -> DataFrame:
     return out.select(*key, "span", "first", "last", "cells", F.col("p.i").alias("peak_i"), F.col(f"p.{value}").alias("peak"), F.col("p.threshold").alias("threshold"))
 
 
+def span_cells(rows: DataFrame, value: str, key: list[str], gap: int) -> DataFrame:
+    """The rows that lie in a span of ``spans``, gaps inside it included, each with its ``span``.
+
+    A row is in one if the last cell above the threshold before it and the next one after it are of the same span.
+    """
+    w = Window.partitionBy(*key).orderBy("i")
+    above = (F.col(value) > F.col("threshold")) & ~F.isnan(F.col(value))
+    at = F.when(above, F.col("i"))
+    before = F.last(at, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = above & F.coalesce(F.col("i") - F.col("_before") - 1 > gap, F.lit(True))
+    numbered = rows.withColumn("_before", before).withColumn("_new", new).withColumn("_span", F.sum(F.col("_new").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    near = numbered.where(above | (F.col("i") - F.col("_before") <= gap))
+    # a gap's cells are kept for a moment; those without a cell of the same span after them go
+    last = F.max(F.when(above, F.col("i"))).over(Window.partitionBy(*key, "_span"))
+    return near.withColumn("_last", last).where(F.col("i") <= F.col("_last")).withColumnRenamed("_span", "span").drop("_before", "_new", "_last")
+
+
 def snr_db(amplitude: Column, threshold: Column) -> Column:
     return F.when(threshold > 0, 20 * F.log10(amplitude / threshold)).otherwise(0.0)
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,47 +96,91 @@ def timed(pings: DataFrame, cfg: Sonar, record_len: int | None = None) -> DataFr
     return rows.select(*names, "t0", "blast_amplitude", "start_range_m", F.lit(cfg.range_step).alias("range_step_m"), nearest_rank(F.col("envelope"), 0.5).alias("noise_floor"), "envelope")
 
 
-def separate(x: Column, prominence_db: float, separation: int) -> Column:
-    """The separate echoes (peak, first, last) of one span's values.
+def _dips(x: np.ndarray, peaks: list[int]) -> list[int]:
+    """The first place of the least value between each two neighbouring peaks."""
+    return [a + int(np.argmin(x[a : b + 1])) for a, b in zip(peaks, peaks[1:])]
+
+
+def _kept(x: np.ndarray, maxima: np.ndarray, depth: float, apart: int) -> list[int]:
+    """Maxima that are echoes, in order of place.
+
+    The strongest comes first. Each next one needs looking at the nearest kept one to either side only: what is farther has at least as
+    much distance, and the values between hold those of the nearer one. Least values are taken over the stretches between neighbouring maxima,
+    in a table of powers of two.
+    """
+    table = [np.minimum.reduceat(x, maxima)[:-1]] if len(maxima) > 1 else [np.empty(0)]
+    while len(table[-1]) > 1 << (len(table) - 1):
+        step = 1 << (len(table) - 1)
+        table.append(np.minimum(table[-1][:-step], table[-1][step:]))
+
+    def least(a, b):  # between the a-th and the b-th maximum, both included
+        k = (b - a).bit_length() - 1
+        return min(table[k][a], table[k][b - (1 << k)], x[maxima[b]])
+
+    kept: list[int] = []
+    for m in np.lexsort((maxima, -x[maxima])).tolist():
+        at = bisect.bisect(kept, m)
+        sides = [(kept[at - 1], m)] if at else []
+        sides += [(m, kept[at])] if at < len(kept) else []
+        if all(maxima[b] - maxima[a] >= apart and least(a, b) <= x[maxima[m]] * depth for a, b in sides):
+            kept.insert(at, m)
+    return maxima[kept].tolist()
+
+
+def separate(values: np.ndarray, starts: np.ndarray, prominence_db: float, separation: int) -> list[tuple[int, int, int, int]]:
+    """The separate echoes (span, peak, first, last) of spans that lie one after another in ``values``; places count from a span's first cell.
 
     A local maximum is an echo if each echo that is stronger lies at least ``separation`` away and the least
     value between them is lower than it by ``prominence_db``. Spans are cut at the least value between echoes.
     """
     depth, apart = 10 ** (-max(0.0, prominence_db) / 20), max(1, separation)
-    n = F.size(x)
-    at = lambda i: F.get(x, i.cast("int"))
-    between = lambda a, b: F.slice(x, F.least(a, b) + 1, F.abs(a - b) + 1)
-    place = F.sequence(F.lit(0), n - 1)
-    maxima = F.filter(place, lambda i: ((i == 0) | (at(i) >= at(i - 1))) & ((i == n - 1) | (at(i) > at(i + 1))))
-    strongest = F.transform(F.array_sort(F.transform(maxima, lambda i: F.struct((-at(i)).alias("v"), i.alias("i")))), lambda s: s["i"])
-    clear = lambda m: lambda k: (F.abs(k - m) >= apart) & (F.array_min(between(k, m)) <= at(m) * depth)
-    none = F.array().cast("array<int>")
-    kept = F.aggregate(strongest, none, lambda acc, m: F.when(F.forall(acc, clear(m)), F.concat(acc, F.array(m))).otherwise(acc))
-
-    def cut(k):
-        dip = lambda a, b: a + first_place(between(a, b), F.array_min(between(a, b)))
-        first = lambda j: F.when(j == 0, F.lit(0)).otherwise(dip(F.get(k, j - 1), F.get(k, j)))
-        last = lambda j: F.when(j == F.size(k) - 1, n).otherwise(dip(F.get(k, j), F.get(k, j + 1)))
-        return F.transform(k, lambda p, j: F.struct(p.alias("peak"), first(j).alias("first"), F.greatest(last(j), first(j) + 1).alias("last")))
-
-    return F.when(n > 0, let(F.array_sort(kept), cut))
+    ends = np.append(starts[1:], len(values))
+    head, tail = np.zeros(len(values), bool), np.zeros(len(values), bool)
+    head[starts], tail[ends - 1] = True, True
+    rising = head | (values >= np.r_[0.0, values[:-1]])
+    falling = tail | (values > np.r_[values[1:], 0.0])
+    maxima = np.flatnonzero(rising & falling)
+    cuts = np.searchsorted(maxima, np.append(starts, len(values)))
+    out = []
+    for k, (s, e) in enumerate(zip(starts.tolist(), ends.tolist())):
+        x, found = values[s:e], maxima[cuts[k] : cuts[k + 1]] - s
+        peaks = _kept(x, found, depth, apart) if len(found) > 1 else found.tolist()
+        edges = [0, *_dips(x, peaks), e - s]
+        out += [(k, p, edges[j], max(edges[j + 1], edges[j] + 1)) for j, p in enumerate(peaks)]
+    return out
+
+
+def _separated(prominence_db: float, separation: int):
+    """For each list of a span's values the list of its echoes."""
+
+    def run(cells: pd.Series) -> pd.Series:
+        lengths = np.array([len(c) for c in cells])
+        out: list[list] = [[] for _ in lengths]
+        if lengths.sum():
+            filled = np.flatnonzero(lengths)
+            starts = np.cumsum(lengths[filled]) - lengths[filled]
+            for k, *echo in separate(np.concatenate([np.asarray(c, float) for c in cells]), starts, prominence_db, separation):
+                out[filled[k]].append(dict(zip(("peak", "first", "last"), echo)))
+        return pd.Series(out)
+
+    return F.pandas_udf(run, "array<struct<peak:int,first:int,last:int>>")
 
 
 def echoes(rows: DataFrame, value: str, key: list[str], order: list[str], cfg: Sonar) -> DataFrame:
     """All echoes of each key's signal: key, peak, first, last, index (with the vertex), amplitude, threshold, snr_db.
 
-    Thresholds and spans are window functions over the rows. A span's values, and only those, are brought
-    together to be taken apart, as a signal has a bounded number of bins.
+    Thresholds, vertices and the span that a cell lies in are window functions over the rows. Only a span's own
+    cells are brought together to be taken apart; those outside spans, most of a signal, go no further.
     """
-    limits = cfar.threshold(rows, value, key, order, cfg)
-    found = cfar.spans(limits, value, key, cfg.cfar_merge_gap).select(*key, "span", F.col("first").alias("_first"), F.col("last").alias("_last"))
-    signal = limits.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("i", F.col(value).cast("double").alias("v"), F.col("threshold").alias("t")))).alias("_cells"))
-    j = found.join(signal, key).withColumn("_x", F.transform("_cells", lambda c: c["v"]))
-    parts = separate(F.slice("_x", F.col("_first") + 1, F.col("_last") - F.col("_first")), cfg.cfar_min_prominence_db, cfg.cfar_merge_gap)
-    e = j.withColumn("_e", F.explode(parts)).withColumn("peak", F.col("_first") + F.col("_e.peak"))
-    limit = F.get("_cells", F.col("peak").cast("int"))["t"]
-    amplitude = F.get("_x", F.col("peak").cast("int"))
-    return e.select(*key, "peak", (F.col("_first") + F.col("_e.first")).alias("first"), (F.col("_first") + F.col("_e.last")).alias("last"), vertex(F.col("_x"), F.col("peak")).alias("index"), amplitude.alias("amplitude"), limit.alias("threshold"), F.when(amplitude > 0, cfar.snr_db(amplitude, limit)).otherwise(0.0).alias("snr_db"))
+    x = F.col(value).cast("double")
+    limits = cfar.threshold(rows, value, key, order, cfg).withColumn("_shift", cfar.parabolic(value, key, order))
+    inside = cfar.span_cells(limits, value, key, cfg.cfar_merge_gap)
+    cells = inside.groupBy(*key, "span").agg(F.array_sort(F.collect_list(F.struct("i", x.alias("v"), F.col("threshold").alias("t"), F.col("_shift").alias("s")))).alias("_cells"))
+    parts = _separated(cfg.cfar_min_prominence_db, cfg.cfar_merge_gap)(F.transform("_cells", lambda c: c["v"]))
+    e = cells.withColumn("_e", F.explode(parts)).select(*key, F.get("_cells", F.lit(0))["i"].alias("_at"), "_e", F.get("_cells", F.col("_e.peak")).alias("_c"))
+    place = lambda c: (F.col("_at") + F.col(f"_e.{c}")).alias(c)
+    amplitude, limit = F.col("_c.v"), F.col("_c.t")
+    return e.select(*key, place("peak"), place("first"), place("last"), (F.col("_c.i") + F.col("_c.s")).alias("index"), amplitude.alias("amplitude"), limit.alias("threshold"), F.when(amplitude > 0, cfar.snr_db(amplitude, limit)).otherwise(0.0).alias("snr_db"))
 
 
 def profiles(pings: DataFrame, cfg: Sonar, key: list[str], record_len: int | None = None) -> DataFrame:
