@@ -39,6 +39,22 @@ def compose(lo: np.ndarray, hi: np.ndarray, shift: np.ndarray, starts: np.ndarra
     return lo, hi, shift
 
 
+def prefixes(shift: np.ndarray, starts: np.ndarray, first: np.ndarray, low: float, high: float) -> np.ndarray:
+    """The value after each step, for runs that begin at ``starts`` with the values ``first``: doubling over distances, no loop over steps."""
+    n = len(shift)
+    place = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
+    lo, hi, shift = np.full(n, low), np.full(n, high), shift.astype(float)
+    step = 1
+    while n and step <= place.max():
+        b = np.flatnonzero(place >= step)
+        a = b - step
+        lo2, hi2 = (np.maximum(lo[b], np.minimum(hi[b], x[a] + shift[b])) for x in (lo, hi))
+        shift[b] = shift[a] + shift[b]
+        lo[b], hi[b] = lo2, hi2
+        step *= 2
+    return np.maximum(lo, np.minimum(hi, np.repeat(first, np.diff(np.append(starts, n))) + shift))
+
+
 def _runs(keys: list[pa.Array], n: int) -> np.ndarray:
     """Where the rows' keys differ from the row before; nulls are equal to one another."""
     new = np.zeros(n, bool)

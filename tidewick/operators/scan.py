@@ -9,6 +9,7 @@ partitions, whatever the data.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,6 +32,12 @@ def checkpoints(spark: SparkSession) -> None:
     sc.setCheckpointDir(base)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new path in the checkpoint folder, which driver and executors share."""
+    checkpoints(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     checkpoints(df.sparkSession)
     return df.checkpoint()
@@ -42,14 +49,14 @@ def dealt(df: DataFrame, group: list[str], order: list[Column], keep: Callable[[
     return keep(df.repartitionByRange(n, *[F.col(g) for g in group], *order).withColumn(PART, F.spark_partition_id()))
 
 
-def running(rows: DataFrame, group: list[str], order: list[Column], sums: dict[str, Column], how: Callable[[Column], Column] = F.sum) -> DataFrame:
+def running(rows: DataFrame, group: list[str], order: list[Column], sums: dict[str, Column], how: Callable[[Column], Column] = F.sum, before: bool = False) -> DataFrame:
     """Add columns with the running aggregate of each expression over ``rows``, which come from ``dealt`` with the same group and order.
 
-    ``how`` is an aggregate that combines with itself: sum, max or min. The row itself is included. Rows that are equal in the
+    ``how`` is an aggregate that combines with itself: sum, max or min. The row itself is included, unless ``before``. Rows that are equal in the
     order follow one another in any order.
     """
-    both = {F.sum: lambda a, b: a + F.coalesce(b, F.lit(0)), F.max: F.greatest, F.min: F.least}[how]
-    local = Window.partitionBy(PART, *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    both = {F.sum: lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), F.max: F.greatest, F.min: F.least}[how]
+    local = Window.partitionBy(PART, *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     here = rows.withColumns({name: how(e).over(local) for name, e in sums.items()})
     parts = rows.groupBy(PART, *group).agg(*[how(e).alias(f"scan_of_{name}") for name, e in sums.items()])
     if group:

@@ -6,13 +6,15 @@ import hashlib
 import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from ..config import Grid
+from ..operators import clamped
 
 #: budgets of a session
 MOST_PINGS, REPEATED_FAILURES, STALLED_SWEEPS, RING = 600, 3, 4, 64
@@ -42,6 +44,9 @@ class Scan(StatefulProcessor):
 
     Input rows: session_id, ping, timestamp, saturated, sanitized, blast_amplitude, n_detections, and
     ``evidence``, an array of structs (voxel, delta), one for each voxel that the ping writes.
+
+    A ping whose time doesn't advance, or that comes after a halt, is refused and changes nothing. The evidence of a
+    batch is folded for all its voxels at once; each voxel's state is read and written once.
     """
 
     def __init__(self, grid: Grid = Grid()):
@@ -54,8 +59,8 @@ class Scan(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = self.facts.get() if self.facts.exists() else None
         at, pings, saturated, silent, occupied, known, last, repeats = state or (float("-inf"), 0, 0, 0, 0, 0, None, 0)
-        g, out, cells = self.grid, [], {}  # a batch reads and writes each voxel's state once
-        frame = pd.concat(list(rows)).sort_values(["timestamp", "ping"], kind="stable")
+        out = []
+        frame = pd.concat(list(rows)).sort_values(["timestamp", "ping"], kind="stable").reset_index(drop=True)
         for r in frame.itertuples():
             halt = "iteration-budget" if pings >= MOST_PINGS else "repeated-failure" if repeats >= REPEATED_FAILURES else None
             ok = r.timestamp > at and halt is None
@@ -67,20 +72,37 @@ class Scan(StatefulProcessor):
                 why = "saturated" if r.saturated else "non-finite" if r.sanitized else "no-direct-path" if r.blast_amplitude <= 0 else "silent" if silent >= 5 else None
                 repeats = repeats + 1 if why and why == last else int(bool(why))
                 last = why
-                for e in r.evidence if r.evidence is not None else []:
-                    voxel, delta = (e["voxel"], e["delta"]) if isinstance(e, dict) else (e[0], e[1])
-                    v = int(voxel)
-                    if v not in cells:
-                        cells[v] = self.cells.getValue((v,))[0] if self.cells.containsKey((v,)) else 0.0
-                    before, after = cells[v], min(g.high, max(g.low, cells[v] + delta))
-                    occupied += int(after >= g.occupied) - int(before >= g.occupied)
-                    known += int(after != 0) - int(before != 0)
-                    cells[v] = float(after)
-            out.append((key[0], r.ping, ok, saturated, silent, why, occupied, known, halt))
-        for v, odds in cells.items():
+            out.append((key[0], r.ping, ok, saturated, silent, why, halt))
+        steps = pd.DataFrame(out, columns=["session_id", "ping", "accepted", "saturated_streak", "silent_streak", "failure", "halt"])
+        gained = self._fold(frame["evidence"].where(steps["accepted"]))
+        for name, start, change in zip(("occupied", "known"), (occupied, known), gained):
+            steps[name] = start + np.cumsum(change)
+        if len(steps):
+            occupied, known = int(steps["occupied"].iloc[-1]), int(steps["known"].iloc[-1])
+        self.facts.update((float(at), int(pings), int(saturated), int(silent), occupied, known, last, int(repeats)))
+        yield steps[[c.split()[0] for c in STEP.split(", ")]]
+
+    def _fold(self, evidence: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        """By how much each ping changes the numbers of occupied and of known voxels."""
+        g = self.grid
+        flat = [(i, *(e.values() if isinstance(e, dict) else e)) for i, es in enumerate(evidence) if isinstance(es, (list, np.ndarray)) for e in es]
+        occupied, known = np.zeros(len(evidence), np.int64), np.zeros(len(evidence), np.int64)
+        if not flat:
+            return occupied, known
+        ping, voxel, delta = (np.array(x) for x in zip(*flat))
+        order = np.lexsort((ping, voxel))
+        ping, voxel, delta = ping[order], voxel[order], delta[order].astype(float)
+        starts = np.flatnonzero(np.diff(voxel, prepend=voxel[0] - 1))
+        keys = voxel[starts].tolist()
+        first = np.array([self.cells.getValue((v,))[0] if self.cells.containsKey((v,)) else 0.0 for v in keys])
+        after = clamped.prefixes(delta, starts, first, g.low, g.high)
+        before = np.r_[0.0, after[:-1]]
+        before[starts] = first
+        np.add.at(occupied, ping, (after >= g.occupied).astype(int) - (before >= g.occupied))
+        np.add.at(known, ping, (after != 0).astype(int) - (before != 0))
+        for v, odds in zip(keys, after[np.append(starts[1:], len(after)) - 1].tolist()):
             self.cells.updateValue((v,), (odds,))
-        self.facts.update((at, pings, saturated, silent, occupied, known, last, repeats))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in STEP.split(", ")])
+        return occupied, known
 
     def close(self) -> None:
         pass
@@ -108,6 +130,21 @@ def progress(signature: str, coverage: float) -> str:
     return f"{signature}|cov{int(coverage * 60 + 0.5)}"
 
 
+def progress_of(signature: Column, coverage: Column) -> Column:
+    """The same for columns."""
+    return F.concat(signature, F.lit("|cov"), F.floor(coverage * 60 + 0.5).cast("string"))
+
+
+def halt_of(pings: Column, repeats: Column) -> Column:
+    """Why a session takes no more pings, or null."""
+    return F.when(pings >= MOST_PINGS, "iteration-budget").when(repeats >= REPEATED_FAILURES, "repeated-failure")
+
+
+def outcome(reason: Column) -> Column:
+    """What a reason to stop means, or null."""
+    return F.coalesce(*[F.when(reason == k, v) for k, v in MEANING.items()])
+
+
 def halt(sweeps: list[dict], pings: int) -> str | None:
     """Why to stop before the next sweep: the ping budget first, then the same failure again and again, then sweeps without progress.
 
@@ -137,3 +174,42 @@ def restore(saved: dict) -> dict:
     if not verify(saved):
         raise ValueError("checkpoint doesn't match its digest")
     return {k: v for k, v in saved.items() if k != "digest"}
+
+
+# ---- snapshots of a stream's state ----------------------------------------------------------------
+
+ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def held(spark: SparkSession, location: str, batch: int | None = None) -> DataFrame:
+    """The state of a stream of ``scans``, as its last (or a stated) batch left it: session_id, partition_id, voxel with log_odds, or ``facts`` without a voxel."""
+    source = lambda name: spark.read.format("statestore").options(stateVarName=name, **({} if batch is None else {"batchId": batch})).load(location)
+    facts = source("facts").select(F.col("key.session_id"), "partition_id", F.lit(None).cast("long").alias("voxel"), F.lit(None).cast("double").alias("log_odds"), F.col("value").alias("facts"))
+    cells = source("cells").select(F.col("key.session_id"), "partition_id", F.col("user_map_key.voxel"), F.col("user_map_value.log_odds"), F.lit(None).cast(facts.schema["facts"].dataType).alias("facts"))
+    return facts.unionByName(cells)
+
+
+def _sums(rows: DataFrame) -> list[list]:
+    """(partition, entries, sum of their digests) of each state partition: sums need no order and merge across tasks."""
+    mark = F.sha2(F.to_json(F.struct("session_id", "voxel", "log_odds", "facts")), 256)
+    lane = lambda at: F.sum(F.conv(F.substring(mark, at, 15), 16, 10).cast("decimal(38,0)"))
+    parts = rows.groupBy("partition_id").agg(F.count(F.lit(1)), lane(1), lane(16)).orderBy("partition_id").collect()  # one row for each state partition
+    return [[r[0], r[1], str(r[2]), str(r[3])] for r in parts]
+
+
+def seal(spark: SparkSession, location: str) -> dict:
+    """What a stream's state holds after its last batch, partition by partition, with a digest of it all."""
+    batch = spark.read.format("state-metadata").load(location).agg(F.max("maxBatchId")).first()[0]
+    return checkpoint({"batch": batch, "partitions": _sums(held(spark, location, batch))})
+
+
+def sealed(spark: SparkSession, location: str, seal: dict) -> bool:
+    """Whether the state of the sealed batch is still what was sealed."""
+    return verify(seal) and _sums(held(spark, location, seal["batch"])) == seal["partitions"]
+
+
+def resume(stream: DataFrame, location: str, seal: dict | None, grid: Grid = Grid()) -> DataStreamWriter:
+    """Go on with a stream of scans whose state lies at ``location``; ValueError where it isn't what was sealed."""
+    if seal is not None and not sealed(stream.sparkSession, location, seal):
+        raise ValueError("state doesn't match its seal")
+    return scans(stream, grid).writeStream.option("checkpointLocation", location)
