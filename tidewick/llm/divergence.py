@@ -22,16 +22,17 @@ from pyspark.sql.window import Window
 
 from ._common import partitions, written
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: a term is a longest run of characters other than these, that is, a match of [^\x00-\x40\x5B-\x60\x7B-\x7F]+
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 LEAST_DOCS, SMOOTH, SCALE_DIGITS, TOP = 10, 2, 3, 10
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): occurrences, and rows that hold the term; a text's matches and then its distinct ones go through one shuffle."""
-    found = F.regexp_extract_all(F.translate(F.coalesce("text", F.lit("")), _UPPER, _LOWER), F.lit(TERM), F.lit(0))
+    found = F.split(F.translate(F.coalesce("text", F.lit("")), _UPPER, _LOWER), BETWEEN)
     rows = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), found.alias("found"))
-    terms = rows.select("lang", "source", F.size("found").alias("k"), F.posexplode(F.concat("found", F.array_distinct("found"))).alias("pos", "term"))
+    terms = rows.select("lang", "source", F.size("found").alias("k"), F.posexplode(F.concat("found", F.array_distinct("found"))).alias("pos", "term")).where("term <> ''")  # an empty piece lies before a text's first or after its last separator
     match = F.col("pos") < F.col("k")
     return terms.groupBy("lang", "source", "term").agg(F.sum(match.cast("long")).alias("n"), F.sum((~match).cast("long")).alias("docs"))
 
