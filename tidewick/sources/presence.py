@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numbers import finite, is_epoch, is_index, significant, valid_id
+from ..operators import scan
 from ..operators.policy import same_keys
 
 MOST_BYTES, MOST_RECORDS, MOST_PINGS, MOST_BINS, MOST_SAMPLES, MOST_RANGE_M, MOST_SKEW_S = 64 << 20, 4096, 4096, 1280, 262_144, 50.0, 1.0
@@ -107,25 +108,46 @@ def parse(lines: DataFrame, expected_source: str | None = None) -> DataFrame:
     device = F.trim("provenance.device_id")
     one = rows.agg(F.min_by(device, "line").alias("_first"))
     rows = rows.join(F.broadcast(one)).withColumn("error", F.coalesce("error", F.when(device != F.col("_first"), "device_mismatch"))).drop("_first")
-    w = Window.partitionBy("provenance.device_id").orderBy("line")
-    stop = F.col("clock.ultrasonic_unix_s") + F.try_divide(F.col("measurement.pings"), F.col("measurement.prf_hz"))
-    behind = F.col("clock.ultrasonic_unix_s") <= F.max(stop).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("error", F.coalesce("error", F.when(behind, "non_monotonic"))).drop("shape")
+    return _in_order(rows).drop("shape")
+
+
+def _in_order(rows: DataFrame) -> DataFrame:
+    """Refuse a dwell that begins before all earlier ones of its device have ended. A corpus has one device, so the running maximum goes over ranges of lines."""
+    end = F.col("clock.ultrasonic_unix_s") + F.try_divide(F.col("measurement.pings"), F.col("measurement.prf_hz"))
+    narrow = rows.select("line", F.col("provenance.device_id").alias("device"), F.col("clock.ultrasonic_unix_s").alias("start"), end.alias("stop"))
+    dealt = scan.dealt(narrow, ["device"], [F.col("line")])
+    ran = scan.running(dealt, ["device"], [F.col("line")], {"ended": F.col("stop")}, F.max, before=True)
+    behind = ran.where("device is not null and start <= ended").select("line", F.lit("non_monotonic").alias("_late"))
+    return rows.join(behind, "line", "left").withColumn("error", F.coalesce("error", "_late")).drop("_late")
+
+
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, value): a file's physical lines with their numbers from 1; the files of a folder follow one another by name.
+
+    Files are read in byte ranges by many tasks. Each range's lines are counted, and a range's lines go on from the sum of the
+    counts before it: one row for each range, not for each line.
+    """
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_from"), F.monotonically_increasing_id().alias("_id"))
+    ranges = text.groupBy("_file", "_from").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_file", "_from").rowsBetween(Window.unboundedPreceding, -1))
+    placed = ranges.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
+    return text.join(placed, ["_file", "_from"]).select((F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line"), "value")
 
 
 def verdict(rows: DataFrame) -> DataFrame:
-    """One row: whether the file is accepted, its records, and the first error in line order."""
-    one = rows.agg(F.count(F.lit(1)).alias("records"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("line"))).alias("error"))
+    """One row: whether the file is accepted, its records, and the first error in line order with its line."""
+    wrong = F.when(F.col("error").isNotNull(), F.col("line"))
+    one = rows.agg(F.count(F.lit(1)).alias("records"), F.min_by("error", wrong).alias("error"), F.min(wrong).alias("line"))
     error = F.coalesce("error", F.when(F.col("records") > MOST_RECORDS, "too_many_records"), F.when(F.col("records") == 0, "empty"))
-    return one.select("records", error.alias("error"), error.isNull().alias("accepted"))
+    return one.select("records", error.alias("error"), error.isNull().alias("accepted"), "line")
 
 
 def read(spark: SparkSession, path: str, expected_source: str | None = None) -> DataFrame:
-    """The records of a file that has no error at all; else an error."""
-    rows = parse(spark.read.text(path).withColumn("line", F.monotonically_increasing_id()), expected_source)
+    """The records of a file that has no error at all; else an error that names the first wrong line."""
+    rows = parse(lines(spark, path), expected_source)
     v = verdict(rows).first()
     if not v.accepted:
-        raise ValueError(f"corpus refused: {v.error}")
+        raise ValueError(f"corpus refused: {v.error}" + (f" at line {v.line}" if v.line else ""))
     return rows
 
 
@@ -154,7 +176,7 @@ def long_dwells(dwell_rows: DataFrame) -> DataFrame:
     return pairs.select("dwell_id", F.floor(F.col("at") / F.col("bins")).cast("int").alias("ping"), (F.col("at") % F.col("bins")).cast("int").alias("bin"), "re", "im")
 
 
-def encode(rows: DataFrame) -> DataFrame:
-    """Records back to lines; samples keep 7 significant digits."""
+def encode(rows: DataFrame, *keep: str) -> DataFrame:
+    """Records back to lines, beside the columns to keep; samples keep 7 significant digits."""
     iq = F.transform("measurement.iq", lambda x: significant(x, 7))
-    return rows.select(F.to_json(F.struct("type", "consent", "provenance", "clock", F.col("measurement").withField("iq", iq).alias("measurement"), "teacher"), {"ignoreNullFields": "false"}).alias("value"))
+    return rows.select(*keep, F.to_json(F.struct("type", "consent", "provenance", "clock", F.col("measurement").withField("iq", iq).alias("measurement"), "teacher"), {"ignoreNullFields": "false"}).alias("value"))
