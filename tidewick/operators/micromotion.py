@@ -35,11 +35,12 @@ def fisher_threshold(alpha: float, k: int) -> float:
     return (lo + hi) / 2
 
 
-def fisher_p_column(g: Column, k: int, terms: int = 11) -> Column:
-    total = F.lit(0.0)
-    for j in range(1, min(k, terms) + 1):
-        c = (-1) ** (j - 1) * math.comb(k, j)
-        total = total + F.when(F.lit(j) * g < 1, c * F.pow(F.greatest(1 - j * g, F.lit(0.0)), F.lit(k - 1))).otherwise(0.0)
+def fisher_p_column(g: Column, k: Column | int, terms: int = 11) -> Column:
+    k = F.lit(k)
+    total, c = F.lit(0.0), F.lit(1.0)
+    for j in range(1, terms + 1):
+        c = c * (k - (j - 1)) / j
+        total = total + F.when((F.lit(j) * g < 1) & (k >= j), (-1) ** (j - 1) * c * F.pow(F.greatest(1 - j * g, F.lit(0.0)), k - 1)).otherwise(0.0)
     return F.when(g >= 1, 0.0).when(~(g > 0), 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), total)))
 
 
@@ -56,54 +57,74 @@ def band_bins(pings: int, prf_hz: float, low_hz: float, high_hz: float) -> list[
     return [k for k in range(max(1, first), last + 1) if 2 * k < pings]
 
 
-def analyze(rows: DataFrame, pings: int, prf_hz: float, lambda_m: float, low_hz: float = 0.1, high_hz: float = 0.6, min_snr_db: float = 6.0, min_cycles: float = 3.0, common_mode: bool = True, floor: DataFrame | None = None, start_range_m: float | None = None, range_step_m: float | None = None) -> DataFrame:
-    """Per (dwell_id, bin): status, p_value, band feature, statistic g, rate_hz, displacement_m, noise_m, snr_db, common_mode_peak_m.
+#: what one detector policy says of an analysis
+SETTINGS = ("take", "low_hz", "high_hz", "min_snr_db", "min_cycles", "common_mode")
 
-    Refusals are typed: insufficient_dwell, no_noise_floor (for the dwell), no_return (for a bin).
+
+def analyze_all(rows: DataFrame, policies: dict[str, dict], prf_hz: float, lambda_m: float, floor: DataFrame | None = None) -> DataFrame:
+    """What ``analyze`` says, for every policy (by name, with SETTINGS) in one plan: the policy is a column beside dwell_id.
+
+    Each row goes to the policies whose dwell is long enough to take its ping; from there on all steps are grouped by
+    policy and dwell. The policies are those of one generation of a search, a few for each lever.
     """
-    ks = band_bins(pings, prf_hz, low_hz, high_hz)
-    bins = rows.select("dwell_id", "bin").distinct()
+    key, cell = ["policy", "dwell_id"], ["policy", "dwell_id", "bin"]
+    listed = [(n, int(p["take"]), band_bins(int(p["take"]), prf_hz, p["low_hz"], p["high_hz"]), float(10 ** (p["min_snr_db"] / 10)), bool(p["common_mode"])) for n, p in policies.items()]
+    short = {n for (n, take, ks, *_), p in zip(listed, policies.values()) if take / prf_hz * p["low_hz"] < p["min_cycles"] or len(ks) < 2}
+    facts = F.broadcast(rows.sparkSession.createDataFrame(listed, "policy string, take int, ks array<int>, gate double, common_mode boolean"))
     null = F.lit(None).cast("double")
-    short = pings / prf_hz * low_hz < min_cycles or len(ks) < 2
-    columns = ["dwell_id", "bin", "status", "p_value", "micromotion_band", "statistic", "rate_hz", "displacement_m", "noise_m", "snr_db", "common_mode_peak_m"]
-    if short:
-        empty = bins.select("dwell_id", "bin", F.lit("insufficient_dwell").alias("status"), *[null.alias(c) for c in columns[3:]])
-        return _ranged(empty, start_range_m, range_step_m)
-    floor = noise_floor(rows) if floor is None else floor
-    gate = 10 ** (min_snr_db / 10)
+    columns = [*cell, "status", "p_value", "micromotion_band", "statistic", "rate_hz", "displacement_m", "noise_m", "snr_db", "common_mode_peak_m"]
+    refused = rows.select("dwell_id", "bin").distinct().withColumn("policy", F.explode(F.array(*[F.lit(n) for n in sorted(short)]).cast("array<string>")))
+    refused = refused.select(*cell, F.lit("insufficient_dwell").alias("status"), *[null.alias(c) for c in columns[4:]])
+    long = F.array(*[F.struct(F.lit(n).alias("policy"), F.lit(take).alias("take")) for n, take, *_ in listed if n not in short]).cast("array<struct<policy:string,take:int>>")
+    taken = rows.withColumn("policy", F.explode(F.transform(F.filter(long, lambda p: F.col("ping") < p["take"]), lambda p: p["policy"])))
+    if floor is None:
+        floor = noise_floor(taken.withColumn("dwell_id", F.struct("policy", "dwell_id"))).select("dwell_id.*", "noise_floor")
+        on = key
+    else:
+        on = ["dwell_id"]
     good = F.min(~F.isnan("re") & ~F.isnan("im") & (F.abs("re") < float("inf")) & (F.abs("im") < float("inf")))
-    power = rows.groupBy("dwell_id", "bin").agg(F.avg(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("mean_power"), good.alias("finite"))
+    power = taken.groupBy(*cell).agg(F.avg(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("mean_power"), good.alias("finite"))
     f2 = F.col("noise_floor") * F.col("noise_floor")
     signal = F.col("mean_power") - f2
-    levels = power.join(floor, "dwell_id").withColumn("floor_ok", ~F.isnan("noise_floor") & (F.col("noise_floor") > 0) & (F.col("noise_floor") < float("inf")))
-    levels = levels.withColumn("usable", F.col("finite") & F.col("floor_ok") & (signal > 0) & (signal > gate * f2)).withColumn("snr_db", F.when(signal > 0, 10 * F.log10(F.try_divide(signal, f2))).otherwise(float("-inf")))
-    mine = rows.join(levels.where("usable").select("dwell_id", "bin"), ["dwell_id", "bin"])
-    w = Window.partitionBy("dwell_id", "bin").orderBy("ping")
+    levels = power.join(floor, on).join(facts, "policy").withColumn("floor_ok", ~F.isnan("noise_floor") & (F.col("noise_floor") > 0) & (F.col("noise_floor") < float("inf")))
+    levels = levels.withColumn("usable", F.col("finite") & F.col("floor_ok") & (signal > 0) & (signal > F.col("gate") * f2)).withColumn("snr_db", F.when(signal > 0, 10 * F.log10(F.try_divide(signal, f2))).otherwise(float("-inf")))
+    mine = taken.join(levels.where("usable").select(*cell), cell)
+    w = Window.partitionBy(*cell).orderBy("ping")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     pr, pi = F.lag("re").over(w), F.lag("im").over(w)
     steps = mine.withColumn("cr", F.col("re") * pr + F.col("im") * pi).withColumn("ci", F.col("im") * pr - F.col("re") * pi).withColumn("phase", F.atan2("im", "re"))
     turn = -2 * math.pi * F.floor(F.coalesce(F.col("phase") - F.lag("phase").over(w), F.lit(0.0)) / (2 * math.pi) + 0.5)
     steps = steps.withColumn("turn", turn).withColumn("phase", F.col("phase") + F.sum("turn").over(run)).drop("turn")
     # all bins of a dwell move together where the device moves: pulse pairs summed over bins
-    pairs = steps.groupBy("dwell_id", "ping").agg(F.sum("cr").alias("cr"), F.sum("ci").alias("ci"))
-    wd = Window.partitionBy("dwell_id").orderBy("ping").rowsBetween(Window.unboundedPreceding, 0)
+    pairs = steps.groupBy(*key, "ping").agg(F.sum("cr").alias("cr"), F.sum("ci").alias("ci"))
+    wd = Window.partitionBy(*key).orderBy("ping").rowsBetween(Window.unboundedPreceding, 0)
     moved = F.when((F.coalesce("cr", F.lit(0.0)) == 0) & (F.coalesce("ci", F.lit(0.0)) == 0), 0.0).otherwise(F.atan2("ci", "cr"))
-    common = pairs.select("dwell_id", "ping", F.sum(moved).over(wd).alias("common"))
+    common = pairs.select(*key, "ping", F.sum(moved).over(wd).alias("common"))
     metres = lambda_m / (4 * math.pi)
-    peak = common.groupBy("dwell_id").agg((F.max(F.abs("common")) * metres).alias("common_mode_peak_m"))
-    series = steps.join(common, ["dwell_id", "ping"]).withColumn("x", (F.col("phase") - (F.col("common") if common_mode else F.lit(0.0))) * metres)
-    series = series.withColumn("x", F.col("x") - F.avg("x").over(Window.partitionBy("dwell_id", "bin")))
-    angle = -2 * math.pi * F.col("k") * F.col("ping") / pings
-    spectrum = series.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).groupBy("dwell_id", "bin", "k").agg(F.sum(F.col("x") * F.cos(angle)).alias("a"), F.sum(F.col("x") * F.sin(angle)).alias("b")).withColumn("power", F.col("a") * F.col("a") + F.col("b") * F.col("b"))
-    best = spectrum.groupBy("dwell_id", "bin").agg(F.sum("power").alias("total"), F.max(F.struct(F.col("power"), -F.col("k"))).alias("top"))
-    j = levels.join(best, ["dwell_id", "bin"], "left").join(peak, "dwell_id", "left")
-    g = F.when(F.col("total") > 0, F.col("top.power") / F.col("total")).otherwise(1 / len(ks))
-    p = fisher_p_column(g, len(ks))
+    peak = common.groupBy(*key).agg((F.max(F.abs("common")) * metres).alias("common_mode_peak_m"))
+    series = steps.join(common, [*key, "ping"]).join(facts, "policy").withColumn("x", (F.col("phase") - F.when(F.col("common_mode"), F.col("common")).otherwise(0.0)) * metres)
+    series = series.withColumn("x", F.col("x") - F.avg("x").over(Window.partitionBy(*cell)))
+    angle = -2 * math.pi * F.col("k") * F.col("ping") / F.col("take")
+    spectrum = series.withColumn("k", F.explode("ks")).groupBy(*cell, "k").agg(F.sum(F.col("x") * F.cos(angle)).alias("a"), F.sum(F.col("x") * F.sin(angle)).alias("b")).withColumn("power", F.col("a") * F.col("a") + F.col("b") * F.col("b"))
+    best = spectrum.groupBy(*cell).agg(F.sum("power").alias("total"), F.max(F.struct(F.col("power"), -F.col("k"))).alias("top"))
+    j = levels.join(best, cell, "left").join(peak, key, "left")
+    n = F.size("ks")
+    g = F.when(F.col("total") > 0, F.col("top.power") / F.col("total")).otherwise(1 / n)
+    p = fisher_p_column(g, n)
     ok = F.col("usable")
     status = F.when(~F.col("floor_ok"), "no_noise_floor").when(ok, "ok").otherwise("no_return")
     when = lambda x, other: F.when(ok, x).otherwise(F.lit(other).cast("double"))
-    out = j.select("dwell_id", "bin", status.alias("status"), when(p, 1.0).alias("p_value"), when(1 - p, 0.0).alias("micromotion_band"), when(g, 0.0).alias("statistic"), F.when(ok & (F.col("total") > 0), -F.col("top.col2") * (prf_hz / pings)).alias("rate_hz"), F.when(ok, F.when(F.col("total") > 0, 2 * F.sqrt("top.power") / pings).otherwise(0.0)).alias("displacement_m"), F.when(ok, metres / F.sqrt(2 * F.pow(F.lit(10.0), F.col("snr_db") / 10))).alias("noise_m"), "snr_db", F.coalesce("common_mode_peak_m", F.lit(0.0)).alias("common_mode_peak_m"))
-    return _ranged(out, start_range_m, range_step_m)
+    out = j.select(*cell, status.alias("status"), when(p, 1.0).alias("p_value"), when(1 - p, 0.0).alias("micromotion_band"), when(g, 0.0).alias("statistic"), F.when(ok & (F.col("total") > 0), -F.col("top.col2") * (prf_hz / F.col("take"))).alias("rate_hz"), F.when(ok, F.when(F.col("total") > 0, 2 * F.sqrt("top.power") / F.col("take")).otherwise(0.0)).alias("displacement_m"), F.when(ok, metres / F.sqrt(2 * F.pow(F.lit(10.0), F.col("snr_db") / 10))).alias("noise_m"), "snr_db", F.coalesce("common_mode_peak_m", F.lit(0.0)).alias("common_mode_peak_m"))
+    return out.unionByName(refused)
+
+
+def analyze(rows: DataFrame, pings: int, prf_hz: float, lambda_m: float, low_hz: float = 0.1, high_hz: float = 0.6, min_snr_db: float = 6.0, min_cycles: float = 3.0, common_mode: bool = True, floor: DataFrame | None = None, start_range_m: float | None = None, range_step_m: float | None = None) -> DataFrame:
+    """Per (dwell_id, bin): status, p_value, band feature, statistic g, rate_hz, displacement_m, noise_m, snr_db, common_mode_peak_m.
+
+    Refusals are typed: insufficient_dwell, no_noise_floor (for the dwell), no_return (for a bin).
+    """
+    one = {"one": dict(zip(SETTINGS, (pings, low_hz, high_hz, min_snr_db, min_cycles, common_mode)))}
+    return _ranged(analyze_all(rows, one, prf_hz, lambda_m, floor).drop("policy"), start_range_m, range_step_m)
 
 
 def _ranged(out: DataFrame, start: float | None, step: float | None) -> DataFrame:

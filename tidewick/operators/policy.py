@@ -260,6 +260,61 @@ def detector_evaluator(captures: DataFrame, dwells: DataFrame, prf_hz: float, la
     return evaluate
 
 
+def evaluate_generation(captures: DataFrame, dwells: DataFrame, policies: dict[str, dict], prf_hz: float, lambda_m: float, pings: int, start_range_m: float | None, range_step_m: float | None, by: list[str]) -> DataFrame:
+    """Scores of all policies (settings of ``resolve_detector`` by name) on all suites, one plan for the lot: a row for each policy and ``by``."""
+    wrong = {n: p["error"] for n, p in policies.items() if p.get("error")}
+    if wrong:
+        raise ValueError(f"detector policies refused: {wrong}")
+    names = ("alpha", "band_high_hz", "max_peak_m")
+    listed = F.array(*[F.struct(F.lit(n).alias("policy"), *[F.lit(float(p[k])).alias(k) for k in names]) for n, p in policies.items()])
+    asked = captures.withColumn("_p", F.explode(listed)).select(*captures.columns, "_p.*")
+    heard = {n: p for n, p in policies.items() if p["band_high_hz"] <= prf_hz / 2}
+    settings = {n: {"take": min(max(1, math.floor(p["dwell_s"] * prf_hz + 0.5)), pings), "low_hz": p["band_low_hz"], "high_hz": p["band_high_hz"], "min_snr_db": p["min_snr_db"], "min_cycles": p["min_cycles"], "common_mode": p["rejection"] == "on"} for n, p in heard.items()}
+    floor = captures.select("dwell_id", "noise_floor").where("noise_floor is not null") if "noise_floor" in captures.columns else None
+    bins = micromotion.analyze_all(dwells, settings, prf_hz, lambda_m, floor)
+    alphas = F.create_map(*[x for n, p in policies.items() for x in (F.lit(n), F.lit(float(p["alpha"])))])
+    bins = bins.withColumn("alpha", F.try_element_at(alphas, F.col("policy")))
+    found = scoring.outcomes(asked, bins, F.col("alpha"), prf_hz / 2, F.col("band_high_hz"), F.col("max_peak_m"), start_range_m, range_step_m, ["policy"])
+    rows = found.join(captures.select("dwell_id", *by), "dwell_id").withColumn("alpha", F.try_element_at(alphas, F.col("policy")))
+    return scoring.suite_score(rows, F.col("alpha"), ["policy", *by])
+
+
+def generation_evaluator(captures: DataFrame, dwells: DataFrame, prf_hz: float, lambda_m: float, pings: int, start_range_m: float | None, range_step_m: float | None, ladders: dict[str, list[str]] = DETECTOR_LADDERS, fixed: dict[str, str] | None = None) -> Callable[[list[dict[str, int]]], dict]:
+    """What ``climb`` asks for many policies at once: their scores on every suite, from one job.
+
+    Suites are attested once; levers that the ladders leave out have the text in ``fixed``.
+    """
+    spark = captures.sparkSession
+    for r in captures.select("suite").distinct().collect():  # holdout and anchor
+        scoring.attest(captures.where(F.col("suite") == r.suite), r.suite)
+
+    def evaluate(policies: list[dict[str, int]]) -> dict:
+        texts = {policy_key(p): (fixed or {}) | {k: ladders[k][p[k]] for k in ladders} for p in policies}
+        rows = spark.createDataFrame([(n, *[t[k] for k in DETECTOR_FIELDS]) for n, t in texts.items()], ["policy", *DETECTOR_FIELDS])
+        settings = {r.policy: r.asDict() for r in resolve_detector(rows).collect()}  # a row for each policy asked for
+        scores = evaluate_generation(captures, dwells, settings, prf_hz, lambda_m, pings, start_range_m, range_step_m, ["suite"])
+        return {(s.policy, s.suite): {"primary": s.primary, "noop": s.noop_rate, "regressed": s.over_budget, "hit_rate": s.hit_rate, "fa_rate": s.fa_rate} for s in scores.collect()}
+
+    return evaluate
+
+
+def policy_key(policy: dict[str, int]) -> str:
+    return ";".join(f"{k}={v}" for k, v in sorted(policy.items()))
+
+
+def climb_generations(evaluate: Callable[[list[dict[str, int]]], dict], root: dict[str, int], generations: int, ladders: dict[str, list], step_text: Callable[[str, int, int], str]) -> list[dict]:
+    """The search of ``climb``, with the same log, where a generation is one job: when a score is missing, all rungs that could be asked for next are evaluated with it."""
+    known: dict = {}
+
+    def one(policy: dict[str, int], suite: str) -> dict:
+        if (policy_key(policy), suite) not in known:
+            near = [policy | {k: min(policy[k] + step, len(ladders[k]) - 1)} for k in ladders for step in (0, 1, 2)]
+            known.update(evaluate(list({policy_key(p): p for p in near if (policy_key(p), suite) not in known}.values())))
+        return known[(policy_key(policy), suite)]
+
+    return climb(one, root, generations, ladders, step_text)
+
+
 def climb(evaluate: Callable[[dict[str, int], str], dict], root: dict[str, int], generations: int = 5, ladders: dict[str, list] = LADDERS, step_text: Callable[[str, int, int], str] | None = None) -> list[dict]:
     """Hill-climb over levers in turn. Our own gate: a candidate must raise primary, strictly lower noop, not be regressed, and not fall below the root on the anchor suite. Evaluations are cached by policy and suite."""
     cache: dict = {}

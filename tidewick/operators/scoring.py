@@ -117,21 +117,23 @@ def take_pings(rows: DataFrame, pings: int) -> DataFrame:
     return rows.where(F.col("ping") < pings)
 
 
-def outcomes(captures: DataFrame, bins: DataFrame, alpha: float, nyquist_hz: float, band_high_hz: float, sensor_motion_m: float, start_range_m: float | None, range_step_m: float | None) -> DataFrame:
+def outcomes(captures: DataFrame, bins: DataFrame, alpha: float | Column, nyquist_hz: float, band_high_hz: float | Column, sensor_motion_m: float | Column, start_range_m: float | None, range_step_m: float | None, by: list[str] | None = None) -> DataFrame:
     """One outcome, a reason for abstaining if any, and the share left undecided, for each capture.
 
     captures: dwell_id, consent boolean, body_in_scene boolean, body_range_m double, bins; bins: what
     micromotion.analyze returns. First reason that holds: no consent, band above Nyquist, the analysis'
     own refusal, a moving sensor; then negatives without a usable bin, and positives without range
-    geometry or without a return near the body.
+    geometry or without a return near the body. With ``by`` (policy), both sides have such columns too, and settings may be columns:
+    ``alpha`` of the bins, the others of the captures.
     """
+    key = [*(by or []), "dwell_id"]
     fires = (F.col("status") == "ok") & (F.col("p_value") <= alpha)
     lo, hi = bins_covering(F.col("body_range_m"), start_range_m, range_step_m, F.col("bins"))
     placed = captures.withColumn("_lo", lo).withColumn("_hi", hi)
-    by = bins.join(placed.select("dwell_id", "_lo", "_hi"), "dwell_id")
+    seen = bins.join(placed.select(*key, "_lo", "_hi"), key)
     near = F.col("bin").between(F.col("_lo"), F.col("_hi"))
-    facts = by.groupBy("dwell_id").agg(F.count_if(F.col("status") == "ok").alias("usable_bins"), F.bool_or(fires).alias("fires"), F.bool_or(fires & near).alias("fires_near"), F.bool_or((F.col("status") == "ok") & near).alias("usable_near"), F.max("common_mode_peak_m").alias("moved"), F.max(F.when(F.col("status").isin("insufficient_dwell", "no_noise_floor"), F.col("status"))).alias("refused"), F.max(F.when(F.col("status") == "ok", F.col("micromotion_band"))).alias("peak_score"))
-    j = placed.join(facts, "dwell_id", "left")
+    facts = seen.groupBy(*key).agg(F.count_if(F.col("status") == "ok").alias("usable_bins"), F.bool_or(fires).alias("fires"), F.bool_or(fires & near).alias("fires_near"), F.bool_or((F.col("status") == "ok") & near).alias("usable_near"), F.max("common_mode_peak_m").alias("moved"), F.max(F.when(F.col("status").isin("insufficient_dwell", "no_noise_floor"), F.col("status"))).alias("refused"), F.max(F.when(F.col("status") == "ok", F.col("micromotion_band"))).alias("peak_score"))
+    j = placed.join(facts, key, "left")
     positive = is_positive()
     whole = (
         F.when(~F.coalesce("consent", F.lit(False)), "no_consent")
@@ -143,7 +145,7 @@ def outcomes(captures: DataFrame, bins: DataFrame, alpha: float, nyquist_hz: flo
     reason = F.coalesce(whole, F.when(~positive & (usable == 0), "no_return").when(positive & F.col("_lo").isNull(), "no_range_geometry").when(positive & ~F.coalesce("usable_near", F.lit(False)), "no_return"))
     outcome = F.when(reason.isNotNull(), "abstain").when(positive, F.when(F.col("fires_near"), "hit").otherwise("miss")).otherwise(F.when(F.col("fires"), "false_alarm").otherwise("correct_rejection"))
     noop = F.when(whole.isNotNull() | (F.col("bins") <= 0), 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("bins") - usable) / F.col("bins"))))
-    return j.select("dwell_id", outcome.alias("outcome"), reason.alias("abstain_reason"), usable.alias("usable_bins"), "peak_score", noop.alias("noop_share"))
+    return j.select(*key, outcome.alias("outcome"), reason.alias("abstain_reason"), usable.alias("usable_bins"), "peak_score", noop.alias("noop_share"))
 
 
 def is_positive() -> Column:
@@ -151,12 +153,12 @@ def is_positive() -> Column:
     return F.coalesce(F.col("body_in_scene") & F.col("body_range_m").isNotNull() & ~F.isnan("body_range_m") & (F.abs("body_range_m") < float("inf")), F.lit(False))
 
 
-def false_alarm_probability(alpha: float, bins: Column) -> Column:
+def false_alarm_probability(alpha: float | Column, bins: Column) -> Column:
     """Of at least one false alarm among independent bins."""
-    return F.when(bins <= 0, 0.0).otherwise(1 - F.pow(F.lit(1 - alpha), bins))
+    return F.when(bins <= 0, 0.0).otherwise(1 - F.pow(F.lit(1.0) - alpha, bins))
 
 
-def suite_score(rows: DataFrame, alpha: float, by: list[str]) -> DataFrame:
+def suite_score(rows: DataFrame, alpha: float | Column, by: list[str]) -> DataFrame:
     """Counts, hit and false alarm rates, their difference, and whether false alarms exceed three standard deviations of what alpha promises."""
     count = {o: F.count_if(F.col("outcome") == o) for o in OUTCOMES}
     p = F.when(F.col("outcome").isin("false_alarm", "correct_rejection"), false_alarm_probability(alpha, F.col("usable_bins")))
