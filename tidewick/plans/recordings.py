@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,19 +31,33 @@ def recordings(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", "label", F.concat(e, F.reverse(e), e, F.reverse(e)).alias("samples"))
 
 
-def _numbers(x: np.ndarray) -> str:
-    return "[" + ",".join(map(repr, x.tolist())) + "]::DOUBLE[]"
+# The SQL has its own numbers: a hann sweep of 12 samples from 300 to 2100 Hz at 4800 Hz, a hann taper over that band, spectra of 512
+# places, air at 20 degrees, a microphone at 0.1 m, eight training cells to a side and a false alarm rate of 0.2.
+_C = "(331.3e0 * sqrt(1 + 20 / 273.15e0))"
+_STEP_M = f"({_C} / 9600)"
+_ALPHA = "(16 * (pow(0.2e0, -1e0 / 16) - 1))"
+#: half a main lobe: sample rate over bandwidth, wider by the taper
+_LOBE = "(4800 / 1800e0 * 1.67e0)"
+
+
+def _lag_sql(range_m: float) -> str:
+    return f"((2 * {range_m!r}::DOUBLE - 0.1e0) * 4800 / {_C})"
+
+
+_RESPONSE = """sweep AS (SELECT n, 0.5e0 - 0.5e0 * cos(2 * pi() * n / 12) AS w, 2 * pi() * (300 * (n / 4800e0) + 1800 / 0.0025e0 * pow(n / 4800e0, 2) / 2) AS angle FROM (SELECT unnest(range(12)) AS n)),
+band AS (SELECT k, 0.5e0 - 0.5e0 * cos(2 * pi() * (k * 9.375e0 - 300) / 1800) AS w FROM (SELECT unnest(range(256)) AS k) WHERE k * 9.375e0 BETWEEN 300 AND 2100),
+filter AS (SELECT k, sum(s.w * cos(angle - 2 * pi() * k * n / 512)) * any_value(b.w) AS re, -sum(s.w * sin(angle - 2 * pi() * k * n / 512)) * any_value(b.w) AS im FROM band b, sweep s GROUP BY k),
+level AS (SELECT sum(re * re + im * im) / 512 AS energy FROM filter),
+tap AS (SELECT l, sum(re * cos(2 * pi() * k * l / 512) - im * sin(2 * pi() * k * l / 512)) / 512 / any_value(energy) AS gr, sum(re * sin(2 * pi() * k * l / 512) + im * cos(2 * pi() * k * l / 512)) / 512 / any_value(energy) AS gi FROM filter, level, (SELECT unnest(range(512)) AS l) GROUP BY l),
+resp AS (SELECT list(gr ORDER BY j) AS hr, list(gi ORDER BY j) AS hi FROM (SELECT (512 - l) % 512 + 512 * turn AS j, gr, gi FROM tap, (SELECT unnest([0, 1]) AS turn))),
+heard AS (SELECT q.l, sqrt(pow(sum(w * sin(angle) * gr), 2) + pow(sum(w * sin(angle) * gi), 2)) AS v FROM (SELECT unnest(range(192)) AS l) q, sweep JOIN tap ON tap.l = (q.l - n + 512) % 512 GROUP BY q.l),
+acf AS (SELECT list(v / top ORDER BY l) AS own FROM heard, (SELECT max(v) AS top FROM heard))"""
 
 
 def _envelope_sql() -> str:
-    """CTE env(vec_id, label, env): magnitudes of the circular correlation with the filter's response, twice unrolled."""
-    mf = kernels.matched_filter(SOUNDING, LENGTH)
-    spectrum = np.zeros(mf.n, complex)
-    spectrum[mf.band] = mf.h
-    g = np.fft.ifft(spectrum)  # the response; lag l of x is the sum of x[n] g[l - n]
-    h = np.tile(g[(-np.arange(mf.n)) % mf.n], 2)
-    at = f"[{mf.n} - lag + 1:{mf.n} - lag + {LENGTH}]"
-    return f"""resp AS (SELECT {_numbers(h.real)} AS hr, {_numbers(h.imag)} AS hi),
+    """CTE env(vec_id, label, env): magnitudes of the circular correlation with the sweep's response, twice unrolled."""
+    at = f"[512 - lag + 1:512 - lag + {LENGTH}]"
+    return f"""{_RESPONSE},
 rec AS (SELECT vec_id, label, list_concat(list_concat(e, list_reverse(e)), list_concat(e, list_reverse(e))) AS x FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)),
 env AS (SELECT vec_id, label, [sqrt(pow(list_dot_product(x, hr{at}), 2) + pow(list_dot_product(x, hi{at}), 2)) FOR lag IN range({LENGTH})] AS env FROM rec, resp)"""
 
@@ -56,21 +69,19 @@ def _vertex_sql(x: str, i: str) -> str:
     return f"({i} + CASE WHEN {i} > 0 AND {i} < len({x}) - 1 AND abs({a} - 2 * {b} + {c}) >= 1e-12 AND abs({s}) <= 1 THEN {s} ELSE 0 END)"
 
 
-def _timed_sql(s: Sonar = SOUNDING) -> str:
-    """CTEs up to timed(vec_id, label, t0, blast, lo, part, start_m)."""
-    search, room, reach = min(LENGTH, int(s.direct_search_s * s.fs)), math.ceil(s.lag_for(s.max_range_m)), 4 * math.ceil(s.mainlobe)
-    acf = kernels.matched_filter(s, LENGTH).acf
+def _timed_sql() -> str:
+    """CTEs up to timed(vec_id, label, t0, blast, lo, part, start_m). Emissions are 40 samples apart and looked for in the first 160."""
+    room, reach = f"ceil({_lag_sql(2.8)})", f"(4 * CAST(ceil({_LOBE}) AS BIGINT))"
     return f"""{_envelope_sql()},
-start AS (SELECT vec_id, env, list_position(env[1:{search}], list_max(env[1:{search}])) - 1 AS pos, list_max(env[1:{search}]) AS level FROM env),
+start AS (SELECT vec_id, env, list_position(env[1:160], list_max(env[1:160])) - 1 AS pos, list_max(env[1:160]) AS level FROM env),
 walk AS (SELECT vec_id, env, pos, level, level > 0 AS onward, 0 AS k FROM start
   UNION ALL SELECT vec_id, env, CASE WHEN there THEN lo + list_position(near, list_max(near)) - 1 ELSE pos END, level, there, k + 1 FROM (
-    SELECT *, coalesce(onward AND pos + {s.pri_samples} < {search} AND pos + {s.pri_samples} + {room} <= {LENGTH} AND list_max(near) >= 0.25 * level, false) AS there FROM (
-      SELECT *, greatest(0, pos + {s.pri_samples} - {reach}) AS lo, env[greatest(0, pos + {s.pri_samples} - {reach}) + 1:least({search}, pos + {s.pri_samples + reach})] AS near FROM walk WHERE onward AND k < {math.floor(search / max(1, s.pri_samples - reach)) + 1}))),
+    SELECT *, coalesce(onward AND pos + 40 < 160 AND pos + 40 + {room} <= {LENGTH} AND list_max(near) >= 0.25 * level, false) AS there FROM (
+      SELECT *, greatest(0, pos + 40 - {reach}) AS lo, env[greatest(0, pos + 40 - {reach}) + 1:least(160, pos + 40 + {reach})] AS near FROM walk WHERE onward AND k < 1 + floor(160 / (40 - {reach}))))),
 origin AS (SELECT vec_id, env, arg_max(pos, k) AS pos FROM walk GROUP BY vec_id, env),
-acf AS (SELECT {_numbers(acf)} AS own),
 cancelled AS (SELECT vec_id, env[pos + 1] AS blast, {_vertex_sql("env", "pos")} AS t0, [CASE WHEN i >= pos AND env[pos + 1] > 0 THEN greatest(0, env[i + 1] - env[pos + 1] * coalesce(own[i - pos + 1], 0)) ELSE env[i + 1] END FOR i IN range({LENGTH})] AS env FROM origin, acf),
-cut AS (SELECT *, CAST(least({LENGTH}, greatest(0, floor(t0 + {s.lag_for(s.min_range_m)!r}))) AS BIGINT) AS lo, CAST(least({LENGTH}, greatest(0, ceil(t0 + {s.lag_for(s.max_range_m)!r}))) AS BIGINT) AS hi FROM cancelled),
-timed AS (SELECT vec_id, t0, blast, lo, env[lo + 1:hi] AS part, ({s.c!r} * (lo - t0) / {s.fs!r} + {s.speaker_mic_sep_m!r}) / 2 AS start_m FROM cut)"""
+cut AS (SELECT *, CAST(least({LENGTH}, greatest(0, floor(t0 + {_lag_sql(0.1)}))) AS BIGINT) AS lo, CAST(least({LENGTH}, greatest(0, ceil(t0 + {_lag_sql(2.8)}))) AS BIGINT) AS hi FROM cancelled),
+timed AS (SELECT vec_id, t0, blast, lo, env[lo + 1:hi] AS part, ({_C} * (lo - t0) / 4800 + 0.1e0) / 2 AS start_m FROM cut)"""
 
 
 def _echo_sql(key: str, s: Sonar) -> str:
@@ -98,12 +109,12 @@ def _limits_sql(s: Sonar = SOUNDING) -> str:
     hi = f"{w} ROWS BETWEEN {s.cfar_guard + 1} FOLLOWING AND {s.cfar_guard + s.cfar_train} FOLLOWING)"
     n = f"(count(value) OVER {lo} + count(value) OVER {hi})"
     return f"""cells AS (SELECT vec_id, unnest(part) AS value, generate_subscripts(part, 1) - 1 AS i FROM timed),
-limits AS (SELECT vec_id, i, value, greatest(sqrt({s.alpha!r} * CASE WHEN {n} > 0 THEN (coalesce(sum(value * value) OVER {lo}, 0) + coalesce(sum(value * value) OVER {hi}, 0)) / {n} ELSE 0 END), {s.cfar_min_threshold!r}) AS threshold FROM cells)"""
+limits AS (SELECT vec_id, i, value, greatest(sqrt({_ALPHA} * CASE WHEN {n} > 0 THEN (coalesce(sum(value * value) OVER {lo}, 0) + coalesce(sum(value * value) OVER {hi}, 0)) / {n} ELSE 0 END), {s.cfar_min_threshold!r}) AS threshold FROM cells)"""
 
 
 #: CTEs up to ping(vec_id, label, start_m, detections)
 _PINGS = f"""{_timed_sql()}, {_limits_sql()}, {_echo_sql("vec_id", SOUNDING)},
-found AS (SELECT vec_id, list({{'range_m': start_m + {SOUNDING.c!r} * index / {SOUNDING.fs!r} / 2, 'amplitude': amplitude, 'snr_db': snr_db, 'width_m': (last - first) * {SOUNDING.range_step!r}}} ORDER BY index) AS detections FROM echo JOIN timed USING (vec_id) WHERE snr_db >= {SOUNDING.min_snr_db!r} GROUP BY vec_id),
+found AS (SELECT vec_id, list({{'range_m': start_m + {_C} * index / 4800 / 2, 'amplitude': amplitude, 'snr_db': snr_db, 'width_m': (last - first) * {_STEP_M}}} ORDER BY index) AS detections FROM echo JOIN timed USING (vec_id) WHERE snr_db >= {SOUNDING.min_snr_db!r} GROUP BY vec_id),
 ping AS (SELECT e.vec_id, e.label, t.start_m, t.part, t.t0, t.blast, coalesce(f.detections, []) AS detections FROM embeddings e JOIN timed t USING (vec_id) LEFT JOIN found f USING (vec_id))"""
 
 
@@ -156,7 +167,7 @@ ray AS (SELECT vec_id AS ping, label AS session_id, detections, e1 / n AS bx, e2
 usable AS (SELECT *, [x FOR x IN detections IF x.range_m > 0 AND x.snr_db > 0] AS good FROM ray),
 shells AS (
   SELECT ping, session_id, bx, by_, bz, j AS ord, greatest(0, x.range_m - thick / 2) AS lo, x.range_m + thick / 2 AS hi, {g.hit!r} * least(1, greatest(0, x.snr_db / {g.snr_reference_db!r})) AS delta FROM (
-    SELECT *, greatest({g.voxel_m * math.sqrt(2) * 1.23!r}, x.width_m, {2 * SOUNDING.range_step!r}) AS thick FROM (SELECT ping, session_id, bx, by_, bz, unnest(good) AS x, generate_subscripts(good, 1) - 1 AS j FROM usable))
+    SELECT *, greatest({g.voxel_m * math.sqrt(2) * 1.23!r}, x.width_m, 2 * {_STEP_M}) AS thick FROM (SELECT ping, session_id, bx, by_, bz, unnest(good) AS x, generate_subscripts(good, 1) - 1 AS j FROM usable))
   UNION ALL SELECT ping, session_id, bx, by_, bz, len(good), {near!r}, greatest({near!r}, coalesce(list_min([x.range_m FOR x IN good]) - {g.free_margin_m!r}, {far!r})), {-g.miss!r} FROM usable),
 grid AS (SELECT v AS voxel, {centre("v")} AS x, {centre(f"floor(v / {g.dim})")} AS y, {centre(f"floor(v / {g.dim * g.dim})")} AS z FROM (SELECT unnest(range({_CELLS})) AS v)),
 hit AS (SELECT session_id, ping, voxel, arg_min(delta, ord) AS delta FROM (SELECT s.*, voxel, x * x + y * y + z * z AS r2, x * bx + y * by_ + z * bz AS along FROM shells s, grid WHERE hi > lo AND delta <> 0) WHERE r2 >= lo * lo AND r2 <= hi * hi AND along > 0 AND along * along >= {cos2!r} * r2 GROUP BY session_id, ping, voxel),
@@ -236,7 +247,7 @@ _STEP = (2.4 - 0.3) / 32
 @query(f"""
 WITH RECURSIVE {_PINGS},
 b AS (SELECT vec_id, start_m, part, unnest(range(32)) AS b FROM ping),
-e AS (SELECT *, greatest(0, least(len(part), ceil((0.3 + b * {_STEP!r} - start_m) / {SOUNDING.range_step!r}))) AS lo, greatest(0, least(len(part), ceil((0.3 + (b + 1) * {_STEP!r} - start_m) / {SOUNDING.range_step!r}))) AS hi FROM b)
+e AS (SELECT *, greatest(0, least(len(part), ceil((0.3 + b * {_STEP!r} - start_m) / {_STEP_M}))) AS lo, greatest(0, least(len(part), ceil((0.3 + (b + 1) * {_STEP!r} - start_m) / {_STEP_M}))) AS hi FROM b)
 SELECT vec_id AS seq, list({r(r("coalesce(list_max(part[CAST(lo AS BIGINT) + 1:CAST(hi AS BIGINT)]), 0)", 7), 5)} ORDER BY b) AS profile FROM e GROUP BY vec_id""")
 def field_recording(spark: SparkSession, d: str) -> DataFrame:
     """Profiles of recordings as lines, written as JSON and parsed again."""
