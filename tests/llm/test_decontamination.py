@@ -49,24 +49,80 @@ def test_agrees_with_brute_force():
         assert {h[0] for h in hits} == want
 
 
+def brute(text, item):
+    """The best weighted share of the item's shingles in an item-sized window of the text."""
+    size = min(5, len(item.split()))
+    need, have = shingle_hashes(word_hashes(item), size), shingle_hashes(word_hashes(text), size)
+    if not len(need) or not np.isin(have, need).any():
+        return 0.0
+    have, need = have.tolist(), need.tolist()
+    return max(sum((Counter(have[a : a + len(need)]) & Counter(need)).values()) for a in range(max(1, len(have) - len(need) + 1))) / len(need)
+
+
+def damaged(w, kind, lost, r):
+    """Words of an item of which about so many shingles are lost: at an end, at both, in one stretch, or here and there."""
+    w = list(w)
+    if kind == "head":
+        return w[lost:]
+    if kind == "tail":
+        return w[: len(w) - lost]
+    if kind == "both":
+        a = int(r.integers(0, lost + 1))
+        return w[a : len(w) - (lost - a)]
+    if kind == "stretch":
+        n = max(1, lost - 4)
+        at = int(r.integers(1, max(2, len(w) - n)))
+        return w[:at] + [f"s{j}" for j in r.integers(0, 10**6, n)] + w[at + n :]
+    for at in r.choice(np.arange(2, len(w) - 2), max(1, lost // 5), replace=False):
+        w[at] = f"e{r.integers(0, 10**6)}"
+    return w
+
+
 def test_recall_of_passages_at_the_limit():
+    """Passages that keep 0.80 to 0.85 of an item's shingles, damaged in every way: SimHash alone finds them, and nothing else."""
     r = np.random.default_rng(4)
-    items = [(i, " ".join(words(i, 20 + 3 * i))) for i in range(60)]
-    shingles = [(i, shingle_hashes(word_hashes(x))) for i, x in items]
-    texts, want = [], []
-    for n in range(120):
-        i = n % 60
-        w, size = items[i][1].split(), 16 + 3 * i
-        keep = int(np.ceil(size * (0.8 + 0.05 * r.random()))) + 4 - n % 7 // 6 * int(np.ceil(size * 0.05))
-        cut = w[:keep] if n % 2 else w[-keep:]
-        texts.append(" ".join(words(1000 + n, int(r.integers(0, 200))) + cut + words(2000 + n, int(r.integers(0, 200)))))
-        t = shingle_hashes(word_hashes(texts[-1]))
-        share = lambda a, s: np.isin(s, a).mean()  # noqa: E731  item shingles are distinct here
-        want.append({j for j, s in shingles if share(t, s) >= 0.8 and max(share(t[a : a + len(s)], s) for a in range(max(1, len(t) - len(s) + 1))) >= 0.8})
+    items = [(i, " ".join(words(i, int(n)))) for i, n in enumerate(r.integers(14, 160, 80))]
+    m = D.Matcher(items)
+    wanted = Counter()
+    missed = Counter()
+    for n in range(1500):
+        i, kind = n % 80, ("head", "tail", "both", "stretch", "spread")[n % 5]
+        w = items[i][1].split()
+        lost = int((len(w) - 4) * (0.15 + 0.05 * r.random()))
+        text = " ".join(words(1000 + n, int(r.integers(0, 90))) + damaged(w, kind, lost, r) + words(9000 + n, int(r.integers(0, 90))))
+        share = brute(text, items[i][1])
+        found = {h[0]: h[1] for h in m.match([text])[0]}
+        assert set(found) <= {i} and all(abs(x - share) < 1e-9 for x in found.values())
+        if share >= 0.8:
+            wanted[kind] += 1
+            missed[kind] += i not in found
+        else:
+            assert not found
+    assert all(wanted[k] > 40 for k in ("head", "tail", "both", "stretch", "spread")) and sum(wanted.values()) > 900
+    assert sum(missed.values()) <= 0.01 * sum(wanted.values()), (missed, wanted)
+
+
+def test_whatever_precedes_a_text():
+    items = [(i, " ".join(words(i, 20 + 3 * i))) for i in range(20)]
+    texts = [" ".join(words(300 + n, 17 * n) + items[n][1].split()[n % 3 :] + words(600 + n, 40)) for n in range(20)] + ["", "one"]
+    m = D.Matcher(items)
+    assert [m.match([t])[0] for t in texts] == m.match(texts) and all(len(x) == 1 for x in m.match(texts)[:20])
+
+
+def test_retrieval_is_the_fingerprints(monkeypatch):
+    """Without windows within the radius nothing is found: there is no other way in."""
+    items = [(1, " ".join(words(1, 40)))]
+    assert D.Matcher(items).match([items[0][1]])[0]
     m = D.Matcher(items)
-    assert 60 < sum(map(len, want)) < 120
-    assert [{h[0] for h in x} for x in m.match(texts)] == want
-    assert [m.match([t])[0] for t in texts] == m.match(texts)  # whatever precedes a text
+    monkeypatch.setattr(m.index, "search", lambda *_: (np.empty(0, np.int64), np.empty(0, np.int64)))
+    assert m.match([items[0][1]]) == [[]]
+
+
+def test_a_very_long_text_and_repeated_ones():
+    items = [(i, " ".join(words(i, 40))) for i in range(5)]
+    text = " ".join(words(50, 120_000) + items[1][1].split() + words(51, 60_000) + items[1][1].split() + items[3][1].split())
+    hits = D.Matcher(items).match([text, text, items[1][1]])
+    assert [[h[0] for h in x] for x in hits] == [[1, 3], [1, 3], [1]] and hits[0][0][2] == 120_000
 
 
 def test_fingerprints_of_windows_are_those_of_their_words():
