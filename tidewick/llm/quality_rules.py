@@ -4,10 +4,11 @@ Each row's whole text gives a few counts. Ratios of them go into log-bucket sket
 ``ACCURACY``), which are plain (cell, feature, bucket, count) rows: they merge by adding counts, so the
 aggregation is partial on the map side whatever the size of a source. Only texts that pass the base rule
 are in them, as the others are refused anyway. Cutoffs per cell are Tukey fences from the sketch's
-quartiles; cells with few rows use their language's merged sketch, then the whole corpus's, however small. Most texts
-repeat nothing, so the fences of repeats are those of the texts that do. A join with the cutoffs then
-filters: a text is refused for what lies beyond a fence by more than ``FENCE`` standard errors of a ratio
-over so short a text. Where a sketch's quartiles coincide, a fixed distance stands in for its spread.
+quartiles. Quantiles of a cell are drawn towards its language's, and those towards the corpus's, as if ``PRIOR_ROWS`` more rows had
+these; so a cell that grows changes its cutoffs bit by bit. Most texts
+repeat nothing, so the fences of repeats are those of the texts that do. Where the quartiles coincide (texts without any
+symbols), the cutoff is the quantile ``TAIL``. A join with the cutoffs then filters: a text is refused for what lies beyond
+its cutoff by more than ``FENCE`` standard errors of a ratio over so short a text, one more occurrence counted in. No distance is fixed.
 
 Defined cases: null text counts as empty; null language or source is a cell of its own; empty texts fail
 the base rule (fewer than 50 words); repeated rows get equal verdicts; empty tables give empty results;
@@ -29,10 +30,10 @@ from pyspark.sql.window import Window
 from ._common import free_name, text_of, written
 
 ACCURACY = 0.01
-MIN_CELL_ROWS = 200
-FENCE = 3.0
-#: feature: distance from the quartile to the cutoff where the quartiles coincide, so that a cell without spread doesn't reject slight deviations.
-FEATURES = {"symbol_ratio": 0.25, "punct_ratio": 0.06, "upper_ratio": 0.2, "word_length": 2.5, "dup_line_ratio": 0.5, "repeat_ratio": 0.5}
+#: how many rows the wider sketch counts for in a cell's quantiles
+PRIOR_ROWS = 50
+FENCE, TAIL = 3.0, 0.9
+FEATURES = ("symbol_ratio", "punct_ratio", "upper_ratio", "word_length", "dup_line_ratio", "repeat_ratio")
 #: features for which too low a value is refused as well
 TWO_SIDED = {"word_length"}
 #: features that are 0 for most texts: their quartiles are those of the other values
@@ -122,18 +123,26 @@ def quantiles(merged: DataFrame, by: list[str], qs: dict[str, float]) -> DataFra
 
 def cutoffs(sketches: DataFrame) -> DataFrame:
     """One row for each (lang, source): lo and hi for each feature, null where nothing is refused."""
-    qs = {"q1": 0.25, "q3": 0.75}
+    qs = {"q1": 0.25, "q3": 0.75, "tail": TAIL}
+    # a cell in which no text has the feature still has a row of it, with nothing counted
+    cells = sketches.select("lang", "source").distinct().withColumn("feature", F.explode(F.array(*[F.lit(f) for f in FEATURES])))
     sketches = sketches.where(~F.col("feature").isin(*SPARSE) | F.col("bucket").isNotNull())
     cell = quantiles(sketches, ["lang", "source", "feature"], qs)
     lang = quantiles(sketches.groupBy("lang", "feature", "bucket").agg(F.sum("n").alias("n")), ["lang", "feature"], qs)
     every = quantiles(sketches.groupBy("feature", "bucket").agg(F.sum("n").alias("n")), ["feature"], qs)
     pick = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns])
-    j = pick(cell, "c").join(pick(lang, "l"), F.col("c_lang").eqNullSafe(F.col("l_lang")) & (F.col("c_feature") == F.col("l_feature")), "left").join(pick(every, "e"), F.col("c_feature") == F.col("e_feature"), "left")
-    level = lambda q: F.when(F.col("c_total") >= MIN_CELL_ROWS, F.col(f"c_{q}")).when(F.col("l_total") >= MIN_CELL_ROWS, F.col(f"l_{q}")).otherwise(F.col(f"e_{q}"))
-    least = F.create_map(*[F.lit(x) for kv in FEATURES.items() for x in kv])
+    same = lambda p, *by: [F.col(c).eqNullSafe(F.col(f"{p}_{c}")) for c in by]
+    j = cells.join(pick(cell, "c"), same("c", "lang", "source", "feature"), "left").join(pick(lang, "l"), same("l", "lang", "feature"), "left").join(pick(every, "e"), same("e", "feature"), "left")
+
+    def drawn(p, q, towards):
+        n = F.coalesce(F.col(f"{p}_total"), F.lit(0))
+        return (n * F.coalesce(F.col(f"{p}_{q}"), F.lit(0.0)) + PRIOR_ROWS * towards) / (n + PRIOR_ROWS)
+
+    level = lambda q: drawn("c", q, drawn("l", q, F.col(f"e_{q}")))
     spread = level("q3") - level("q1")
-    slack = F.when(spread > 0, FENCE * spread).otherwise(F.element_at(least, F.col("c_feature")))
-    rows = j.select(F.col("c_lang").alias("lang"), F.col("c_source").alias("source"), F.col("c_feature").alias("feature"), (level("q3") + slack).alias("hi"), F.when(F.col("c_feature").isin(*TWO_SIDED), F.greatest(level("q1") - slack, F.lit(0.0))).alias("lo"))
+    hi = F.when(spread > 0, level("q3") + FENCE * spread).otherwise(level("tail"))
+    lo = F.when(F.col("feature").isin(*TWO_SIDED), F.greatest(level("q1") - FENCE * spread, F.lit(0.0)))
+    rows = j.select("lang", "source", "feature", hi.alias("hi"), lo.alias("lo"))
     return rows.groupBy("lang", "source").agg(*[F.max(F.when(F.col("feature") == f, F.col(x))).alias(f"{f}_{x}") for f in FEATURES for x in ("lo", "hi")])
 
 
@@ -146,7 +155,7 @@ def judge(rows: DataFrame, cuts: DataFrame, counts: str = "counts", prefix: str
         cuts = F.broadcast(cuts)
     j = rows.join(cuts, F.col("lang").eqNullSafe(F.col(names["lang"])) & F.col("source").eqNullSafe(F.col(names["source"])), "left")
     hi, lo = ({f: F.col(names[f"{f}_{x}"]) for f in FEATURES} for x in ("hi", "lo"))
-    error = lambda cut, f: FENCE * F.sqrt(cut / _size(counts, f))
+    error = lambda cut, f: FENCE * F.sqrt((cut + 1 / _size(counts, f)) / _size(counts, f))
     beyond = [F.when((v > hi[f] + error(hi[f], f)) | (v < lo[f] - error(lo[f], f)), F.lit(f)) for f, v in _ratios(counts).items()]
     failed = F.array_compact(F.array(*beyond))
     base = _base_failed(counts)
