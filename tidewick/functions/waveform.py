@@ -122,3 +122,20 @@ def phase_noise_rad(snr_db: Column) -> Column:
 
 def next_pow2(n: Column) -> Column:
     return F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(n, F.lit(2)))))
+
+
+def fit_to_rate(f0: Column, f1: Column, rate: Column) -> tuple[Column, Column]:
+    """Both ends of a sweep moved below 0.45 of a sample rate, keeping its width and direction."""
+    top = F.least(F.greatest(f0, f1), 0.45 * rate)
+    low = F.greatest(F.lit(1.0), top - F.abs(f1 - f0))
+    return F.when(f0 <= f1, low).otherwise(top), F.when(f0 <= f1, top).otherwise(low)
+
+
+def min_interval_s(max_range_m: Column, c: Column, duration_s: Column) -> Column:
+    """The shortest repetition interval: the farthest echo and the pulse."""
+    return 2 * max_range_m / c + duration_s
+
+
+def record_length(max_range_m: Column, c: Column, fs: Column, search_s: Column, duration_s: Column) -> Column:
+    """Samples that hold the search for the direct path, the farthest echo and the pulse."""
+    return F.ceil(2 * max_range_m / c * fs + search_s * fs + duration_s * fs)
