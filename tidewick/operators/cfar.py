@@ -114,7 +114,7 @@ def grouped_ranks(rows: DataFrame, key: list[str], value: str, ranks: dict, buck
     counts of equal values.
     """
     named = rows.select(*key, F.col(value).alias("_v")).where("_v is not null")
-    ends = F.broadcast(named.groupBy(*key).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))  # a row for each group
+    ends = named.groupBy(*key).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))  # as many groups as there are: small ones are broadcast by their measured size
     cell = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets), F.lit(buckets - 1))).otherwise(0).cast("int")
     placed = named.join(ends, key).withColumn("_b", cell).groupBy(*key, "_b", "_v").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*key)
@@ -122,7 +122,7 @@ def grouped_ranks(rows: DataFrame, key: list[str], value: str, ranks: dict, buck
     wanted = F.array(*[F.struct(F.lit(n).alias("name"), f(F.col("_total")).cast("long").alias("rank")) for n, f in ranks.items()])
     held = sums.withColumn("_w", F.explode(wanted)).where((F.col("_w.rank") >= F.col("_before")) & (F.col("_w.rank") < F.col("_before") + F.col("_m")))
     chosen = held.groupBy(*key, "_b", "_before").agg(F.collect_list("_w").alias("_w"))  # at most as many ranges as ranks
-    inside = placed.join(F.broadcast(chosen), [*key, "_b"])
+    inside = placed.join(chosen, [*key, "_b"])
     upto = F.sum("_n").over(Window.partitionBy(*key, "_b").orderBy("_v")) + F.col("_before")
     hits = inside.withColumn("_upto", upto).withColumn("_x", F.explode("_w")).where(F.col("_upto") > F.col("_x.rank"))
     return hits.groupBy(*key).agg(*[F.min(F.when(F.col("_x.name") == n, F.col("_v"))).alias(n) for n in ranks])

@@ -214,10 +214,9 @@ def evaluate_rooms(pings: DataFrame, truth: DataFrame, policy: dict[str, int]) -
     cells = occupancy.integrate(p, s.min_range_m, s.max_range_m, grid)
     rate = min(PING_RATE_HZ, 1 / s.min_pri_s)
     one = pings.sparkSession.createDataFrame([(s.fs, float(s.f0), float(s.f1), s.duration_s, s.amplitude, rate, s.tx_window, s.tukey_alpha)], "fs double, f0 double, f1 double, duration_s double, amplitude double, ping_rate_hz double, tx_window string, tukey_alpha double")
-    verdict = emission(one).first().verdict
     j = scoring.score_map(truth, cells, ["session_id"]).join(facts, "session_id", "left").fillna(0, ["pings", "broken", "silent"])
     share = F.when(F.col("pings") > 0, F.col("broken") / F.col("pings")).otherwise(1.0)
-    return j.withColumn("noop_rate", F.least(F.lit(1.0), F.col("uncommitted") + share)).withColumn("cost_per_win", F.col("pings") / F.greatest(F.col("primary") * 100, F.lit(0.5))).withColumn("emission", F.lit(verdict)).withColumn("regressed", F.lit(verdict == "deny") | (F.col("false_free") > 0.15))
+    return j.withColumn("noop_rate", F.least(F.lit(1.0), F.col("uncommitted") + share)).withColumn("cost_per_win", F.col("pings") / F.greatest(F.col("primary") * 100, F.lit(0.5))).join(F.broadcast(emission(one).select(F.col("verdict").alias("emission")))).withColumn("regressed", (F.col("emission") == "deny") | (F.col("false_free") > 0.15))
 
 
 def room_evaluator(pings: DataFrame, truth_on: Callable[[Grid, float], DataFrame], suites: dict[str, list[str]]) -> Callable[[dict[str, int], str], dict]:

@@ -226,6 +226,10 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+#: components of a labelled corpus that a split can deal out
+MOST_COMPONENTS = 100_000
+
+
 def split_by_component(captures: DataFrame, room: str = "room_id", subject: str = "subject_id") -> DataFrame:
     """Add ``suite`` (holdout or anchor) so that the two share no room and no subject; at least two components are needed.
 
@@ -236,15 +240,18 @@ def split_by_component(captures: DataFrame, room: str = "room_id", subject: str
     found = components(captures.where(F.col(subject).isNotNull()), room, subject)
     labels = rooms.join(found, "node", "left").select(F.substring("node", 3, 1 << 20).alias("_r"), F.coalesce("label", "node").alias("label"))
     named = captures.join(labels, F.col(room).cast("string") == F.col("_r")).drop("_r")
-    sizes = named.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "label").collect()  # one row for each component of a labelled corpus, at most 4096 captures
+    counted = named.groupBy("label").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    if counted.count() > MOST_COMPONENTS:
+        raise ValueError(f"more than {MOST_COMPONENTS} components")
+    sizes = counted.orderBy(F.col("n").desc(), "label").collect()
     if len(sizes) < 2:
         raise ValueError("fewer than two components")
-    totals, suite = {"holdout": 0, "anchor": 0}, {}
+    totals, suite = {"holdout": 0, "anchor": 0}, []
     for r in sizes:
         to = min(totals, key=lambda k: (totals[k], k != "holdout"))
         totals[to] += r.n
-        suite[r.label] = to
-    out = named.withColumn("suite", F.when(F.col("label").isin([k for k, v in suite.items() if v == "holdout"]), "holdout").otherwise("anchor")).drop("label")
+        suite.append((r.label, to))
+    out = named.join(captures.sparkSession.createDataFrame(suite, "label string, suite string"), "label").drop("label")
     if {"consent", "body_in_scene", "body_range_m"} <= set(captures.columns):
         for name in totals:
             attest(out.where(F.col("suite") == name), name)

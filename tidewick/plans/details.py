@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import waveform as Wf
-from ..operators import kernels, micromotion, profiles
+from ..operators import kernels, memory, micromotion, profiles, scoring
 from ..sources import wire
 from .catalog import _CONFIG, _configs
-from .recordings import _MOTION, LENGTH, SOUNDING, _envelope_sql, dwells, motion, recordings
-from .registry import query, r
+from .recordings import _MOTION, GRID, LENGTH, SOUNDING, _envelope_sql, _map, dwells, motion, recordings
+from .registry import ORACLES, query, r
 from .tables import rounded, table
 
 RAYS, SPREAD_RAD, GOLDEN = 8, 0.6, math.pi * (3 - math.sqrt(5))
@@ -111,3 +111,34 @@ def motion_features(spark: SparkSession, d: str) -> DataFrame:
     """The one feature that a dwell's bin may publish."""
     f = micromotion.feature(motion(spark, d))
     return f.select("dwell_id", "bin", rounded(F.col("feature.micromotion_band")).alias("micromotion_band"))
+
+
+# ---- suites and signatures -----------------------------------------------------------------------------
+
+
+@query("""
+WITH RECURSIVE c AS (SELECT s_suppkey AS id, s_suppkey * 7 % 40 AS room, s_suppkey % 3 <> 0 AS named FROM supplier),
+k AS (SELECT room, bool_or(named) AS linked FROM c GROUP BY room),
+g AS (SELECT room, min('a:r' || room) OVER (PARTITION BY CASE WHEN linked THEN floor(room / 4) ELSE 100 + room END) AS label FROM k),
+n AS (SELECT label, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, label) AS place FROM c JOIN g USING (room) GROUP BY label),
+d AS (SELECT 0 AS place, 0 AS h, 0 AS a, '' AS label, '' AS suite
+  UNION ALL SELECT n.place, CASE WHEN h <= a THEN h + n.n ELSE h END, CASE WHEN h <= a THEN a ELSE a + n.n END, n.label, CASE WHEN h <= a THEN 'holdout' ELSE 'anchor' END FROM d JOIN n ON n.place = d.place + 1)
+SELECT c.id, d.suite FROM c JOIN g USING (room) JOIN d USING (label)""")
+def corpus_split(spark: SparkSession, d: str) -> DataFrame:
+    """Captures dealt into two suites that share no room and no subject, each of which passes the gates of a corpus."""
+    k = F.col("s_suppkey")
+    room = k * 7 % 40
+    body = k % 2 == 0
+    rows = table(spark, d, "supplier").select(k.alias("id"), F.concat(F.lit("r"), room.cast("string")).alias("room_id"), F.when(k % 3 != 0, F.concat(F.lit("s"), F.floor(room / 4).cast("string"))).alias("subject_id"), F.lit(True).alias("consent"), body.alias("body_in_scene"), F.when(body, 1.5).alias("body_range_m"))
+    return scoring.split_by_component(rows).select("id", "suite")
+
+
+@query(f"""
+SELECT session_id, 'ultrasonic' AS modality, 'P3' AS privacy_class, 'scan-' || session_id AS source_event_id, CAST({memory.DIM} AS INT) AS size, count(*) AS filled, {r("sum(v)", 2)} AS total FROM ({ORACLES["room_signatures"]}) GROUP BY session_id""")
+def published_signatures(spark: SparkSession, d: str) -> DataFrame:
+    """Each session's signature as the field endpoint takes it."""
+    s = memory.signatures(_map(spark, d), GRID)
+    out = memory.field_embeddings(s.withColumn("event", F.concat(F.lit("scan-"), F.col("session_id").cast("string"))), F.col("event"))
+    kept = F.filter(F.transform("vector", lambda x: rounded(x.cast("double"), 4)), lambda x: x != 0)
+    filled = F.size(F.filter("vector", lambda x: x != 0)).cast("long")
+    return out.select(F.substring("source_event_id", 6, 40).cast("long").alias("session_id"), "modality", "privacy_class", "source_event_id", F.size("vector").alias("size"), filled.alias("filled"), rounded(F.aggregate(kept, F.lit(0.0), lambda a, x: a + x), 2).alias("total"))
