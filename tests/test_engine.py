@@ -240,15 +240,15 @@ def test_scores(spark):
     with pytest.raises(ValueError, match="no negative"):  # a side that can't measure both rates
         scoring.split_by_component(corpus(*good[:3]))
     empty = spark.createDataFrame([], "id long, p struct<x:double,y:double,z:double>")
-    assert scoring.chamfer(empty, empty, 0.5).first().chamfer == float("inf")
+    assert scoring.chamfer(empty, empty).first().chamfer == float("inf")
     r = np.random.default_rng(1)
     pts = [r.normal(size=(n, 3)) * 3 for n in (60, 40)]
     pts[0][0] = [90.0, 0.0, 0.0]
     a, b = (spark.createDataFrame([(i, tuple(map(float, v))) for i, v in enumerate(x)], "id long, p struct<x:double,y:double,z:double>") for x in pts)
     d = np.linalg.norm(pts[0][:, None] - pts[1][None], axis=2)
-    assert abs(scoring.chamfer(a, b, 0.3).first().chamfer - (d.min(axis=1).mean() + d.min(axis=0).mean()) / 2) < 1e-9
+    assert abs(scoring.chamfer(a, b).first().chamfer - (d.min(axis=1).mean() + d.min(axis=0).mean()) / 2) < 1e-9
     far = spark.createDataFrame([(1, (float("nan"), 0.0, 0.0))], "id long, p struct<x:double,y:double,z:double>")
-    assert scoring.nearest(far, b, 0.3).first().d == float("inf")
+    assert scoring.nearest(far, b).first().d == float("inf")
 
 
 def test_outcomes(spark):

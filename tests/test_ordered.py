@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewick.operators import clamped, scan
+from tidewick.operators import clamped, scan, scoring
 
 
 def rows_of(spark, rows):
@@ -71,3 +71,16 @@ def test_a_voxel_that_a_million_pings_hit(spark):
     assert steps.collect() == [("s", folded(d.tolist(), -4, 4))]
     # blocks of the voxel, not the voxel, are what is dealt out
     assert "fold_block" in steps._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("leaf", [6, 64])
+def test_nearest_in_a_dense_cloud_with_outliers(spark, monkeypatch, leaf):
+    """Clouds of very different density, copies of one place, and points far away: every distance is brute force's."""
+    monkeypatch.setattr(scoring, "LEAF", leaf)
+    r = np.random.default_rng(5)
+    b = np.concatenate([r.normal(size=(400, 3)) * 1e-3, r.normal(size=(150, 3)) * 5, np.repeat([[7.0, 7.0, 7.0]], 200, axis=0)])
+    a = np.concatenate([r.normal(size=(60, 3)) * 1e-3, r.normal(size=(60, 3)) * 5, [[1e6, -1e6, 3.0], [7.0, 7.0, 7.0], [-1e-9, 0.0, 1e5]]])
+    points = lambda x: spark.createDataFrame([(i, tuple(map(float, v))) for i, v in enumerate(x)], "id int, p struct<x:double,y:double,z:double>")
+    got = {x.id: x.d for x in scoring.nearest(points(a), points(b)).collect()}
+    want = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2)).min(axis=1)
+    assert len(got) == len(a) and all(abs(got[i] - d) <= 1e-9 * max(1, d) for i, d in enumerate(want))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import math
-import tempfile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .scan import checkpoints as _checkpoints
+
 
 def band_pairs(detections: DataFrame, truth: DataFrame, key: list[str], tolerance: float) -> DataFrame:
     """Pairs of a detection and a truth within tolerance (band join on a grid of cells of that width, then the exact test)."""
@@ -47,38 +49,73 @@ def score_ranges(pings: DataFrame, tolerance: float) -> DataFrame:
     return rows.drop("_e", "detections", "truth_ranges_m")
 
 
-def nearest(a: DataFrame, b: DataFrame, cell_m: float) -> DataFrame:
-    """(id, d): for each point (id, p) of a the distance to b's nearest point, by a grid whose cells widen.
+#: points that a cell of the tree holds before it is split, how often space is halved at most, and how many cells of a level are broadcast
+LEAF, DEPTH, BROADCAST_CELLS = 64, 20, 50_000
+_AXES = "xyz"
+
+
+def _box(p: str) -> tuple[Column, Column]:
+    """Squared distances of a point to the nearest and to the farthest place of a cell's bounding box."""
+    low = high = F.lit(0.0)
+    for x in _AXES:
+        v, lo, hi = F.col(f"{p}.{x}"), F.col(f"lo_{x}"), F.col(f"hi_{x}")
+        low = low + F.pow(F.greatest(lo - v, v - hi, F.lit(0.0)), F.lit(2))
+        high = high + F.pow(F.greatest(F.abs(v - lo), F.abs(v - hi)), F.lit(2))
+    return low, high
+
+
+def nearest(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(id, d): for each point (id, p) of a the distance to b's nearest point, by a tree over b that is as deep as b is dense.
+
+    Space is halved on each axis level by level, and only cells of more than LEAF points are split. Each point of a goes
+    down the tree with the cells that may hold its nearest point: those whose bounding box is not farther than the farthest
+    place of the best box so far. So an outlier meets few boxes of a dense cloud, never its points, and a leaf's points are at most LEAF,
+    or what no DEPTH of halving tells apart. Levels are as many as the densest place takes, not as far as the farthest point is.
 
-    A point meets the points of its own and the 26 neighbouring cells; what it finds within a cell's width is
-    final. Cells double for the rest, so that there are as many rounds as the largest distance has doublings.
     A point whose place isn't finite is infinitely far, as all are where b is empty.
     """
-    _checkpoints(a.sparkSession)
-    axes = "xyz"
-    good = lambda df: df.where(" and ".join(f"abs(p.{x}) < double('infinity')" for x in axes))
-    cell = lambda p, x, w: F.floor(F.col(f"{p}.{x}") / w).cast("long")
-    held, left = good(b).select(F.col("p").alias("pb")), good(a).select("id", F.col("p").alias("pa")).checkpoint()
-    done, width = a.select("id", F.lit(float("inf")).alias("d")), cell_m
-    if not held.limit(1).count():
-        return done
-    found = done.where("false")
-    while left.limit(1).count():
-        around = left
-        for x in axes:
-            around = around.withColumn(f"c{x}", F.explode(F.sequence(cell("pa", x, width) - 1, cell("pa", x, width) + 1)))
-        here = held.select("pb", *[cell("pb", x, width).alias(f"c{x}") for x in axes])
-        d = F.sqrt(sum(((F.col(f"pa.{x}") - F.col(f"pb.{x}")) ** 2 for x in axes), F.lit(0.0)))
-        best = around.join(here, [f"c{x}" for x in axes]).groupBy("id").agg(F.min(d).alias("d")).where(F.col("d") <= width).checkpoint()
-        found = found.unionByName(best)
-        left = left.join(best, "id", "left_anti").checkpoint()
-        width *= 2
-    return done.select("id").join(found, "id", "left").select("id", F.coalesce("d", F.lit(float("inf"))).alias("d"))
-
-
-def chamfer(a: DataFrame, b: DataFrame, cell_m: float) -> DataFrame:
+    spark = a.sparkSession
+    _checkpoints(spark)
+    good = lambda df: df.where(" and ".join(f"abs(p.{x}) < double('infinity')" for x in _AXES))
+    every = a.select("id")
+    ends = good(b).agg(F.count(F.lit(1)).alias("n"), *[f(f"p.{x}").alias(f"{k}_{x}") for x in _AXES for k, f in (("lo", F.min), ("hi", F.max))]).first()
+    if not ends.n:
+        return every.withColumn("d", F.lit(float("inf")))
+    width = max(max(ends[f"hi_{x}"] - ends[f"lo_{x}"] for x in _AXES), 1e-300)
+    place = {x: F.least(F.floor((F.col(f"p.{x}") - ends[f"lo_{x}"]) / width * float(1 << DEPTH)), F.lit((1 << DEPTH) - 1)).cast("long") for x in _AXES}
+    cell = [f"c{x}" for x in _AXES]
+    at = lambda level: [F.shiftright(f"k{x}", DEPTH - level).alias(f"c{x}") for x in _AXES]
+    open_ = good(b).select("p").distinct().select("p", *[place[x].alias(f"k{x}") for x in _AXES]).checkpoint()
+    going = good(a).select("id", F.col("p").alias("pa"), F.lit(float("inf")).alias("bound"), *[F.lit(0).cast("long").alias(f"up{x}") for x in _AXES])
+    asked, held, bounds = [], [], []
+    for level in range(DEPTH + 1):
+        placed = open_.select("p", *[f"k{x}" for x in _AXES], *at(level))
+        nodes = placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), *[f(f"p.{x}").alias(f"{k}_{x}") for x in _AXES for k, f in (("lo", F.min), ("hi", F.max))]).withColumn("leaf", (F.col("n") <= LEAF) | F.lit(level == DEPTH)).checkpoint()
+        known = nodes.select(*[F.col(c).alias(f"n{c}") for c in cell], *[F.shiftright(f"c{x}", 1).alias(f"up{x}") for x in _AXES], "leaf", *[f"{k}_{x}" for x in _AXES for k in ("lo", "hi")])
+        known = F.broadcast(known) if nodes.count() <= BROADCAST_CELLS else known
+        low, high = _box("pa")
+        met = going.join(known, [f"up{x}" for x in _AXES]).select("id", "pa", "bound", *[F.col(f"n{c}").alias(c) for c in cell], "leaf", low.alias("low"), high.alias("high"))
+        best = met.groupBy("id").agg(F.least(F.min("bound"), F.min("high")).alias("bound"))
+        met = met.drop("bound", "high").join(best, "id").where(F.col("low") <= F.col("bound") * (1 + 1e-12)).checkpoint()
+        bounds.append(met.select("id", "bound"))
+        asked.append(met.where("leaf").select("id", "pa", "low", F.lit(level).alias("level"), *cell))
+        split = nodes.where("not leaf").select(*cell)
+        held.append(placed.join(nodes.where("leaf").select(*cell), cell, "left_semi").select(F.col("p").alias("pb"), F.lit(level).alias("level"), *cell))
+        going = met.where("not leaf").select("id", "pa", "bound", *[F.col(f"c{x}").alias(f"up{x}") for x in _AXES])
+        if split.isEmpty():
+            break
+        open_ = placed.join(split, cell, "left_semi").select("p", *[f"k{x}" for x in _AXES]).checkpoint()
+    union = lambda parts: functools.reduce(DataFrame.unionByName, parts)
+    final = union(bounds).groupBy("id").agg(F.min("bound").alias("bound"))
+    last = union(asked).join(final, "id").where(F.col("low") <= F.col("bound") * (1 + 1e-12))
+    d = F.sqrt(sum(((F.col(f"pa.{x}") - F.col(f"pb.{x}")) ** 2 for x in _AXES), F.lit(0.0)))
+    found = last.join(union(held), ["level", *cell]).groupBy("id").agg(F.min(d).alias("d"))
+    return every.join(found, "id", "left").select("id", F.coalesce("d", F.lit(float("inf"))).alias("d"))
+
+
+def chamfer(a: DataFrame, b: DataFrame) -> DataFrame:
     """Mean of each point's distance to the other set's nearest, both ways; infinite if a set is empty. Rows (id, p)."""
-    sides = nearest(a, b, cell_m).select(F.lit(0).alias("side"), "d").unionByName(nearest(b, a, cell_m).select(F.lit(1).alias("side"), "d"))
+    sides = nearest(a, b).select(F.lit(0).alias("side"), "d").unionByName(nearest(b, a).select(F.lit(1).alias("side"), "d"))
     means = sides.groupBy("side").agg(F.avg("d").alias("m"))
     return means.agg(F.coalesce(F.when(F.count(F.lit(1)) == 2, F.avg("m")), F.lit(float("inf"))).alias("chamfer"))
 
@@ -192,19 +229,6 @@ def attest(captures: DataFrame, suite: str | None = None) -> DataFrame:
     return captures
 
 
-def _checkpoints(spark) -> None:
-    """Checkpoints go where the cluster says. Only a local session may have a temporary folder."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    base = sc.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="tidewick-")
-    sc.setCheckpointDir(base)
-
-
 def components(edges: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
     """(node, label) of a bipartite graph, nodes prefixed by side: the least label spreads over both sides until nothing changes.
 

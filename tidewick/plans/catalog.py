@@ -354,7 +354,7 @@ SELECT {r("((SELECT avg(m) FROM (SELECT min(d) AS m FROM d GROUP BY ia)) + (SELE
 def chamfer_distance(spark: SparkSession, d: str) -> DataFrame:
     e = lambda i: F.col("embedding")[i].cast("double")
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), G.vec(e(0), e(1), e(2)).alias("p"))
-    return scoring.chamfer(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), 0.4).select(rounded(F.col("chamfer")).alias("chamfer"))
+    return scoring.chamfer(rows.where("id % 2 = 0"), rows.where("id % 2 = 1")).select(rounded(F.col("chamfer")).alias("chamfer"))
 
 
 @query("SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n, max(value) AS top FROM events GROUP BY ALL")
