@@ -74,3 +74,21 @@ def test_sketch_quantiles_are_close_and_merge(spark):
     s = rows.select(F.lit("f").alias("feature"), F.ceil(F.log("v") / log_gamma).cast("int").alias("bucket")).groupBy("feature", "bucket").agg(F.count(F.lit(1)).alias("n"))
     q = Q.quantiles(s, ["feature"], {"q": 0.9}).first().q
     assert abs(q / values[4499] - 1) < 2.5 * Q.ACCURACY
+
+
+def test_a_cell_that_grows_changes_its_cutoffs_bit_by_bit(spark):
+    """One more row, from 199 to 200 or from 49 to 50, moves no cutoff by much, and cutoffs differ by cell."""
+    r = random.Random(8)
+    marked = lambda i, share: " ".join(w + ("," if r.random() < share else " %" if r.random() < share / 4 else "") for w in words(i, 200))
+    big = [(i, marked(i, 0.05 + 0.02 * r.random()), "en", "big") for i in range(250)]
+    small = [(1000 + i, marked(i, 0.15 + 0.02 * r.random()), "en", "small") for i in range(201)]
+    rows = Q.annotate(frame(spark, big + small).select("doc_id", "lang", "source", "text"), keep=["doc_id", "lang", "source"]).cache()
+    cuts = {}
+    for n in (49, 50, 199, 200, 201):
+        for c in Q.cutoffs(Q.sketch(rows.where(F.col("doc_id") < 1000 + n))).collect():
+            cuts[c.source, n] = c
+    for a, b in ((49, 50), (199, 200), (200, 201)):
+        for f in ("punct_ratio_hi", "symbol_ratio_hi", "word_length_hi"):
+            x, y = cuts["small", a][f], cuts["small", b][f]
+            assert abs(x - y) <= 0.1 * max(x, y), (f, a, x, y)
+    assert cuts["small", 200].punct_ratio_hi > 1.3 * cuts["big", 200].punct_ratio_hi and cuts["small", 200].symbol_ratio_hi != cuts["big", 200].symbol_ratio_hi
