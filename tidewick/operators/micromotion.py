@@ -64,58 +64,75 @@ SETTINGS = ("take", "low_hz", "high_hz", "min_snr_db", "min_cycles", "common_mod
 def analyze_all(rows: DataFrame, policies: dict[str, dict], prf_hz: float, lambda_m: float, floor: DataFrame | None = None) -> DataFrame:
     """What ``analyze`` says, for every policy (by name, with SETTINGS) in one plan: the policy is a column beside dwell_id.
 
-    Each row goes to the policies whose dwell is long enough to take its ping; from there on all steps are grouped by
-    policy and dwell. The policies are those of one generation of a search, a few for each lever.
+    No step is repeated for policies that agree on what it depends on. Unwrapped phases and pulse pairs depend on none of the
+    settings; power on how many pings are taken; which bins are usable, and with them the common motion, on that and the SNR
+    gate (a ``cut``); a spectrum on the band and on the cut whose common motion comes off, if any (a ``form``). Policies meet
+    these at the end, where a bin is one row.
     """
-    key, cell = ["policy", "dwell_id"], ["policy", "dwell_id", "bin"]
+    cell = ["policy", "dwell_id", "bin"]
     listed = [(n, int(p["take"]), band_bins(int(p["take"]), prf_hz, p["low_hz"], p["high_hz"]), float(10 ** (p["min_snr_db"] / 10)), bool(p["common_mode"])) for n, p in policies.items()]
     short = {n for (n, take, ks, *_), p in zip(listed, policies.values()) if take / prf_hz * p["low_hz"] < p["min_cycles"] or len(ks) < 2}
-    facts = F.broadcast(rows.sparkSession.createDataFrame(listed, "policy string, take int, ks array<int>, gate double, common_mode boolean"))
+    long = [x for x in listed if x[0] not in short]
+    cuts, forms = {}, {}
+    for _, take, ks, gate, common in long:
+        cut = cuts.setdefault((take, gate), len(cuts))
+        forms.setdefault((take, cut if common else None, tuple(ks)), len(forms))
+    named = [(n, cuts[take, gate], forms[take, cuts[take, gate] if common else None, tuple(ks)], len(ks)) for n, take, ks, gate, common in long]
+    small = lambda data, schema: F.broadcast(rows.sparkSession.createDataFrame(data, schema))
+    # at most one row for each policy
+    facts = small(named, "policy string, cut int, form int, n int")
+    gates = small([(cut, take, gate) for (take, gate), cut in cuts.items()], "cut int, take int, gate double")
+    bands = small([(form, list(ks)) for (_, _, ks), form in forms.items()], "form int, ks array<int>")
+    links = small(sorted({(cut, form, {f: c for (_, c, _), f in forms.items()}[form]) for _, cut, form, _ in named}, key=str), "cut int, form int, off int")
     null = F.lit(None).cast("double")
     columns = [*cell, "status", "p_value", "micromotion_band", "statistic", "rate_hz", "displacement_m", "noise_m", "snr_db", "common_mode_peak_m"]
     refused = rows.select("dwell_id", "bin").distinct().withColumn("policy", F.explode(F.array(*[F.lit(n) for n in sorted(short)]).cast("array<string>")))
     refused = refused.select(*cell, F.lit("insufficient_dwell").alias("status"), *[null.alias(c) for c in columns[4:]])
-    long = F.array(*[F.struct(F.lit(n).alias("policy"), F.lit(take).alias("take")) for n, take, *_ in listed if n not in short]).cast("array<struct<policy:string,take:int>>")
-    taken = rows.withColumn("policy", F.explode(F.transform(F.filter(long, lambda p: F.col("ping") < p["take"]), lambda p: p["policy"])))
+    if not long:
+        return refused.select(*columns)
+    takes = F.array(*[F.lit(t) for t in sorted({take for take, _ in cuts})])
+    taken = rows.withColumn("take", F.explode(F.filter(takes, lambda t: F.col("ping") < t)))
     if floor is None:
-        floor = noise_floor(taken.withColumn("dwell_id", F.struct("policy", "dwell_id"))).select("dwell_id.*", "noise_floor")
-        on = key
+        floor = noise_floor(taken.withColumn("dwell_id", F.struct("take", "dwell_id"))).select("dwell_id.*", "noise_floor")
+        on = ["take", "dwell_id"]
     else:
         on = ["dwell_id"]
     good = F.min(~F.isnan("re") & ~F.isnan("im") & (F.abs("re") < float("inf")) & (F.abs("im") < float("inf")))
-    power = taken.groupBy(*cell).agg(F.avg(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("mean_power"), good.alias("finite"))
+    power = taken.groupBy("take", "dwell_id", "bin").agg(F.avg(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("mean_power"), good.alias("finite"))
     f2 = F.col("noise_floor") * F.col("noise_floor")
     signal = F.col("mean_power") - f2
-    levels = power.join(floor, on).join(facts, "policy").withColumn("floor_ok", ~F.isnan("noise_floor") & (F.col("noise_floor") > 0) & (F.col("noise_floor") < float("inf")))
+    levels = power.join(floor, on).join(gates, "take").withColumn("floor_ok", ~F.isnan("noise_floor") & (F.col("noise_floor") > 0) & (F.col("noise_floor") < float("inf")))
     levels = levels.withColumn("usable", F.col("finite") & F.col("floor_ok") & (signal > 0) & (signal > F.col("gate") * f2)).withColumn("snr_db", F.when(signal > 0, 10 * F.log10(F.try_divide(signal, f2))).otherwise(float("-inf")))
-    mine = taken.join(levels.where("usable").select(*cell), cell)
-    w = Window.partitionBy(*cell).orderBy("ping")
+    asked = levels.where("usable").join(links, "cut").groupBy("dwell_id", "bin").agg(F.collect_set(F.struct("cut", "take")).alias("cuts"), F.collect_set(F.struct("form", "take", "off")).alias("forms"))
+    mine = rows.join(asked, ["dwell_id", "bin"])
+    w = Window.partitionBy("dwell_id", "bin").orderBy("ping")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     pr, pi = F.lag("re").over(w), F.lag("im").over(w)
     steps = mine.withColumn("cr", F.col("re") * pr + F.col("im") * pi).withColumn("ci", F.col("im") * pr - F.col("re") * pi).withColumn("phase", F.atan2("im", "re"))
     turn = -2 * math.pi * F.floor(F.coalesce(F.col("phase") - F.lag("phase").over(w), F.lit(0.0)) / (2 * math.pi) + 0.5)
     steps = steps.withColumn("turn", turn).withColumn("phase", F.col("phase") + F.sum("turn").over(run)).drop("turn")
     # all bins of a dwell move together where the device moves: pulse pairs summed over bins
-    pairs = steps.groupBy(*key, "ping").agg(F.sum("cr").alias("cr"), F.sum("ci").alias("ci"))
-    wd = Window.partitionBy(*key).orderBy("ping").rowsBetween(Window.unboundedPreceding, 0)
+    heard = lambda c: F.explode(F.filter(c, lambda x: F.col("ping") < x["take"])).alias("of")
+    pairs = steps.select("dwell_id", "ping", "cr", "ci", heard("cuts")).groupBy(F.col("of.cut").alias("cut"), "dwell_id", "ping").agg(F.sum("cr").alias("cr"), F.sum("ci").alias("ci"))
+    wd = Window.partitionBy("cut", "dwell_id").orderBy("ping").rowsBetween(Window.unboundedPreceding, 0)
     moved = F.when((F.coalesce("cr", F.lit(0.0)) == 0) & (F.coalesce("ci", F.lit(0.0)) == 0), 0.0).otherwise(F.atan2("ci", "cr"))
-    common = pairs.select(*key, "ping", F.sum(moved).over(wd).alias("common"))
+    common = pairs.select("cut", "dwell_id", "ping", F.sum(moved).over(wd).alias("common"))
     metres = lambda_m / (4 * math.pi)
-    peak = common.groupBy(*key).agg((F.max(F.abs("common")) * metres).alias("common_mode_peak_m"))
-    series = steps.join(common, [*key, "ping"]).join(facts, "policy").withColumn("x", (F.col("phase") - F.when(F.col("common_mode"), F.col("common")).otherwise(0.0)) * metres)
-    series = series.withColumn("x", F.col("x") - F.avg("x").over(Window.partitionBy(*cell)))
+    peak = common.groupBy("cut", "dwell_id").agg((F.max(F.abs("common")) * metres).alias("common_mode_peak_m"))
+    series = steps.select("dwell_id", "bin", "ping", "phase", heard("forms")).select("dwell_id", "bin", "ping", "phase", "of.form", "of.take", F.col("of.off").alias("cut"))
+    series = series.join(common, ["cut", "dwell_id", "ping"], "left").withColumn("x", (F.col("phase") - F.when(F.col("cut").isNotNull(), F.col("common")).otherwise(0.0)) * metres)
+    series = series.withColumn("x", F.col("x") - F.avg("x").over(Window.partitionBy("form", "dwell_id", "bin")))
     angle = -2 * math.pi * F.col("k") * F.col("ping") / F.col("take")
-    spectrum = series.withColumn("k", F.explode("ks")).groupBy(*cell, "k").agg(F.sum(F.col("x") * F.cos(angle)).alias("a"), F.sum(F.col("x") * F.sin(angle)).alias("b")).withColumn("power", F.col("a") * F.col("a") + F.col("b") * F.col("b"))
-    best = spectrum.groupBy(*cell).agg(F.sum("power").alias("total"), F.max(F.struct(F.col("power"), -F.col("k"))).alias("top"))
-    j = levels.join(best, cell, "left").join(peak, key, "left")
-    n = F.size("ks")
-    g = F.when(F.col("total") > 0, F.col("top.power") / F.col("total")).otherwise(1 / n)
-    p = fisher_p_column(g, n)
+    spectrum = series.join(bands, "form").withColumn("k", F.explode("ks")).groupBy("form", "dwell_id", "bin", "k").agg(F.sum(F.col("x") * F.cos(angle)).alias("a"), F.sum(F.col("x") * F.sin(angle)).alias("b")).withColumn("power", F.col("a") * F.col("a") + F.col("b") * F.col("b"))
+    best = spectrum.groupBy("form", "dwell_id", "bin").agg(F.sum("power").alias("total"), F.max(F.struct(F.col("power"), -F.col("k"))).alias("top"))
+    j = levels.join(facts, "cut").join(best, ["form", "dwell_id", "bin"], "left").join(peak, ["cut", "dwell_id"], "left")
+    j = j.withColumn("g", F.when(F.col("total") > 0, F.col("top.power") / F.col("total")).otherwise(1 / F.col("n")))
+    j = j.withColumn("p", fisher_p_column(F.col("g"), F.col("n")))
     ok = F.col("usable")
     status = F.when(~F.col("floor_ok"), "no_noise_floor").when(ok, "ok").otherwise("no_return")
     when = lambda x, other: F.when(ok, x).otherwise(F.lit(other).cast("double"))
-    out = j.select(*cell, status.alias("status"), when(p, 1.0).alias("p_value"), when(1 - p, 0.0).alias("micromotion_band"), when(g, 0.0).alias("statistic"), F.when(ok & (F.col("total") > 0), -F.col("top.col2") * (prf_hz / F.col("take"))).alias("rate_hz"), F.when(ok, F.when(F.col("total") > 0, 2 * F.sqrt("top.power") / F.col("take")).otherwise(0.0)).alias("displacement_m"), F.when(ok, metres / F.sqrt(2 * F.pow(F.lit(10.0), F.col("snr_db") / 10))).alias("noise_m"), "snr_db", F.coalesce("common_mode_peak_m", F.lit(0.0)).alias("common_mode_peak_m"))
-    return out.unionByName(refused)
+    out = j.select(*cell, status.alias("status"), when(F.col("p"), 1.0).alias("p_value"), when(1 - F.col("p"), 0.0).alias("micromotion_band"), when(F.col("g"), 0.0).alias("statistic"), F.when(ok & (F.col("total") > 0), -F.col("top.col2") * (prf_hz / F.col("take"))).alias("rate_hz"), F.when(ok, F.when(F.col("total") > 0, 2 * F.sqrt("top.power") / F.col("take")).otherwise(0.0)).alias("displacement_m"), F.when(ok, metres / F.sqrt(2 * F.pow(F.lit(10.0), F.col("snr_db") / 10))).alias("noise_m"), "snr_db", F.coalesce("common_mode_peak_m", F.lit(0.0)).alias("common_mode_peak_m"))
+    return out.unionByName(refused) if short else out
 
 
 def analyze(rows: DataFrame, pings: int, prf_hz: float, lambda_m: float, low_hz: float = 0.1, high_hz: float = 0.6, min_snr_db: float = 6.0, min_cycles: float = 3.0, common_mode: bool = True, floor: DataFrame | None = None, start_range_m: float | None = None, range_step_m: float | None = None) -> DataFrame:

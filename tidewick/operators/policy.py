@@ -265,16 +265,15 @@ def evaluate_generation(captures: DataFrame, dwells: DataFrame, policies: dict[s
     if wrong:
         raise ValueError(f"detector policies refused: {wrong}")
     names = ("alpha", "band_high_hz", "max_peak_m")
-    listed = F.array(*[F.struct(F.lit(n).alias("policy"), *[F.lit(float(p[k])).alias(k) for k in names]) for n, p in policies.items()])
-    asked = captures.withColumn("_p", F.explode(listed)).select(*captures.columns, "_p.*")
+    listed = F.broadcast(captures.sparkSession.createDataFrame([(n, *[float(p[k]) for k in names]) for n, p in policies.items()], f"policy string, {', '.join(f'{k} double' for k in names)}"))  # one row for each policy
+    asked = captures.crossJoin(listed)
     heard = {n: p for n, p in policies.items() if p["band_high_hz"] <= prf_hz / 2}
     settings = {n: {"take": min(max(1, math.floor(p["dwell_s"] * prf_hz + 0.5)), pings), "low_hz": p["band_low_hz"], "high_hz": p["band_high_hz"], "min_snr_db": p["min_snr_db"], "min_cycles": p["min_cycles"], "common_mode": p["rejection"] == "on"} for n, p in heard.items()}
     floor = captures.select("dwell_id", "noise_floor").where("noise_floor is not null") if "noise_floor" in captures.columns else None
     bins = micromotion.analyze_all(dwells, settings, prf_hz, lambda_m, floor)
-    alphas = F.create_map(*[x for n, p in policies.items() for x in (F.lit(n), F.lit(float(p["alpha"])))])
-    bins = bins.withColumn("alpha", F.try_element_at(alphas, F.col("policy")))
-    found = scoring.outcomes(asked, bins, F.col("alpha"), prf_hz / 2, F.col("band_high_hz"), F.col("max_peak_m"), start_range_m, range_step_m, ["policy"])
-    rows = found.join(captures.select("dwell_id", *by), "dwell_id").withColumn("alpha", F.try_element_at(alphas, F.col("policy")))
+    alphas = listed.select("policy", "alpha")
+    found = scoring.outcomes(asked, bins.join(alphas, "policy"), F.col("alpha"), prf_hz / 2, F.col("band_high_hz"), F.col("max_peak_m"), start_range_m, range_step_m, ["policy"])
+    rows = found.join(captures.select("dwell_id", *by), "dwell_id").join(alphas, "policy")
     return scoring.suite_score(rows, F.col("alpha"), ["policy", *by])
 
 

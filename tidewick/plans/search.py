@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import policy
 from .recordings import _FLOOR, _KS, _LAMBDA, _METRES, _P, _PINGS_A_DWELL, _PRF, _TWO_PI, dwells
 from .registry import query, r
-from .tables import rounded
+from .tables import rounded, table
 
 #: the two levers that are searched; the others are fixed
 LEVERS = {
@@ -29,7 +29,8 @@ def captures(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("dwell_id")
     suite = F.when(F.floor(k / 3) % 2 == 0, "holdout").otherwise("anchor").alias("suite")
     shape = [F.lit(x).alias(n) for n, x in (("bins", 8), ("pings", _PINGS_A_DWELL), ("n_samples", 2 * 8 * _PINGS_A_DWELL), ("prf_hz", _PRF), ("lambda_m", _LAMBDA), ("noise_floor", _FLOOR))]
-    return dwells(spark, d).select("dwell_id").distinct().select("dwell_id", F.lit(True).alias("consent"), (k % 3 != 0).alias("body_in_scene"), (0.5 + (k % 8) * 0.2).alias("body_range_m"), suite, *shape)
+    every = table(spark, d, "embeddings").where(F.size("embedding") > 0).select(F.floor(F.col("vec_id") / 8).cast("long").alias("dwell_id")).distinct()
+    return every.select("dwell_id", F.lit(True).alias("consent"), (k % 3 != 0).alias("body_in_scene"), (0.5 + (k % 8) * 0.2).alias("body_range_m"), suite, *shape)
 
 
 def evaluator(spark: SparkSession, d: str):
