@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -83,22 +84,45 @@ def similarity(a: Column, b: Column) -> Column:
 QUERY_BLOCK, BLOCK_VALUES = 2048, 1 << 22
 
 
+#: similarities that are held at once
+_SCORES = 1 << 20
+
+
 def _unit(column: pa.Array) -> np.ndarray:
     """Lists as rows of length 1 (0 stays 0); ValueError where lengths differ."""
-    x = [np.asarray(v, float) for v in column.to_pylist()]
-    if len({len(v) for v in x}) > 1:
+    if len(pa.compute.list_value_length(column).unique()) > 1:
         raise ValueError("vectors differ in length")
-    m = np.array(x).reshape(len(x), -1)
+    m = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
     size = np.linalg.norm(m, axis=1, keepdims=True)
     return np.where(size > 1e-12, m / np.where(size > 1e-12, size, 1), 0.0)
 
 
+def _nearest(q: np.ndarray, v: np.ndarray, by_id: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of q, row of v, similarity) of the ``most`` best for each row of q, best first and ties by ``by_id``, for a few rows of q at a time.
+
+    Only what is no worse than the last that counts is sorted.
+    """
+    few = max(1, _SCORES // max(1, len(v)))
+    for lo in range(0, len(q), few):
+        away = -(q[lo : lo + few] @ v.T)
+        if most < len(v):
+            row, at = np.nonzero(~(away > np.partition(away, most - 1, axis=1)[:, most - 1 : most]))
+        else:
+            row, at = (x.ravel() for x in np.indices(away.shape))
+        order = np.lexsort((by_id[at], away[row, at], row))
+        row, at = row[order], at[order]
+        first = np.searchsorted(row, np.arange(len(away)))
+        best = np.arange(len(row)) - first[row] < most
+        row, at = row[best], at[best]
+        yield row + lo, at, -away[row, at]
+
+
 def recall(queries: DataFrame, store: DataFrame, top_k: int = 5, floor: float = SIMILAR) -> DataFrame:
     """(query_id, id, similarity, rank, margin): the best records above the floor; the margin is to the next in rank even below it, infinite for the last.
 
     A stated set of queries against all records. Queries are dealt into blocks, each of which meets each
     part of the store once, in a matrix product; a part returns its best for each query, and those are
-    ranked. A block of queries takes at most 32 MB wherever it is held.
+    ranked. A block of queries takes at most 32 MB wherever it is held, and a task holds _SCORES similarities at once.
     """
     size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dim")).first()
     if not size.n:
@@ -121,14 +145,12 @@ def recall(queries: DataFrame, store: DataFrame, top_k: int = 5, floor: float =
                 v = _unit(b.column(1))
                 if v.shape[1] != q.shape[1]:
                     raise ValueError("vectors differ in length")
-                s = q @ v.T
                 ids = b.column(0)
                 by_id = np.empty(b.num_rows, np.int64)
                 by_id[pa.compute.sort_indices(ids).to_numpy()] = np.arange(b.num_rows)
                 # ties go by id, as the ranking after all parts does
-                order = np.lexsort((np.broadcast_to(by_id, s.shape), -s), axis=1)[:, : top_k + 1]
-                row = np.repeat(np.arange(len(q)), order.shape[1])
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(row)), ids.take(pa.array(order.ravel())), pa.array(s[row, order.ravel()])], names=["query_id", "id", "similarity"])
+                for row, at, s in _nearest(q, v, by_id, top_k + 1):
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(row)), ids.take(pa.array(at)), pa.array(s)], names=["query_id", "id", "similarity"])
 
         part = store.select("id", "vector").mapInArrow(run, f"query_id {kind_q}, id {kind}, similarity double")
         best = part if best is None else best.unionByName(part)
