@@ -253,7 +253,9 @@ def _tap(x: str) -> str:
 @query(f"""
 SELECT id, n, {r("amplitude * (" + _tap("(t / duration_s)") + ") * sin((2 * pi() * (f0 * t + (f1 - f0) / duration_s * t * t / 2)) % (2 * pi()))", 5)} AS sample FROM (SELECT *, n / fs AS t FROM ({_CONFIG}), (SELECT unnest(range(0, 600))::INT AS n)) WHERE t <= duration_s""")
 def pulse_samples(spark: SparkSession, d: str) -> DataFrame:
-    rows = _configs(spark, d).withColumn("n", F.explode(F.sequence(F.lit(0), F.floor(F.col("duration_s") * F.col("fs")).cast("int") + 1))).withColumn("t", F.col("n") / F.col("fs")).where("t <= duration_s")
+    """The samples of each part's pulse. A part becomes hundreds of rows, so parts are dealt out first: the table alone is a file or two, and as many tasks."""
+    parts = _configs(spark, d).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+    rows = parts.withColumn("n", F.explode(F.sequence(F.lit(0), F.floor(F.col("duration_s") * F.col("fs")).cast("int") + 1))).withColumn("t", F.col("n") / F.col("fs")).where("t <= duration_s")
     s = Wf.pulse_at(F.col("amplitude"), F.col("tx_window"), F.col("f0"), F.col("f1"), F.col("duration_s"), F.col("t"))
     return rows.select("id", "n", rounded(s, 5).alias("sample"))
 
