@@ -1,15 +1,20 @@
 """Periodic motion in a dwell: rows (dwell_id, ping, bin, re, im), tested per range bin.
 
 The test looks for one strong Fourier ordinate in a band (Fisher's g); its p-value is exact. Steps are
-windows and aggregations by dwell; only the short band transform multiplies rows, by the band's few bins.
+windows and aggregations by dwell; the band's transform runs on Arrow batches of whole series.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 
@@ -57,6 +62,48 @@ def band_bins(pings: int, prf_hz: float, low_hz: float, high_hz: float) -> list[
     return [k for k in range(max(1, first), last + 1) if 2 * k < pings]
 
 
+def _elements(lists: pa.Array) -> tuple[np.ndarray, ...]:
+    """Of lists of structs the row of each element, and the elements' fields."""
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(lists)), lengths), *(x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
+
+
+def strongest(phases: tuple, shared: tuple, n: int, take: int, ks: list[int], metres: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each of n series the power of all bins ``ks``, that of the strongest and which this is (the first of equal ones).
+
+    ``phases`` are (series, ping, phase); what ``shared`` says of a series' ping in the same way comes off, then the mean.
+    """
+    off = np.zeros((n, take))
+    off[shared[0], shared[1] % take] = shared[2]
+    series, ping, phase = phases
+    place = ping % take
+    x = (phase - off[series, place]) * metres
+    x = x - (np.bincount(series, x, n) / np.maximum(np.bincount(series, minlength=n), 1))[series]
+    whole = np.bincount(series * take + place, x, n * take).reshape(n, take)
+    angle = -2 * np.pi * np.outer(np.arange(take), ks) / take
+    power = (whole @ np.cos(angle)) ** 2 + (whole @ np.sin(angle)) ** 2
+    return power.sum(1), power.max(1), np.asarray(ks)[power.argmax(1)]
+
+
+def _spectra(bands: dict[int, tuple[int, tuple[int, ...]]], metres: float, schema: StructType) -> Callable:
+    """Batches of series (form, then their key, ``phases`` and ``shared``) to their strongest bins; ``bands`` has (take, bins) of each form."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            form, lists = b.column("form").to_numpy(), [_elements(b.column(c)) for c in ("phases", "shared")]
+            found = [np.zeros(b.num_rows), np.zeros(b.num_rows), np.zeros(b.num_rows, np.int32)]
+            for f in np.unique(form).tolist():
+                mine = form == f
+                place = np.cumsum(mine) - 1
+                phases, shared = ((place[row[mine[row]]], ping[mine[row]], value[mine[row]]) for row, ping, value in lists)
+                for whole, part in zip(found, strongest(phases, shared, int(mine.sum()), *bands[f], metres)):
+                    whole[mine] = part
+            keys = [b.column(c) for c in schema.names[:3]]
+            yield pa.RecordBatch.from_arrays([*keys, *map(pa.array, found)], names=schema.names)
+
+    return run
+
+
 #: what one detector policy says of an analysis
 SETTINGS = ("take", "low_hz", "high_hz", "min_snr_db", "min_cycles", "common_mode")
 
@@ -68,6 +115,8 @@ def analyze_all(rows: DataFrame, policies: dict[str, dict], prf_hz: float, lambd
     settings; power on how many pings are taken; which bins are usable, and with them the common motion, on that and the SNR
     gate (a ``cut``); a spectrum on the band and on the cut whose common motion comes off, if any (a ``form``). Policies meet
     these at the end, where a bin is one row.
+
+    Once phases are known a bin is one row of arrays, dealt out by dwell, so that pings are shuffled once, however many cuts and forms there are.
     """
     cell = ["policy", "dwell_id", "bin"]
     listed = [(n, int(p["take"]), band_bins(int(p["take"]), prf_hz, p["low_hz"], p["high_hz"]), float(10 ** (p["min_snr_db"] / 10)), bool(p["common_mode"])) for n, p in policies.items()]
@@ -82,7 +131,7 @@ def analyze_all(rows: DataFrame, policies: dict[str, dict], prf_hz: float, lambd
     # at most one row for each policy
     facts = small(named, "policy string, cut int, form int, n int")
     gates = small([(cut, take, gate) for (take, gate), cut in cuts.items()], "cut int, take int, gate double")
-    bands = small([(form, list(ks)) for (_, _, ks), form in forms.items()], "form int, ks array<int>")
+    bands = {form: (take, ks) for (take, _, ks), form in forms.items()}
     links = small(sorted({(cut, form, {f: c for (_, c, _), f in forms.items()}[form]) for _, cut, form, _ in named}, key=str), "cut int, form int, off int")
     null = F.lit(None).cast("double")
     columns = [*cell, "status", "p_value", "micromotion_band", "statistic", "rate_hz", "displacement_m", "noise_m", "snr_db", "common_mode_peak_m"]
@@ -111,27 +160,29 @@ def analyze_all(rows: DataFrame, policies: dict[str, dict], prf_hz: float, lambd
     steps = mine.withColumn("cr", F.col("re") * pr + F.col("im") * pi).withColumn("ci", F.col("im") * pr - F.col("re") * pi).withColumn("phase", F.atan2("im", "re"))
     turn = -2 * math.pi * F.floor(F.coalesce(F.col("phase") - F.lag("phase").over(w), F.lit(0.0)) / (2 * math.pi) + 0.5)
     steps = steps.withColumn("turn", turn).withColumn("phase", F.col("phase") + F.sum("turn").over(run)).drop("turn")
+    lines = steps.groupBy("dwell_id", "bin").agg(F.collect_list(F.struct("ping", "phase", "cr", "ci")).alias("cells"), F.first("cuts").alias("cuts"), F.first("forms").alias("forms")).repartition("dwell_id")
     # all bins of a dwell move together where the device moves: pulse pairs summed over bins
-    heard = lambda c: F.explode(F.filter(c, lambda x: F.col("ping") < x["take"])).alias("of")
-    pairs = steps.select("dwell_id", "ping", "cr", "ci", heard("cuts")).groupBy(F.col("of.cut").alias("cut"), "dwell_id", "ping").agg(F.sum("cr").alias("cr"), F.sum("ci").alias("ci"))
+    heard = lines.select("dwell_id", "cells", F.explode("cuts").alias("of")).select("dwell_id", "of", F.explode("cells").alias("x")).where("x.ping < of.take")
+    pairs = heard.groupBy("dwell_id", F.col("of.cut").alias("cut"), F.col("x.ping").alias("ping")).agg(F.sum("x.cr").alias("cr"), F.sum("x.ci").alias("ci"))
     wd = Window.partitionBy("cut", "dwell_id").orderBy("ping").rowsBetween(Window.unboundedPreceding, 0)
     moved = F.when((F.coalesce("cr", F.lit(0.0)) == 0) & (F.coalesce("ci", F.lit(0.0)) == 0), 0.0).otherwise(F.atan2("ci", "cr"))
     common = pairs.select("cut", "dwell_id", "ping", F.sum(moved).over(wd).alias("common"))
     metres = lambda_m / (4 * math.pi)
-    peak = common.groupBy("cut", "dwell_id").agg((F.max(F.abs("common")) * metres).alias("common_mode_peak_m"))
-    series = steps.select("dwell_id", "bin", "ping", "phase", heard("forms")).select("dwell_id", "bin", "ping", "phase", "of.form", "of.take", F.col("of.off").alias("cut"))
-    series = series.join(common, ["cut", "dwell_id", "ping"], "left").withColumn("x", (F.col("phase") - F.when(F.col("cut").isNotNull(), F.col("common")).otherwise(0.0)) * metres)
-    series = series.withColumn("x", F.col("x") - F.avg("x").over(Window.partitionBy("form", "dwell_id", "bin")))
-    angle = -2 * math.pi * F.col("k") * F.col("ping") / F.col("take")
-    spectrum = series.join(bands, "form").withColumn("k", F.explode("ks")).groupBy("form", "dwell_id", "bin", "k").agg(F.sum(F.col("x") * F.cos(angle)).alias("a"), F.sum(F.col("x") * F.sin(angle)).alias("b")).withColumn("power", F.col("a") * F.col("a") + F.col("b") * F.col("b"))
-    best = spectrum.groupBy("form", "dwell_id", "bin").agg(F.sum("power").alias("total"), F.max(F.struct(F.col("power"), -F.col("k"))).alias("top"))
+    motion = common.groupBy("dwell_id", "cut").agg((F.max(F.abs("common")) * metres).alias("common_mode_peak_m"), F.collect_list(F.struct("ping", "common")).alias("line"))
+    peak = motion.select("dwell_id", "cut", "common_mode_peak_m")
+    off = motion.groupBy("dwell_id").agg(F.map_from_entries(F.collect_list(F.struct("cut", "line"))).alias("lines"))
+    series = lines.join(off, "dwell_id").select("dwell_id", "bin", "cells", "lines", F.explode("forms").alias("of"))
+    phases = F.transform(F.filter("cells", lambda x: (x["ping"] < F.col("of.take")) & x["phase"].isNotNull()), lambda x: F.struct(x["ping"].alias("ping"), x["phase"].alias("phase")))
+    series = series.select(F.col("of.form").alias("form"), "dwell_id", "bin", phases.alias("phases"), F.try_element_at("lines", F.col("of.off")).alias("shared"))
+    top = StructType(series.schema.fields[:3]).add("total", "double").add("power", "double").add("k", "integer")
+    best = series.mapInArrow(_spectra(bands, metres, top), top)
     j = levels.join(facts, "cut").join(best, ["form", "dwell_id", "bin"], "left").join(peak, ["cut", "dwell_id"], "left")
-    j = j.withColumn("g", F.when(F.col("total") > 0, F.col("top.power") / F.col("total")).otherwise(1 / F.col("n")))
+    j = j.withColumn("g", F.when(F.col("total") > 0, F.col("power") / F.col("total")).otherwise(1 / F.col("n")))
     j = j.withColumn("p", fisher_p_column(F.col("g"), F.col("n")))
     ok = F.col("usable")
     status = F.when(~F.col("floor_ok"), "no_noise_floor").when(ok, "ok").otherwise("no_return")
     when = lambda x, other: F.when(ok, x).otherwise(F.lit(other).cast("double"))
-    out = j.select(*cell, status.alias("status"), when(F.col("p"), 1.0).alias("p_value"), when(1 - F.col("p"), 0.0).alias("micromotion_band"), when(F.col("g"), 0.0).alias("statistic"), F.when(ok & (F.col("total") > 0), -F.col("top.col2") * (prf_hz / F.col("take"))).alias("rate_hz"), F.when(ok, F.when(F.col("total") > 0, 2 * F.sqrt("top.power") / F.col("take")).otherwise(0.0)).alias("displacement_m"), F.when(ok, metres / F.sqrt(2 * F.pow(F.lit(10.0), F.col("snr_db") / 10))).alias("noise_m"), "snr_db", F.coalesce("common_mode_peak_m", F.lit(0.0)).alias("common_mode_peak_m"))
+    out = j.select(*cell, status.alias("status"), when(F.col("p"), 1.0).alias("p_value"), when(1 - F.col("p"), 0.0).alias("micromotion_band"), when(F.col("g"), 0.0).alias("statistic"), F.when(ok & (F.col("total") > 0), F.col("k") * (prf_hz / F.col("take"))).alias("rate_hz"), F.when(ok, F.when(F.col("total") > 0, 2 * F.sqrt("power") / F.col("take")).otherwise(0.0)).alias("displacement_m"), F.when(ok, metres / F.sqrt(2 * F.pow(F.lit(10.0), F.col("snr_db") / 10))).alias("noise_m"), "snr_db", F.coalesce("common_mode_peak_m", F.lit(0.0)).alias("common_mode_peak_m"))
     return out.unionByName(refused) if short else out
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable
 from dataclasses import replace
@@ -300,13 +301,22 @@ def policy_key(policy: dict[str, int]) -> str:
     return ";".join(f"{k}={v}" for k, v in sorted(policy.items()))
 
 
+#: as many policies as a search has in all are scored by one job, as that takes less than a job for each generation
+AT_ONCE = 32
+
+
 def climb_generations(evaluate: Callable[[list[dict[str, int]]], dict], root: dict[str, int], generations: int, ladders: dict[str, list], step_text: Callable[[str, int, int], str]) -> list[dict]:
-    """The search of ``climb``, with the same log, where a generation is one job: when a score is missing, all rungs that could be asked for next are evaluated with it."""
+    """The search of ``climb``, with the same log, where a generation is one job: when a score is missing, all rungs that could be asked for next are evaluated with it.
+
+    Where all ladders together have at most AT_ONCE policies, the first job evaluates them all.
+    """
     known: dict = {}
+    few = math.prod(map(len, ladders.values())) <= AT_ONCE
+    every = [dict(zip(ladders, x)) for x in itertools.product(*(range(len(r)) for r in ladders.values()))] if few else []
 
     def one(policy: dict[str, int], suite: str) -> dict:
         if (policy_key(policy), suite) not in known:
-            near = [policy | {k: min(policy[k] + step, len(ladders[k]) - 1)} for k in ladders for step in (0, 1, 2)]
+            near = [policy | x for x in every] or [policy | {k: min(policy[k] + step, len(ladders[k]) - 1)} for k in ladders for step in (0, 1, 2)]
             known.update(evaluate(list({policy_key(p): p for p in near if (policy_key(p), suite) not in known}.values())))
         return known[(policy_key(policy), suite)]
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import policy
+from ..operators import policy, scan
 from .recordings import _FLOOR, _KS, _LAMBDA, _METRES, _P, _PINGS_A_DWELL, _PRF, _TWO_PI, dwells
 from .registry import query, r
 from .tables import rounded, table
@@ -34,7 +34,7 @@ def captures(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evaluator(spark: SparkSession, d: str):
-    return policy.generation_evaluator(captures(spark, d), dwells(spark, d), _PRF, _LAMBDA, _PINGS_A_DWELL, 0.5, 0.2, LADDERS, FIXED)
+    return policy.generation_evaluator(scan.checkpointed(captures(spark, d)), dwells(spark, d), _PRF, _LAMBDA, _PINGS_A_DWELL, 0.5, 0.2, LADDERS, FIXED)
 
 
 _values = lambda rows: ", ".join(f"({i}, {', '.join(map(str, x))})" for i, x in enumerate(rows))
@@ -87,7 +87,7 @@ climb AS (SELECT 0 AS g, 0 AS a, 0 AS b, 0 AS ta, 0 AS tb, '' AS step, false AS
       JOIN score now ON now.a = c.a AND now.b = c.b AND now.suite = 'holdout' JOIN score new ON new.a = ca AND new.b = cb AND new.suite = 'holdout' JOIN score anc ON anc.a = ca AND anc.b = cb AND anc.suite = 'anchor', base))
 SELECT CAST(g - 1 AS BIGINT) AS generation, step, won AS promoted, {r("p")} AS "primary" FROM climb WHERE g > 0""")
 def detector_search(spark: SparkSession, d: str) -> DataFrame:
-    """Which rungs are promoted, generation by generation; each generation's scores are one job."""
+    """Which rungs are promoted, generation by generation; the ladders are short, so that one job scores them all."""
     log = policy.climb_generations(evaluator(spark, d), dict.fromkeys(LADDERS, 0), GENERATIONS, LADDERS, lambda lever, a, b: f"{lever} {a}>{b}")
     rows = spark.createDataFrame([(x["generation"], x["step"], x["promoted"], float(x["primary"])) for x in log], "generation long, step string, promoted boolean, primary double")
     return rows.withColumn("primary", rounded(F.col("primary")))
