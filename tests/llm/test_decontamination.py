@@ -3,6 +3,7 @@ from collections import Counter
 import numpy as np
 
 from tests.llm.conftest import frame, words
+from tidewick.llm import _common as C
 from tidewick.llm import decontamination as D
 from tidewick.llm._common import shingle_hashes, word_hashes
 
@@ -39,6 +40,56 @@ def test_index_returns_all_within_radius():
     assert got == want
 
 
+def test_index_where_values_list_many_parts(monkeypatch):
+    """Lists longer than what is compared at once, parts beyond the numbered ones, several classes, and no parts at all."""
+    r = np.random.default_rng(5)
+    base = r.integers(0, 1 << 63, 3, dtype=np.uint64)
+    flips = [sum(1 << int(i) for i in r.choice(64, n % 12, replace=False)) for n in range(90)]
+    prints = np.array([base[n % 3] ^ np.uint64(f) for n, f in enumerate(flips)], np.uint64)
+    classes = np.arange(90) // 45
+    windows = np.array([prints[n % 90] ^ np.uint64(sum(1 << int(i) for i in r.choice(64, n % 20, replace=False))) for n in range(200)], np.uint64)
+    want = {(i, j) for i in range(200) for j in range(90) if classes[j] == i % 2 and int(windows[i] ^ prints[j]).bit_count() <= D.RADIUS}
+    for numbered in (D.Index.NUMBERED, 7, 0):
+        monkeypatch.setattr(D.Index, "NUMBERED", numbered)
+        got = D.Index(prints, classes).search(windows, np.arange(200) % 2 << 16)
+        assert len(got[0]) == len(want) and set(zip(*(x.tolist() for x in got))) == want
+    assert not len(D.Index(prints[:0], classes[:0]).search(windows, np.zeros(200, np.int64))[0])
+
+
+def test_what_is_near_by_chance_costs_little(monkeypatch):
+    """Windows within the radius by chance don't have their texts' shingles made one text after the other."""
+    items = [(i, " ".join(words(i, 20 + i % 40))) for i in range(150)]
+    texts = [" ".join(words(1000 + n, 400)) for n in range(120)] + [" ".join(words(2000, 200) + items[3][1].split() + words(2001, 200))]
+    m, made, near = D.Matcher(items), [], []
+    search, shingles = m.index.search, D.shingle_hashes_of
+    monkeypatch.setattr(m.index, "search", lambda *x: near.append(search(*x)) or near[-1])
+    monkeypatch.setattr(D, "shingle_hashes_of", lambda *x: made.append(1) or shingles(*x))
+    assert [[h[0] for h in x] for x in m.match(texts)] == [[]] * 120 + [[3]]
+    assert sum(len(x[0]) for x in near) > 100 and len(made) < 12
+
+
+def test_texts_hashed_together_are_hashed_alike():
+    """A word's hash is that of its bytes by place, whatever stands around it."""
+    r = np.random.default_rng(6)
+    pieces = ["a", "Wort", "7", "w" * 63, "x" * 64, "y" * 65, "Z" * 5000, "\u00dcber", "\u6f22\u5b57", "\u0130x", "\ud800", " ", "  ", "\n", ", ", "-" * 90]
+    texts = ["", " ", "..", *("".join(pieces[i] for i in r.integers(0, len(pieces), int(n))) for n in r.integers(0, 40, 60)), ""]
+    texts += ["".join(p + " " for p in pieces if len(p) < 60) for _ in range(3)]
+
+    def plain(text):
+        out, run = [], []
+        for c in [*text.lower().encode("utf-8", "surrogatepass"), 32]:
+            if c > 127 or chr(c).isalnum():
+                run.append(c)
+            elif run:
+                out.append((sum(int(C._BYTE[x]) * int(C._PLACE[j & 0xFFF]) for j, x in enumerate(run)) + len(run)) % (1 << 64))
+                run = []
+        return C.mix(np.array(out, np.uint64)).tolist()
+
+    assert [x.tolist() for x in C.word_hashes_of(texts)] == [plain(t) for t in texts] == [word_hashes(t).tolist() for t in texts]
+    got = {i: (w.tolist(), p.tolist()) for i, w, p in D.hashed(texts)}
+    assert got == {i: (plain(t), D.pair_hashes(word_hashes(t)).tolist()) for i, t in enumerate(texts)} and not list(D.hashed([]))
+
+
 def test_agrees_with_brute_force():
     items = [(i, " ".join(words(i, 25 + i))) for i in range(12)]
     texts = [" ".join(words(50 + i, 200) + items[i % 12][1].split()[: 10 + 3 * i] + words(80 + i, 100)) for i in range(20)]

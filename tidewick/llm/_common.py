@@ -121,6 +121,9 @@ def odd_numbers(n: int, seed: int) -> np.ndarray:
 _BYTE = odd_numbers(256, 11)
 _PLACE = odd_numbers(1 << 12, 12)
 _STEP = odd_numbers(64, 13)
+#: the products of both for the first places, a row of 256 for each
+with np.errstate(over="ignore"):
+    _BOTH = (_PLACE[:64, None] * _BYTE[None, :]).ravel()
 #: ASCII letters and digits, and every byte of a character beyond ASCII, belong to words.
 _WORD = np.array([chr(i).isalnum() if i < 128 else True for i in range(256)])
 
@@ -131,18 +134,34 @@ def word_hashes(text: str) -> np.ndarray:
     A word is a maximal run of ASCII letters, ASCII digits and characters beyond ASCII of the
     lower-cased text. No loop over words: bytes are hashed by their place and summed by word.
     """
-    b = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)
-    inside = _WORD[b]
-    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    return word_hashes_of([text])[0]
+
+
+def word_hashes_of(texts: list[str]) -> list[np.ndarray]:
+    """``word_hashes`` of each text, in one go over all bytes."""
+    coded = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+    b = np.frombuffer(b" ".join(coded), np.uint8)
+    inside = np.zeros(len(b) + 2, bool)
+    np.take(_WORD, b, out=inside[1:-1], mode="clip")
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
     if not len(edge):
-        return np.empty(0, np.uint64)
-    starts, ends = edge[::2], edge[1::2]
-    lengths = ends - starts
-    b = b[inside]
-    first = np.cumsum(lengths) - lengths
-    place = (np.arange(len(b)) - np.repeat(first, lengths)) & 0xFFF
+        return [np.empty(0, np.uint64) for _ in texts]
+    ends = np.searchsorted(edge[::2], np.cumsum([len(x) + 1 for x in coded]))
+    b = b[edge[0] : edge[-1]]
+    # stretches: words and, between them, what belongs to none
+    edge -= edge[0]
+    lengths = np.diff(edge)
+    place = np.arange(len(b))
+    place -= np.repeat(edge[:-1], lengths)
     with np.errstate(over="ignore"):
-        return mix(np.add.reduceat(_BYTE[b] * _PLACE[place], first) + lengths.astype(np.uint64))
+        if lengths[::2].max() <= len(_BOTH) >> 8:
+            place <<= 8
+            place += b
+            h = _BOTH.take(place, mode="clip")
+        else:
+            h = _BYTE[b] * _PLACE[place & 0xFFF]
+        h = mix(np.add.reduceat(h, edge[:-1])[::2] + lengths[::2].astype(np.uint64))
+    return [h[lo:hi] for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
 
 def shingle_hashes(words: np.ndarray, k: int = 5) -> np.ndarray:

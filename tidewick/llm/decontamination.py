@@ -22,13 +22,14 @@ from __future__ import annotations
 
 import functools
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import free_name, mix, row_key, shingle_hashes, text_of, word_hashes, written
+from ._common import free_name, mix, row_key, shingle_hashes, text_of, word_hashes, word_hashes_of, written
 
 SIMILARITY = 0.8
 RADIUS = 15
@@ -37,6 +38,8 @@ ITEMS = 8_000
 #: a part's share of an item, and its least words; windows start every STEPth part of their length, and a class's longest part is SPAN times its shortest
 PART, LEAST, STEP, SPAN = 0.4, 6, 6, 1.3
 _CHUNK = 1 << 13
+#: characters of texts that are hashed together
+_TOGETHER = 1 << 15
 
 
 def pair_hashes(words: np.ndarray) -> np.ndarray:
@@ -56,14 +59,16 @@ def fingerprint(words: np.ndarray) -> int:
     return int(np.packbits(_bits(h).sum(axis=0) > len(h) // 2, bitorder="little").view("<u8")[0])
 
 
-def majorities(counts: np.ndarray, half: np.ndarray, counter: type) -> np.ndarray:
-    """Fingerprints from rows of 64 counters, side by side in 64-bit numbers: the bits of those above ``half``."""
+def majorities(counts: np.ndarray, half: int | np.ndarray, counter: type) -> np.ndarray:
+    """Fingerprints from rows of 64 counters, side by side in 64-bit numbers: the bits of those above ``half``, of all rows or of each. Uses up the counters."""
     if counter is not np.uint8:
-        return np.packbits(counts.view(counter) > half.astype(counter)[:, None], axis=1, bitorder="little").view("<u8").ravel()
-    # eight counters below 128 in a number: adding 127 - half sets a counter's top bit if it is above half; a product brings the top bits together
+        return np.packbits(counts.view(counter) > np.reshape(half, (-1, 1)).astype(counter), axis=1, bitorder="little").view("<u8").ravel()
+    # eight counters below 128 in a number: adding 127 - half sets a counter's top bit if it is above half; a product brings the top bits together in the last byte
     with np.errstate(over="ignore"):
-        top = (counts + ((127 - half).astype(np.uint64) * np.uint64(0x0101010101010101))[:, None] & np.uint64(0x8080808080808080)) >> np.uint64(7)
-        return (top * np.uint64(0x0102040810204080) >> np.uint64(56)).astype(np.uint8).view("<u8").ravel()
+        counts += np.reshape(127 - half, (-1, 1)).astype(np.uint64) * np.uint64(0x0101010101010101)
+        counts &= np.uint64(0x8080808080808080)
+        counts *= np.uint64(0x0002040810204081)
+    return counts.astype("<u8", copy=False).view(np.uint8)[:, 7::8].copy().view("<u8").ravel()
 
 
 #: what turns a 16-bit value into those within 3 bits of it: with four blocks, radius 15 needs no more
@@ -71,24 +76,46 @@ _NEAR = np.array([sum(1 << i for i in c) for k in range(RADIUS // 4 + 1) for c i
 
 
 class Index:
-    """The multi-index over the parts of all items; each size class has its own part of every table."""
+    """The multi-index over the parts of all items; each size class has its own part of every table.
+
+    Most values list no more than ``FEW`` parts. A table has the numbers of these in a single 64-bit number, so that all windows are
+    compared with them at once; lists are only walked for windows that are near one of them or whose value lists more.
+    """
+
+    FEW = 4
+    #: parts with numbers that fit a quarter of it; those beyond are only in the lists
+    NUMBERED = 0xFFFF
 
     def __init__(self, prints: np.ndarray, classes: np.ndarray):
         self.prints, self.tables = prints, []
+        self.more = min(len(prints), self.NUMBERED)  # instead of a part's number: see the list
+        self.few = np.append(prints[: self.more], np.uint64(0))
         places = (1 << 16) * (int(classes.max()) + 1 if len(classes) else 1)
         for block in range(4):
             own = (prints >> np.uint64(16 * block)).astype(np.int64) & 0xFFFF
             v = ((classes << 16)[:, None] | own[:, None] ^ _NEAR[None, :]).ravel()
             size = np.bincount(v, minlength=places)
-            self.tables.append((size > 0, size, np.cumsum(size) - size, (np.argsort(v, kind="stable") // len(_NEAR)).astype(np.int32)))
+            start, flat = np.cumsum(size) - size, (np.argsort(v, kind="stable") // len(_NEAR)).astype(np.int32)
+            first = np.full((places, self.FEW), self.more, np.uint16)
+            for j in range(self.FEW if len(flat) else 0):
+                # the last part again where there are fewer; any part where there is none, as the list is empty
+                at = np.minimum(start + np.clip(size - 1, 0, j), len(flat) - 1)
+                first[:, j] = np.minimum(flat[at], self.more)
+            first[size > self.FEW, -1] = self.more
+            self.tables.append((first.view(np.uint64).ravel(), size.astype(np.int32), start.astype(np.int32), flat))
 
     def search(self, windows: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, part) pairs of equal class within the radius; a pair may come from several blocks and is returned once."""
         found = [np.empty(0, np.int64)]
-        blocks, many = windows.view("<u2").reshape(-1, 4), max(1, len(self.prints))
-        for block, (listed, size, start, flat) in enumerate(self.tables):
+        blocks, many, copies = windows.view("<u2").reshape(-1, 4), max(1, len(self.prints)), np.repeat(windows, self.FEW)
+        for block, (first, size, start, flat) in enumerate(self.tables):
             v = blocks[:, block] + classes
-            hit = np.flatnonzero(listed[v])
+            few = first.take(v, mode="clip").view(np.uint16)
+            differ = self.few.take(few, mode="clip")
+            differ ^= copies
+            look = np.bitwise_count(differ) <= RADIUS
+            look |= few == self.more
+            hit = np.flatnonzero(look.view(np.uint32))
             v = v[hit]
             n = size[v]
             at = np.repeat(start[v] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
@@ -117,6 +144,11 @@ class Matcher:
                 self.items.append((key, len(w), s, n))
         parts.sort(key=lambda x: x[0])
         self.owner = np.array([x[2] for x in parts], np.int64)
+        # shingles of all items but those of fewer than 5 words, and a table of their low bits
+        self.short = np.array([x[1] < 5 for x in self.items], bool)
+        self.wanted = np.unique(np.concatenate([np.empty(0, np.uint64), *(x[2] for x in self.items if x[1] >= 5)]))
+        self.low = np.zeros(1 << max(16, len(self.wanted).bit_length() + 5), bool)
+        self.low[self.wanted & np.uint64(len(self.low) - 1)] = True
         self.classes: list[tuple[int, int]] = []  # pairs in a window, step
         of, at = [], 0
         while at < len(parts):
@@ -170,19 +202,20 @@ class Matcher:
         out = []
         for c, (pairs, step) in enumerate(self.classes):
             many = np.maximum(0, (np.asarray(lengths) - pairs) // step + 1)
-            s = np.repeat(begins, many) + step * (np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many))
             # and the last window of each segment, or the whole of a shorter one
-            tail = np.maximum(begins, ends - pairs)
-            counts, at = np.empty((len(s) + len(tail), ones.shape[1]), np.uint64), 0
+            tail, at = np.maximum(begins, ends - pairs), 0
+            s = np.empty(int(many.sum()) + len(tail), np.int64)
+            counts = np.empty((len(s), ones.shape[1]), np.uint64)
             for b, n in zip(begins.tolist(), many.tolist()):
                 stop = b + (n - 1) * step + 1
                 if n:
+                    s[at : at + n] = np.arange(b, stop, step)
                     np.subtract(ones[b + pairs : stop + pairs : step], ones[b:stop:step], out=counts[at : at + n])
                 at += n
+            s[at:] = tail
             np.subtract(ones[ends], ones[tail], out=counts[at:])
-            half = np.concatenate([np.full(at, pairs // 2), (ends - tail) // 2])
-            s = np.concatenate([s, tail])
-            out.append((s, np.full(len(s), c << 16), majorities(counts, half, self.counter)))
+            prints = majorities(counts[:at], pairs // 2, self.counter), majorities(counts[at:], (ends - tail) // 2, self.counter)
+            out.append((s, np.full(len(s), c << 16), np.concatenate(prints)))
         return tuple(np.concatenate(x) for x in zip(*out))
 
     def match(self, texts: list[str]) -> list[list[tuple[object, float, int]]]:
@@ -190,9 +223,7 @@ class Matcher:
         best: list[dict[int, tuple[float, int]]] = [{} for _ in texts]
         if self.classes:
             longest, held, batch = max(c[0] for c in self.classes), 0, []
-            for i, t in enumerate(texts):
-                words = word_hashes(t)
-                pairs = pair_hashes(words)
+            for i, words, pairs in hashed(texts):
                 for lo in range(0, len(pairs), _CHUNK):
                     batch.append((i, words, lo, pairs[lo : lo + _CHUNK + longest]))
                     held += len(batch[-1][3])
@@ -202,6 +233,28 @@ class Matcher:
             self._search(batch, best)
         return [[(self.items[k][0], -share, where) for k, (share, where) in sorted(b.items())] for b in best]
 
+    def worth(self, batch: list, at: np.ndarray, k: np.ndarray, first: np.ndarray, last: np.ndarray, longest: int) -> np.ndarray:
+        """Whether items ``k`` are worth verifying in segments ``at``: nearly all that are within the radius by chance have no item's shingle from their first window to the end of their last."""
+        if not len(at):
+            return np.empty(0, bool)
+        parts = [words[lo : lo + len(pairs) + longest + 4] for _, words, lo, pairs in batch]
+        sizes = np.array([len(x) for x in parts])
+        ends = np.cumsum(sizes)
+        known = np.zeros(int(ends[-1]) + 1, np.int64)
+        if ends[-1] >= 5 and len(self.wanted):
+            h = shingle_hashes(np.concatenate(parts))
+            # shingles end in their own segment
+            own = np.ones(len(known) + 3, bool)
+            own[(ends[:, None] - 1 - np.arange(4)).clip(0)] = False
+            maybe = np.flatnonzero(self.low.take((h & np.uint64(len(self.low) - 1)).astype(np.int64)) & own[: len(h)])
+            found = np.minimum(np.searchsorted(self.wanted, h[maybe]), len(self.wanted) - 1)
+            known[maybe[self.wanted[found] == h[maybe]] + 1] = 1
+            np.cumsum(known, out=known)
+        lo, total = np.array([x[2] for x in batch])[at], np.array([max(0, len(x[1]) - 4) for x in batch])[at]
+        a, b = np.minimum(first, total - 1) - lo, np.minimum(np.minimum(last, total - 1) - lo + longest, sizes[at])
+        begin = (ends - sizes)[at]
+        return self.short[k] | (a < 0) | (known[begin + np.maximum(b, 0)] > known[begin + np.maximum(a, 0)])
+
     def _search(self, batch: list, best: list) -> None:
         if not batch:
             return
@@ -212,14 +265,18 @@ class Matcher:
         starts, classes, prints = self.windows(lengths, ones)
         begins = np.cumsum(lengths) - lengths
         w, part = self.index.search(prints, classes)
+        if not len(w):
+            return
         at, k = np.searchsorted(begins, starts[w], "right") - 1, self.owner[part]
         first, longest = starts[w] - begins[at] + np.array([x[2] for x in batch])[at], max(c[0] for c in self.classes) + 1
         # all windows of one item in one stretch of a text are verified together
         order = np.lexsort((first, k, at))
         at, k, first = at[order], k[order], first[order]
         edge = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(k, prepend=-1) != 0))
+        stop = np.append(edge[1:], len(at))
+        worth = self.worth(batch, at[edge], k[edge], first[edge], first[stop - 1], longest)
         shingles: dict[tuple[int, int], np.ndarray] = {}
-        for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(at)]):
+        for a, b in zip(edge[worth].tolist(), stop[worth].tolist()):
             i, words = batch[at[a]][:2]
             item = int(k[a])
             size = min(5, self.items[item][1])
@@ -230,7 +287,7 @@ class Matcher:
                 continue
             places = np.minimum(first[a:b], len(text) - 1)
             region = text[places[0] : places[-1] + longest]
-            # nearly all that are within the radius by chance have none of the item's shingles
+            # those within the radius by chance have none of the item's shingles
             if not (want[np.minimum(np.searchsorted(want, region), len(want) - 1)] == region).any():
                 continue
             share, where = self.contains(text, self.items[item], np.unique(places))
@@ -238,6 +295,22 @@ class Matcher:
                 best[i][item] = (-share, where)
 
 
+def hashed(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Number, word hashes and pair hashes of each text; short texts are hashed together."""
+    at = 0
+    while at < len(texts):
+        end, held = at + 1, len(texts[at])
+        while end < len(texts) and held + len(texts[end]) <= _TOGETHER:
+            held += len(texts[end])
+            end += 1
+        words = word_hashes_of(texts[at:end])
+        pairs, begin = pair_hashes(np.concatenate(words)), 0
+        for i, w in enumerate(words, at):
+            yield i, w, pairs[begin : begin + len(w) - 1] if len(w) > 1 else pair_hashes(w)
+            begin += len(w)
+        at = end
+
+
 @functools.lru_cache(2)
 def _matcher(items: tuple, similarity: float) -> Matcher:
     """One index for all tasks of a Python worker."""
